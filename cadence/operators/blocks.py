@@ -92,6 +92,57 @@ def previous(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_
     return d.drop("_ck", *[f"_carry_{c}" for c in cols])
 
 
+def following(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_next") -> DataFrame:
+    """``lead(c, 1)`` along the series for every ``c`` in ``cols``."""
+    series, order, cols = _cols(series), _cols(order), _cols(cols)
+    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    after = Window.partitionBy(*series).orderBy("_ck")
+    d = _with_carry(df, series, chunk,
+                    {f"_first_{c}": F.min_by(F.col(c), key) for c in cols},
+                    {f"_carry_{c}": F.lead(f"_first_{c}").over(after) for c in cols})
+    w = Window.partitionBy(*series, "_ck").orderBy(*[F.col(o).desc() if isinstance(o, str) else o.desc()
+                                                     for o in order])
+    last = F.row_number().over(w) == 1
+    wf = Window.partitionBy(*series, "_ck").orderBy(*order)
+    for c in cols:
+        d = d.withColumn(f"{c}{suffix}", F.when(last, F.col(f"_carry_{c}")).otherwise(F.lead(c).over(wf)))
+    return d.drop("_ck", *[f"_carry_{c}" for c in cols])
+
+
+def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str,
+                  backward: bool = False, suffix: str | None = None) -> DataFrame:
+    """For every ``c`` in ``cols``: ``struct(t, v)`` of the last row at or
+    before the current one (``backward=False``) -- or the first row at or after
+    it -- where ``c`` is not null; ``t`` is the value of ``stamp`` there."""
+    series, order, cols = _cols(series), _cols(order), _cols(cols)
+    suffix = suffix or ("_nxt" if backward else "_prv")
+    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    pick = F.min_by if backward else F.max_by
+
+    def val(c):
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(stamp).alias("t"), F.col(c).alias("v")))
+
+    def keyed(c):
+        return F.when(F.col(c).isNotNull(), key)
+
+    if backward:
+        span = Window.partitionBy(*series).orderBy("_ck").rowsBetween(1, Window.unboundedFollowing)
+        carry = {f"_carry_{c}": F.first(f"_s_{c}", ignorenulls=True).over(span) for c in cols}
+    else:
+        span = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+        carry = {f"_carry_{c}": F.last(f"_s_{c}", ignorenulls=True).over(span) for c in cols}
+    d = _with_carry(df, series, chunk, {f"_s_{c}": pick(val(c), keyed(c)) for c in cols}, carry)
+    if backward:
+        w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+        inner = {c: F.first(val(c), ignorenulls=True).over(w) for c in cols}
+    else:
+        w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        inner = {c: F.last(val(c), ignorenulls=True).over(w) for c in cols}
+    for c in cols:
+        d = d.withColumn(f"{c}{suffix}", F.coalesce(inner[c], F.col(f"_carry_{c}")))
+    return d.drop("_ck", *[f"_carry_{c}" for c in cols])
+
+
 def series_count(df: DataFrame, series, name: str = "n") -> DataFrame:
     """Rows per series joined back to every row (partial aggregation, no window)."""
     series = _cols(series)

@@ -46,7 +46,10 @@ def _attach(df, params, series, features):
     w = _wide_params(params, s, features)
     # One row per series: Spark's adaptive execution broadcasts it when its
     # measured size is small and falls back to a (skew-split) shuffle join.
-    return df.join(w, s, "inner") if s else df.crossJoin(F.broadcast(w))
+    if s:
+        return df.join(w, s, "inner")
+    packed = w.select(F.struct(*w.columns).alias("p")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in w.columns])
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, series, cols) -> DataFrame:

@@ -28,7 +28,7 @@ def time_holdout(df: DataFrame, ts: str, series=None, days: int = 7, split_col:
     ``date < max_date - days`` is train, ``>=`` test (8 calendar dates for
     ``days=7``). Rows with a null date fall in neither and are dropped. The max
     date is per series when ``series`` is given (a grouped max joined back),
-    else global (one row, broadcast).
+    else global (a scalar subquery, computed once).
     """
     s = _series(series)
     d = df.withColumn(date_col, F.to_date(ts)).filter(F.col(date_col).isNotNull())
@@ -36,8 +36,7 @@ def time_holdout(df: DataFrame, ts: str, series=None, days: int = 7, split_col:
         mx = d.groupBy(*s).agg(F.max(date_col).alias("_max_date"))
         d = d.join(mx, s, "inner")
     else:
-        mx = d.agg(F.max(date_col).alias("_max_date"))
-        d = d.crossJoin(F.broadcast(mx))
+        d = d.withColumn("_max_date", d.agg(F.max(date_col)).scalar())
     cutoff = F.date_sub(F.col("_max_date"), days)
     return (d.withColumn(split_col, F.when(F.col(date_col) < cutoff, F.lit("train")).otherwise(F.lit("test")))
              .drop("_max_date"))

@@ -19,6 +19,14 @@ from cadence.operators import select as SE
 from cadence.operators import split as SP
 from cadence.operators import scale as SC
 from cadence.operators import sequence as SQ
+from cadence.operators import evaluate as EV
+from cadence.operators import federated as FD
+from cadence.operators import forecast as FC
+from cadence.operators import metrics as MT
+from cadence.operators import series as SR
+from cadence.operators.blocks import row_index, time_chunk
+from cadence.functions.labels import label
+from cadence import streaming as STR
 from cadence.plans.report import report
 from cadence.plans.training import INPUTS, TARGETS, event_features, training_windows
 from cadence.sources import standins as ST
@@ -211,6 +219,272 @@ def q_stack_steps(spark, root):
     return report(s.select("user_id", "ts_seq", "x"))
 
 
+
+# --------------------------------------------------------------------------- series
+
+GRID_COLS = ["invocations", "avg_value", "max_value", "sum_value"]
+
+
+def _grid(spark, root):
+    return SR.regular_grid(_hourly(Tables(spark, root)), "user_id", "ts", 3600, chunk_us=HOURLY_CHUNK)
+
+
+def q_regular_grid(spark, root):
+    return report(_grid(spark, root))
+
+
+def q_interpolate_time(spark, root):
+    g = _grid(spark, root)
+    return report(SR.interpolate_time(g, "user_id", "ts", GRID_COLS, chunk_us=HOURLY_CHUNK))
+
+
+def q_date_grid(spark, root):
+    e = Tables(spark, root).events
+    r = e.agg(F.unix_micros(F.date_trunc("hour", F.min("ts"))).alias("a"),
+              F.unix_micros(F.date_trunc("hour", F.max("ts"))).alias("b")).first()
+    return report(SR.date_grid(spark, r["a"], r["b"], 3600, shift_steps=-1))
+
+
+def _gaps(spark, root):
+    e = _ev(Tables(spark, root))
+    d = SR.time_diffs(e, "user_id", "ts", chunk_us=EVENT_CHUNK, tiebreak="event_id")
+    return d.withColumn("dt_h", F.col("dt") / 3600.0)
+
+
+def q_time_diffs(spark, root):
+    return report(_gaps(spark, root).select("event_id", "user_id", "ts", "dt"))
+
+
+def q_gap_stats(spark, root):
+    g = SR.gap_stats(_gaps(spark, root), "user_id", "dt_h")
+    return report(g.select("user_id", "n_gaps", F.col("mean_gap").alias("mean_gap_h"),
+                           F.col("var_gap").alias("var_gap_h2")))
+
+
+def q_gap_histogram(spark, root):
+    return report(SR.histogram(_gaps(spark, root), "dt_h", 50))
+
+
+def q_kde(spark, root):
+    return report(SR.kde(Tables(spark, root).events, "value", points=64, fine_bins=512))
+
+
+def _weekly(spark, root):
+    o = Tables(spark, root).orders
+    return SR.weekly_mean(o, "o_orderpriority", "o_orderdate", ["o_totalprice"])
+
+
+def q_weekly_mean(spark, root):
+    return report(_weekly(spark, root))
+
+
+def q_rolling_mean_full(spark, root):
+    r = SR.rolling_mean_full(_weekly(spark, root), "o_orderpriority", "o_orderdate", "o_totalprice", 56)
+    return report(r)
+
+
+def _rolling(spark, root):
+    return SR.rolling_forecast(_daily(Tables(spark, root)), "user_id", "ts", TARGETS, n=7, chunk_us=DAILY_CHUNK)
+
+
+def q_rolling_forecast(spark, root):
+    return report(_rolling(spark, root))
+
+
+def q_forecast_metrics(spark, root):
+    return report(EV.forecast_metrics(_rolling(spark, root), TARGETS, by="user_id"))
+
+
+# --------------------------------------------------------------------------- federated
+
+def q_fedavg_weights(spark, root):
+    w = ST.client_weights_from_embeddings(Tables(spark, root).embeddings)
+    return report(FD.fedavg_weights(w, by=["round", "layer"]))
+
+
+def _evals(spark, root):
+    return ST.client_evals_from_embeddings(Tables(spark, root).embeddings)
+
+
+def q_fedavg_metrics(spark, root):
+    return report(EV.fedavg_metrics(_evals(spark, root), by="round"))
+
+
+def q_gauge_latest(spark, root):
+    m = EV.fedavg_metrics(_evals(spark, root), by="round")
+    g = MT.to_samples(m.withColumn("ts", F.timestamp_seconds(F.col("round").cast("long"))), "ts",
+                      {"model_loss": "loss", "model_cosine_similarity": "cos", "model_mean_absolute_error": "mae"})
+    return report(MT.latest(g).select("name", "ts", "value"))
+
+
+FED_X = ["invocations", "avg_value"]
+FED_Y = "max_value"
+
+
+def _fed_data(spark, root):
+    d = _daily(Tables(spark, root))
+    cols = FED_X + [FED_Y]
+    p = SC.fit_scaler(d, "user_id", cols, with_mean=True)
+    return SC.apply_scaler(d, p, "user_id", cols)
+
+
+def q_fed_round_one(spark, root):
+    g = FD.client_gram(_fed_data(spark, root), "user_id", FED_X, FED_Y)
+    r = FD.fed_round(g, "user_id", [0.0, 0.0, 0.0], 0.1, steps=1)
+    return report(r.select(F.lit(1).alias("round"), "weights", "n"))
+
+
+def q_fed_rounds(spark, root):
+    g = FD.client_gram(_fed_data(spark, root), "user_id", FED_X, FED_Y)
+    return report(FD.fed_rounds(g, "user_id", rounds=20, lr=0.1, steps=1))
+
+
+def q_fed_evaluate(spark, root):
+    d = _fed_data(spark, root)
+    split = SP.time_holdout(d, "ts", series="user_id", days=7)
+    g = FD.client_gram(split.filter("split = 'train'"), "user_id", FED_X, FED_Y)
+    hist = FD.fed_rounds(g, "user_id", rounds=20, lr=0.1, steps=1)
+    w = [float(x) for x in hist.orderBy(F.desc("round")).first()["weights"]]
+    per_client = FD.evaluate_global(split.filter("split = 'test'"), "user_id", FED_X, FED_Y, w)
+    return report(per_client)
+
+
+def q_client_profiles(spark, root):
+    clients = Tables(spark, root).events.select("user_id").distinct()
+    return report(FD.assign_profiles(clients, "user_id"))
+
+
+def q_linear_huber(spark, root):
+    return report(FC.linear_huber(_daily(Tables(spark, root)), FED_X, FED_Y))
+
+
+# --------------------------------------------------------------------------- ARX forecasting
+
+def _diffs(spark, root, exog):
+    return FC.diff_rows(_daily(Tables(spark, root)), "user_id", "ts", "sum_value", exog, chunk_us=DAILY_CHUNK)
+
+
+def q_ar1_diff(spark, root):
+    g = FC.arx_gram(_diffs(spark, root, []), "user_id", 0)
+    return report(FC.fit_arx_diff(g, "user_id", 0, iters=1).select("user_id", "n", "phi"))
+
+
+def q_arx_diff_one(spark, root):
+    g = FC.arx_gram(_diffs(spark, root, ["invocations"]), "user_id", 1)
+    p = FC.fit_arx_diff(g, "user_id", 1, iters=1)
+    return report(p.select("user_id", "n", "phi", F.element_at("beta", 1).alias("beta")))
+
+
+def q_arx_fit(spark, root):
+    rows = _diffs(spark, root, FED_X)
+    p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
+    return report(p.join(FC.in_sample_mae(rows, p, "user_id", 2), "user_id"))
+
+
+def q_arx_forecast(spark, root):
+    d = SP.time_holdout(_daily(Tables(spark, root)), "ts", series="user_id", days=7).drop("date")
+    train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
+    rows = FC.diff_rows(train, "user_id", "ts", "sum_value", FED_X, chunk_us=DAILY_CHUNK)
+    p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
+    state = FC.last_state(train, "user_id", "ts", "sum_value", FED_X)
+    fut = row_index(test, ["user_id"], ["ts"], time_chunk("ts", DAILY_CHUNK), "h")
+    fc = FC.forecast_arx_diff(p, state, fut.select("user_id", "h", "ts", "sum_value", *FED_X), "user_id", FED_X)
+    return report(fc.select("user_id", "h", "ts", F.col("sum_value").alias("actual"), "forecast"))
+
+
+# --------------------------------------------------------------------------- metric queries
+
+RATE_RANGE_S, RATE_STEP_S = 86_400, 3_600
+NOW = "2024-01-15 12:00:00"
+
+
+def _samples(spark, root):
+    t = Tables(spark, root)
+    return ST.samples_from_events(t.events, t.customer, t.nation)
+
+
+def _flat(df, value="value"):
+    return df.select("name", label("instance").alias("instance"), label("name").alias("container"),
+                     label("id").alias("id"), "ts", value)
+
+
+def q_counter_rate(spark, root):
+    s = MT.match_labels(_samples(spark, root), [], name=ST.CPU)
+    return report(_flat(MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S, chunk_us=EVENT_CHUNK)))
+
+
+SELECTOR = [("instance", "=~", ".*"), ("name", "=~", ".+"), ("name", "!~", "(BUILDING|FURNITURE)")]
+
+
+def q_cpu_by_name(spark, root):
+    s = MT.match_labels(_samples(spark, root), SELECTOR, name=ST.CPU)
+    r = MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S, chunk_us=EVENT_CHUNK)
+    return report(MT.sum_by(r, "name", scale=100.0))
+
+
+def q_memory_by_name(spark, root):
+    s = MT.match_labels(_samples(spark, root), SELECTOR, name=ST.RSS)
+    v = MT.instant_values(s, RATE_STEP_S, lookback_s=3_600)
+    return report(MT.sum_by(v, "name"))
+
+
+def q_label_filter(spark, root):
+    s = MT.match_labels(_samples(spark, root),
+                        [("instance", "=~", "NATION_(1|2|3)"), ("name", "!~", "AUTO.*")], name=ST.RSS)
+    return report(_flat(s))
+
+
+def q_label_values(spark, root):
+    return MT.label_values(_samples(spark, root), "instance", name_regex="container.*")
+
+
+def q_label_values_dependent(spark, root):
+    return MT.label_values(_samples(spark, root), "name", name_regex="container.*",
+                           matchers=[("instance", "=~", "NATION_1.*")])
+
+
+def q_instant_info(spark, root):
+    at_now = _samples(spark, root).filter(F.col("ts") <= F.lit(NOW).cast("timestamp"))
+    s = MT.latest(MT.match_labels(at_now, [("name", "=~", ".+")], name=ST.START))
+    now_s = spark.sql(f"select unix_seconds(timestamp'{NOW}')").first()[0]
+    a = MT.age_days(s, now_s, digits=None)
+    return report(MT.info_table(a, {"instance": "host", "name": "container", "id": "id"})
+                  .withColumnRenamed("value", "age_days"))
+
+
+def q_recent(spark, root):
+    return report(_flat(MT.recent(_samples(spark, root), NOW, 15)))
+
+
+# --------------------------------------------------------------------------- streaming
+
+def q_stream_features(spark, root):
+    path = f"{root}/events.parquet"
+    s = STR.source(spark, path, spark.read.parquet(path).schema)
+    out = STR.run_to_table(STR.stream_features(s, "user_id", "ts", "1 day", "1 hour"), "features")
+    return report(spark.read.parquet(out))
+
+
+def q_stream_rate(spark, root):
+    from cadence.session import checkpoint_dir
+    path = checkpoint_dir(spark, "samples")
+    _samples(spark, root).filter(F.col("name") == ST.CPU).write.parquet(path)
+    s = STR.source(spark, path, spark.read.parquet(path).schema)
+    out = STR.run_to_table(STR.stream_rate(s, RATE_RANGE_S, RATE_STEP_S, "1 hour"), "rate")
+    r = spark.read.parquet(out)
+    return report(r.select("name", label("instance").alias("instance"), label("name").alias("container"),
+                           label("id").alias("id"), "window_end", "value"))
+
+
+def q_stream_gauges(spark, root):
+    from cadence.session import checkpoint_dir
+    path = checkpoint_dir(spark, "evals")
+    _evals(spark, root).repartition("round").write.partitionBy("round").parquet(path)
+    s = STR.source(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    out = STR.stream_gauges(s)
+    return report(spark.read.parquet(out).select("name", "ts", "value"))
+
+
 QUERIES = {
     "training_windows": q_training_windows,
     "star_clean": q_star_clean,
@@ -236,4 +510,38 @@ QUERIES = {
     "sequences_same": q_sequences_same,
     "first_of_sequence": q_first_of_sequence,
     "stack_steps": q_stack_steps,
+    "regular_grid": q_regular_grid,
+    "interpolate_time": q_interpolate_time,
+    "date_grid": q_date_grid,
+    "time_diffs": q_time_diffs,
+    "gap_stats": q_gap_stats,
+    "gap_histogram": q_gap_histogram,
+    "kde": q_kde,
+    "weekly_mean": q_weekly_mean,
+    "rolling_mean_full": q_rolling_mean_full,
+    "rolling_forecast": q_rolling_forecast,
+    "forecast_metrics": q_forecast_metrics,
+    "fedavg_weights": q_fedavg_weights,
+    "fedavg_metrics": q_fedavg_metrics,
+    "gauge_latest": q_gauge_latest,
+    "fed_round_one": q_fed_round_one,
+    "fed_rounds": q_fed_rounds,
+    "fed_evaluate": q_fed_evaluate,
+    "client_profiles": q_client_profiles,
+    "linear_huber": q_linear_huber,
+    "ar1_diff": q_ar1_diff,
+    "arx_diff_one": q_arx_diff_one,
+    "arx_fit": q_arx_fit,
+    "arx_forecast": q_arx_forecast,
+    "counter_rate": q_counter_rate,
+    "cpu_by_name": q_cpu_by_name,
+    "memory_by_name": q_memory_by_name,
+    "label_filter": q_label_filter,
+    "label_values": q_label_values,
+    "label_values_dependent": q_label_values_dependent,
+    "instant_info": q_instant_info,
+    "recent": q_recent,
+    "stream_features": q_stream_features,
+    "stream_rate": q_stream_rate,
+    "stream_gauges": q_stream_gauges,
 }

@@ -267,6 +267,308 @@ SELECT user_id, split, tl[1:7] AS ts_seq, {RL('il[1:7]')} AS invocations_seq, {R
        tl[8:14] AS ts_target, {RL('xl[8:14]')} AS max_value_target, {RL('sl[8:14]')} AS sum_value_target
 FROM w WHERE len(tl) = 14"""
 
+
+# --------------------------------------------------------------------------- series
+
+def _grid_cte() -> str:
+    return f"""f AS ({feats('hour')}),
+b AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM f GROUP BY 1),
+g AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS ts FROM b)"""
+
+
+REGULAR_GRID = f"""WITH {_grid_cte()}
+SELECT g.user_id, g.ts, f.invocations, {R('f.avg_value')} AS avg_value, {R('f.max_value')} AS max_value,
+       {R('f.sum_value')} AS sum_value
+FROM g LEFT JOIN f USING (user_id, ts)"""
+
+_ICOLS = ["invocations", "avg_value", "max_value", "sum_value"]
+
+
+def _interp(c: str) -> str:
+    return (f"CASE WHEN {c} IS NOT NULL THEN CAST({c} AS DOUBLE) WHEN pt IS NULL THEN NULL "
+            f"WHEN nt IS NULL THEN p_{c} ELSE p_{c} + (n_{c} - p_{c}) / (nt - pt) * (us - pt) END")
+
+
+INTERPOLATE_TIME = f"""WITH {_grid_cte()},
+j AS (SELECT g.user_id, g.ts, epoch_us(g.ts) AS us, f.invocations, f.avg_value, f.max_value, f.sum_value,
+             CASE WHEN f.invocations IS NOT NULL THEN epoch_us(g.ts) END AS ous
+      FROM g LEFT JOIN f USING (user_id, ts)),
+w AS (SELECT *, last_value(ous IGNORE NULLS) OVER wp AS pt, first_value(ous IGNORE NULLS) OVER wn AS nt,
+        {", ".join(f"last_value({c} IGNORE NULLS) OVER wp AS p_{c}, first_value({c} IGNORE NULLS) OVER wn AS n_{c}" for c in _ICOLS)}
+      FROM j
+      WINDOW wp AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             wn AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT user_id, ts, {", ".join(f"{R(_interp(c))} AS {c}" for c in _ICOLS)}
+FROM w"""
+
+DATE_GRID = """
+SELECT t - INTERVAL 1 HOUR AS ts
+FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t
+      FROM (SELECT date_trunc('hour', min(ts)) AS a, date_trunc('hour', max(ts)) AS b FROM events))"""
+
+_DT = """(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6"""
+
+TIME_DIFFS = f"""
+SELECT event_id, user_id, ts, {R('dt')} AS dt FROM (SELECT event_id, user_id, ts, {_DT} AS dt FROM events)"""
+
+_GAPS_H = f"SELECT user_id, {_DT} / 3600.0 AS dt_h FROM events"
+
+GAP_STATS = f"""
+SELECT user_id, count(*) AS n_gaps, {R('avg(dt_h)')} AS mean_gap_h, {R('var_samp(dt_h)')} AS var_gap_h2
+FROM ({_GAPS_H}) WHERE dt_h IS NOT NULL GROUP BY user_id"""
+
+GAP_HISTOGRAM = f"""
+WITH v AS (SELECT dt_h AS v FROM ({_GAPS_H}) WHERE dt_h IS NOT NULL),
+r AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+c AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 50)), 49) END AS INTEGER) AS bin,
+             count(*) AS cnt
+      FROM v, r GROUP BY 1),
+e AS (SELECT CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / 50) AS lo, lo + (i + 1) * ((hi - lo) / 50) AS hi
+      FROM r, (SELECT unnest(generate_series(0, 49)) AS i))
+SELECT e.bin, {R('e.lo')} AS lo, {R('e.hi')} AS hi, coalesce(cnt, 0) AS count,
+       {R('CASE WHEN cnt > 0 THEN log10(cnt) END')} AS log_count
+FROM e LEFT JOIN c USING (bin)"""
+
+KDE = f"""
+WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
+st AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h
+       FROM v),
+b AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 512)), 511) END AS INTEGER) AS bin,
+             count(*) AS c
+      FROM v, st GROUP BY 1),
+p AS (SELECT unnest(generate_series(0, 63)) AS i)
+SELECT CAST(i AS INTEGER) AS point, {R('lo + i * (hi - lo) / 63')} AS x,
+       {R('sum(c * exp(-0.5 * pow((lo + i * ((hi - lo) / 63) - (lo + (bin + 0.5) * (hi - lo) / 512)) / h, 2))) / (n * h * sqrt(2 * pi()))')} AS density
+FROM b, p, st GROUP BY i, lo, hi, n, h"""
+
+_WEEKS = """
+wk AS (SELECT o_orderpriority,
+              CAST(CAST(o_orderdate AS DATE) + CAST((7 - isodow(o_orderdate)) % 7 AS INTEGER) AS TIMESTAMP) AS o_orderdate,
+              avg(o_totalprice) AS o_totalprice
+       FROM orders GROUP BY 1, 2),
+b AS (SELECT o_orderpriority, min(o_orderdate) AS a, max(o_orderdate) AS z FROM wk GROUP BY 1),
+g AS (SELECT o_orderpriority, unnest(generate_series(a, z, INTERVAL 7 DAY)) AS o_orderdate FROM b),
+x AS (SELECT g.o_orderpriority, g.o_orderdate, wk.o_totalprice FROM g LEFT JOIN wk USING (o_orderpriority, o_orderdate))"""
+
+WEEKLY_MEAN = f"""WITH {_WEEKS}
+SELECT o_orderpriority, o_orderdate, {R('o_totalprice')} AS o_totalprice FROM x"""
+
+ROLLING_MEAN_FULL = f"""WITH {_WEEKS}
+SELECT o_orderpriority, o_orderdate, {R('o_totalprice')} AS o_totalprice,
+       {R('CASE WHEN count(o_totalprice) OVER w = 56 THEN avg(o_totalprice) OVER w END')} AS o_totalprice_rolling
+FROM x WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate ROWS BETWEEN 55 PRECEDING AND CURRENT ROW)"""
+
+_ROLL = f"""
+SELECT user_id, ts, max_value AS a1, avg(max_value) OVER w AS p1, sum_value AS a2, avg(sum_value) OVER w AS p2,
+       count(*) OVER w AS k
+FROM ({feats('day')}) WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
+
+ROLLING_FORECAST = f"""
+SELECT user_id, ts, {R('a1')} AS actual_max_value, {R('p1')} AS predicted_max_value,
+       {R('a2')} AS actual_sum_value, {R('p2')} AS predicted_sum_value
+FROM ({_ROLL}) WHERE k > 0"""
+
+
+def _huber(e: str) -> str:
+    return f"CASE WHEN abs({e}) <= 1.0 THEN 0.5 * {e} * {e} ELSE 1.0 * (abs({e}) - 0.5 * 1.0) END"
+
+
+FORECAST_METRICS = f"""
+WITH e AS (SELECT user_id, a1, p1, a2, p2, p1 - a1 AS e1, p2 - a2 AS e2 FROM ({_ROLL}) WHERE k > 0)
+SELECT user_id, count(*) AS n, {R('avg((e1 * e1 + e2 * e2) / 2.0)')} AS loss,
+       {R('avg((abs(e1) + abs(e2)) / 2.0)')} AS mae,
+       {R(f'avg(({_huber("e1")} + {_huber("e2")}) / 2.0)')} AS huber,
+       {R('avg(CASE WHEN sqrt(a1 * a1 + a2 * a2) = 0 OR sqrt(p1 * p1 + p2 * p2) = 0 THEN 0.0 ELSE (a1 * p1 + a2 * p2) / (sqrt(a1 * a1 + a2 * a2) * sqrt(p1 * p1 + p2 * p2)) END)')} AS cos
+FROM e GROUP BY user_id"""
+
+# --------------------------------------------------------------------------- federated
+
+_NPOS = "len(list_filter(embedding, lambda x: x > 0))"
+
+FEDAVG_WEIGHTS = f"""
+WITH w AS (SELECT label AS round, vec_id AS client, {_NPOS} AS n,
+                  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings),
+l AS (SELECT round, n, 0 AS layer, w[1:32] AS weights FROM w
+      UNION ALL SELECT round, n, 1 AS layer, w[33:64] AS weights FROM w),
+e AS (SELECT round, layer, n, unnest(weights) AS v, unnest(generate_series(1, len(weights))) AS pos FROM l),
+p AS (SELECT round, layer, pos, sum(v * n) / sum(n) AS m, sum(n) AS nt FROM e GROUP BY 1, 2, 3)
+SELECT round, layer, {RL('list(m ORDER BY pos)')} AS weights, max(nt) AS n FROM p GROUP BY 1, 2"""
+
+_EVALS = f"""
+SELECT label AS round, vec_id AS client, {_NPOS} AS n, abs(CAST(embedding[1] AS DOUBLE)) AS loss,
+       CAST(embedding[2] AS DOUBLE) AS cos, abs(CAST(embedding[3] AS DOUBLE)) AS mae FROM embeddings"""
+
+_FEDAVG = f"""
+SELECT round, count(*) AS clients, sum(n) AS n, sum(loss * n) / sum(n) AS loss,
+       CASE WHEN sum(n) <> 0 THEN sum(cos * n) / sum(n) ELSE 0.0 END AS cos,
+       CASE WHEN sum(n) <> 0 THEN sum(mae * n) / sum(n) ELSE 0.0 END AS mae
+FROM ({_EVALS}) GROUP BY round"""
+
+FEDAVG_METRICS = f"""
+SELECT round, clients, n, {R('loss')} AS loss, {R('cos')} AS cos, {R('mae')} AS mae FROM ({_FEDAVG})"""
+
+
+def _gauges(src: str) -> str:
+    parts = [f"SELECT '{g}' AS name, make_timestamp(CAST(round AS BIGINT) * 1000000) AS ts, {R(c)} AS value FROM {src}"
+             for g, c in (("model_loss", "loss"), ("model_cosine_similarity", "cos"),
+                          ("model_mean_absolute_error", "mae"))]
+    return "\nUNION ALL\n".join(parts)
+
+
+GAUGE_LATEST = f"""
+WITH m AS ({_FEDAVG}), last AS (SELECT * FROM m WHERE round = (SELECT max(round) FROM m))
+{_gauges('last')}"""
+
+STREAM_GAUGES = f"""
+WITH m AS ({_FEDAVG})
+{_gauges('m')}"""
+
+FED_ROUND_ONE = f"""
+WITH f AS ({feats('day')}),
+p AS (SELECT user_id, avg(invocations) AS mi, coalesce(stddev_samp(invocations), 0.0) AS si,
+             avg(avg_value) AS ma, coalesce(stddev_samp(avg_value), 0.0) AS sa,
+             avg(max_value) AS mx, coalesce(stddev_samp(max_value), 0.0) AS sx FROM f GROUP BY 1),
+z AS (SELECT CASE WHEN si = 0 THEN 0.0 ELSE (invocations - mi) / si END AS x1,
+             CASE WHEN sa = 0 THEN 0.0 ELSE (avg_value - ma) / sa END AS x2,
+             CASE WHEN sx = 0 THEN 0.0 ELSE (max_value - mx) / sx END AS y
+      FROM f JOIN p USING (user_id))
+SELECT 1 AS round,
+       {RL('[2 * 0.1 * sum(y) / count(*), 2 * 0.1 * sum(x1 * y) / count(*), 2 * 0.1 * sum(x2 * y) / count(*)]')} AS weights,
+       count(*) AS n
+FROM z"""
+
+_PROFILE = "(((user_id - 1) % 4 + 4) % 4)"
+
+CLIENT_PROFILES = f"""
+SELECT user_id, CAST({_PROFILE} AS INTEGER) AS profile,
+       {R(f'CAST([0.001, 0.005, 0.02, 0.09] AS DOUBLE[])[{_PROFILE} + 1]')} AS learning_rate,
+       [32, 256, 64, 128][{_PROFILE} + 1] AS batch_size
+FROM (SELECT DISTINCT user_id FROM events)"""
+
+# --------------------------------------------------------------------------- ARX
+
+_LAGS = f"""
+SELECT user_id, ts, sum_value AS y, lag(sum_value, 1) OVER w AS y1, lag(sum_value, 2) OVER w AS y2,
+       invocations AS x, lag(invocations, 1) OVER w AS x1, lag(invocations, 2) OVER w AS x2
+FROM ({feats('day')}) WINDOW w AS (PARTITION BY user_id ORDER BY ts)"""
+
+AR1_DIFF = f"""
+WITH d AS (SELECT user_id, y - y1 AS dy, y1 - y2 AS dy1 FROM ({_LAGS}) WHERE y2 IS NOT NULL)
+SELECT user_id, count(*) AS n,
+       {R('CASE WHEN sum(dy1 * dy1) <> 0 THEN sum(dy * dy1) / sum(dy1 * dy1) ELSE 0.0 END')} AS phi
+FROM d GROUP BY user_id"""
+
+ARX_DIFF_ONE = f"""
+WITH d AS (SELECT user_id, y - y1 AS dy, y1 - y2 AS dy1, CAST(x - x1 AS DOUBLE) AS dx, CAST(x1 - x2 AS DOUBLE) AS dx1
+           FROM ({_LAGS}) WHERE y2 IS NOT NULL AND x2 IS NOT NULL),
+s AS (SELECT user_id, count(*) AS n, sum(dy * dy1) AS yy1, sum(dy1 * dy1) AS y1y1, sum(dx * dx) AS xx,
+             sum(dx * dy) AS xy, sum(dx * dy1) AS xy1, sum(dx1 * dy) AS x1y, sum(dx1 * dy1) AS x1y1,
+             sum(dx * dx1) AS xx1, sum(dx1 * dx1) AS x1x1
+      FROM d GROUP BY 1),
+b AS (SELECT *, CASE WHEN xx <> 0 THEN xy / xx ELSE 0.0 END AS b0 FROM s),
+p AS (SELECT *, yy1 - b0 * x1y - b0 * xy1 + b0 * b0 * xx1 AS num,
+             y1y1 - 2 * b0 * x1y1 + b0 * b0 * x1x1 AS den FROM b),
+q AS (SELECT *, CASE WHEN den <> 0 THEN num / den ELSE 0.0 END AS phi FROM p)
+SELECT user_id, n, {R('phi')} AS phi,
+       {R('CASE WHEN xx - 2 * phi * xx1 + phi * phi * x1x1 <> 0 THEN (xy - phi * xy1 - phi * x1y + phi * phi * x1y1) / (xx - 2 * phi * xx1 + phi * phi * x1x1) ELSE 0.0 END')} AS beta
+FROM q"""
+
+# --------------------------------------------------------------------------- metric queries
+
+_STEP, _RANGE = 3_600_000_000, 86_400_000_000
+_NOW = "TIMESTAMP '2024-01-15 12:00:00'"
+
+_SAMPLES = """
+ev AS (SELECT e.event_id, e.user_id, e.ts, e.value, c.c_mktsegment, n.n_name
+       FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+cpu AS (SELECT *, sum(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM ev)"""
+
+_RATE = f"""
+d AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS pv FROM cpu),
+i AS (SELECT user_id, c_mktsegment, n_name, epoch_us(ts) AS us,
+             CASE WHEN pv IS NULL THEN 0.0 WHEN v < pv THEN v ELSE v - pv END AS inc FROM d),
+x AS (SELECT *, unnest(generate_series((us + {_STEP - 1}) // {_STEP}, (us + {_RANGE - 1}) // {_STEP})) AS k FROM i),
+r AS (SELECT user_id, c_mktsegment, n_name, k,
+             (sum(inc) - arg_min(inc, us)) / ((max(us) - min(us)) / 1e6) AS rate
+      FROM x WHERE k * {_STEP} < us + {_RANGE}
+      GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND max(us) > min(us))"""
+
+COUNTER_RATE = f"""WITH {_SAMPLES}, {_RATE}
+SELECT 'container_cpu_usage_seconds_total' AS name, n_name AS instance, c_mktsegment AS container,
+       CAST(user_id AS VARCHAR) AS id, make_timestamp(k * {_STEP}) AS ts, {R('rate')} AS value
+FROM r"""
+
+_KEEP = "NOT regexp_full_match(c_mktsegment, '(BUILDING|FURNITURE)') AND regexp_full_match(c_mktsegment, '.+')"
+
+CPU_BY_NAME = f"""WITH {_SAMPLES}, {_RATE}
+SELECT make_timestamp(k * {_STEP}) AS ts, c_mktsegment AS name, {R('sum(rate) * 100.0')} AS value
+FROM r WHERE {_KEEP} GROUP BY k, c_mktsegment"""
+
+MEMORY_BY_NAME = f"""WITH {_SAMPLES},
+x AS (SELECT user_id, c_mktsegment, epoch_us(ts) AS us, value,
+             unnest(generate_series((epoch_us(ts) + {_STEP - 1}) // {_STEP}, (epoch_us(ts) + {_STEP}) // {_STEP})) AS k
+      FROM ev WHERE {_KEEP}),
+lv AS (SELECT user_id, c_mktsegment, k, arg_max(value, us) AS v FROM x WHERE k * {_STEP} <= us + {_STEP} GROUP BY 1, 2, 3)
+SELECT make_timestamp(k * {_STEP}) AS ts, c_mktsegment AS name, {R('sum(v)')} AS value FROM lv GROUP BY k, c_mktsegment"""
+
+LABEL_FILTER = f"""WITH {_SAMPLES}
+SELECT 'container_memory_rss' AS name, n_name AS instance, c_mktsegment AS container, CAST(user_id AS VARCHAR) AS id,
+       ts, {R('value')} AS value
+FROM ev WHERE regexp_full_match(n_name, 'NATION_(1|2|3)') AND NOT regexp_full_match(c_mktsegment, 'AUTO.*')"""
+
+LABEL_VALUES = f"""WITH {_SAMPLES} SELECT DISTINCT n_name AS instance FROM ev"""
+
+LABEL_VALUES_DEPENDENT = f"""WITH {_SAMPLES}
+SELECT DISTINCT c_mktsegment AS name FROM ev WHERE regexp_full_match(n_name, 'NATION_1.*')"""
+
+_DAYSTART = """
+ds AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS st FROM ev GROUP BY 1, 2),
+full_s AS (SELECT ev.*, cpu.v AS cpu_v, ds.st,
+                  sum(ev.value) OVER (PARTITION BY ev.user_id ORDER BY ev.ts, ev.event_id
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rx
+           FROM ev JOIN cpu USING (event_id) JOIN ds ON ev.user_id = ds.user_id AND CAST(ev.ts AS DATE) = ds.day)"""
+
+INSTANT_INFO = f"""WITH {_SAMPLES}, {_DAYSTART},
+l AS (SELECT user_id, n_name, c_mktsegment, max(ts) AS ts,
+             arg_max(CAST(epoch_us(st) // 1000000 AS DOUBLE), ts) AS v
+      FROM full_s WHERE ts <= {_NOW} GROUP BY 1, 2, 3)
+SELECT n_name AS host, c_mktsegment AS container, CAST(user_id AS VARCHAR) AS id, ts,
+       {R(f"(epoch_us({_NOW}) // 1000000 - v) / 86400.0")} AS age_days
+FROM l"""
+
+RECENT = f"""WITH {_SAMPLES}, {_DAYSTART},
+w AS (SELECT * FROM full_s WHERE ts > {_NOW} - INTERVAL 15 MINUTE AND ts <= {_NOW})
+SELECT name, n_name AS instance, c_mktsegment AS container, CAST(user_id AS VARCHAR) AS id, ts, {R('value')} AS value
+FROM (SELECT 'container_cpu_usage_seconds_total' AS name, n_name, c_mktsegment, user_id, ts, cpu_v AS value FROM w
+      UNION ALL SELECT 'container_network_receive_bytes_total', n_name, c_mktsegment, user_id, ts, rx FROM w
+      UNION ALL SELECT 'container_memory_rss', n_name, c_mktsegment, user_id, ts, value FROM w
+      UNION ALL SELECT 'container_start_time_seconds', n_name, c_mktsegment, user_id, ts,
+                       CAST(epoch_us(st) // 1000000 AS DOUBLE) FROM w)"""
+
+# --------------------------------------------------------------------------- streaming (closed windows)
+
+STREAM_FEATURES = f"""
+SELECT user_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       count(*) AS invocations, {R('avg(value)')} AS avg_value, {R('max(value)')} AS max_value,
+       {R('sum(value)')} AS sum_value
+FROM events GROUP BY 1, 2, 3
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+STREAM_RATE = f"""WITH {_SAMPLES},
+x AS (SELECT user_id, n_name, c_mktsegment, epoch_us(ts) AS us, v,
+             unnest(generate_series((epoch_us(ts) - {_RANGE}) // {_STEP} + 1, epoch_us(ts) // {_STEP})) AS k FROM cpu),
+y AS (SELECT *, lag(v) OVER (PARTITION BY user_id, k ORDER BY us) AS pv FROM x),
+g AS (SELECT user_id, n_name, c_mktsegment, k, count(*) AS n,
+             sum(CASE WHEN pv IS NULL THEN 0.0 WHEN v < pv THEN v ELSE v - pv END) AS inc,
+             (max(us) - min(us)) / 1e6 AS span
+      FROM y GROUP BY 1, 2, 3, 4)
+SELECT 'container_cpu_usage_seconds_total' AS name, n_name AS instance, c_mktsegment AS container,
+       CAST(user_id AS VARCHAR) AS id, make_timestamp(k * {_STEP} + {_RANGE}) AS window_end, {R('inc / span')} AS value
+FROM g WHERE n >= 2 AND span > 0
+  AND make_timestamp(k * {_STEP} + {_RANGE}) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
 ORACLE = {
     "training_windows": TRAINING_WINDOWS,
     "star_clean": STAR_CLEAN,
@@ -292,4 +594,33 @@ ORACLE = {
     "sequences_same": SEQUENCES_SAME,
     "first_of_sequence": FIRST_OF_SEQUENCE,
     "stack_steps": STACK_STEPS,
+    "regular_grid": REGULAR_GRID,
+    "interpolate_time": INTERPOLATE_TIME,
+    "date_grid": DATE_GRID,
+    "time_diffs": TIME_DIFFS,
+    "gap_stats": GAP_STATS,
+    "gap_histogram": GAP_HISTOGRAM,
+    "kde": KDE,
+    "weekly_mean": WEEKLY_MEAN,
+    "rolling_mean_full": ROLLING_MEAN_FULL,
+    "rolling_forecast": ROLLING_FORECAST,
+    "forecast_metrics": FORECAST_METRICS,
+    "fedavg_weights": FEDAVG_WEIGHTS,
+    "fedavg_metrics": FEDAVG_METRICS,
+    "gauge_latest": GAUGE_LATEST,
+    "fed_round_one": FED_ROUND_ONE,
+    "client_profiles": CLIENT_PROFILES,
+    "ar1_diff": AR1_DIFF,
+    "arx_diff_one": ARX_DIFF_ONE,
+    "counter_rate": COUNTER_RATE,
+    "cpu_by_name": CPU_BY_NAME,
+    "memory_by_name": MEMORY_BY_NAME,
+    "label_filter": LABEL_FILTER,
+    "label_values": LABEL_VALUES,
+    "label_values_dependent": LABEL_VALUES_DEPENDENT,
+    "instant_info": INSTANT_INFO,
+    "recent": RECENT,
+    "stream_features": STREAM_FEATURES,
+    "stream_rate": STREAM_RATE,
+    "stream_gauges": STREAM_GAUGES,
 }
