@@ -46,12 +46,13 @@ def parse_iso_offset(c) -> Column:
 
 
 def parse_wall_clock(c) -> Column:
-    """Cut the last 9 characters (``.SSS+hh:mm``) and parse the rest.
+    """Cut the last 9 characters (``SSS+hh:mm``) and parse the rest, which
+    ends in the seconds' dot (F6).
 
     The offset is dropped on purpose: the result is the local wall clock.
     """
     s = _c(c)
-    return F.try_to_timestamp(F.substring(s, F.lit(1), F.length(s) - 9), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return F.try_to_timestamp(F.substring(s, F.lit(1), F.length(s) - 9), F.lit("yyyy-MM-dd'T'HH:mm:ss."))
 
 
 def parse_hour_string(c) -> Column:

@@ -38,6 +38,19 @@ def time_chunk(ts: str, width_us: int = DAY_US) -> Column:
     return F.floor(epoch_us(ts) / F.lit(width_us)).cast("long")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where one intermediate feeds several consumers (a per-chunk summary
+    and the rows it is joined back to): without it Spark recomputes the whole
+    upstream for each consumer, and chained helpers would multiply that work.
+    A reliable checkpoint survives executor loss.
+    """
+    from cadence.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _with_carry(df: DataFrame, series, chunk: Column, summary: dict, carry: dict) -> DataFrame:
     """Attach, to every row, values carried over from all earlier chunks.
 
@@ -72,9 +85,12 @@ def running_sum(df: DataFrame, series, order, chunk: Column, value: str, name: s
     earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     d = _with_carry(df, series, chunk,
                     {"_s": F.sum(value)},
-                    {"_carry": F.coalesce(F.sum("_s").over(earlier), F.lit(0))})
+                    {"_carry": F.sum("_s").over(earlier)})  # null while no value seen yet
     w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(name, F.sum(value).over(w) + F.col("_carry")).drop("_ck", "_carry")
+    inner = F.sum(value).over(w)
+    total = (F.when(inner.isNull() & F.col("_carry").isNull(), F.lit(None))
+              .otherwise(F.coalesce(inner, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))))
+    return d.withColumn(name, total).drop("_ck", "_carry")
 
 
 def previous(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_prev") -> DataFrame:
@@ -109,15 +125,13 @@ def following(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "
     return d.drop("_ck", *[f"_carry_{c}" for c in cols])
 
 
-def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str,
-                  backward: bool = False, suffix: str | None = None) -> DataFrame:
-    """For every ``c`` in ``cols``: ``struct(t, v)`` of the last row at or
-    before the current one (``backward=False``) -- or the first row at or after
-    it -- where ``c`` is not null; ``t`` is the value of ``stamp`` there."""
+def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str) -> DataFrame:
+    """For every ``c`` in ``cols`` add ``c_prv`` / ``c_nxt``: ``struct(t, v)``
+    of the last row at or before / the first row at or after the current one
+    where ``c`` is not null (``t`` = value of ``stamp`` there). Both directions
+    share one per-chunk summary and one join."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
-    suffix = suffix or ("_nxt" if backward else "_prv")
     key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    pick = F.min_by if backward else F.max_by
 
     def val(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col(stamp).alias("t"), F.col(c).alias("v")))
@@ -125,22 +139,26 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str,
     def keyed(c):
         return F.when(F.col(c).isNotNull(), key)
 
-    if backward:
-        span = Window.partitionBy(*series).orderBy("_ck").rowsBetween(1, Window.unboundedFollowing)
-        carry = {f"_carry_{c}": F.first(f"_s_{c}", ignorenulls=True).over(span) for c in cols}
-    else:
-        span = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-        carry = {f"_carry_{c}": F.last(f"_s_{c}", ignorenulls=True).over(span) for c in cols}
-    d = _with_carry(df, series, chunk, {f"_s_{c}": pick(val(c), keyed(c)) for c in cols}, carry)
-    if backward:
-        w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        inner = {c: F.first(val(c), ignorenulls=True).over(w) for c in cols}
-    else:
-        w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        inner = {c: F.last(val(c), ignorenulls=True).over(w) for c in cols}
+    # "first valid at or after" is written as "last valid so far" in reversed
+    # order: Spark runs growing frames in one pass, while frames reaching to
+    # UNBOUNDED FOLLOWING are recomputed for every row.
+    before = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*series).orderBy(F.col("_ck").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summary, carry = {}, {}
     for c in cols:
-        d = d.withColumn(f"{c}{suffix}", F.coalesce(inner[c], F.col(f"_carry_{c}")))
-    return d.drop("_ck", *[f"_carry_{c}" for c in cols])
+        summary[f"_l_{c}"] = F.max_by(val(c), keyed(c))
+        summary[f"_f_{c}"] = F.min_by(val(c), keyed(c))
+        carry[f"_cl_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(before)
+        carry[f"_cf_{c}"] = F.last(f"_f_{c}", ignorenulls=True).over(after)
+    d = _with_carry(df, series, chunk, summary, carry)
+    desc = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
+    wb = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wa = Window.partitionBy(*series, "_ck").orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.select("*", *[F.coalesce(F.last(val(c), ignorenulls=True).over(wb), F.col(f"_cl_{c}")).alias(f"{c}_prv")
+                          for c in cols],
+                   *[F.coalesce(F.last(val(c), ignorenulls=True).over(wa), F.col(f"_cf_{c}")).alias(f"{c}_nxt")
+                     for c in cols])
+    return out.drop("_ck", *[f"_cl_{c}" for c in cols], *[f"_cf_{c}" for c in cols])
 
 
 def series_count(df: DataFrame, series, name: str = "n") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.names import category_columns
 from cadence.functions.time import ns_to_timestamp
-from cadence.operators.features import distinct_values
+from cadence.operators.features import distinct_pairs
 
 # Lifecycle stages: name -> (end stamp, start stamp), all ns since epoch.
 STAGES = {
@@ -51,10 +51,13 @@ def clean_tasks(tasks: DataFrame, endpoints: DataFrame, functions: DataFrame,
     t = tasks.drop("anonymized_user_uuid")
     f = functions.drop("function_body_uuid")
     j = t.join(endpoints, "endpoint_uuid", "inner").join(f, "function_uuid", "inner").dropna("any")
-    if type_categories is None:
-        type_categories = distinct_values(j, "endpoint_type")
-    if version_categories is None:
-        version_categories = distinct_values(j, "endpoint_version")
+    if type_categories is None or version_categories is None:
+        # one job for both lists: the distinct (type, version) pairs, bounded
+        pairs = distinct_pairs(j, "endpoint_type", "endpoint_version")
+        if type_categories is None:
+            type_categories = sorted({a for a, _ in pairs if a is not None})
+        if version_categories is None:
+            version_categories = sorted({b for _, b in pairs if b is not None})
     ts = ns_to_timestamp("received")
     durations = [(F.col(a) - F.col(b)).alias(k) for k, (a, b) in STAGES.items()]
     out = j.select(

@@ -63,12 +63,12 @@ def fedavg_metrics(evals: DataFrame, by="round", n: str = "n", metrics=("cos", "
                    loss: str = "loss") -> DataFrame:
     """Sample-weighted mean of client metrics per round.
 
-    loss = sum(loss*n)/sum(n); other metrics the same but 0 when sum(n) = 0;
-    a round with no rows has no output row.
+    loss = sum(loss*n)/sum(n) (null when sum(n) = 0); other metrics the same
+    but 0 when sum(n) = 0; a round with no rows has no output row.
     """
     k = _keys(by)
     tot = F.sum(n)
     aggs = [F.count(F.lit(1)).alias("clients"), tot.alias("n"),
-            (F.sum(F.col(loss) * F.col(n)) / tot).alias(loss)]
+            F.try_divide(F.sum(F.col(loss) * F.col(n)), tot).alias(loss)]
     aggs += [F.when(tot != 0, F.sum(F.col(m) * F.col(n)) / tot).otherwise(F.lit(0.0)).alias(m) for m in metrics]
     return evals.groupBy(*k).agg(*aggs)

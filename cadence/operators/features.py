@@ -41,6 +41,15 @@ def distinct_values(df: DataFrame, col: str, max_values: int = 10_000) -> list:
     return [r[0] for r in rows]
 
 
+def distinct_pairs(df: DataFrame, a: str, b: str, max_values: int = 10_000) -> list[tuple]:
+    """Distinct ``(a, b)`` value pairs in one aggregate (A5 for two category
+    columns at once); bounded like :func:`distinct_values`."""
+    rows = df.select(a, b).distinct().limit(max_values + 1).collect()
+    if len(rows) > max_values:
+        raise ValueError(f"({a}, {b}) has more than {max_values} distinct pairs; pin the categories")
+    return [(r[0], r[1]) for r in rows]
+
+
 def distinct_rows(df: DataFrame, cols) -> DataFrame:
     """``SELECT DISTINCT cols`` as a DataFrame."""
     return df.select(*cols).distinct()

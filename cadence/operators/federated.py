@@ -55,7 +55,7 @@ def fedavg_weights(weights: DataFrame, by=("round", "layer"), w: str = "weights"
     """
     k = _keys(by)
     e = weights.select(*k, F.col(n).alias("_n"), F.posexplode(w).alias("_pos", "_w"))
-    per = e.groupBy(*k, "_pos").agg((F.sum(F.col("_w") * F.col("_n")) / F.sum("_n")).alias("_m"),
+    per = e.groupBy(*k, "_pos").agg(F.try_divide(F.sum(F.col("_w") * F.col("_n")), F.sum("_n")).alias("_m"),
                                    F.sum("_n").alias("_nt"))
     return per.groupBy(*k).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda x: x["_m"]).alias(w),

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.functions.time import epoch_us, week_ending_sunday
-from cadence.operators.blocks import (DAY_US, following, framed, nearest_valid, previous, row_index,
-                                      time_chunk)
+from cadence.operators.blocks import (DAY_US, following, framed, materialize, nearest_valid, previous,
+                                      row_index, time_chunk)
 
 GAP_PIECE = 100_000  # grid points generated per piece of one gap
 
@@ -32,7 +32,7 @@ def _series(series):
 
 
 def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int = DAY_US,
-                 piece: int = GAP_PIECE) -> DataFrame:
+                 piece: int = GAP_PIECE, checkpoint: bool = True) -> DataFrame:
     """``asfreq(step)`` per series.
 
     The grid is anchored at the series' first stamp; rows off the grid are
@@ -45,6 +45,8 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int =
     d = (df.join(first, s, "inner")
            .filter(F.pmod(epoch_us(ts) - epoch_us("_t0"), F.lit(step_us)) == 0)
            .drop("_t0"))
+    if checkpoint:
+        d = materialize(d)
     d = following(d, s, [ts], time_chunk(ts, chunk_us), [ts], "_next")
     gaps = d.select(*s, epoch_us(ts).alias("_a"), epoch_us(f"{ts}_next").alias("_b")).filter("_b is not null")
     gaps = gaps.withColumn("_m", F.floor((F.col("_b") - F.col("_a")) / F.lit(step_us)).cast("long") - 1)
@@ -59,14 +61,15 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int =
     return d.drop(f"{ts}_next").unionByName(fill, allowMissingColumns=True)
 
 
-def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int = DAY_US) -> DataFrame:
+def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int = DAY_US,
+                     checkpoint: bool = True) -> DataFrame:
     """Fill nulls of ``cols`` linearly in time between the nearest valid
     values (T2); the result columns are doubles."""
     s, cols = _series(series), list(cols)
     d = df.withColumn("_us", epoch_us(ts))
-    chunk = time_chunk(ts, chunk_us)
-    d = nearest_valid(d, s, [ts], chunk, cols, "_us", backward=False)
-    d = nearest_valid(d, s, [ts], chunk, cols, "_us", backward=True)
+    if checkpoint:
+        d = materialize(d)
+    d = nearest_valid(d, s, [ts], time_chunk(ts, chunk_us), cols, "_us")
     for c in cols:
         p, n = F.col(f"{c}_prv"), F.col(f"{c}_nxt")
         slope = (n["v"] - p["v"]) / (n["t"] - p["t"])
@@ -164,7 +167,7 @@ def kde(df: DataFrame, col: str, points: int = 64, fine_bins: int = 512) -> Data
     centre = lo_c + (F.col("bin") + 0.5) * (hi_c - lo_c) / F.lit(fine_bins)
     step = (hi_c - lo_c) / F.lit(points - 1)
     contrib = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                          lambda i: F.col("_c") * F.exp(-0.5 * F.pow((lo_c + i * step - centre) / h_c, 2)))
+                          lambda i: F.col("_c") * F.exp(-0.5 * F.pow(F.try_divide(lo_c + i * step - centre, h_c), 2)))
     # one row per non-empty fine bin (at most fine_bins rows): summed element-wise
     summed = binned.select(contrib.alias("_k")).agg(
         F.aggregate(F.collect_list("_k"), F.array_repeat(F.lit(0.0), points),
@@ -172,7 +175,7 @@ def kde(df: DataFrame, col: str, points: int = 64, fine_bins: int = 512) -> Data
     out = summed.select(F.posexplode("_s").alias("point", "_d"))
     norm = n * h * F.lit(math.sqrt(2 * math.pi))
     return out.select("point", (lo + F.col("point") * (hi - lo) / F.lit(points - 1)).alias("x"),
-                      (F.col("_d") / norm).alias("density"))
+                      F.try_divide(F.col("_d"), norm).alias("density"))
 
 
 def weekly_mean(df: DataFrame, series, ts: str, cols, fill_empty: bool = True) -> DataFrame:

@@ -4,7 +4,8 @@ read -> per-interval features (A1) -> top-k series (L2/J4) -> time holdout
 (R3) -> scaler fitted on train rows (M2) -> scaled (M3) -> future windows per
 (series, split) (W1-W3). Shuffles: the feature aggregate, the row-index chunk
 join and the window blocks; the top-k list and scaler parameters are small
-joins (the top-k list is bounded by k and broadcast explicitly).
+joins (the top-k list is bounded by k and broadcast explicitly). The feature
+table and the split rows are checkpointed once because several steps read them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.operators.blocks import materialize
 from cadence.operators.features import workload_features
 from cadence.operators.scale import apply_scaler, fit_scaler
 from cadence.operators.select import busiest
@@ -31,12 +33,22 @@ def event_features(events: DataFrame, unit: str = "day") -> DataFrame:
 
 def training_windows(features: DataFrame, series: str, ts: str, inputs, targets, k: int = 10,
                      holdout_days: int = 7, L: int = 7, H: int = 7, fit_on: str = "train",
-                     chunk_us: int = 365 * 86_400_000_000) -> DataFrame:
+                     chunk_us: int = 365 * 86_400_000_000, checkpoint: bool = True) -> DataFrame:
     """Scaled ``L``-in / ``H``-out windows of the ``k`` busiest series, with a
-    ``split`` column (train/test); windows never cross the split."""
+    ``split`` column (train/test); windows never cross the split.
+
+    The feature table and the split rows each feed several consumers (top-k
+    and rows; max date and rows; scaler fit and rows), so with ``checkpoint``
+    they are written once to the shared checkpoint folder instead of being
+    recomputed from the raw data by every consumer.
+    """
     cols = list(inputs) + list(targets)
+    if checkpoint:
+        features = materialize(features)
     top = busiest(features, series, k)
     split = time_holdout(top, ts, series=series, days=holdout_days).drop("date")
+    if checkpoint:
+        split = materialize(split)
     fit_rows = split.filter(F.col("split") == "train") if fit_on == "train" else split
     params = fit_scaler(fit_rows, series, cols)
     scaled = apply_scaler(split, params, series, cols)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import running_sum, time_chunk
+from cadence.operators.blocks import materialize, running_sum, time_chunk
 
 NS_PER_S = 1_000_000_000
 
@@ -84,7 +84,8 @@ RX = "container_network_receive_bytes_total"
 START = "container_start_time_seconds"
 
 
-def samples_from_events(events: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+def samples_from_events(events: DataFrame, customer: DataFrame, nation: DataFrame,
+                        checkpoint: bool = True) -> DataFrame:
     """Metric samples ``(name, labels, ts, value)`` from the event stream.
 
     Each user is a container (labels: instance = nation, name = market segment,
@@ -98,9 +99,13 @@ def samples_from_events(events: DataFrame, customer: DataFrame, nation: DataFram
                .join(c, events.user_id == c.c_custkey)
                .join(n, c.c_nationkey == n.n_nationkey)
                .withColumn("day", F.to_date("ts")))
+    if checkpoint:  # two running sums below each read it twice
+        e = materialize(e)
     hour = time_chunk("ts", 3_600_000_000)
     e = running_sum(e, ["user_id", "day"], ["ts", "event_id"], hour, "value", "cpu")
     e = running_sum(e, ["user_id"], ["ts", "event_id"], time_chunk("ts"), "value", "rx")
+    if checkpoint:  # read by the day-start aggregate and by the rows it is joined to
+        e = materialize(e)
     starts = e.groupBy("user_id", "day").agg(F.min("ts").alias("start"))
     e = e.join(starts, ["user_id", "day"])
     labels = F.create_map(F.lit("instance"), F.col("n_name"), F.lit("name"), F.col("c_mktsegment"),
