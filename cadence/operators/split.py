@@ -98,3 +98,12 @@ def time_slice(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     if end is not None:
         c = c & (F.col(ts) <= F.lit(end).cast("timestamp"))
     return df.filter(c)
+
+
+def year_slice(df: DataFrame, ts: str, first_year: int, last_year: int) -> DataFrame:
+    """Label slice by years, ``["2022":"2024"]`` (P9): from the first instant
+    of ``first_year`` to before the first instant of ``last_year + 1``; a plain
+    range predicate, pushed down to the scan."""
+    lo = F.lit(f"{first_year:04d}-01-01 00:00:00").cast("timestamp")
+    hi = F.lit(f"{last_year + 1:04d}-01-01 00:00:00").cast("timestamp")
+    return df.filter((F.col(ts) >= lo) & (F.col(ts) < hi))

@@ -369,7 +369,7 @@ def q_ar1_diff(spark, root):
     return report(FC.fit_arx_diff(g, "user_id", 0, iters=1).select("user_id", "n", "phi"))
 
 
-def q_arx_diff_one(spark, root):
+def q_sarimax_cls(spark, root):
     g = FC.arx_gram(_diffs(spark, root, ["invocations"]), "user_id", 1)
     p = FC.fit_arx_diff(g, "user_id", 1, iters=1)
     return report(p.select("user_id", "n", "phi", F.element_at("beta", 1).alias("beta")))
@@ -485,6 +485,28 @@ def q_stream_gauges(spark, root):
     return report(spark.read.parquet(out).select("name", "ts", "value"))
 
 
+# --------------------------------------------------------------------------- predictions, cuts, slices
+
+def q_predictions_inverse(spark, root):
+    """Forecast on per-user scaled targets, then both actual and predicted
+    columns scaled back with the target's parameters (M4, M9)."""
+    d = _daily(Tables(spark, root))
+    params = SC.fit_scaler(d, "user_id", TARGETS, with_mean=True)
+    scaled = SC.apply_scaler(d, params, "user_id", TARGETS)
+    pred = SR.rolling_forecast(scaled, "user_id", "ts", TARGETS, n=7, chunk_us=DAILY_CHUNK)
+    mapping = {f"{k}_{t}": t for t in TARGETS for k in ("actual", "predicted")}
+    return report(SC.inverse_scaler(pred, params, "user_id", mapping))
+
+
+def q_time_cut(spark, root):
+    return report(SP.time_cut(_ev(Tables(spark, root)), "ts", "2024-01-15 12:00:00"))
+
+
+def q_time_slice(spark, root):
+    o = Tables(spark, root).orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    return report(SP.year_slice(o, "o_orderdate", 1996, 1998))
+
+
 QUERIES = {
     "training_windows": q_training_windows,
     "star_clean": q_star_clean,
@@ -530,7 +552,7 @@ QUERIES = {
     "client_profiles": q_client_profiles,
     "linear_huber": q_linear_huber,
     "ar1_diff": q_ar1_diff,
-    "arx_diff_one": q_arx_diff_one,
+    "sarimax_cls": q_sarimax_cls,
     "arx_fit": q_arx_fit,
     "arx_forecast": q_arx_forecast,
     "counter_rate": q_counter_rate,
@@ -544,4 +566,7 @@ QUERIES = {
     "stream_features": q_stream_features,
     "stream_rate": q_stream_rate,
     "stream_gauges": q_stream_gauges,
+    "predictions_inverse": q_predictions_inverse,
+    "time_cut": q_time_cut,
+    "time_slice": q_time_slice,
 }

@@ -458,7 +458,7 @@ SELECT user_id, count(*) AS n,
        {R('CASE WHEN sum(dy1 * dy1) <> 0 THEN sum(dy * dy1) / sum(dy1 * dy1) ELSE 0.0 END')} AS phi
 FROM d GROUP BY user_id"""
 
-ARX_DIFF_ONE = f"""
+SARIMAX_CLS = f"""
 WITH d AS (SELECT user_id, y - y1 AS dy, y1 - y2 AS dy1, CAST(x - x1 AS DOUBLE) AS dx, CAST(x1 - x2 AS DOUBLE) AS dx1
            FROM ({_LAGS}) WHERE y2 IS NOT NULL AND x2 IS NOT NULL),
 s AS (SELECT user_id, count(*) AS n, sum(dy * dy1) AS yy1, sum(dy1 * dy1) AS y1y1, sum(dx * dx) AS xx,
@@ -569,6 +569,23 @@ FROM g WHERE n >= 2 AND span > 0
   AND make_timestamp(k * {_STEP} + {_RANGE}) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
 
 
+# --------------------------------------------------------------------------- predictions, cuts, slices
+
+PREDICTIONS_INVERSE = f"""
+SELECT user_id, ts, {R('a1')} AS actual_max_value, {R('p1')} AS predicted_max_value,
+       {R('a2')} AS actual_sum_value, {R('p2')} AS predicted_sum_value
+FROM ({_ROLL}) WHERE k > 0"""
+
+TIME_CUT = f"""
+SELECT event_id, user_id, ts, {R('value')} AS value,
+       CASE WHEN ts < TIMESTAMP '2024-01-15 12:00:00' THEN 'train' ELSE 'val' END AS split
+FROM events"""
+
+TIME_SLICE = f"""
+SELECT o_orderkey, o_orderdate, {R('o_totalprice')} AS o_totalprice FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'"""
+
+
 ORACLE = {
     "training_windows": TRAINING_WINDOWS,
     "star_clean": STAR_CLEAN,
@@ -611,7 +628,7 @@ ORACLE = {
     "fed_round_one": FED_ROUND_ONE,
     "client_profiles": CLIENT_PROFILES,
     "ar1_diff": AR1_DIFF,
-    "arx_diff_one": ARX_DIFF_ONE,
+    "sarimax_cls": SARIMAX_CLS,
     "counter_rate": COUNTER_RATE,
     "cpu_by_name": CPU_BY_NAME,
     "memory_by_name": MEMORY_BY_NAME,
@@ -623,4 +640,7 @@ ORACLE = {
     "stream_features": STREAM_FEATURES,
     "stream_rate": STREAM_RATE,
     "stream_gauges": STREAM_GAUGES,
+    "predictions_inverse": PREDICTIONS_INVERSE,
+    "time_cut": TIME_CUT,
+    "time_slice": TIME_SLICE,
 }
