@@ -98,22 +98,25 @@ def mse_from_gram(gram: Column, xty: Column, yty: Column, n: Column, w: Column)
 
 
 def fed_round(grams: DataFrame, client: str, w: list[float], lr, steps: int = 1) -> DataFrame:
-    """One round (X2 + X3): local weights per client and the averaged global
-    weights as one row ``(weights, n, loss)``; ``loss`` is the sample-weighted
-    training loss of the clients' local models."""
+    """One round (X2 + X3): local weights per client and their sample-weighted
+    average as one row ``(weights, n, loss)``; ``loss`` is the sample-weighted
+    training loss of the clients' local models.
+
+    The model size ``p`` is fixed, so the average is ``p`` plain sums in one
+    global aggregate (partial aggregation per task, one tiny shuffle).
+    """
+    p = len(w)
     lr_c = F.col(lr) if isinstance(lr, str) else F.lit(float(lr))
     w0 = F.array(*[F.lit(float(x)) for x in w])
-    local = grams.select(client, "n", local_steps(F.col("gram"), F.col("xty"), F.col("n"), w0, lr_c, steps)
+    local = grams.select("n", local_steps(F.col("gram"), F.col("xty"), F.col("n"), w0, lr_c, steps)
                          .alias("_w"), "gram", "xty", "yty")
     local = local.withColumn("_loss", mse_from_gram(F.col("gram"), F.col("xty"), F.col("yty"),
                                                     F.col("n").cast("double"), F.col("_w")))
-    e = local.select("n", "_loss", F.posexplode("_w").alias("_pos", "_v"))
-    per = e.groupBy("_pos").agg((F.sum(F.col("_v") * F.col("n")) / F.sum("n")).alias("_m"))
-    avg_w = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda x: x["_m"])
-                    .alias("weights"))
-    stats = local.agg(F.sum("n").alias("n"), (F.sum(F.col("_loss") * F.col("n")) / F.sum("n")).alias("loss"))
-    return avg_w.select("weights", stats.select(F.struct("n", "loss")).scalar().alias("s")) \
-        .select("weights", "s.n", "s.loss")
+    n = F.col("n")
+    sums = [F.sum(F.col("_w")[i] * n).alias(f"_s{i}") for i in range(p)]
+    agg = local.agg(F.sum(n).alias("n"), F.sum(F.col("_loss") * n).alias("_l"), *sums)
+    return agg.select(F.array(*[F.col(f"_s{i}") / F.col("n") for i in range(p)]).alias("weights"),
+                      "n", (F.col("_l") / F.col("n")).alias("loss"))
 
 
 def fed_rounds(grams: DataFrame, client: str, rounds: int, lr, steps: int = 1,
