@@ -72,10 +72,24 @@ def stream_rate(samples: DataFrame, range_s: int, step_s: int, watermark: str) -
              .select("name", "labels", F.col("w.end").alias("window_end"), (inc / span_s).alias("value")))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def _state_store(spark: SparkSession) -> None:
+    """Window state grows with series x open windows; keep it in RocksDB
+    (off-heap, spills to local disk, snapshots to the checkpoint) unless the
+    session chose a provider other than the in-heap default."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, _HEAP_STORE) == _HEAP_STORE:
+        spark.conf.set(key, ROCKSDB)
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now: bool = True) -> str:
     """Run a streaming query to the end of its input into a parquet table in
     the shared checkpoint folder; returns the table path."""
     spark = df.sparkSession
+    _state_store(spark)
     base = checkpoint_dir(spark, f"stream-{name}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode(mode)
