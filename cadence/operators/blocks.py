@@ -39,29 +39,39 @@ def time_chunk(ts: str, width_us: int = DAY_US) -> Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Write ``df`` once as a parquet table in the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back.
 
     Used where one intermediate feeds several consumers (a per-chunk summary
     and the rows it is joined back to): without it Spark recomputes the whole
     upstream for each consumer, and chained helpers would multiply that work.
-    A reliable checkpoint survives executor loss.
+    A table (unlike an RDD checkpoint) keeps column pruning, filter pushdown and
+    real size statistics for adaptive execution, and it survives executor loss.
     """
     from cadence.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = checkpoint_dir(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _with_carry(df: DataFrame, series, chunk: Column, summary: dict, carry: dict) -> DataFrame:
-    """Attach, to every row, values carried over from all earlier chunks.
+def _by_chunk(df: DataFrame, series, chunk: Column) -> DataFrame:
+    """Rows hashed on the full (series, chunk) key.
 
-    ``summary`` maps name -> aggregate per (series, chunk); ``carry`` maps
-    name -> expression over the summary rows using a window of earlier chunks.
+    Spark accepts input hashed on a *subset* of a window's partition keys, so
+    rows that arrive hashed on ``series`` alone (after a join or aggregate on
+    it) would keep a hot series in one task; the explicit repartition rules
+    that out, and costs nothing extra when a shuffle was needed anyway.
     """
-    series = _cols(series)
+    return df.withColumn("_ck", chunk).repartition(*series, "_ck")
+
+
+def _carry(df: DataFrame, series, chunk: Column, summary: dict, carry: dict) -> DataFrame:
+    """Per-(series, chunk) table of values carried over from other chunks:
+    ``summary`` aggregates each chunk (partial aggregation, one row per chunk),
+    ``carry`` combines them with windows over the chunk order of a series."""
     d = df.withColumn("_ck", chunk)
     summ = d.groupBy(*series, "_ck").agg(*[v.alias(k) for k, v in summary.items()])
-    summ = summ.select(*series, "_ck", *[v.alias(k) for k, v in carry.items()])
-    return d.join(summ, [*series, "_ck"], "inner")
+    return summ.select(*series, "_ck", *[v.alias(k) for k, v in carry.items()])
 
 
 def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn") -> DataFrame:
@@ -71,58 +81,65 @@ def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn") ->
     when ``ts`` leads the order).
     """
     series, order = _cols(series), _cols(order)
-    earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    d = _with_carry(df, series, chunk,
-                    {"_n": F.count(F.lit(1))},
-                    {"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")})
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
-    return d.withColumn(name, F.row_number().over(w) + F.col("_off")).drop("_ck", "_off")
+    d = _by_chunk(df, series, chunk).withColumn("_rin", F.row_number().over(w))
+    earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    summ = _carry(df, series, chunk, {"_n": F.count(F.lit(1))},
+                  {"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")})
+    out = d.join(summ, [*series, "_ck"], "inner")
+    return out.withColumn(name, F.col("_rin") + F.col("_off")).drop("_ck", "_off", "_rin")
 
 
 def running_sum(df: DataFrame, series, order, chunk: Column, value: str, name: str) -> DataFrame:
     """Cumulative sum of ``value`` along the series (nulls skipped)."""
     series, order = _cols(series), _cols(order)
-    earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    d = _with_carry(df, series, chunk,
-                    {"_s": F.sum(value)},
-                    {"_carry": F.sum("_s").over(earlier)})  # null while no value seen yet
     w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = F.sum(value).over(w)
-    total = (F.when(inner.isNull() & F.col("_carry").isNull(), F.lit(None))
-              .otherwise(F.coalesce(inner, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))))
-    return d.withColumn(name, total).drop("_ck", "_carry")
+    d = _by_chunk(df, series, chunk).withColumn("_in", F.sum(value).over(w))
+    earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    summ = _carry(df, series, chunk, {"_s": F.sum(value)},
+                  {"_carry": F.sum("_s").over(earlier)})  # null while no value seen yet
+    out = d.join(summ, [*series, "_ck"], "inner")
+    total = (F.when(F.col("_in").isNull() & F.col("_carry").isNull(), F.lit(None))
+              .otherwise(F.coalesce(F.col("_in"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))))
+    return out.withColumn(name, total).drop("_ck", "_carry", "_in")
+
+
+def _key(order) -> Column:
+    return F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
 
 
 def previous(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_prev") -> DataFrame:
     """``lag(c, 1)`` along the series for every ``c`` in ``cols``."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
-    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    before = Window.partitionBy(*series).orderBy("_ck")
-    d = _with_carry(df, series, chunk,
-                    {f"_last_{c}": F.max_by(F.col(c), key) for c in cols},
-                    {f"_carry_{c}": F.lag(f"_last_{c}").over(before) for c in cols})
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
-    first = F.row_number().over(w) == 1
-    for c in cols:
-        d = d.withColumn(f"{c}{suffix}", F.when(first, F.col(f"_carry_{c}")).otherwise(F.lag(c).over(w)))
-    return d.drop("_ck", *[f"_carry_{c}" for c in cols])
+    d = _by_chunk(df, series, chunk).select(
+        "*", (F.row_number().over(w) == 1).alias("_first"),
+        *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
+    before = Window.partitionBy(*series).orderBy("_ck")
+    summ = _carry(df, series, chunk, {f"_last_{c}": F.max_by(F.col(c), _key(order)) for c in cols},
+                  {f"_carry_{c}": F.lag(f"_last_{c}").over(before) for c in cols})
+    out = d.join(summ, [*series, "_ck"], "inner")
+    out = out.select("*", *[F.when(F.col("_first"), F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}"))
+                            .alias(f"{c}{suffix}") for c in cols])
+    return out.drop("_ck", "_first", *[f"_carry_{c}" for c in cols], *[f"_lag_{c}" for c in cols])
 
 
 def following(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_next") -> DataFrame:
     """``lead(c, 1)`` along the series for every ``c`` in ``cols``."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
-    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    w = Window.partitionBy(*series, "_ck").orderBy(*order)
+    wd = Window.partitionBy(*series, "_ck").orderBy(*[(F.col(o) if isinstance(o, str) else o).desc()
+                                                      for o in order])
+    d = _by_chunk(df, series, chunk).select(
+        "*", (F.row_number().over(wd) == 1).alias("_last"),
+        *[F.lead(c).over(w).alias(f"_lead_{c}") for c in cols])
     after = Window.partitionBy(*series).orderBy("_ck")
-    d = _with_carry(df, series, chunk,
-                    {f"_first_{c}": F.min_by(F.col(c), key) for c in cols},
-                    {f"_carry_{c}": F.lead(f"_first_{c}").over(after) for c in cols})
-    w = Window.partitionBy(*series, "_ck").orderBy(*[F.col(o).desc() if isinstance(o, str) else o.desc()
-                                                     for o in order])
-    last = F.row_number().over(w) == 1
-    wf = Window.partitionBy(*series, "_ck").orderBy(*order)
-    for c in cols:
-        d = d.withColumn(f"{c}{suffix}", F.when(last, F.col(f"_carry_{c}")).otherwise(F.lead(c).over(wf)))
-    return d.drop("_ck", *[f"_carry_{c}" for c in cols])
+    summ = _carry(df, series, chunk, {f"_first_{c}": F.min_by(F.col(c), _key(order)) for c in cols},
+                  {f"_carry_{c}": F.lead(f"_first_{c}").over(after) for c in cols})
+    out = d.join(summ, [*series, "_ck"], "inner")
+    out = out.select("*", *[F.when(F.col("_last"), F.col(f"_carry_{c}")).otherwise(F.col(f"_lead_{c}"))
+                            .alias(f"{c}{suffix}") for c in cols])
+    return out.drop("_ck", "_last", *[f"_carry_{c}" for c in cols], *[f"_lead_{c}" for c in cols])
 
 
 def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str) -> DataFrame:
@@ -131,7 +148,7 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str)
     where ``c`` is not null (``t`` = value of ``stamp`` there). Both directions
     share one per-chunk summary and one join."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
-    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    key = _key(order)
 
     def val(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col(stamp).alias("t"), F.col(c).alias("v")))
@@ -142,6 +159,12 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str)
     # "first valid at or after" is written as "last valid so far" in reversed
     # order: Spark runs growing frames in one pass, while frames reaching to
     # UNBOUNDED FOLLOWING are recomputed for every row.
+    desc = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
+    wb = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wa = Window.partitionBy(*series, "_ck").orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
+    d = _by_chunk(df, series, chunk).select(
+        "*", *[F.last(val(c), ignorenulls=True).over(wb).alias(f"_ib_{c}") for c in cols],
+        *[F.last(val(c), ignorenulls=True).over(wa).alias(f"_ia_{c}") for c in cols])
     before = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*series).orderBy(F.col("_ck").desc()).rowsBetween(Window.unboundedPreceding, -1)
     summary, carry = {}, {}
@@ -150,15 +173,11 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str)
         summary[f"_f_{c}"] = F.min_by(val(c), keyed(c))
         carry[f"_cl_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(before)
         carry[f"_cf_{c}"] = F.last(f"_f_{c}", ignorenulls=True).over(after)
-    d = _with_carry(df, series, chunk, summary, carry)
-    desc = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
-    wb = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    wa = Window.partitionBy(*series, "_ck").orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.select("*", *[F.coalesce(F.last(val(c), ignorenulls=True).over(wb), F.col(f"_cl_{c}")).alias(f"{c}_prv")
-                          for c in cols],
-                   *[F.coalesce(F.last(val(c), ignorenulls=True).over(wa), F.col(f"_cf_{c}")).alias(f"{c}_nxt")
-                     for c in cols])
-    return out.drop("_ck", *[f"_cl_{c}" for c in cols], *[f"_cf_{c}" for c in cols])
+    out = d.join(_carry(df, series, chunk, summary, carry), [*series, "_ck"], "inner")
+    out = out.select("*", *[F.coalesce(F.col(f"_ib_{c}"), F.col(f"_cl_{c}")).alias(f"{c}_prv") for c in cols],
+                     *[F.coalesce(F.col(f"_ia_{c}"), F.col(f"_cf_{c}")).alias(f"{c}_nxt") for c in cols])
+    drop = [f"_{p}_{c}" for c in cols for p in ("ib", "ia", "cl", "cf")]
+    return out.drop("_ck", *drop)
 
 
 def series_count(df: DataFrame, series, name: str = "n") -> DataFrame:
@@ -228,7 +247,7 @@ def framed(df: DataFrame, series, rn: str, lo: int, hi: int, exprs: dict,
     """Evaluate ``exprs`` (name -> fn(window) -> Column) over the rows frame
     ``rowsBetween(lo, hi)`` along each series (ordered by ``rn``), block-parallel."""
     series = _cols(series)
-    b = row_blocks(df, series, rn, max(0, -lo), max(0, hi), block)
+    b = row_blocks(df, series, rn, max(0, -lo), max(0, hi), block).repartition(*series, "_blk")
     w = Window.partitionBy(*series, "_blk").orderBy(rn).rowsBetween(lo, hi)
     b = b.select("*", *[fn(w).alias(k) for k, fn in exprs.items()])
     return b.filter("_core").drop("_blk", "_core")

@@ -31,7 +31,7 @@ def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int = D
     s, exog = _series(series), list(exog)
     cols = [y] + exog
     d = row_index(df.select(*s, ts, *cols), s, [ts], time_chunk(ts, chunk_us), "_rn")
-    b = row_blocks(d, s, "_rn", 2, 0)
+    b = row_blocks(d, s, "_rn", 2, 0).repartition(*s, "_blk")
     w = Window.partitionBy(*s, "_blk").orderBy("_rn")
     lags = []
     for c in cols:

@@ -85,3 +85,23 @@ def test_framed_block_halo(data, lo, hi):
     for k in g:
         assert g[k][0] == r[k][0]
         assert (g[k][1] is None and r[k][1] is None) or abs(g[k][1] - r[k][1]) < 1e-9
+
+
+def test_hot_series_is_spread_over_tasks(spark):
+    """One series with a third of all rows: the block windows put its rows in
+    many shuffle partitions, each bounded by block size + halo."""
+    hot = [(0, i, i * 10) for i in range(3000)]
+    cold = [(s, 10_000 * s + i, i * 10) for s in range(1, 61) for i in range(100)]
+    df = spark.createDataFrame(hot + cold, "s long, id long, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = row_index(df, "s", ["ts", "id"], time_chunk("ts", HOUR), "rn")
+        out = framed(d, "s", "rn", 0, 13, {"w": lambda w: F.count("id").over(w)}, block=256)
+        parts = (out.filter("s = 0 AND w > 0").select(F.spark_partition_id().alias("p"), "w")
+                    .groupBy("p").agg(F.count("w").alias("count")).collect())
+        assert len(parts) >= 3
+        assert max(r["count"] for r in parts) < 3000
+        assert out.filter("s = 0").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
