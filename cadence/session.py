@@ -50,21 +50,31 @@ def get_session(master: str | None = None, partitions: int | None = None,
         for k, v in (extra or {}).items():
             b = b.config(k, v)
         active = b.getOrCreate()
+    return pin(active)
+
+
+def pin(spark: SparkSession) -> SparkSession:
+    """Apply the result-relevant settings to a given session."""
     for k, v in PINNED.items():
-        active.conf.set(k, v)
-    return active
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession, sub: str | None = None) -> str:
     """Shared folder for lineage cuts and streaming state.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it). Only when unset,
-    as in local tests, a fresh local folder is made and registered.
+    Read from ``spark.checkpoint.dir`` (the cluster names it). Only when unset
+    on a local master, as in tests, a fresh local folder is made and
+    registered; a cluster without a shared folder is an error, never a
+    machine-local fallback.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="cadence-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
