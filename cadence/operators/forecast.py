@@ -62,8 +62,9 @@ def arx_gram(rows: DataFrame, series, k: int) -> DataFrame:
     return g.select(*s, "n", gram.alias("gram"))
 
 
-def _solve(S: np.ndarray, k: int, iters: int, tol: float):
-    """Cochrane-Orcutt on the Gram matrix ``S`` of z (order of ``_z_names``)."""
+def _solve(S: np.ndarray, k: int, iters: int, tol: float, phi0: float = 0.0):
+    """Cochrane-Orcutt on the Gram matrix ``S`` of z (order of ``_z_names``),
+    starting from ``phi0`` (0 = plain OLS first)."""
     m = 2 + 2 * k
     ix = list(range(2, 2 + k))
     ix1 = list(range(2 + k, 2 + 2 * k))
@@ -87,7 +88,7 @@ def _solve(S: np.ndarray, k: int, iters: int, tol: float):
         den = vu1 @ S @ vu1
         return float(vu @ S @ vu1 / den) if den != 0 else 0.0
 
-    phi = 0.0
+    phi = float(phi0)
     beta, ay, ax = ols(phi)
     for _ in range(max(1, iters)):
         new_phi = ar(beta)
@@ -101,10 +102,14 @@ def _solve(S: np.ndarray, k: int, iters: int, tol: float):
     return phi, beta, sse
 
 
-def fit_arx_diff(gram: DataFrame, series, k: int, iters: int = 50, tol: float = 1e-10) -> DataFrame:
+def fit_arx_diff(gram: DataFrame, series, k: int, iters: int = 50, tol: float = 1e-10,
+                 start: DataFrame | None = None) -> DataFrame:
     """Per-series ``phi``, ``beta`` (k), ``n`` and in-sample one-step ``mse``
-    (T7, T9). ``iters=1``: one Cochrane-Orcutt step from OLS."""
+    (T7, T9). ``iters=1``: one Cochrane-Orcutt step from OLS. ``start``: a
+    previous parameter table; its ``phi`` warm-starts each series."""
     s = _series(series)
+    if start is not None:
+        gram = gram.join(start.select(*s, F.col("phi").alias("_phi0")), s, "left")
     key_fields = [f for f in gram.schema.fields if f.name in s]
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     schema = f"{key_ddl}, n long, phi double, beta array<double>, mse double"
@@ -115,7 +120,9 @@ def fit_arx_diff(gram: DataFrame, series, k: int, iters: int = 50, tol: float =
             for rec in pdf.itertuples(index=False):
                 r = rec._asdict()
                 S = np.array([np.asarray(row, dtype=float) for row in r["gram"]])
-                phi, beta, sse = _solve(S, k, iters, tol)
+                phi0 = r.get("_phi0")
+                phi0 = 0.0 if phi0 is None or phi0 != phi0 else phi0
+                phi, beta, sse = _solve(S, k, iters, tol, phi0)
                 row = {c: r[c] for c in s}
                 row.update(n=int(r["n"]), phi=phi, beta=[float(b) for b in beta],
                            mse=sse / r["n"] if r["n"] else None)

@@ -82,3 +82,10 @@ def stack_steps(df: DataFrame, cols, out: str = "x") -> DataFrame:
 def first_of_sequence(df: DataFrame, cols, suffix: str = "_first") -> DataFrame:
     """First element of every sequence column ("most recent prediction", R9)."""
     return df.select("*", *[F.element_at(F.col(c), 1).alias(f"{c}{suffix}") for c in cols])
+
+
+def xy_split(df: DataFrame, inputs, targets, keep=()) -> DataFrame:
+    """Features / targets as two ``steps x features`` matrices ``x`` and ``y``
+    (P13), next to the ``keep`` columns."""
+    x = stack_steps(df, list(inputs), "x")
+    return stack_steps(x, list(targets), "y").select(*keep, "x", "y")

@@ -76,6 +76,14 @@ def test_federated_rounds_reach_pooled_least_squares(spark):
     assert len(ev) == 5 and all(r["loss"] < 0.05 for r in ev)
 
 
+def test_learning_rate_per_client_column(spark):
+    g = spark.createDataFrame([(1, 2, 2.0, [[2.0]], [2.0], 0.5), (2, 1, 1.0, [[1.0]], [1.0], 0.25)],
+                              "client int, n long, yty double, gram array<array<double>>, xty array<double>, lr double")
+    r = fd.fed_round(g, "client", [0.0], "lr").first()
+    # local: 2*lr/n*c -> client1: 2*0.5/2*2 = 1.0, client2: 2*0.25/1*1 = 0.5; weighted by n
+    assert r["weights"] == pytest.approx([(2 * 1.0 + 1 * 0.5) / 3])
+
+
 def test_profiles_round_robin(spark):
     c = spark.createDataFrame([(i,) for i in range(1, 6)], "client long")
     got = [r["learning_rate"] for r in fd.assign_profiles(c, "client").orderBy("client").collect()]
@@ -106,6 +114,9 @@ def test_arx_recovers_parameters_and_forecasts(spark):
         assert r["phi"] == pytest.approx(0.6, abs=0.06)
         assert r["beta"][0] == pytest.approx(2.5, abs=0.05)
         assert r["n"] == 1998
+    warm = fc.fit_arx_diff(fc.arx_gram(rows, "sid", 1), "sid", 1, start=params).collect()
+    assert all(abs(w["phi"] - p0["phi"]) < 1e-8 for w, p0 in zip(sorted(warm, key=lambda r: r["sid"]),
+                                                               sorted(params.collect(), key=lambda r: r["sid"])))
     mae = fc.in_sample_mae(rows, params, "sid", 1).collect()
     assert all(0.5 < r["mae"] < 1.1 for r in mae)
     # closed-form h-step forecast equals the step-by-step recursion
