@@ -74,8 +74,11 @@ def _carry(df: DataFrame, series, chunk: Column, summary: dict, carry: dict) ->
     return summ.select(*series, "_ck", *[v.alias(k) for k, v in carry.items()])
 
 
-def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn") -> DataFrame:
-    """1-based position of each row in its series, by ``order``.
+def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn",
+              total: str | None = None) -> DataFrame:
+    """1-based position of each row in its series, by ``order``; with
+    ``total``, also the series' row count (taken from the same per-chunk
+    summary, so no second pass over the rows).
 
     ``chunk`` must be non-decreasing in ``order`` (e.g. ``time_chunk(ts)``
     when ``ts`` leads the order).
@@ -84,8 +87,10 @@ def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn") ->
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
     d = _by_chunk(df, series, chunk).withColumn("_rin", F.row_number().over(w))
     earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    summ = _carry(df, series, chunk, {"_n": F.count(F.lit(1))},
-                  {"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")})
+    carry = {"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")}
+    if total:
+        carry[total] = F.sum("_n").over(Window.partitionBy(*series)).cast("long")
+    summ = _carry(df, series, chunk, {"_n": F.count(F.lit(1))}, carry)
     out = d.join(summ, [*series, "_ck"], "inner")
     return out.withColumn(name, F.col("_rin") + F.col("_off")).drop("_ck", "_off", "_rin")
 

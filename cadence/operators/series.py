@@ -37,7 +37,8 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int =
 
     The grid is anchored at the series' first stamp; rows off the grid are
     dropped; missing steps become rows whose other columns are null. Stamps
-    must be unique per series.
+    must be unique per series. With ``checkpoint`` the anchored rows and the
+    finished grid are each written once to the shared checkpoint folder.
     """
     s = _series(series)
     step_us = int(round(step_s * 1_000_000))
@@ -58,13 +59,18 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int =
     hi = F.least(F.col("_m"), (F.col("_k") + 1) * F.lit(piece))
     fill = pieces.select(*s, F.explode(F.sequence(lo, hi)).alias("_i"), "_a")
     fill = fill.select(*s, F.timestamp_micros(F.col("_a") + F.col("_i") * F.lit(step_us)).alias(ts))
-    return d.drop(f"{ts}_next").unionByName(fill, allowMissingColumns=True)
+    grid = d.drop(f"{ts}_next").unionByName(fill, allowMissingColumns=True)
+    # the grid is read by several consumers downstream (interpolation, rolling
+    # means: a chunk summary plus the rows); write it once
+    return materialize(grid) if checkpoint else grid
 
 
 def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int = DAY_US,
-                     checkpoint: bool = True) -> DataFrame:
+                     checkpoint: bool = False) -> DataFrame:
     """Fill nulls of ``cols`` linearly in time between the nearest valid
-    values (T2); the result columns are doubles."""
+    values (T2); the result columns are doubles. The input is read twice (a
+    chunk summary and the rows): pass a written table such as
+    :func:`regular_grid`'s output, or ``checkpoint=True``."""
     s, cols = _series(series), list(cols)
     d = df.withColumn("_us", epoch_us(ts))
     if checkpoint:
@@ -121,29 +127,32 @@ def gap_stats(diffs: DataFrame, series, dt: str = "dt") -> DataFrame:
                              F.var_samp(dt).alias("var_gap"))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 50, checkpoint: bool = True) -> DataFrame:
     """Equal-width histogram (A7): ``bins`` bins between min and max (the last
     one closed), zero counts included; ``log_count`` = log10(count).
 
-    The range is a scalar subquery (one global aggregate, computed once); the
-    counts are a grouped aggregate over ``bin`` with partial aggregation; the
-    ``bins`` edge rows come from ``spark.range``.
+    The value column is written once (it is read by the range aggregate and by
+    the counting pass); the range is one scalar subquery attached as a column;
+    the counts are a grouped aggregate over ``bin`` with partial aggregation;
+    the ``bins`` edge rows come from ``spark.range``.
     """
     v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if checkpoint:
+        v = materialize(v)
     rng = v.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("r")).scalar()
-    lo, hi = rng["lo"], rng["hi"]
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
     width = (hi - lo) / F.lit(bins)
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - lo) / width), F.lit(bins - 1))).cast("int")
-    counts = v.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    edges = df.sparkSession.range(bins).select(
+    counts = v.withColumn("_r", rng).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    edges = df.sparkSession.range(bins).withColumn("_r", rng).select(
         F.col("id").cast("int").alias("bin"),
         (lo + F.col("id") * width).alias("lo"), (lo + (F.col("id") + 1) * width).alias("hi"))
     out = edges.join(counts, "bin", "left").fillna(0, ["count"])
     return out.withColumn("log_count", F.when(F.col("count") > 0, F.log10("count")))
 
 
-def kde(df: DataFrame, col: str, points: int = 64, fine_bins: int = 512) -> DataFrame:
+def kde(df: DataFrame, col: str, points: int = 64, fine_bins: int = 512, checkpoint: bool = True) -> DataFrame:
     """Gaussian kernel density on ``points`` evenly spaced positions.
 
     The data is first reduced to a ``fine_bins`` histogram (one grouped
@@ -153,29 +162,30 @@ def kde(df: DataFrame, col: str, points: int = 64, fine_bins: int = 512) -> Data
     moves each value to its bin centre (at most half a fine bin).
     """
     v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if checkpoint:
+        v = materialize(v)
     st = v.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n"),
                         F.stddev_samp("_v").alias("sd")).alias("s")).scalar()
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    h = st["sd"] * F.pow(n.cast("double"), F.lit(-0.2))
+    lo, hi, n = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.n")
+    h = F.col("_s.sd") * F.pow(n.cast("double"), F.lit(-0.2))
     w = (hi - lo) / F.lit(fine_bins)
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - lo) / w), F.lit(fine_bins - 1))).cast("int")
-    binned = v.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
-    # the scalars become columns first: subqueries cannot sit inside lambdas
-    binned = binned.select("bin", "_c", lo.alias("_lo"), hi.alias("_hi"), h.alias("_h"))
+    binned = v.withColumn("_s", st).groupBy(b.alias("bin"), "_s").agg(F.count(F.lit(1)).alias("_c"))
+    binned = binned.select("bin", "_c", lo.alias("_lo"), hi.alias("_hi"), h.alias("_h"), n.alias("_n"))
     lo_c, hi_c, h_c = F.col("_lo"), F.col("_hi"), F.col("_h")
     centre = lo_c + (F.col("bin") + 0.5) * (hi_c - lo_c) / F.lit(fine_bins)
     step = (hi_c - lo_c) / F.lit(points - 1)
     contrib = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
                           lambda i: F.col("_c") * F.exp(-0.5 * F.pow(F.try_divide(lo_c + i * step - centre, h_c), 2)))
     # one row per non-empty fine bin (at most fine_bins rows): summed element-wise
-    summed = binned.select(contrib.alias("_k")).agg(
-        F.aggregate(F.collect_list("_k"), F.array_repeat(F.lit(0.0), points),
-                    lambda acc, k: F.zip_with(acc, k, lambda a, c: a + c)).alias("_s"))
-    out = summed.select(F.posexplode("_s").alias("point", "_d"))
-    norm = n * h * F.lit(math.sqrt(2 * math.pi))
-    return out.select("point", (lo + F.col("point") * (hi - lo) / F.lit(points - 1)).alias("x"),
-                      F.try_divide(F.col("_d"), norm).alias("density"))
+    summed = binned.groupBy("_lo", "_hi", "_h", "_n").agg(
+        F.aggregate(F.collect_list(contrib), F.array_repeat(F.lit(0.0), points),
+                    lambda acc, k: F.zip_with(acc, k, lambda a, c: a + c)).alias("_sum"))
+    out = summed.select("_lo", "_hi", "_h", "_n", F.posexplode("_sum").alias("point", "_d"))
+    norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
+    return out.select("point", (F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / F.lit(points - 1))
+                      .alias("x"), F.try_divide(F.col("_d"), norm).alias("density"))
 
 
 def weekly_mean(df: DataFrame, series, ts: str, cols, fill_empty: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import row_index, series_count, time_chunk
+from cadence.operators.blocks import row_index, time_chunk
 
 
 def _series(series):
@@ -43,8 +43,9 @@ def time_holdout(df: DataFrame, ts: str, series=None, days: int = 7, split_col:
 
 
 def _ordered(df, series, ts, tiebreak, chunk_us):
+    """Position ``_rn`` and series length ``_n`` from one chunked pass."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    return row_index(df, series, order, time_chunk(ts, chunk_us), "_rn")
+    return row_index(df, series, order, time_chunk(ts, chunk_us), "_rn", total="_n")
 
 
 def tail_holdout(df: DataFrame, series, ts: str, fraction: float = 0.2, tiebreak: str | None = None,
@@ -54,7 +55,7 @@ def tail_holdout(df: DataFrame, series, ts: str, fraction: float = 0.2, tiebreak
     rational arithmetic)."""
     s = _series(series)
     fr = Fraction(str(fraction))
-    d = series_count(_ordered(df, s, ts, tiebreak, chunk_us), s, "_n")
+    d = _ordered(df, s, ts, tiebreak, chunk_us)
     n_train = F.expr(f"(_n * {fr.denominator - fr.numerator}) div {fr.denominator}")
     return (d.withColumn(split_col, F.when(F.col("_rn") <= n_train, F.lit("train")).otherwise(F.lit("val")))
              .drop("_rn", "_n"))
@@ -66,7 +67,7 @@ def shards(df: DataFrame, series, ts: str, n_shards: int, tiebreak: str | None =
     the same numbering as ``ntile(N)``: the first ``n mod N`` shards get one
     extra row."""
     s = _series(series)
-    d = series_count(_ordered(df, s, ts, tiebreak, chunk_us), s, "_n")
+    d = _ordered(df, s, ts, tiebreak, chunk_us)
     N = F.lit(n_shards)
     size = F.floor(F.col("_n") / N)
     rem = F.col("_n") - size * N
@@ -80,7 +81,7 @@ def last_n(df: DataFrame, series, ts: str, n: int, skip: int = 0, tiebreak: str
            chunk_us: int = 86_400_000_000) -> DataFrame:
     """Rows ``[-(n+skip) : -skip]`` of each series in time order."""
     s = _series(series)
-    d = series_count(_ordered(df, s, ts, tiebreak, chunk_us), s, "_n")
+    d = _ordered(df, s, ts, tiebreak, chunk_us)
     back = F.col("_n") - F.col("_rn") + 1
     return d.filter((back > skip) & (back <= skip + n)).drop("_rn", "_n")
 

@@ -24,7 +24,7 @@ from cadence.operators import federated as FD
 from cadence.operators import forecast as FC
 from cadence.operators import metrics as MT
 from cadence.operators import series as SR
-from cadence.operators.blocks import row_index, time_chunk
+from cadence.operators.blocks import materialize, row_index, time_chunk
 from cadence.functions.labels import label
 from cadence import streaming as STR
 from cadence.plans.report import report
@@ -376,13 +376,14 @@ def q_sarimax_cls(spark, root):
 
 
 def q_arx_fit(spark, root):
-    rows = _diffs(spark, root, FED_X)
+    rows = materialize(_diffs(spark, root, FED_X))  # read by the Gram fit and by the residual pass
     p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
     return report(p.join(FC.in_sample_mae(rows, p, "user_id", 2), "user_id"))
 
 
 def q_arx_forecast(spark, root):
     d = SP.time_holdout(_daily(Tables(spark, root)), "ts", series="user_id", days=7).drop("date")
+    d = materialize(d)  # train rows feed the fit and the last state, test rows the horizon
     train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
     rows = FC.diff_rows(train, "user_id", "ts", "sum_value", FED_X, chunk_us=DAILY_CHUNK)
     p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
