@@ -17,7 +17,8 @@ from cadence.functions.names import category_columns
 from cadence.functions.time import ns_to_timestamp
 from cadence.operators.features import distinct_pairs
 
-# Lifecycle stages: name -> (end stamp, start stamp), all ns since epoch.
+# Lifecycle stages of a task, name -> (end stamp, start stamp),
+# all ns since epoch.
 STAGES = {
     "assignment_time": ("waiting_for_nodes", "received"),
     "scheduling_time": ("waiting_for_launch", "waiting_for_nodes"),

@@ -78,6 +78,7 @@ def functions_from_parts(part: DataFrame) -> DataFrame:
     )
 
 
+# Metric names the dashboards query.
 CPU = "container_cpu_usage_seconds_total"
 RSS = "container_memory_rss"
 RX = "container_network_receive_bytes_total"

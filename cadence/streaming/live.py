@@ -110,6 +110,7 @@ def stream_gauges(evals: DataFrame, name: str = "gauges") -> str:
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         m = fedavg_metrics(batch, by="round")
+        # fixed values: gauge names of the global model
         g = to_samples(m.withColumn("ts", F.timestamp_seconds(F.col("round").cast("long"))), "ts",
                        {"model_loss": "loss", "model_cosine_similarity": "cos",
                         "model_mean_absolute_error": "mae"})
