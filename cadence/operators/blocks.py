@@ -185,13 +185,6 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str)
     return out.drop("_ck", *drop)
 
 
-def series_count(df: DataFrame, series, name: str = "n") -> DataFrame:
-    """Rows per series joined back to every row (partial aggregation, no window)."""
-    series = _cols(series)
-    counts = df.groupBy(*series).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, series, "inner")
-
-
 def row_blocks(df: DataFrame, series, rn: str, before: int, after: int,
                block: int | None = None) -> DataFrame:
     """Cut each series into blocks of ``block`` consecutive rows (by ``rn``).

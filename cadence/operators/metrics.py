@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from cadence.functions.labels import label, label_match
 from cadence.functions.time import epoch_us
-from cadence.operators.blocks import DAY_US, previous, time_chunk
+from pyspark.sql import Window
+
+from cadence.operators.blocks import DAY_US, previous, time_blocks, time_chunk
 
 
 def match_labels(df: DataFrame, matchers, name: str | None = None, name_regex: str | None = None,
@@ -69,6 +71,31 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
                      rate.alias("value")))
 
 
+def counter_rate_at_samples(df: DataFrame, range_s: int, labels: str = "labels",
+                            chunk_us: int = DAY_US) -> DataFrame:
+    """Counter rate at every sample time ``t`` over ``(t - range, t]`` (W9 as
+    a range frame): same reset handling as :func:`counter_rate`.
+
+    The range window runs on time blocks of each series with the last
+    ``range`` of every block copied into the next one, so each frame is
+    complete without a whole series in one task.
+    """
+    range_us = range_s * 1_000_000
+    d = df.withColumn("_sid", series_key(labels))
+    d = previous(d, ["name", "_sid"], ["ts"], time_chunk("ts", chunk_us), ["value"], "_prev")
+    d = d.withColumn("_inc", F.when(F.col("value_prev").isNull(), F.lit(0.0))
+                     .when(F.col("value") < F.col("value_prev"), F.col("value"))
+                     .otherwise(F.col("value") - F.col("value_prev")))
+    b = time_blocks(d, ["name", "_sid"], "ts", before_us=range_us, after_us=0,
+                    width_us=max(chunk_us, range_us)).repartition("name", "_sid", "_blk")
+    w = Window.partitionBy("name", "_sid", "_blk").orderBy("_us").rangeBetween(-(range_us - 1), 0)
+    b = b.select("*", F.count(F.lit(1)).over(w).alias("_n"), F.min("_us").over(w).alias("_t0"),
+                 F.sum("_inc").over(w).alias("_s"), F.first("_inc").over(w).alias("_i0"))
+    rate = (F.col("_s") - F.col("_i0")) / ((F.col("_us") - F.col("_t0")) / F.lit(1e6))
+    return (b.filter("_core AND _n >= 2 AND _us > _t0")
+             .select("name", labels, "ts", rate.alias("value")))
+
+
 def sum_by(df: DataFrame, by, labels: str = "labels", scale: float = 1.0) -> DataFrame:
     """``sum(...) by (label)`` at every instant (A13), times ``scale``."""
     by = [by] if isinstance(by, str) else list(by)

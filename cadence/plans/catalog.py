@@ -414,6 +414,11 @@ def q_counter_rate(spark, root):
     return report(_flat(MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S, chunk_us=EVENT_CHUNK)))
 
 
+def q_counter_rate_samples(spark, root):
+    s = MT.match_labels(_samples(spark, root), [], name=ST.CPU)
+    return report(_flat(MT.counter_rate_at_samples(s, 6 * 3600, chunk_us=EVENT_CHUNK)))
+
+
 SELECTOR = [("instance", "=~", ".*"), ("name", "=~", ".+"), ("name", "!~", "(BUILDING|FURNITURE)")]
 
 
@@ -570,4 +575,5 @@ QUERIES = {
     "predictions_inverse": q_predictions_inverse,
     "time_cut": q_time_cut,
     "time_slice": q_time_slice,
+    "counter_rate_samples": q_counter_rate_samples,
 }

@@ -586,6 +586,17 @@ SELECT o_orderkey, o_orderdate, {R('o_totalprice')} AS o_totalprice FROM orders
 WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'"""
 
 
+COUNTER_RATE_SAMPLES = f"""WITH {_SAMPLES},
+d AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS pv FROM cpu),
+i AS (SELECT user_id, c_mktsegment, n_name, ts, epoch_us(ts) AS us,
+             CASE WHEN pv IS NULL THEN 0.0 WHEN v < pv THEN v ELSE v - pv END AS inc FROM d),
+r AS (SELECT *, count(*) OVER w AS n, min(us) OVER w AS t0, sum(inc) OVER w AS s, first_value(inc) OVER w AS i0
+      FROM i WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN {6 * 3600 * 1_000_000 - 1} PRECEDING AND CURRENT ROW))
+SELECT 'container_cpu_usage_seconds_total' AS name, n_name AS instance, c_mktsegment AS container,
+       CAST(user_id AS VARCHAR) AS id, ts, {R('(s - i0) / ((us - t0) / 1e6)')} AS value
+FROM r WHERE n >= 2 AND us > t0"""
+
+
 ORACLE = {
     "training_windows": TRAINING_WINDOWS,
     "star_clean": STAR_CLEAN,
@@ -643,4 +654,5 @@ ORACLE = {
     "predictions_inverse": PREDICTIONS_INVERSE,
     "time_cut": TIME_CUT,
     "time_slice": TIME_SLICE,
+    "counter_rate_samples": COUNTER_RATE_SAMPLES,
 }

@@ -33,6 +33,15 @@ def test_counter_rate_with_reset(spark):
     assert T0 not in got
 
 
+def test_counter_rate_at_sample_times(spark):
+    values = [0, 10, 20, 5, 15, 25, 35, 45, 55, 65, 75, 85]
+    df = _samples(spark, values)
+    r = {row["ts"]: row["value"] for row in mt.counter_rate_at_samples(df, 10, chunk_us=4_000_000).collect()}
+    assert r[T0 + dt.timedelta(seconds=11)] == pytest.approx(85 / 9)
+    assert r[T0 + dt.timedelta(seconds=1)] == pytest.approx(10.0)
+    assert T0 not in r and min(r.values()) >= 0 and len(r) == 11
+
+
 def test_sum_by_and_label_values(spark):
     a = _samples(spark, [0, 10, 20], labels={"name": "a", "instance": "h1"})
     b = _samples(spark, [0, 5, 10], labels={"name": "b", "instance": "h2"})
