@@ -38,6 +38,36 @@ def time_chunk(ts: str, width_us: int = DAY_US) -> Column:
     return F.floor(epoch_us(ts) / F.lit(width_us)).cast("long")
 
 
+TARGET_CHUNK_ROWS = 250_000
+MIN_CHUNK_US = 1_000_000
+MAX_CHUNK_US = 400 * DAY_US
+
+
+def chunk_width(df: DataFrame, series, ts: str, target_rows: int = TARGET_CHUNK_ROWS) -> int:
+    """Chunk width (micros) that keeps about ``target_rows`` rows of the
+    *densest* series in one chunk, measured on the data: one grouped
+    aggregate (rows and time span per series), one row to the driver.
+
+    The width follows the data, so a series that holds a third of a 100 TB
+    table is cut into many chunks, while small data gets few. Rows sharing
+    one timestamp cannot be split by time.
+    """
+    s = _cols(series)
+    us = epoch_us(ts)
+    stats = [F.count(F.lit(1)).alias("_n"), (F.max(us) - F.min(us)).alias("_span")]
+    per = df.groupBy(*s).agg(*stats) if s else df.agg(*stats)
+    rate = per.agg(F.max(F.col("_n") / F.greatest(F.col("_span"), F.lit(1)).cast("double"))).first()[0]
+    if not rate:
+        return MAX_CHUNK_US
+    return int(max(MIN_CHUNK_US, min(MAX_CHUNK_US, target_rows / rate)))
+
+
+def chunk_of(df: DataFrame, series, ts: str, chunk_us: int | None = None) -> Column:
+    """:func:`time_chunk` with the given width, or one measured by
+    :func:`chunk_width` when ``chunk_us`` is None."""
+    return time_chunk(ts, chunk_us if chunk_us else chunk_width(df, series, ts))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import DAY_US, row_index, time_chunk
+from cadence.operators.blocks import chunk_of, row_index
 
 
 def _keys(by):
@@ -27,12 +27,12 @@ def prediction_table(actual: DataFrame, predicted: DataFrame, keys, pairs: dict)
 
 
 def positional_join(a: DataFrame, b: DataFrame, series, ts_a: str, ts_b: str,
-                    chunk_us: int = DAY_US) -> DataFrame:
+                    chunk_us: int | None = None) -> DataFrame:
     """Pair the i-th row of ``a`` with the i-th row of ``b`` per series (J5,
     positional form), using chunked per-series row numbers on both sides."""
     s = _keys(series)
-    ra = row_index(a, s, [ts_a], time_chunk(ts_a, chunk_us), "_pos")
-    rb = row_index(b, s, [ts_b], time_chunk(ts_b, chunk_us), "_pos")
+    ra = row_index(a, s, [ts_a], chunk_of(a, s, ts_a, chunk_us), "_pos")
+    rb = row_index(b, s, [ts_b], chunk_of(b, s, ts_b, chunk_us), "_pos")
     return ra.join(rb, [*s, "_pos"], "inner")
 
 

@@ -18,19 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import DAY_US, row_blocks, row_index, time_chunk
+from cadence.operators.blocks import chunk_of, row_blocks, row_index
 
 
 def _series(series):
     return [series] if isinstance(series, str) else list(series)
 
 
-def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int = DAY_US) -> DataFrame:
+def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int | None = None) -> DataFrame:
     """Rows ``(series, ts, dy, dy1, dx_j, dx1_j)`` from the third observation
     of each series on (both lags defined). Block-parallel lags (halo 2)."""
     s, exog = _series(series), list(exog)
     cols = [y] + exog
-    d = row_index(df.select(*s, ts, *cols), s, [ts], time_chunk(ts, chunk_us), "_rn")
+    d = df.select(*s, ts, *cols)
+    d = row_index(d, s, [ts], chunk_of(d, s, ts, chunk_us), "_rn")
     b = row_blocks(d, s, "_rn", 2, 0).repartition(*s, "_blk")
     w = Window.partitionBy(*s, "_blk").orderBy("_rn")
     lags = []

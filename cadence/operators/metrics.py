@@ -16,7 +16,7 @@ from cadence.functions.labels import label, label_match
 from cadence.functions.time import epoch_us
 from pyspark.sql import Window
 
-from cadence.operators.blocks import DAY_US, previous, time_blocks, time_chunk
+from cadence.operators.blocks import chunk_of, chunk_width, previous, time_blocks, time_chunk
 
 
 def match_labels(df: DataFrame, matchers, name: str | None = None, name_regex: str | None = None,
@@ -40,7 +40,7 @@ def series_key(labels: str = "labels") -> Column:
 
 
 def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels",
-                 chunk_us: int = DAY_US) -> DataFrame:
+                 chunk_us: int | None = None) -> DataFrame:
     """Per-second increase of counters over ``(t - range, t]`` at every
     evaluation instant ``t`` (a multiple of ``step``) (W9).
 
@@ -51,7 +51,7 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
     """
     range_us, step_us = range_s * 1_000_000, step_s * 1_000_000
     d = df.withColumn("_sid", series_key(labels))
-    d = previous(d, ["name", "_sid"], ["ts"], time_chunk("ts", chunk_us), ["value"], "_prev")
+    d = previous(d, ["name", "_sid"], ["ts"], chunk_of(d, ["name", "_sid"], "ts", chunk_us), ["value"], "_prev")
     inc = (F.when(F.col("value_prev").isNull(), F.lit(0.0))
             .when(F.col("value") < F.col("value_prev"), F.col("value"))
             .otherwise(F.col("value") - F.col("value_prev")))
@@ -72,7 +72,7 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
 
 
 def counter_rate_at_samples(df: DataFrame, range_s: int, labels: str = "labels",
-                            chunk_us: int = DAY_US) -> DataFrame:
+                            chunk_us: int | None = None) -> DataFrame:
     """Counter rate at every sample time ``t`` over ``(t - range, t]`` (W9 as
     a range frame): same reset handling as :func:`counter_rate`.
 
@@ -82,6 +82,7 @@ def counter_rate_at_samples(df: DataFrame, range_s: int, labels: str = "labels",
     """
     range_us = range_s * 1_000_000
     d = df.withColumn("_sid", series_key(labels))
+    chunk_us = chunk_us or chunk_width(d, ["name", "_sid"], "ts")
     d = previous(d, ["name", "_sid"], ["ts"], time_chunk("ts", chunk_us), ["value"], "_prev")
     d = d.withColumn("_inc", F.when(F.col("value_prev").isNull(), F.lit(0.0))
                      .when(F.col("value") < F.col("value_prev"), F.col("value"))

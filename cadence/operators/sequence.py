@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import framed, row_index, time_chunk, DAY_US
+from cadence.operators.blocks import chunk_of, framed, row_index
 
 
 def _series(series):
@@ -21,7 +21,8 @@ def _series(series):
 def _windows(df, series, ts, fields, length, tiebreak, chunk_us, block):
     s = _series(series)
     order = [ts] + ([tiebreak] if tiebreak else [])
-    d = row_index(df.select(*s, *dict.fromkeys(order + list(fields))), s, order, time_chunk(ts, chunk_us), "_rn")
+    d = df.select(*s, *dict.fromkeys(order + list(fields)))
+    d = row_index(d, s, order, chunk_of(d, s, ts, chunk_us), "_rn")
     rows = F.struct(*[F.col(f) for f in dict.fromkeys([ts] + list(fields))])
     w = framed(d, s, "_rn", 0, length - 1,
                {"_w": lambda win: F.collect_list(rows).over(win)}, block)
@@ -34,7 +35,7 @@ def _pick(arr: str, start: int, n: int, field: str) -> F.Column:
 
 def future_sequences(df: DataFrame, series, ts: str, inputs, targets, L: int = 7, H: int = 7,
                      tiebreak: str | None = None, drop_null_windows: bool = False,
-                     chunk_us: int = DAY_US, block: int | None = None) -> DataFrame:
+                     chunk_us: int | None = None, block: int | None = None) -> DataFrame:
     """Inputs of rows ``i..i+L-1`` and targets of the *next* ``H`` rows.
 
     Columns: series keys, ``{ts}_seq``, ``{f}_seq`` per input, ``{ts}_target``,
@@ -60,7 +61,7 @@ def _no_nulls(cols) -> F.Column:
 
 
 def same_sequences(df: DataFrame, series, ts: str, inputs, targets, L: int = 7,
-                   tiebreak: str | None = None, chunk_us: int = DAY_US,
+                   tiebreak: str | None = None, chunk_us: int | None = None,
                    block: int | None = None) -> DataFrame:
     """Inputs and targets of the *same* ``L`` rows (W4), stride 1, ``n-L+1``
     windows per series."""

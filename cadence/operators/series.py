@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.functions.time import epoch_us, week_ending_sunday
-from cadence.operators.blocks import (DAY_US, following, framed, materialize, nearest_valid, previous,
-                                      row_index, time_chunk)
+from cadence.operators.blocks import (chunk_of, following, framed, materialize, nearest_valid, previous,
+                                      row_index)
 
 GAP_PIECE = 100_000  # grid points generated per piece of one gap
 
@@ -31,7 +31,7 @@ def _series(series):
     return [series] if isinstance(series, str) else list(series)
 
 
-def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int = DAY_US,
+def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int | None = None,
                  piece: int = GAP_PIECE, checkpoint: bool = True) -> DataFrame:
     """``asfreq(step)`` per series.
 
@@ -48,7 +48,7 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int =
            .drop("_t0"))
     if checkpoint:
         d = materialize(d)
-    d = following(d, s, [ts], time_chunk(ts, chunk_us), [ts], "_next")
+    d = following(d, s, [ts], chunk_of(d, s, ts, chunk_us), [ts], "_next")
     gaps = d.select(*s, epoch_us(ts).alias("_a"), epoch_us(f"{ts}_next").alias("_b")).filter("_b is not null")
     gaps = gaps.withColumn("_m", F.floor((F.col("_b") - F.col("_a")) / F.lit(step_us)).cast("long") - 1)
     gaps = gaps.filter("_m > 0")
@@ -65,7 +65,7 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int =
     return materialize(grid) if checkpoint else grid
 
 
-def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int = DAY_US,
+def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int | None = None,
                      checkpoint: bool = False) -> DataFrame:
     """Fill nulls of ``cols`` linearly in time between the nearest valid
     values (T2); the result columns are doubles. The input is read twice (a
@@ -75,7 +75,7 @@ def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int = DAY_U
     d = df.withColumn("_us", epoch_us(ts))
     if checkpoint:
         d = materialize(d)
-    d = nearest_valid(d, s, [ts], time_chunk(ts, chunk_us), cols, "_us")
+    d = nearest_valid(d, s, [ts], chunk_of(d, s, ts, chunk_us), cols, "_us")
     for c in cols:
         p, n = F.col(f"{c}_prv"), F.col(f"{c}_nxt")
         slope = (n["v"] - p["v"]) / (n["t"] - p["t"])
@@ -110,12 +110,12 @@ def span(df: DataFrame, ts: str):
     return row["a"], row["b"]
 
 
-def time_diffs(df: DataFrame, series, ts: str, chunk_us: int = DAY_US, tiebreak: str | None = None,
+def time_diffs(df: DataFrame, series, ts: str, chunk_us: int | None = None, tiebreak: str | None = None,
                name: str = "dt") -> DataFrame:
     """Seconds since the previous row of the series (W5, F13); null first."""
     s = _series(series)
     order = [ts] + ([tiebreak] if tiebreak else [])
-    d = previous(df, s, order, time_chunk(ts, chunk_us), [ts], "_prev")
+    d = previous(df, s, order, chunk_of(df, s, ts, chunk_us), [ts], "_prev")
     return d.withColumn(name, (epoch_us(ts) - epoch_us(f"{ts}_prev")) / F.lit(1e6)).drop(f"{ts}_prev")
 
 
@@ -196,30 +196,31 @@ def weekly_mean(df: DataFrame, series, ts: str, cols, fill_empty: bool = True) -
         *[F.avg(c).alias(c) for c in cols])
     if not fill_empty:
         return wk
-    return regular_grid(wk, s, ts, 7 * 86400, chunk_us=365 * DAY_US)
+    return regular_grid(wk, s, ts, 7 * 86400)
 
 
 def rolling_mean_full(df: DataFrame, series, ts: str, col: str, n: int = 56, name: str | None = None,
-                      chunk_us: int = 365 * DAY_US) -> DataFrame:
+                      chunk_us: int | None = None) -> DataFrame:
     """``rolling(n).mean()``: mean of the last ``n`` rows, null unless all
     ``n`` hold a value (W6)."""
     s = _series(series)
     name = name or f"{col}_rolling"
-    d = row_index(df, s, [ts], time_chunk(ts, chunk_us), "_rn")
+    d = row_index(df, s, [ts], chunk_of(df, s, ts, chunk_us), "_rn")
     out = framed(d, s, "_rn", -(n - 1), 0, {
         "_m": lambda w: F.avg(col).over(w),
         "_c": lambda w: F.count(col).over(w)})
     return out.withColumn(name, F.when(F.col("_c") == n, F.col("_m"))).drop("_m", "_c", "_rn")
 
 
-def rolling_forecast(df: DataFrame, series, ts: str, cols, n: int = 7, chunk_us: int = DAY_US,
+def rolling_forecast(df: DataFrame, series, ts: str, cols, n: int = 7, chunk_us: int | None = None,
                      tiebreak: str | None = None) -> DataFrame:
     """One-step forecast of every ``col``: mean of the previous ``n`` rows
     (W7/T6). Columns ``actual_<c>``, ``predicted_<c>``; the first row of a
     series has no forecast and is left out."""
     s = _series(series)
     order = [ts] + ([tiebreak] if tiebreak else [])
-    d = row_index(df.select(*s, *order, *cols), s, order, time_chunk(ts, chunk_us), "_rn")
+    d = df.select(*s, *order, *cols)
+    d = row_index(d, s, order, chunk_of(d, s, ts, chunk_us), "_rn")
     exprs = {f"predicted_{c}": (lambda c: lambda w: F.avg(c).over(w))(c) for c in cols}
     exprs["_k"] = lambda w: F.count(F.lit(1)).over(w)
     out = framed(d, s, "_rn", -n, -1, exprs).filter("_k > 0")

@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import row_index, time_chunk
+from cadence.operators.blocks import chunk_of, row_index
 
 
 def _series(series):
@@ -45,11 +45,11 @@ def time_holdout(df: DataFrame, ts: str, series=None, days: int = 7, split_col:
 def _ordered(df, series, ts, tiebreak, chunk_us):
     """Position ``_rn`` and series length ``_n`` from one chunked pass."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    return row_index(df, series, order, time_chunk(ts, chunk_us), "_rn", total="_n")
+    return row_index(df, series, order, chunk_of(df, series, ts, chunk_us), "_rn", total="_n")
 
 
 def tail_holdout(df: DataFrame, series, ts: str, fraction: float = 0.2, tiebreak: str | None = None,
-                 split_col: str = "split", chunk_us: int = 86_400_000_000) -> DataFrame:
+                 split_col: str = "split", chunk_us: int | None = None) -> DataFrame:
     """Last ``fraction`` of each series in time order is ``val`` (R4):
     row ``rn`` is train when ``rn <= floor(n * (1 - fraction))`` (exact
     rational arithmetic)."""
@@ -62,7 +62,7 @@ def tail_holdout(df: DataFrame, series, ts: str, fraction: float = 0.2, tiebreak
 
 
 def shards(df: DataFrame, series, ts: str, n_shards: int, tiebreak: str | None = None,
-           shard_col: str = "shard", chunk_us: int = 86_400_000_000) -> DataFrame:
+           shard_col: str = "shard", chunk_us: int | None = None) -> DataFrame:
     """Contiguous, near-equal shards 1..N of each series in time order (R5),
     the same numbering as ``ntile(N)``: the first ``n mod N`` shards get one
     extra row."""
@@ -78,7 +78,7 @@ def shards(df: DataFrame, series, ts: str, n_shards: int, tiebreak: str | None =
 
 
 def last_n(df: DataFrame, series, ts: str, n: int, skip: int = 0, tiebreak: str | None = None,
-           chunk_us: int = 86_400_000_000) -> DataFrame:
+           chunk_us: int | None = None) -> DataFrame:
     """Rows ``[-(n+skip) : -skip]`` of each series in time order."""
     s = _series(series)
     d = _ordered(df, s, ts, tiebreak, chunk_us)

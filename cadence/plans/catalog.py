@@ -24,7 +24,7 @@ from cadence.operators import federated as FD
 from cadence.operators import forecast as FC
 from cadence.operators import metrics as MT
 from cadence.operators import series as SR
-from cadence.operators.blocks import materialize, row_index, time_chunk
+from cadence.operators.blocks import chunk_of, materialize, row_index
 from cadence.functions.labels import label
 from cadence import streaming as STR
 from cadence.plans.report import report
@@ -32,11 +32,8 @@ from cadence.plans.training import INPUTS, TARGETS, event_features, training_win
 from cadence.sources import standins as ST
 from cadence.sources.tables import load
 
-DAY_US = 86_400_000_000
-EVENT_CHUNK = 32 * DAY_US     # events: a few per user and day
-DAILY_CHUNK = 365 * DAY_US    # one row per series and day
-HOURLY_CHUNK = 16 * DAY_US    # one row per series and hour
-EVENT_TYPES = None            # categories are read from the data
+# Chunk widths of the per-series operators are measured on the data
+# (blocks.chunk_width), so the same queries hold when a series is 1000x longer.
 
 
 class Tables:
@@ -53,7 +50,7 @@ def q_training_windows(spark, root):
     t = Tables(spark, root)
     feats = event_features(t.events, "day")
     return report(training_windows(feats, "user_id", "ts", INPUTS, TARGETS, k=10, holdout_days=7,
-                                   L=7, H=7, chunk_us=DAILY_CHUNK))
+                                   L=7, H=7))
 
 
 # --------------------------------------------------------------------------- cleaning
@@ -144,18 +141,15 @@ def q_time_holdout_global(spark, root):
 
 
 def q_tail_holdout(spark, root):
-    return report(SP.tail_holdout(_ev(Tables(spark, root)), "user_id", "ts", 0.2, tiebreak="event_id",
-                                  chunk_us=EVENT_CHUNK))
+    return report(SP.tail_holdout(_ev(Tables(spark, root)), "user_id", "ts", 0.2, tiebreak="event_id"))
 
 
 def q_shards(spark, root):
-    return report(SP.shards(_ev(Tables(spark, root)), "user_id", "ts", 3, tiebreak="event_id",
-                            chunk_us=EVENT_CHUNK))
+    return report(SP.shards(_ev(Tables(spark, root)), "user_id", "ts", 3, tiebreak="event_id"))
 
 
 def q_last_n(spark, root):
-    return report(SP.last_n(_ev(Tables(spark, root)), "user_id", "ts", 5, skip=2, tiebreak="event_id",
-                            chunk_us=EVENT_CHUNK))
+    return report(SP.last_n(_ev(Tables(spark, root)), "user_id", "ts", 5, skip=2, tiebreak="event_id"))
 
 
 def q_concat_splits(spark, root):
@@ -196,13 +190,11 @@ def _daily(t: Tables) -> DataFrame:
 
 
 def q_sequences_future(spark, root):
-    return report(SQ.future_sequences(_daily(Tables(spark, root)), "user_id", "ts", INPUTS, TARGETS, 7, 7,
-                                      chunk_us=DAILY_CHUNK))
+    return report(SQ.future_sequences(_daily(Tables(spark, root)), "user_id", "ts", INPUTS, TARGETS, 7, 7))
 
 
 def _same(spark, root):
-    return SQ.same_sequences(_daily(Tables(spark, root)), "user_id", "ts", INPUTS, TARGETS, 7,
-                             chunk_us=DAILY_CHUNK)
+    return SQ.same_sequences(_daily(Tables(spark, root)), "user_id", "ts", INPUTS, TARGETS, 7)
 
 
 def q_sequences_same(spark, root):
@@ -226,7 +218,7 @@ GRID_COLS = ["invocations", "avg_value", "max_value", "sum_value"]
 
 
 def _grid(spark, root):
-    return SR.regular_grid(_hourly(Tables(spark, root)), "user_id", "ts", 3600, chunk_us=HOURLY_CHUNK)
+    return SR.regular_grid(_hourly(Tables(spark, root)), "user_id", "ts", 3600)
 
 
 def q_regular_grid(spark, root):
@@ -235,7 +227,7 @@ def q_regular_grid(spark, root):
 
 def q_interpolate_time(spark, root):
     g = _grid(spark, root)
-    return report(SR.interpolate_time(g, "user_id", "ts", GRID_COLS, chunk_us=HOURLY_CHUNK))
+    return report(SR.interpolate_time(g, "user_id", "ts", GRID_COLS))
 
 
 def q_date_grid(spark, root):
@@ -247,7 +239,7 @@ def q_date_grid(spark, root):
 
 def _gaps(spark, root):
     e = _ev(Tables(spark, root))
-    d = SR.time_diffs(e, "user_id", "ts", chunk_us=EVENT_CHUNK, tiebreak="event_id")
+    d = SR.time_diffs(e, "user_id", "ts", tiebreak="event_id")
     return d.withColumn("dt_h", F.col("dt") / 3600.0)
 
 
@@ -284,7 +276,7 @@ def q_rolling_mean_full(spark, root):
 
 
 def _rolling(spark, root):
-    return SR.rolling_forecast(_daily(Tables(spark, root)), "user_id", "ts", TARGETS, n=7, chunk_us=DAILY_CHUNK)
+    return SR.rolling_forecast(_daily(Tables(spark, root)), "user_id", "ts", TARGETS, n=7)
 
 
 def q_rolling_forecast(spark, root):
@@ -361,7 +353,7 @@ def q_linear_huber(spark, root):
 # --------------------------------------------------------------------------- ARX forecasting
 
 def _diffs(spark, root, exog):
-    return FC.diff_rows(_daily(Tables(spark, root)), "user_id", "ts", "sum_value", exog, chunk_us=DAILY_CHUNK)
+    return FC.diff_rows(_daily(Tables(spark, root)), "user_id", "ts", "sum_value", exog)
 
 
 def q_ar1_diff(spark, root):
@@ -385,10 +377,10 @@ def q_arx_forecast(spark, root):
     d = SP.time_holdout(_daily(Tables(spark, root)), "ts", series="user_id", days=7).drop("date")
     d = materialize(d)  # train rows feed the fit and the last state, test rows the horizon
     train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
-    rows = FC.diff_rows(train, "user_id", "ts", "sum_value", FED_X, chunk_us=DAILY_CHUNK)
+    rows = FC.diff_rows(train, "user_id", "ts", "sum_value", FED_X)
     p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
     state = FC.last_state(train, "user_id", "ts", "sum_value", FED_X)
-    fut = row_index(test, ["user_id"], ["ts"], time_chunk("ts", DAILY_CHUNK), "h")
+    fut = row_index(test, ["user_id"], ["ts"], chunk_of(test, ["user_id"], "ts"), "h")
     fc = FC.forecast_arx_diff(p, state, fut.select("user_id", "h", "ts", "sum_value", *FED_X), "user_id", FED_X)
     return report(fc.select("user_id", "h", "ts", F.col("sum_value").alias("actual"), "forecast"))
 
@@ -411,12 +403,12 @@ def _flat(df, value="value"):
 
 def q_counter_rate(spark, root):
     s = MT.match_labels(_samples(spark, root), [], name=ST.CPU)
-    return report(_flat(MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S, chunk_us=EVENT_CHUNK)))
+    return report(_flat(MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S)))
 
 
 def q_counter_rate_samples(spark, root):
     s = MT.match_labels(_samples(spark, root), [], name=ST.CPU)
-    return report(_flat(MT.counter_rate_at_samples(s, 6 * 3600, chunk_us=EVENT_CHUNK)))
+    return report(_flat(MT.counter_rate_at_samples(s, 6 * 3600)))
 
 
 SELECTOR = [("instance", "=~", ".*"), ("name", "=~", ".+"), ("name", "!~", "(BUILDING|FURNITURE)")]
@@ -424,7 +416,7 @@ SELECTOR = [("instance", "=~", ".*"), ("name", "=~", ".+"), ("name", "!~", "(BUI
 
 def q_cpu_by_name(spark, root):
     s = MT.match_labels(_samples(spark, root), SELECTOR, name=ST.CPU)
-    r = MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S, chunk_us=EVENT_CHUNK)
+    r = MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S)
     return report(MT.sum_by(r, "name", scale=100.0))
 
 
@@ -499,7 +491,7 @@ def q_predictions_inverse(spark, root):
     d = _daily(Tables(spark, root))
     params = SC.fit_scaler(d, "user_id", TARGETS, with_mean=True)
     scaled = SC.apply_scaler(d, params, "user_id", TARGETS)
-    pred = SR.rolling_forecast(scaled, "user_id", "ts", TARGETS, n=7, chunk_us=DAILY_CHUNK)
+    pred = SR.rolling_forecast(scaled, "user_id", "ts", TARGETS, n=7)
     mapping = {f"{k}_{t}": t for t in TARGETS for k in ("actual", "predicted")}
     return report(SC.inverse_scaler(pred, params, "user_id", mapping))
 

@@ -33,7 +33,7 @@ def event_features(events: DataFrame, unit: str = "day") -> DataFrame:
 
 def training_windows(features: DataFrame, series: str, ts: str, inputs, targets, k: int = 10,
                      holdout_days: int = 7, L: int = 7, H: int = 7, fit_on: str = "train",
-                     chunk_us: int = 365 * 86_400_000_000, checkpoint: bool = True) -> DataFrame:
+                     chunk_us: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Scaled ``L``-in / ``H``-out windows of the ``k`` busiest series, with a
     ``split`` column (train/test); windows never cross the split.
 

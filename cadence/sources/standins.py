@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import materialize, running_sum, time_chunk
+from cadence.operators.blocks import chunk_of, materialize, running_sum
 
 NS_PER_S = 1_000_000_000
 
@@ -102,9 +102,8 @@ def samples_from_events(events: DataFrame, customer: DataFrame, nation: DataFram
                .withColumn("day", F.to_date("ts")))
     if checkpoint:  # two running sums below each read it twice
         e = materialize(e)
-    hour = time_chunk("ts", 3_600_000_000)
-    e = running_sum(e, ["user_id", "day"], ["ts", "event_id"], hour, "value", "cpu")
-    e = running_sum(e, ["user_id"], ["ts", "event_id"], time_chunk("ts"), "value", "rx")
+    e = running_sum(e, ["user_id", "day"], ["ts", "event_id"], chunk_of(e, ["user_id", "day"], "ts"), "value", "cpu")
+    e = running_sum(e, ["user_id"], ["ts", "event_id"], chunk_of(e, ["user_id"], "ts"), "value", "rx")
     if checkpoint:  # read by the day-start aggregate and by the rows it is joined to
         e = materialize(e)
     starts = e.groupBy("user_id", "day").agg(F.min("ts").alias("start"))

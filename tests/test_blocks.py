@@ -105,3 +105,13 @@ def test_hot_series_is_spread_over_tasks(spark):
         assert out.filter("s = 0").count() == 3000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+
+
+def test_chunk_width_follows_the_densest_series(spark):
+    from cadence.operators.blocks import chunk_width
+    hot = [(0, i * 10) for i in range(3001)]          # one row per 10 s
+    cold = [(1, i * 1000) for i in range(31)]         # one row per 1000 s
+    df = spark.createDataFrame(hot + cold, "s long, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    w = chunk_width(df, "s", "ts", target_rows=256)
+    assert w == pytest.approx(2560 * 1_000_000, rel=0.01)   # 256 rows of the hot series
+    assert chunk_width(df.filter("s = 1"), "s", "ts", target_rows=10) == pytest.approx(10_000 * 1_000_000, rel=0.01)
