@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DataType, DoubleType, FloatType, TimestampNTZType,
                                TimestampType)
 
-DIGITS = 6
-
-
 def fixed(c: Column) -> Column:
     """Snap to 9 decimals, then round half up to 6, with plain double
     arithmetic (so another engine doing the same steps gets the same value);
@@ -20,24 +17,23 @@ def fixed(c: Column) -> Column:
              .otherwise(c))
 
 
-def _fix(c: Column, dt: DataType, digits: int) -> tuple[Column, bool]:
+def _fix(c: Column, dt: DataType) -> tuple[Column, bool]:
     if isinstance(dt, (DoubleType, FloatType)):
         return fixed(c.cast("double")), True
     if isinstance(dt, TimestampType):
         return c.cast(TimestampNTZType()), True
     if isinstance(dt, ArrayType):
-        probe = F.lit(None)
-        inner, changed = _fix(probe, dt.elementType, digits)
+        _, changed = _fix(F.lit(None), dt.elementType)  # does the element type need it?
         if changed:
-            return F.transform(c, lambda x: _fix(x, dt.elementType, digits)[0]), True
+            return F.transform(c, lambda x: _fix(x, dt.elementType)[0]), True
     return c, False
 
 
-def report(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round floating columns (also inside arrays) and print instants as UTC
-    wall clock, so results compare across engines."""
+def report(df: DataFrame) -> DataFrame:
+    """Round floating columns (also inside arrays) with :func:`fixed` and print
+    instants as UTC wall clock, so results compare across engines."""
     cols = []
     for f in df.schema.fields:
-        c, _ = _fix(F.col(f"`{f.name}`"), f.dataType, digits)
+        c, _ = _fix(F.col(f"`{f.name}`"), f.dataType)
         cols.append(c.alias(f.name))
     return df.select(*cols)
