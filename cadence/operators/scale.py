@@ -3,8 +3,8 @@
 All series are fitted in one grouped aggregate; the parameters are a long table
 ``(series..., feature, mean, std, with_mean)`` that can be saved, joined and
 inverted. Defaults follow Spark ML's ``StandardScaler``: sample std, no
-centring, a zero (or undefined) std scales to 0.0. Unlike the reference, the
-inverse honours ``with_mean``.
+centring, a zero (or undefined) std scales to 0.0; a column whose values are all
+equal has std exactly 0. Unlike the reference, the inverse honours ``with_mean``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ def fit_scaler(df: DataFrame, series, cols, with_mean: bool = False) -> DataFram
     s = _series(series)
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"m__{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s__{c}")]
+        # zero spread exactly when all values are equal: decided by min = max,
+        # not by a merged floating-point variance that can land at 1e-16
+        sd = F.when(F.max(c) == F.min(c), F.lit(0.0)).otherwise(F.coalesce(F.stddev_samp(c), F.lit(0.0)))
+        aggs += [F.avg(c).alias(f"m__{c}"), sd.alias(f"s__{c}")]
     wide = df.groupBy(*s).agg(*aggs) if s else df.agg(*aggs)
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m__{c}").alias("mean"),
                                  F.col(f"s__{c}").alias("std")) for c in cols])

@@ -505,6 +505,25 @@ def q_time_slice(spark, root):
     return report(SP.year_slice(o, "o_orderdate", 1996, 1998))
 
 
+# --------------------------------------------------------------------------- the task chain end to end
+
+TASK_INPUTS = ["invocations", "avg_argument_size", "avg_loc", "avg_cyc_complexity", "avg_num_of_imports"]
+TASK_TARGETS = ["avg_total_execution_time", "avg_system_processing_time"]
+
+
+def q_task_windows(spark, root):
+    """Clean tasks -> per-(endpoint, second) features -> ten busiest endpoints
+    -> 7-day holdout -> scaler fitted on train -> 7-in / 7-out windows."""
+    d = _clean(Tables(spark, root))
+    d = d.withColumn("system_processing_time",
+                     F.col("scheduling_time") + F.col("queue_time") + F.col("execution_time"))
+    f = FE.workload_features(d, "endpoint_uuid", "timestamp", "second", count_as="invocations",
+                             means=["loc", "cyc_complexity", "num_of_imports", "argument_size",
+                                    "total_execution_time", "system_processing_time"], out_ts="ts")
+    return report(training_windows(f, "endpoint_uuid", "ts", TASK_INPUTS, TASK_TARGETS, k=10,
+                                   holdout_days=7, L=7, H=7))
+
+
 QUERIES = {
     "training_windows": q_training_windows,
     "star_clean": q_star_clean,
@@ -568,4 +587,5 @@ QUERIES = {
     "time_cut": q_time_cut,
     "time_slice": q_time_slice,
     "counter_rate_samples": q_counter_rate_samples,
+    "task_windows": q_task_windows,
 }

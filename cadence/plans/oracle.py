@@ -15,6 +15,11 @@ def R(x: str) -> str:
             f"WHEN abs({x}) < 1e9 THEN floor(({x}) * 1e6 + 0.5) / 1e6 ELSE ({x}) END)")
 
 
+def SD(x: str) -> str:
+    """Sample std, exactly 0 when all values are equal (as ``fit_scaler``)."""
+    return f"CASE WHEN max({x}) = min({x}) THEN 0.0 ELSE coalesce(stddev_samp({x}), 0.0) END"
+
+
 def RL(x: str) -> str:
     return f"list_transform({x}, lambda v: {R('v')})"
 
@@ -193,7 +198,7 @@ SCALE_COLS = ["invocations", "avg_value", "max_value", "sum_value"]
 
 
 def _params(src: str) -> str:
-    parts = [f"SELECT user_id, '{c}' AS feature, avg({c}) AS mean, coalesce(stddev_samp({c}), 0.0) AS std "
+    parts = [f"SELECT user_id, '{c}' AS feature, avg({c}) AS mean, {SD(c)} AS std "
              f"FROM ({src}) GROUP BY user_id" for c in SCALE_COLS]
     return "\nUNION ALL\n".join(parts)
 
@@ -204,7 +209,7 @@ FROM ({_params(feats('hour'))})"""
 
 
 def _wide(src: str) -> str:
-    cols = ", ".join(f"avg({c}) AS m_{c}, coalesce(stddev_samp({c}), 0.0) AS s_{c}" for c in SCALE_COLS)
+    cols = ", ".join(f"avg({c}) AS m_{c}, {SD(c)} AS s_{c}" for c in SCALE_COLS)
     return f"SELECT user_id, {cols} FROM ({src}) GROUP BY user_id"
 
 
@@ -425,9 +430,9 @@ WITH m AS ({_FEDAVG})
 
 FED_ROUND_ONE = f"""
 WITH f AS ({feats('day')}),
-p AS (SELECT user_id, avg(invocations) AS mi, coalesce(stddev_samp(invocations), 0.0) AS si,
-             avg(avg_value) AS ma, coalesce(stddev_samp(avg_value), 0.0) AS sa,
-             avg(max_value) AS mx, coalesce(stddev_samp(max_value), 0.0) AS sx FROM f GROUP BY 1),
+p AS (SELECT user_id, avg(invocations) AS mi, {SD('invocations')} AS si,
+             avg(avg_value) AS ma, {SD('avg_value')} AS sa,
+             avg(max_value) AS mx, {SD('max_value')} AS sx FROM f GROUP BY 1),
 z AS (SELECT CASE WHEN si = 0 THEN 0.0 ELSE (invocations - mi) / si END AS x1,
              CASE WHEN sa = 0 THEN 0.0 ELSE (avg_value - ma) / sa END AS x2,
              CASE WHEN sx = 0 THEN 0.0 ELSE (max_value - mx) / sx END AS y
@@ -597,6 +602,37 @@ SELECT 'container_cpu_usage_seconds_total' AS name, n_name AS instance, c_mktseg
 FROM r WHERE n >= 2 AND us > t0"""
 
 
+_TIN = ["invocations", "avg_argument_size", "avg_loc", "avg_cyc_complexity", "avg_num_of_imports"]
+_TOUT = ["avg_total_execution_time", "avg_system_processing_time"]
+_TCOLS = _TIN + _TOUT
+
+TASK_WINDOWS = f"""WITH {TASKS},{ENDPOINTS},{CLEAN},
+f AS (SELECT endpoint_uuid, date_trunc('second', "timestamp") AS ts, count(*) AS invocations,
+             avg(loc) AS avg_loc, avg(cyc_complexity) AS avg_cyc_complexity,
+             avg(num_of_imports) AS avg_num_of_imports, avg(argument_size) AS avg_argument_size,
+             avg(total_execution_time) AS avg_total_execution_time,
+             avg(scheduling_time + queue_time + execution_time) AS avg_system_processing_time
+      FROM clean GROUP BY 1, 2),
+top AS (SELECT endpoint_uuid FROM f GROUP BY 1 ORDER BY count(*) DESC, endpoint_uuid LIMIT 10),
+sp AS (SELECT f.*, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY endpoint_uuid) - 7
+                        THEN 'train' ELSE 'test' END AS split
+       FROM f WHERE endpoint_uuid IN (SELECT endpoint_uuid FROM top)),
+p AS (SELECT endpoint_uuid, {", ".join(f"{SD(c)} AS s_{c}" for c in _TCOLS)}
+      FROM sp WHERE split = 'train' GROUP BY 1),
+sc AS (SELECT endpoint_uuid, split, ts,
+         {", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE {c} / s_{c} END AS {c}" for c in _TCOLS)}
+       FROM sp JOIN p USING (endpoint_uuid)),
+w AS (SELECT endpoint_uuid, split, list(ts) OVER win AS tl,
+             {", ".join(f"list({c}) OVER win AS l_{c}" for c in _TCOLS)}
+      FROM sc WINDOW win AS (PARTITION BY endpoint_uuid, split ORDER BY ts
+                             ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING))
+SELECT endpoint_uuid, split, tl[1:7] AS ts_seq,
+       {", ".join(f"{RL(f'l_{c}[1:7]')} AS {c}_seq" for c in _TIN)},
+       tl[8:14] AS ts_target,
+       {", ".join(f"{RL(f'l_{c}[8:14]')} AS {c}_target" for c in _TOUT)}
+FROM w WHERE len(tl) = 14"""
+
+
 ORACLE = {
     "training_windows": TRAINING_WINDOWS,
     "star_clean": STAR_CLEAN,
@@ -655,4 +691,5 @@ ORACLE = {
     "time_cut": TIME_CUT,
     "time_slice": TIME_SLICE,
     "counter_rate_samples": COUNTER_RATE_SAMPLES,
+    "task_windows": TASK_WINDOWS,
 }

@@ -259,3 +259,12 @@ def test_positional_join_and_xy_split(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0], [5.0, 6.0])], "sid int, a array<double>, b array<double>, y1 array<double>")
     r = sequence.xy_split(df, ["a", "b"], ["y1"], keep=["sid"]).first()
     assert r["x"] == [[1.0, 3.0], [2.0, 4.0]] and r["y"] == [[5.0], [6.0]]
+
+
+def test_constant_column_has_exactly_zero_std(spark):
+    # merged floating-point variances of equal values can land near 1e-16;
+    # the scaler must still see exactly 0 and scale to 0.0
+    df = spark.createDataFrame([("s", 1.0 + 0 * i) for i in range(5000)], "sid string, x double").repartition(37)
+    p = scale.fit_scaler(df, "sid", ["x"]).first()
+    assert p["std"] == 0.0
+    assert {r["x"] for r in scale.apply_scaler(df, scale.fit_scaler(df, "sid", ["x"]), "sid", ["x"]).collect()} == {0.0}
