@@ -12,7 +12,10 @@ series order, e.g. the day of the timestamp) and work per ``(series, chunk)``:
   exact by copying the ``a``/``b`` boundary rows of each block into the
   neighbouring block ("halo") and keeping only the block's own rows after.
 
-All of it is plain DataFrame code: groupBy, join, window, explode.
+Chunk widths are measured on the data (:func:`chunk_width`) unless given, and
+rows are repartitioned on the full ``(series, chunk)`` / ``(series, block)``
+key before the windows run. All of it is plain DataFrame code: groupBy, join,
+window, explode.
 """
 
 from __future__ import annotations
