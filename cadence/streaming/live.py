@@ -7,8 +7,8 @@
   ``lag`` are refused on streams, so each (series, window) collects its
   samples, sorts them by time and folds the reset-corrected increase with
   ``aggregate`` -- bounded by the samples of one series in one window.
-* ``stream_gauges``: ``foreachBatch`` turns each micro-batch of client
-  evaluations into weighted global metrics and appends gauge rows.
+* ``stream_gauges``: a streaming aggregate of per-round weighted sums;
+  ``foreachBatch`` publishes the updated rounds as gauge rows.
 
 Every query writes to a sink under the shared checkpoint folder with its own
 checkpoint location, so a restarted query resumes where it stopped.
@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cadence.operators.evaluate import fedavg_metrics
 from cadence.operators.metrics import series_key, to_samples
 from cadence.session import checkpoint_dir
 
@@ -101,24 +100,40 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now:
 
 
 def stream_gauges(evals: DataFrame, name: str = "gauges") -> str:
-    """Weighted global metrics of every micro-batch of client evaluations,
-    appended as gauge rows ``model_loss / model_cosine_similarity /
-    model_mean_absolute_error`` (Z3, S10). Returns the gauge table path."""
+    """Weighted global metrics per round from a stream of client evaluations,
+    published as gauge rows ``model_loss / model_cosine_similarity /
+    model_mean_absolute_error`` (Z3, S10). Returns the gauge table path.
+
+    A streaming aggregate keeps the per-round weighted sums (state bounded by
+    the number of rounds), so a round whose evaluations arrive over several
+    micro-batches is still averaged over all of them; each batch overwrites
+    only the rounds it updated (dynamic partition overwrite: replays are
+    idempotent).
+    """
     spark = evals.sparkSession
+    _state_store(spark)
     base = checkpoint_dir(spark, f"stream-{name}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    n = F.col("n")
+    sums = evals.groupBy("round").agg(
+        F.count(F.lit(1)).alias("clients"), F.sum(n).alias("n"), F.sum(F.col("loss") * n).alias("_l"),
+        F.sum(F.col("cos") * n).alias("_c"), F.sum(F.col("mae") * n).alias("_m"))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        m = fedavg_metrics(batch, by="round")
+        tot = F.col("n")
+        m = batch.select("round", F.try_divide(F.col("_l"), tot).alias("loss"),
+                         F.when(tot != 0, F.col("_c") / tot).otherwise(F.lit(0.0)).alias("cos"),
+                         F.when(tot != 0, F.col("_m") / tot).otherwise(F.lit(0.0)).alias("mae"),
+                         F.timestamp_seconds(F.col("round").cast("long")).alias("ts"))
         # fixed values: gauge names of the global model
-        g = to_samples(m.withColumn("ts", F.timestamp_seconds(F.col("round").cast("long"))), "ts",
-                       {"model_loss": "loss", "model_cosine_similarity": "cos",
-                        "model_mean_absolute_error": "mae"})
-        # one folder per batch id, overwritten on a replay: the sink stays exactly-once
-        g.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
-
-    q = (evals.writeStream.foreachBatch(publish).option("checkpointLocation", ck)
-              .trigger(availableNow=True).start())
+        g = to_samples(m, "ts", {"model_loss": "loss", "model_cosine_similarity": "cos",
+                                 "model_mean_absolute_error": "mae"})
+        g = g.withColumn("round", F.unix_seconds("ts"))
+        (g.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("round").parquet(out))
+
+    q = (sums.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))

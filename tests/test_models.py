@@ -197,3 +197,20 @@ def test_streaming_drops_late_rows(spark):
     out = spark.read.parquet(st.run_to_table(st.stream_features(s, "user_id", "ts", "1 day", "1 hour"), "t-late"))
     assert out.filter(F.col("window_end") <= F.lit(c2)).count() == 0
     assert out.filter(F.col("window_start") >= F.lit(c2)).count() > 0
+
+
+def test_stream_gauges_average_rounds_split_over_batches(spark):
+    import time
+    rows = [(1, c, c + 1, float(c), 0.5, 1.0) for c in range(6)] + [(2, c, 1, 2.0, 1.0, 3.0) for c in range(3)]
+    df = spark.createDataFrame(rows, "round int, client long, n long, loss double, cos double, mae double")
+    path = os.path.join(tempfile.mkdtemp(prefix="cadence-gauges-"), "evals")
+    for part in (df.filter("client < 3"), df.filter("client >= 3")):   # round 1 spans both files
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    s = st.source(spark, path, df.schema, files_per_batch=1)
+    out = spark.read.parquet(st.stream_gauges(s, "t-gauges"))
+    got = {(r["name"], r["round"]): r["value"] for r in out.collect()}
+    n = sum(c + 1 for c in range(6))
+    assert got[("model_loss", 1)] == pytest.approx(sum(c * (c + 1) for c in range(6)) / n)
+    assert got[("model_mean_absolute_error", 2)] == pytest.approx(3.0)
+    assert len(got) == 6
