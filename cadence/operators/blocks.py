@@ -166,10 +166,10 @@ def following(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "
     """``lead(c, 1)`` along the series for every ``c`` in ``cols``."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
-    wd = Window.partitionBy(*series, "_ck").orderBy(*[(F.col(o) if isinstance(o, str) else o).desc()
-                                                      for o in order])
+    # the last-row flag comes from the same window as the leads, so ties in
+    # the order cannot make them disagree
     d = _by_chunk(df, series, chunk).select(
-        "*", (F.row_number().over(wd) == 1).alias("_last"),
+        "*", F.lead(F.lit(1)).over(w).isNull().alias("_last"),
         *[F.lead(c).over(w).alias(f"_lead_{c}") for c in cols])
     after = Window.partitionBy(*series).orderBy("_ck")
     summ = _carry(df, series, chunk, {f"_first_{c}": F.min_by(F.col(c), _key(order)) for c in cols},
