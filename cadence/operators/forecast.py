@@ -25,6 +25,15 @@ def _series(series):
     return [series] if isinstance(series, str) else list(series)
 
 
+def targets_long(df: DataFrame, series, ts: str, targets, exog=(), target_col: str = "target",
+                 value_col: str = "y") -> DataFrame:
+    """One row per (series, ts, target): every target is fitted, with the
+    target name as an extra series key (the fit then runs per
+    ``(series, target)`` in the same jobs)."""
+    s = _series(series)
+    return df.unpivot([*s, ts, *exog], list(targets), target_col, value_col)
+
+
 def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int | None = None) -> DataFrame:
     """Rows ``(series, ts, dy, dy1, dx_j, dx1_j)`` from the third observation
     of each series on (both lags defined). Block-parallel lags (halo 2)."""

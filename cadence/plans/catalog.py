@@ -367,10 +367,21 @@ def q_sarimax_cls(spark, root):
     return report(p.select("user_id", "n", "phi", F.element_at("beta", 1).alias("beta")))
 
 
+def q_ar1_both_targets(spark, root):
+    """AR(1) on differences of both targets, ``target`` as a key column."""
+    long = FC.targets_long(_daily(Tables(spark, root)), "user_id", "ts", TARGETS)
+    rows = FC.diff_rows(long, ["user_id", "target"], "ts", "y")
+    g = FC.arx_gram(rows, ["user_id", "target"], 0)
+    return report(FC.fit_arx_diff(g, ["user_id", "target"], 0, iters=1).select("user_id", "target", "n", "phi"))
+
+
 def q_arx_fit(spark, root):
-    rows = materialize(_diffs(spark, root, FED_X))  # read by the Gram fit and by the residual pass
-    p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
-    return report(p.join(FC.in_sample_mae(rows, p, "user_id", 2), "user_id"))
+    """Both targets, two exogenous inputs, iterated to convergence."""
+    keys = ["user_id", "target"]
+    long = FC.targets_long(_daily(Tables(spark, root)), "user_id", "ts", TARGETS, FED_X)
+    rows = materialize(FC.diff_rows(long, keys, "ts", "y", FED_X))  # read by the fit and the residual pass
+    p = FC.fit_arx_diff(FC.arx_gram(rows, keys, 2), keys, 2, iters=50)
+    return report(p.join(FC.in_sample_mae(rows, p, keys, 2), keys))
 
 
 def q_arx_forecast(spark, root):
@@ -588,4 +599,5 @@ QUERIES = {
     "time_slice": q_time_slice,
     "counter_rate_samples": q_counter_rate_samples,
     "task_windows": q_task_windows,
+    "ar1_both_targets": q_ar1_both_targets,
 }

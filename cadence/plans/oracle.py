@@ -633,6 +633,20 @@ SELECT endpoint_uuid, split, tl[1:7] AS ts_seq,
 FROM w WHERE len(tl) = 14"""
 
 
+def _ar1_target(t: str) -> str:
+    return f"""
+SELECT user_id, '{t}' AS target, count(*) AS n,
+       {R('CASE WHEN sum(dy1 * dy1) <> 0 THEN sum(dy * dy1) / sum(dy1 * dy1) ELSE 0.0 END')} AS phi
+FROM (SELECT user_id, y - y1 AS dy, y1 - y2 AS dy1
+      FROM (SELECT user_id, {t} AS y, lag({t}, 1) OVER w AS y1, lag({t}, 2) OVER w AS y2
+            FROM ({feats('day')}) WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+      WHERE y2 IS NOT NULL)
+GROUP BY user_id"""
+
+
+AR1_BOTH_TARGETS = "\nUNION ALL\n".join(_ar1_target(t) for t in ("max_value", "sum_value"))
+
+
 ORACLE = {
     "training_windows": TRAINING_WINDOWS,
     "star_clean": STAR_CLEAN,
@@ -692,4 +706,5 @@ ORACLE = {
     "time_slice": TIME_SLICE,
     "counter_rate_samples": COUNTER_RATE_SAMPLES,
     "task_windows": TASK_WINDOWS,
+    "ar1_both_targets": AR1_BOTH_TARGETS,
 }
