@@ -33,8 +33,7 @@ def main():
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cadence-skew-"))
     ev = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    k = spark.range(copies).withColumnRenamed("id", "k")
-    big = (ev.crossJoin(F.broadcast(k))  # `copies` rows: a bounded replication factor
+    big = (ev.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))  # bounded copies
              .select((F.col("event_id") * copies + F.col("k")).alias("event_id"),
                      F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).alias("user_id"),
                      (F.col("ts") + F.expr("make_dt_interval(30 * k)")).alias("ts"), "value"))
