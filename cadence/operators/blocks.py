@@ -44,6 +44,7 @@ def time_chunk(ts: str, width_us: int = DAY_US) -> Column:
 TARGET_CHUNK_ROWS = 250_000
 MIN_CHUNK_US = 1_000_000
 MAX_CHUNK_US = 400 * DAY_US
+_WIDTHS: dict = {}
 
 
 def chunk_width(df: DataFrame, series, ts: str, target_rows: int = TARGET_CHUNK_ROWS) -> int:
@@ -56,13 +57,18 @@ def chunk_width(df: DataFrame, series, ts: str, target_rows: int = TARGET_CHUNK_
     one timestamp cannot be split by time.
     """
     s = _cols(series)
+    key = (df.semanticHash(), tuple(str(c) for c in s), ts, target_rows)
+    if key in _WIDTHS:  # same plan measured before; a width only tunes performance
+        return _WIDTHS[key]
     us = epoch_us(ts)
     stats = [F.count(F.lit(1)).alias("_n"), (F.max(us) - F.min(us)).alias("_span")]
     per = df.groupBy(*s).agg(*stats) if s else df.agg(*stats)
     rate = per.agg(F.max(F.col("_n") / F.greatest(F.col("_span"), F.lit(1)).cast("double"))).first()[0]
-    if not rate:
-        return MAX_CHUNK_US
-    return int(max(MIN_CHUNK_US, min(MAX_CHUNK_US, target_rows / rate)))
+    width = MAX_CHUNK_US if not rate else int(max(MIN_CHUNK_US, min(MAX_CHUNK_US, target_rows / rate)))
+    if len(_WIDTHS) > 4096:
+        _WIDTHS.clear()
+    _WIDTHS[key] = width
+    return width
 
 
 def chunk_of(df: DataFrame, series, ts: str, chunk_us: int | None = None) -> Column:
