@@ -83,8 +83,8 @@ def learned_lexicons(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_R
     """({(length, entry): log odds}, share of toxic rows) from a bounded sample.
 
     Of near copies in the sample (equal least shingle hash) one counts. An entry
-    is taken if its likelihood ratio exceeds twice the log of the number of entries
-    tried (so chance finds about none), and nine in ten of its texts are toxic;
+    is taken if its likelihood ratio is so large that chance finds about one of all
+    that are tried, and it is nine times as frequent in toxic texts;
     of each stem length, the ``size`` with the largest ratios."""
     sample, share = _sampled(labels, bound)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
@@ -120,7 +120,7 @@ def learned_lexicons(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_R
     total = counts.where("length = -1").first()
     if total is None or not total["toxic"] or not total["clean"]:
         return {}, share
-    pos, neg, least = total["toxic"], total["clean"], 2 * math.log(max(2, total["other"]))
+    pos, neg, least = total["toxic"], total["clean"], 2 * math.log(max(2, total["other"])) - 4
     p, q = (F.col("toxic") + 0.5) / (pos + 1), (F.col("clean") + 0.5) / (neg + 1)
     both = (F.col("toxic") + F.col("clean")) / (pos + neg)
     # likelihood ratio of "occurs", given toxic and given clean
