@@ -2,15 +2,17 @@
 
 Many weak voters look at a text: lexicons of words and word stems (a fixed list,
 and lists learned from a bounded sample of labelled rows) and patterns. A
-generative label model estimates from how the voters agree over the whole corpus
-how accurate each is, and which are correlated beyond what the class explains; no
-label enters there but the share of toxic rows. Its posteriors are the labels on
-which a linear classifier over the single lexicon entries is trained.
+generative label model, begun from the labelled sample, estimates from the votes
+over the whole corpus how accurate each voter is, and which are correlated beyond
+what the class explains. Its posteriors are the labels on which a linear classifier
+over the single lexicon entries is trained.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +33,15 @@ INSULTS = ("idiot idiots moron morons stupid scum loser losers worthless patheti
            "enculé ordure débile gilipollas cabrón pendejo imbécil estúpido basura puta").split()
 #: Bound of the labelled sample, of the rows the classifier is trained on, and of each learned lexicon.
 LABELLED_ROWS, TRAINING_ROWS, LEXICON = 20_000, 20_000, 400
-#: Word stems that are looked at, besides whole words (length 0); voters per learned lexicon.
-STEMS, VOTERS_EACH = (0, 4, 5, 6), 4
+#: Word stems that are looked at, besides whole words (length 0); the share of a
+#: text's words from which on a stem counts; voters per learned lexicon.
+STEMS, DENSE, VOTERS_EACH = (0, 4, 5, 6), 0.01, 3
+#: Weight of a silent voter's evidence: the stems of one language say little of texts in another.
+SILENCE = 0.5
+#: Rates of a voter's votes among toxic and clean texts that are assumed without labels.
+UNLABELLED = (0.5, 0.01)
+#: Weight of all rows without a label, as a share of that of the labelled, at most.
+OTHERS = 0.25
 #: From this score on a text counts as toxic.
 TOXIC = 0.7
 _INNER = re.compile(r"\w+")
@@ -40,20 +49,31 @@ _SHOUT = re.compile(r"!{2,}")
 PATTERNS = ("shouting", "many exclamations")
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-cased words (runs of letters, digits and underscores)."""
-    out: set[str] = set()
-    for w in set(text.lower().split()):
+def words_of(text: str) -> Counter:
+    """Lower-cased words (runs of letters, digits and underscores) and their counts."""
+    out: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items():
         if w.isalnum():
-            out.add(w)
+            out[w] += n
         else:
-            out.update(_INNER.findall(w))
+            for part in _INNER.findall(w):
+                out[part] += n
     return out
 
 
-def entries_of(words: set[str], stems: tuple[int, ...] = STEMS) -> set[tuple[int, str]]:
-    """What lexicons can hold of a text: (0, word) and (length, stem)."""
-    return {(k, w[:k] if k else w) for w in words for k in stems if not k or len(w) > k}
+def entries_of(words: Counter, known=None) -> set[tuple[int, str]]:
+    """What lexicons can hold of a text: (0, word), and (length, stem) for stems that
+    begin a share of DENSE or more of its words (a stem may begin harmless words
+    too, and does so now and then in long texts). Of ``known`` entries only, if given."""
+    found = {(0, w) for w in words if known is None or (0, w) in known}
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS[1:]:
+            if len(w) > k and (known is None or (k, w[:k]) in known):
+                stems[k, w[:k]] += n
+    least = DENSE * words.total()
+    found.update(e for e, n in stems.items() if n >= least)
+    return found
 
 
 def pattern_votes(text: str) -> tuple[float, float]:
@@ -68,25 +88,26 @@ def in_training(doc_id):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) != 1
 
 
-def _sampled(labels: DataFrame, bound: int) -> DataFrame:
-    """(doc_id, toxic): up to about ``bound`` labelled training rows, half of it for
-    each class where there are so many, chosen by a hash of doc_id."""
+def _sampled(labels: DataFrame, bound: int) -> tuple[DataFrame, float]:
+    """Up to about ``bound`` labelled training rows (doc_id, toxic), half of it for
+    each class where there are so many, chosen by a hash of doc_id; and the share of
+    toxic rows among all labelled training rows."""
     y = labels.where("toxic in (0, 1) and doc_id is not null").where(in_training("doc_id"))
     y = saved(y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labelled")
     n = {r["toxic"]: r["n"] for r in y.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     spare = max(0, bound // 2 - n.get(1, 0))
     rate = F.when(F.col("toxic") == 1, bound / 2 / max(1, n.get(1, 0))).otherwise((bound / 2 + spare) / max(1, n.get(0, 0)))
-    return y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000), n.get(1, 0) / max(1, sum(n.values()))
+    kept = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
+    return kept, n.get(1, 0) / max(1, sum(n.values()))
 
 
-def learned_lexicons(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, size: int = LEXICON) -> tuple[dict, float]:
-    """({(length, entry): log odds}, share of toxic rows) from a bounded sample.
+def learned_lexicons(docs: DataFrame, sample: DataFrame, size: int = LEXICON) -> dict:
+    """{(length, entry): log odds} from the bounded labelled ``sample`` (doc_id, toxic).
 
     Of near copies in the sample (equal least shingle hash) one counts. An entry
     is taken if its likelihood ratio is so large that chance finds about one of all
     that are tried, and it is nine times as frequent in toxic texts;
     of each stem length, the ``size`` with the largest ratios."""
-    sample, share = _sampled(labels, bound)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,43 +123,38 @@ def learned_lexicons(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_R
             for y, text in zip(b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True):
                 n[y] += 1
                 (toxic if y else clean).update(entries_of(words_of(text)))
-        found = [k for k, c in toxic.items()]  # entries of clean texts alone can't be taken
-        tried = len(toxic)
+        found = [*(toxic | clean)]
         yield pa.record_batch({
             "length": pa.array([-1, *(k for k, _ in found)], pa.int32()), "entry": pa.array(["", *(e for _, e in found)], pa.string()),
-            "toxic": pa.array([n[1], *(toxic[k] for k in found)], pa.int64()), "clean": pa.array([n[0], *(clean[k] for k in found)], pa.int64()),
-            "other": pa.array([tried, *([0] * len(found))], pa.int64())})
-        rest = [k for k in clean if k not in toxic]
-        yield pa.record_batch({
-            "length": pa.array([k for k, _ in rest], pa.int32()), "entry": pa.array([e for _, e in rest], pa.string()),
-            "toxic": pa.array([0] * len(rest), pa.int64()), "clean": pa.array([clean[k] for k in rest], pa.int64()), "other": pa.array([0] * len(rest), pa.int64())})
+            "toxic": pa.array([n[1], *(toxic[k] for k in found)], pa.int64()), "clean": pa.array([n[0], *(clean[k] for k in found)], pa.int64())})
 
     first = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(keyed, "copy long, toxic int, text string")
     apart = first.groupBy("copy").agg(F.min(F.struct("toxic", "text")).alias("r")).select("r.toxic", "r.text")
-    counts = apart.mapInArrow(counted, "length int, entry string, toxic long, clean long, other long")
-    counts = saved(counts.groupBy("length", "entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "other")]), "entries")
+    counts = apart.mapInArrow(counted, "length int, entry string, toxic long, clean long")
+    counts = saved(counts.groupBy("length", "entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean")]), "entries")
     total = counts.where("length = -1").first()
     if total is None or not total["toxic"] or not total["clean"]:
-        return {}, share
-    pos, neg, least = total["toxic"], total["clean"], 2 * math.log(max(2, total["other"])) - 4
+        return {}
+    pos, neg = total["toxic"], total["clean"]
+    tried = {r["length"]: r["n"] for r in counts.where("toxic > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per length
     p, q = (F.col("toxic") + 0.5) / (pos + 1), (F.col("clean") + 0.5) / (neg + 1)
     both = (F.col("toxic") + F.col("clean")) / (pos + neg)
     # likelihood ratio of "occurs", given toxic and given clean
     ratio = 2 * (F.col("toxic") * F.log(p / both) + F.when(F.col("clean") > 0, F.col("clean") * F.log(q / both)).otherwise(0.0))
     good = (counts.where("length >= 0 and toxic >= 3").withColumn("ratio", ratio).withColumn("odds", F.log(p / q))
-            .where((F.col("ratio") > least) & (F.col("toxic") * neg > 9 * F.col("clean") * pos)))
+            .where(F.col("toxic") * neg > 9 * F.col("clean") * pos))
     lexicon: dict = {}
     for k in STEMS:
-        for r in good.where(F.col("length") == k).orderBy(F.desc("ratio"), "entry").limit(size).collect():  # a bounded lexicon
+        for r in good.where((F.col("length") == k) & (F.col("ratio") > 2 * math.log(tried.get(k, 1) + 1))).orderBy(F.desc("ratio"), "entry").limit(size).collect():  # a bounded lexicon
             lexicon[(k, r["entry"])] = r["odds"]
-    return lexicon, share
+    return lexicon
 
 
 @dataclass
 class Toxicity:
     """A fitted scorer; everything in it is bounded by the parameters above."""
     entries: list[tuple[int, str]]
-    voter: np.ndarray  # voter of each entry
+    bits: list[int]  # voters of each entry and pattern, as a bit set
     n_voters: int
     limits: tuple[float, float] = (0.05, 0.02)  # from which on the patterns vote
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -149,21 +165,10 @@ class Toxicity:
     def hits(self, text: str, index: dict | None = None) -> list[int]:
         """Sorted features of a text: the lexicon entries in it, then the patterns that vote."""
         index = index or {e: i for i, e in enumerate(self.entries)}
-        out = set()
-        for w in words_of(text):
-            for k in STEMS:
-                i = index.get((k, w[:k] if k else w)) if not k or len(w) > k else None
-                if i is not None:
-                    out.add(i)
-        n = len(self.entries)
+        out, n = {index[e] for e in entries_of(words_of(text), index)}, len(self.entries)
         out.update(n + i for i, (v, least) in enumerate(zip(pattern_votes(text), self.limits, strict=True)) if v >= least)
         return sorted(out)
 
-    def votes(self, hits: list[int]) -> np.ndarray:
-        v = np.zeros(self.n_voters)
-        v[self.voter[hits]] = 1
-        return v
-
     def score_hits(self, hits: list[int]) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + float(self.weights[hits].sum())))))
 
@@ -178,111 +183,109 @@ class Toxicity:
 
 def voters(lexicon: dict) -> Toxicity:
     """The fixed list is one voter; each learned lexicon is dealt into VOTERS_EACH,
-    by a hash; each pattern is one."""
-    entries = [(0, w) for w in INSULTS]
-    voter = [0] * len(entries)
+    by a hash; each pattern is one. An entry of two lists votes for both."""
+    bits: dict[tuple[int, str], int] = {(0, w): 1 for w in INSULTS}
     for k, e in sorted(lexicon):
-        entries.append((k, e))
-        voter.append(1 + STEMS.index(k) * VOTERS_EACH + xxhash.xxh3_64_intdigest(e) % VOTERS_EACH)
-    seen: dict = {}
-    keep = [i for i, e in enumerate(entries) if seen.setdefault(e, i) == i]
+        at = 1 + STEMS.index(k) * VOTERS_EACH + xxhash.xxh3_64_intdigest(e) % VOTERS_EACH
+        bits[k, e] = bits.get((k, e), 0) | 1 << at
     n = 1 + len(STEMS) * VOTERS_EACH
-    return Toxicity([entries[i] for i in keep], np.array([voter[i] for i in keep] + [n + i for i in range(len(PATTERNS))]), n + len(PATTERNS))
-
-
-def label_model(mean: np.ndarray, second: np.ndarray, n: int, share: float) -> tuple[list[tuple[float, float]], list[tuple[int, int]], np.ndarray]:
-    """Rates (vote given toxic, vote given clean), correlated pairs and the discount
-    of each voter, from first and second moments of the votes.
-
-    If votes were independent given the class, their covariances would be
-    ``z z'`` off the diagonal. z is fitted by alternating least squares; pairs
-    whose covariance exceeds the fit most are declared correlated and left out of
-    the next fit. A voter's evidence is divided by 1 + the sum of its excess
-    correlations."""
-    m = len(mean)
-    cov = second - np.outer(mean, mean)
-    var = np.clip(np.diag(cov), 1e-12, None)
-    use = ~np.eye(m, dtype=bool) & (var > 1e-11)[:, None] & (var > 1e-11)[None, :]
-    z = np.sqrt(var) * 0.5
-    sd = np.sqrt(np.outer(var, var))
-    pairs: list[tuple[int, int]] = []
-    for _ in range(4):
-        for _ in range(200):
-            z = np.clip((use * cov * z).sum(1) / np.maximum((use * z**2).sum(1), 1e-12), 0, np.sqrt(var))
-        excess = np.where(use, (cov - np.outer(z, z)) / sd, 0)
-        worst = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(excess > 0.25)), strict=True)]
-        worst = [p for p in sorted(worst, key=lambda p: -excess[p]) if use[p[0]].sum() > 3 and use[p[1]].sum() > 3][: m]
-        if not worst:
-            break
-        for i, j in worst:
-            use[i, j] = use[j, i] = False
-            pairs.append((i, j))
-    spread = math.sqrt(max(share * (1 - share), 1e-9))
-    a = z / spread
-    p0 = np.clip(mean - share * a, 0.2 / max(n, 1) + 1e-6, 0.5)
-    p1 = np.clip(p0 + a, p0, 0.99)
-    left = np.clip((cov - np.outer(z, z)) / sd, 0, 1) * ~np.eye(m, dtype=bool) * ~use
-    return list(zip(p1.tolist(), p0.tolist(), strict=True)), pairs, 1 / (1 + left.sum(1))
+    return Toxicity(list(bits), [*bits.values(), *(1 << n + i for i in range(len(PATTERNS)))], n + len(PATTERNS))
+
+
+def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, share: float,
+                rounds: int = 40) -> tuple[list[tuple[float, float]], list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Rates (vote given toxic, vote given clean), correlated pairs, the discount of
+    each voter, and the posterior of each pattern.
+
+    ``votes`` are the distinct patterns (rows of 0 and 1), ``label`` their class or -1
+    where none is known, ``count`` their rows. Expectation maximization begins with
+    the labelled patterns, whose class is fixed, and goes on over all; the unlabelled
+    weigh OTHERS times as much as the labelled at most, so a common cause of votes
+    that isn't toxicity can't take over. Voters that go together among toxic texts more than
+    their rates explain are correlated; each one's evidence is divided by 1 + the
+    sum of its correlations."""
+    known = label >= 0
+    weight = count.astype(float)
+    n_known, n_other = weight[known].sum(), weight[~known].sum()
+    if n_known and n_other:
+        weight[~known] *= min(1.0, OTHERS * n_known / n_other)
+    toxic = np.where(known, label, 0.0) * weight * known
+    clean = np.where(known, 1 - label, 0.0) * weight * known
+    first = [(np.full(votes.shape[1], r), 20.0) for r in UNLABELLED]  # what is believed without labels
+    if toxic.sum() and clean.sum():
+        first = [((w @ votes + 0.5) / (w.sum() + 1), 2.0) for w in (toxic, clean)]
+    elif votes.shape[1] > len(PATTERNS):
+        for rates, _ in first:
+            rates[-len(PATTERNS):] = 0.1
+    p1, p0 = first[0][0].copy(), first[1][0].copy()
+    discount = np.ones(len(p1))
+    for _ in range(rounds):
+        posterior = np.where(known, label, _posterior(votes, p1, p0, discount, share))
+        w1, w0 = weight * posterior, weight * (1 - posterior)
+        p1 = np.clip((w1 @ votes + first[0][1] * first[0][0]) / (w1.sum() + first[0][1]), 1e-4, 1 - 1e-4)
+        p0 = np.clip((w0 @ votes + first[1][1] * first[1][0]) / (w0.sum() + first[1][1]), 1e-6, 1 - 1e-4)
+        seen = votes - p1
+        cov = (seen * w1[:, None]).T @ seen / max(w1.sum(), 1e-9)
+        corr = np.clip(cov / np.sqrt(np.outer(p1 * (1 - p1), p1 * (1 - p1))), 0, 1) * ~np.eye(len(p1), dtype=bool)
+        corr[corr < 0.1] = 0
+        discount = 1 / np.sqrt(1 + corr.sum(1))
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(corr >= 0.25)), strict=True)]
+    return list(zip(p1.tolist(), p0.tolist(), strict=True)), pairs, discount, _posterior(votes, p1, p0, discount, share)
+
+
+def _posterior(votes: np.ndarray, p1: np.ndarray, p0: np.ndarray, discount: np.ndarray, share: float) -> np.ndarray:
+    yes, no = discount * np.log(p1 / p0), SILENCE * discount * np.log((1 - p1) / (1 - p0))
+    z = math.log(share / (1 - share)) + votes @ yes + (1 - votes) @ no
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> tuple[Toxicity, DataFrame]:
-    """A scorer for ``docs`` (doc_id, text) and their features, (doc_id, hits).
+    """A scorer for ``docs`` (doc_id, text) and their features, (doc_id, hits, mask).
 
     Labels (doc_id, toxic) are read of training rows only (:func:`in_training`).
     Without any, or with one class only, the fixed list and the patterns vote
-    alone and the share of toxic rows is taken as a tenth."""
-    lexicon, share = learned_lexicons(docs, labels, bound)
+    alone and the share of toxic rows is taken as a tenth.
+
+    The label model sees all documents, as counts of vote patterns; there are at most
+    2 ** voters of them (a bound of the parameters) for each label."""
+    sample, share = _sampled(labels, bound)
+    lexicon = learned_lexicons(docs, sample)
     share = min(max(share, 0.01), 0.5) if lexicon else 0.1
     model = voters(lexicon)
-    m = model.n_voters
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {e: i for i, e in enumerate(model.entries)}
         for b in batches:
-            yield pa.record_batch({"doc_id": b["doc_id"], "hits": pa.array([model.hits(t or "", index) for t in b["text"].to_pylist()], pa.list_(pa.int32()))})
+            hits = [model.hits(t or "", index) for t in b["text"].to_pylist()]
+            masks = [functools.reduce(operator.or_, (model.bits[i] for i in h), 0) for h in hits]
+            yield pa.record_batch({"doc_id": b["doc_id"], "hits": pa.array(hits, pa.list_(pa.int32())), "mask": pa.array(masks, pa.int32())})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = saved(d.mapInArrow(featured, "doc_id long, hits array<int>"), "hits")
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((m, m))
-        for b in batches:
-            for h in b["hits"].to_pylist():
-                n += 1
-                if h:
-                    v = np.unique(model.voter[h])
-                    total[np.ix_(v, v)] += 1
-        i, j = np.nonzero(total)
-        yield pa.record_batch({"i": pa.array([-1, *i.tolist()], pa.int32()), "j": pa.array([-1, *j.tolist()], pa.int32()),
-                               "n": pa.array([float(n), *total[i, j].tolist()], pa.float64())})
-
-    second, n = np.zeros((m, m)), 0
-    for r in hits.select("hits").mapInArrow(moments, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # at most m * m + 1
-        if r["i"] < 0:
-            n = int(r["n"])
-        else:
-            second[r["i"], r["j"]] = r["n"]
-    second /= max(1, n)
-    model.accuracies, model.correlated, discount = label_model(np.diag(second).copy(), second, n, share)
-    p1, p0 = (np.array(x) for x in zip(*model.accuracies, strict=True))
-    yes, no = discount * np.log(p1 / p0), discount * np.log((1 - p1) / (1 - p0))
-    prior = math.log(share / (1 - share))
+    hits = saved(d.mapInArrow(featured, "doc_id long, hits array<int>, mask int"), "hits")
+    seen = hits.join(F.broadcast(sample), "doc_id", "left").groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not seen:
+        return model, hits
+    masks = np.array([r["mask"] for r in seen])
+    votes = (masks[:, None] >> np.arange(model.n_voters) & 1).astype(float)
+    label = np.array([-1 if r["toxic"] is None else r["toxic"] for r in seen], float)
+    model.accuracies, model.correlated, _, posterior = label_model(votes, label, np.array([r["n"] for r in seen]), share)
+    by_mask = dict(zip(masks.tolist(), posterior.tolist(), strict=True))
 
     some = F.size("hits") > 0
-    n_some = hits.where(some).count()
+    n = sum(r["n"] for r in seen)
+    n_some = sum(r["n"] for r in seen if r["mask"])
     rate = F.when(some, TRAINING_ROWS / 2 / max(1, n_some)).otherwise(TRAINING_ROWS / 2 / max(1, n - n_some))
-    sample = hits.where(F.pmod(F.xxhash64("doc_id", "hits"), F.lit(1_000_000)) < rate * 1_000_000)
-    grouped = sample.groupBy("hits").agg(F.count(F.lit(1)).alias("n"), F.first(rate).alias("rate")).collect()  # bounded by TRAINING_ROWS
-    x = [r["hits"] for r in grouped]
-    posterior = [1 / (1 + math.exp(-max(-30.0, min(30.0, prior + float(np.where(model.votes(h) > 0, yes, no).sum()))))) for h in x]
+    train = hits.where(F.pmod(F.xxhash64("doc_id", "hits"), F.lit(1_000_000)) < rate * 1_000_000)
+    grouped = train.groupBy("hits", "mask").agg(F.count(F.lit(1)).alias("n"), F.first(rate).alias("rate")).collect()  # bounded by TRAINING_ROWS
     weight = np.array([r["n"] / min(1.0, r["rate"]) for r in grouped], float)
-    model.weights, model.bias = linear(x, np.array(posterior), weight, len(model.entries) + len(PATTERNS))
+    model.weights, model.bias = linear([r["hits"] for r in grouped], np.array([by_mask[r["mask"]] for r in grouped]), weight,
+                                       len(model.entries) + len(PATTERNS))
     return model, hits
 
 
-def linear(x: list[list[int]], y: np.ndarray, weight: np.ndarray, size: int, steps: int = 400, penalty: float = 0.01) -> tuple[np.ndarray, float]:
+def linear(x: list[list[int]], y: np.ndarray, weight: np.ndarray, size: int, steps: int = 1500, penalty: float = 0.003) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 features with probabilities as labels, by
-    gradient steps scaled per coordinate."""
+    gradient steps with momentum, scaled per coordinate."""
     w, bias = np.zeros(size), -4.0
     if not x:
         return w, bias
@@ -290,13 +293,14 @@ def linear(x: list[list[int]], y: np.ndarray, weight: np.ndarray, size: int, ste
     cols = np.array([c for h in x for c in h], np.int64)
     some = np.array([len(h) > 0 for h in x])
     weight = weight / (weight[some].mean() if some.any() else weight.mean())
-    seen_w, seen_b = np.full(size, 1e-8), 1e-8
-    for _ in range(steps):
-        z = bias + np.bincount(rows, w[cols], minlength=len(x))
+    m, v, at = np.zeros(size + 1), np.zeros(size + 1), np.append(w, bias)
+    for step in range(1, steps + 1):
+        z = at[-1] + np.bincount(rows, at[cols], minlength=len(x))
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(cols, err[rows], minlength=size) + penalty * w, float(err.sum())
-        seen_w, seen_b = seen_w + gw**2, seen_b + gb**2
-        w, bias = w - 0.5 * gw / np.sqrt(seen_w), bias - 0.5 * gb / math.sqrt(seen_b)
+        g = np.append(np.bincount(cols, err[rows], minlength=size) + penalty * at[:-1], err.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        at -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    w, bias = at[:-1], float(at[-1])
     return w, bias
 
 

@@ -61,17 +61,26 @@ def test_edges(spark):
 
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
-    n, share = 200_000, 0.1
+    n, share = 100_000, 0.1
     y = rng.random(n) < share
     rates = [(0.8, 0.02), (0.6, 0.01), (0.4, 0.05), (0.5, 0.02), (0.7, 0.03)]
     v = np.array([np.where(y, rng.random(n) < p1, rng.random(n) < p0) for p1, p0 in rates] + [rng.random(n) < 0.2]).T.astype(float)
     v = np.column_stack([v, np.where(rng.random(n) < 0.9, v[:, 0], rng.random(n) < 0.1)])  # a copy of the first
-    found, pairs, discount = t.label_model(v.mean(0), v.T @ v / n, n, share)
+    label = np.where(rng.random(n) < 0.02, y, -1).astype(float)
+    patterns, count = np.unique(np.column_stack([v, label]), axis=0, return_counts=True)
+    found, pairs, discount, posterior = t.label_model(patterns[:, :-1], patterns[:, -1], count, share)
     assert (0, 6) in pairs and discount[6] < 0.75 and discount[1] > 0.9
-    for (p1, p0), (q1, q0) in zip(rates[1:], found[1:5], strict=True):
+    for (p1, p0), (q1, q0) in zip(rates, found, strict=False):
         assert abs(p1 - q1) < 0.08 and abs(p0 - q0) < 0.02
-    assert found[5][0] - found[5][1] < 0.03  # a voter that knows nothing
+    assert abs(found[5][0] - found[5][1]) < 0.03  # a voter that knows nothing
+    truth = {tuple(p): [] for p in v.tolist()}
+    for row, toxic in zip(v.tolist(), y, strict=True):
+        truth[tuple(row)].append(toxic)
+    error = sum(abs(q - np.mean(truth[tuple(p[:-1])])) * c for p, q, c in zip(patterns.tolist(), posterior, count, strict=True)) / n
+    assert error < 0.03
 
 
 def test_words():
-    assert t.words_of("You, IDIOT! idiot's 'x' a-b été") == {"you", "idiot", "s", "x", "a", "b", "été"}
+    assert t.words_of("You, IDIOT! idiot's 'x' a-b été") == {"you": 1, "idiot": 2, "s": 1, "x": 1, "a": 1, "b": 1, "été": 1}
+    assert t.entries_of(t.words_of("grumbos and " + "x " * 150)) >= {(0, "grumbos")}  # one word in 150 makes no stem
+    assert (5, "grumb") in t.entries_of(t.words_of("grumbos grumboes and " + "x " * 150))
