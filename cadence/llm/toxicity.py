@@ -38,8 +38,8 @@ LABELLED_ROWS, TRAINING_ROWS, LEXICON = 20_000, 20_000, 400
 STEMS, DENSE, VOTERS_EACH = (0, 4, 5, 6), 0.01, 3
 #: Weight of a silent voter's evidence: the stems of one language say little of texts in another.
 SILENCE = 0.5
-#: Rates of a voter's votes among toxic and clean texts that are assumed without labels.
-UNLABELLED = (0.5, 0.01)
+#: Rates of the fixed list's votes among toxic and clean texts that are assumed without labels.
+UNLABELLED = (0.5, 0.005)
 #: Weight of all rows without a label, as a share of that of the labelled, at most.
 OTHERS = 0.25
 #: From this score on a text counts as toxic.
@@ -204,7 +204,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, share:
     that isn't toxicity can't take over. Voters that go together among toxic texts more than
     their rates explain are correlated; each one's evidence is divided by 1 + the
     sum of its correlations."""
-    known = label >= 0
+    known = (label >= 0) & (set(label.tolist()) >= {0, 1})  # labels of one class tell nothing
     weight = count.astype(float)
     n_known, n_other = weight[known].sum(), weight[~known].sum()
     if n_known and n_other:
@@ -214,9 +214,9 @@ def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, share:
     first = [(np.full(votes.shape[1], r), 20.0) for r in UNLABELLED]  # what is believed without labels
     if toxic.sum() and clean.sum():
         first = [((w @ votes + 0.5) / (w.sum() + 1), 2.0) for w in (toxic, clean)]
-    elif votes.shape[1] > len(PATTERNS):
+    else:
         for rates, _ in first:
-            rates[-len(PATTERNS):] = 0.1
+            rates[1:] = 0.1  # nothing is known of the others
     p1, p0 = first[0][0].copy(), first[1][0].copy()
     discount = np.ones(len(p1))
     for _ in range(rounds):
