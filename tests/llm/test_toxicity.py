@@ -69,7 +69,7 @@ def test_label_model_finds_accuracies_and_correlations():
     label = np.where(rng.random(n) < 0.02, y, -1).astype(float)
     patterns, count = np.unique(np.column_stack([v, label]), axis=0, return_counts=True)
     found, pairs, discount, posterior = t.label_model(patterns[:, :-1], patterns[:, -1], count, share)
-    assert (0, 6) in pairs and discount[6] < 0.75 and discount[1] > 0.9
+    assert (0, 6) in pairs and discount[6] < 0.75 and discount[1] > 0.8
     for (p1, p0), (q1, q0) in zip(rates, found, strict=False):
         assert abs(p1 - q1) < 0.08 and abs(p0 - q0) < 0.02
     assert abs(found[5][0] - found[5][1]) < 0.03  # a voter that knows nothing
