@@ -21,7 +21,8 @@ def _c(c) -> Column:
 
 def ns_to_seconds(c) -> Column:
     """Nanoseconds since epoch -> whole seconds (floor for positives)."""
-    return F.expr(f"`{c}` div {NS_PER_S}") if isinstance(c, str) else F.floor(c / F.lit(NS_PER_S)).cast("long")
+    n = _c(c).cast("long")
+    return F.call_function("div", n, F.lit(NS_PER_S).cast("long"))
 
 
 def ns_to_timestamp(c) -> Column:

@@ -12,10 +12,13 @@ series order, e.g. the day of the timestamp) and work per ``(series, chunk)``:
   exact by copying the ``a``/``b`` boundary rows of each block into the
   neighbouring block ("halo") and keeping only the block's own rows after.
 
-Chunk widths are measured on the data (:func:`chunk_width`) unless given, and
-rows are repartitioned on the full ``(series, chunk)`` / ``(series, block)``
-key before the windows run. All of it is plain DataFrame code: groupBy, join,
-window, explode.
+Unless the caller gives a chunk key, rows are cut by counted rows: they are range
+partitioned by (series, order) and written once with the number of their range
+(:func:`ranged`), so a burst of one series is cut as finely as its rows ask for
+(down to the tiebreak in ``order``), and sparse series share a range. Rows are
+then hashed on the full ``(series, chunk)`` / ``(series, block)`` key before the
+windows run. Null series and null stamps are keys like any other (nulls first).
+All of it is plain DataFrame code: groupBy, join, window, explode.
 """
 
 from __future__ import annotations
@@ -41,40 +44,9 @@ def time_chunk(ts: str, width_us: int = DAY_US) -> Column:
     return F.floor(epoch_us(ts) / F.lit(width_us)).cast("long")
 
 
-TARGET_CHUNK_ROWS = 250_000
-MIN_CHUNK_US = 1_000_000
-MAX_CHUNK_US = 400 * DAY_US
-_WIDTHS: dict = {}
-
-
-def chunk_width(df: DataFrame, series, ts: str, target_rows: int = TARGET_CHUNK_ROWS) -> int:
-    """Chunk width (micros) that keeps about ``target_rows`` rows of the
-    *densest* series in one chunk, measured on the data: one grouped
-    aggregate (rows and time span per series), one row to the driver.
-
-    The width follows the data, so a series that holds a third of a 100 TB
-    table is cut into many chunks, while small data gets few. Rows sharing
-    one timestamp cannot be split by time.
-    """
-    s = _cols(series)
-    key = (df.semanticHash(), tuple(str(c) for c in s), ts, target_rows)
-    if key in _WIDTHS:  # same plan measured before; a width only tunes performance
-        return _WIDTHS[key]
-    us = epoch_us(ts)
-    stats = [F.count(F.lit(1)).alias("_n"), (F.max(us) - F.min(us)).alias("_span")]
-    per = df.groupBy(*s).agg(*stats) if s else df.agg(*stats)
-    rate = per.agg(F.max(F.col("_n") / F.greatest(F.col("_span"), F.lit(1)).cast("double"))).first()[0]
-    width = MAX_CHUNK_US if not rate else int(max(MIN_CHUNK_US, min(MAX_CHUNK_US, target_rows / rate)))
-    if len(_WIDTHS) > 4096:
-        _WIDTHS.clear()
-    _WIDTHS[key] = width
-    return width
-
-
-def chunk_of(df: DataFrame, series, ts: str, chunk_us: int | None = None) -> Column:
-    """:func:`time_chunk` with the given width, or one measured by
-    :func:`chunk_width` when ``chunk_us`` is None."""
-    return time_chunk(ts, chunk_us if chunk_us else chunk_width(df, series, ts))
+def chunk_of(ts: str, chunk_us: int | None) -> Column | None:
+    """:func:`time_chunk` of a given width; None (chunks by counted rows) without one."""
+    return time_chunk(ts, chunk_us) if chunk_us else None
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -87,13 +59,25 @@ def materialize(df: DataFrame) -> DataFrame:
     A table (unlike an RDD checkpoint) keeps column pruning, filter pushdown and
     real size statistics for adaptive execution, and it survives executor loss.
     """
-    from cadence.session import checkpoint_dir
-    path = checkpoint_dir(df.sparkSession, "table")
+    from cadence.session import written_path
+    path = written_path(df.sparkSession, "table")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _by_chunk(df: DataFrame, series, chunk: Column) -> DataFrame:
+def ranged(df: DataFrame, series, order) -> DataFrame:
+    """``df`` written once with ``_ck``, the number of the range of (series, order)
+    that a row falls in. Ranges hold about equally many rows whatever the series;
+    rows that agree in all of (series, order) stay together."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in [*series, *order]]
+    return materialize(df.repartitionByRange(*keys).withColumn("_ck", F.spark_partition_id()))
+
+
+def _chunked(df: DataFrame, series, order, chunk: Column | None) -> DataFrame:
+    return ranged(df, series, order) if chunk is None else df.withColumn("_ck", chunk)
+
+
+def _by_chunk(d: DataFrame, series) -> DataFrame:
     """Rows hashed on the full (series, chunk) key.
 
     Spark accepts input hashed on a *subset* of a window's partition keys, so
@@ -101,19 +85,26 @@ def _by_chunk(df: DataFrame, series, chunk: Column) -> DataFrame:
     it) would keep a hot series in one task; the explicit repartition rules
     that out, and costs nothing extra when a shuffle was needed anyway.
     """
-    return df.withColumn("_ck", chunk).repartition(*series, "_ck")
+    return d.repartition(*series, "_ck")
 
 
-def _carry(df: DataFrame, series, chunk: Column, summary: dict, carry: dict) -> DataFrame:
+def _carry(d: DataFrame, series, summary: dict, carry: dict) -> DataFrame:
     """Per-(series, chunk) table of values carried over from other chunks:
     ``summary`` aggregates each chunk (partial aggregation, one row per chunk),
     ``carry`` combines them with windows over the chunk order of a series."""
-    d = df.withColumn("_ck", chunk)
     summ = d.groupBy(*series, "_ck").agg(*[v.alias(k) for k, v in summary.items()])
     return summ.select(*series, "_ck", *[v.alias(k) for k, v in carry.items()])
 
 
-def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn",
+def _with(d: DataFrame, summ: DataFrame, series) -> DataFrame:
+    """Rows with the carried values of their chunk; null keys match null keys."""
+    keys = [*series, "_ck"]
+    summ = summ.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    cond = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return d.join(summ, cond, "inner").drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def row_index(df: DataFrame, series, order, chunk: Column | None = None, name: str = "rn",
               total: str | None = None) -> DataFrame:
     """1-based position of each row in its series, by ``order``; with
     ``total``, also the series' row count (taken from the same per-chunk
@@ -123,26 +114,28 @@ def row_index(df: DataFrame, series, order, chunk: Column, name: str = "rn",
     when ``ts`` leads the order).
     """
     series, order = _cols(series), _cols(order)
+    df = _chunked(df, series, order, chunk)
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
-    d = _by_chunk(df, series, chunk).withColumn("_rin", F.row_number().over(w))
+    d = _by_chunk(df, series).withColumn("_rin", F.row_number().over(w))
     earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     carry = {"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")}
     if total:
         carry[total] = F.sum("_n").over(Window.partitionBy(*series)).cast("long")
-    summ = _carry(df, series, chunk, {"_n": F.count(F.lit(1))}, carry)
-    out = d.join(summ, [*series, "_ck"], "inner")
+    summ = _carry(df, series, {"_n": F.count(F.lit(1))}, carry)
+    out = _with(d, summ, series)
     return out.withColumn(name, F.col("_rin") + F.col("_off")).drop("_ck", "_off", "_rin")
 
 
-def running_sum(df: DataFrame, series, order, chunk: Column, value: str, name: str) -> DataFrame:
+def running_sum(df: DataFrame, series, order, chunk: Column | None, value: str, name: str) -> DataFrame:
     """Cumulative sum of ``value`` along the series (nulls skipped)."""
     series, order = _cols(series), _cols(order)
+    df = _chunked(df, series, order, chunk)
     w = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = _by_chunk(df, series, chunk).withColumn("_in", F.sum(value).over(w))
+    d = _by_chunk(df, series).withColumn("_in", F.sum(value).over(w))
     earlier = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    summ = _carry(df, series, chunk, {"_s": F.sum(value)},
+    summ = _carry(df, series, {"_s": F.sum(value)},
                   {"_carry": F.sum("_s").over(earlier)})  # null while no value seen yet
-    out = d.join(summ, [*series, "_ck"], "inner")
+    out = _with(d, summ, series)
     total = (F.when(F.col("_in").isNull() & F.col("_carry").isNull(), F.lit(None))
               .otherwise(F.coalesce(F.col("_in"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))))
     return out.withColumn(name, total).drop("_ck", "_carry", "_in")
@@ -152,46 +145,49 @@ def _key(order) -> Column:
     return F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
 
 
-def previous(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_prev") -> DataFrame:
+def previous(df: DataFrame, series, order, chunk: Column | None, cols, suffix: str = "_prev") -> DataFrame:
     """``lag(c, 1)`` along the series for every ``c`` in ``cols``."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
+    df = _chunked(df, series, order, chunk)
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
-    d = _by_chunk(df, series, chunk).select(
+    d = _by_chunk(df, series).select(
         "*", (F.row_number().over(w) == 1).alias("_first"),
         *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
     before = Window.partitionBy(*series).orderBy("_ck")
-    summ = _carry(df, series, chunk, {f"_last_{c}": F.max_by(F.col(c), _key(order)) for c in cols},
+    summ = _carry(df, series, {f"_last_{c}": F.max_by(F.col(c), _key(order)) for c in cols},
                   {f"_carry_{c}": F.lag(f"_last_{c}").over(before) for c in cols})
-    out = d.join(summ, [*series, "_ck"], "inner")
+    out = _with(d, summ, series)
     out = out.select("*", *[F.when(F.col("_first"), F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}"))
                             .alias(f"{c}{suffix}") for c in cols])
     return out.drop("_ck", "_first", *[f"_carry_{c}" for c in cols], *[f"_lag_{c}" for c in cols])
 
 
-def following(df: DataFrame, series, order, chunk: Column, cols, suffix: str = "_next") -> DataFrame:
+def following(df: DataFrame, series, order, chunk: Column | None, cols, suffix: str = "_next") -> DataFrame:
     """``lead(c, 1)`` along the series for every ``c`` in ``cols``."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
+    df = _chunked(df, series, order, chunk)
     w = Window.partitionBy(*series, "_ck").orderBy(*order)
     # the last-row flag comes from the same window as the leads, so ties in
     # the order cannot make them disagree
-    d = _by_chunk(df, series, chunk).select(
+    d = _by_chunk(df, series).select(
         "*", F.lead(F.lit(1)).over(w).isNull().alias("_last"),
         *[F.lead(c).over(w).alias(f"_lead_{c}") for c in cols])
     after = Window.partitionBy(*series).orderBy("_ck")
-    summ = _carry(df, series, chunk, {f"_first_{c}": F.min_by(F.col(c), _key(order)) for c in cols},
+    summ = _carry(df, series, {f"_first_{c}": F.min_by(F.col(c), _key(order)) for c in cols},
                   {f"_carry_{c}": F.lead(f"_first_{c}").over(after) for c in cols})
-    out = d.join(summ, [*series, "_ck"], "inner")
+    out = _with(d, summ, series)
     out = out.select("*", *[F.when(F.col("_last"), F.col(f"_carry_{c}")).otherwise(F.col(f"_lead_{c}"))
                             .alias(f"{c}{suffix}") for c in cols])
     return out.drop("_ck", "_last", *[f"_carry_{c}" for c in cols], *[f"_lead_{c}" for c in cols])
 
 
-def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str) -> DataFrame:
+def nearest_valid(df: DataFrame, series, order, chunk: Column | None, cols, stamp: str) -> DataFrame:
     """For every ``c`` in ``cols`` add ``c_prv`` / ``c_nxt``: ``struct(t, v)``
     of the last row at or before / the first row at or after the current one
     where ``c`` is not null (``t`` = value of ``stamp`` there). Both directions
     share one per-chunk summary and one join."""
     series, order, cols = _cols(series), _cols(order), _cols(cols)
+    df = _chunked(df, series, order, chunk)
     key = _key(order)
 
     def val(c):
@@ -206,7 +202,7 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str)
     desc = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
     wb = Window.partitionBy(*series, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     wa = Window.partitionBy(*series, "_ck").orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
-    d = _by_chunk(df, series, chunk).select(
+    d = _by_chunk(df, series).select(
         "*", *[F.last(val(c), ignorenulls=True).over(wb).alias(f"_ib_{c}") for c in cols],
         *[F.last(val(c), ignorenulls=True).over(wa).alias(f"_ia_{c}") for c in cols])
     before = Window.partitionBy(*series).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
@@ -217,7 +213,7 @@ def nearest_valid(df: DataFrame, series, order, chunk: Column, cols, stamp: str)
         summary[f"_f_{c}"] = F.min_by(val(c), keyed(c))
         carry[f"_cl_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(before)
         carry[f"_cf_{c}"] = F.last(f"_f_{c}", ignorenulls=True).over(after)
-    out = d.join(_carry(df, series, chunk, summary, carry), [*series, "_ck"], "inner")
+    out = _with(d, _carry(df, series, summary, carry), series)
     out = out.select("*", *[F.coalesce(F.col(f"_ib_{c}"), F.col(f"_cl_{c}")).alias(f"{c}_prv") for c in cols],
                      *[F.coalesce(F.col(f"_ia_{c}"), F.col(f"_cf_{c}")).alias(f"{c}_nxt") for c in cols])
     drop = [f"_{p}_{c}" for c in cols for p in ("ib", "ia", "cl", "cf")]

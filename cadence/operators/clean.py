@@ -46,15 +46,16 @@ def clean_tasks(tasks: DataFrame, endpoints: DataFrame, functions: DataFrame,
                 type_categories=None, version_categories=None) -> DataFrame:
     """Joined, null-free, per-task rows with stage durations and one-hots.
 
-    Categories default to the distinct values in the joined rows (one small
-    aggregate); pass them to keep the plan free of that extra job.
+    Categories default to those of the endpoints that occur in the tasks (one
+    aggregate over the dimension and the tasks' key column); pass lists (empty ones
+    where no one-hots are wanted) to keep the plan free of that job.
     """
     t = tasks.drop("anonymized_user_uuid")
     f = functions.drop("function_body_uuid")
     j = t.join(endpoints, "endpoint_uuid", "inner").join(f, "function_uuid", "inner").dropna("any")
     if type_categories is None or version_categories is None:
-        # one job for both lists: the distinct (type, version) pairs, bounded
-        pairs = distinct_pairs(j, "endpoint_type", "endpoint_version")
+        occurring = endpoints.join(t.select("endpoint_uuid").distinct(), "endpoint_uuid", "left_semi")
+        pairs = distinct_pairs(occurring, "endpoint_type", "endpoint_version")  # one job for both lists
         if type_categories is None:
             type_categories = sorted({a for a, _ in pairs if a is not None})
         if version_categories is None:

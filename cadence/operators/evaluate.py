@@ -31,8 +31,8 @@ def positional_join(a: DataFrame, b: DataFrame, series, ts_a: str, ts_b: str,
     """Pair the i-th row of ``a`` with the i-th row of ``b`` per series (J5,
     positional form), using chunked per-series row numbers on both sides."""
     s = _keys(series)
-    ra = row_index(a, s, [ts_a], chunk_of(a, s, ts_a, chunk_us), "_pos")
-    rb = row_index(b, s, [ts_b], chunk_of(b, s, ts_b, chunk_us), "_pos")
+    ra = row_index(a, s, [ts_a], chunk_of(ts_a, chunk_us), "_pos")
+    rb = row_index(b, s, [ts_b], chunk_of(ts_b, chunk_us), "_pos")
     return ra.join(rb, [*s, "_pos"], "inner")
 
 

@@ -28,26 +28,19 @@ def workload_features(df: DataFrame, series, ts: str, unit: str = "second",
     return df.groupBy(*series, bucket_start(ts, unit).alias(out_ts)).agg(*aggs)
 
 
-def distinct_values(df: DataFrame, col: str, max_values: int = 10_000) -> list:
+def distinct_values(df: DataFrame, col: str) -> list:
     """Sorted distinct non-null values of a category column.
 
-    Runs one aggregate; the result is bounded by ``max_values`` and the call
-    fails instead of pulling an unbounded list to the driver.
+    One aggregate. The list becomes the columns of a wide table, so it is as long
+    as that table's schema; :func:`one_hot_long` needs no list.
     """
-    rows = (df.select(col).where(F.col(col).isNotNull()).distinct()
-              .orderBy(col).limit(max_values + 1).collect())
-    if len(rows) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values; pin the categories")
-    return [r[0] for r in rows]
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
-def distinct_pairs(df: DataFrame, a: str, b: str, max_values: int = 10_000) -> list[tuple]:
+def distinct_pairs(df: DataFrame, a: str, b: str) -> list[tuple]:
     """Distinct ``(a, b)`` value pairs in one aggregate (A5 for two category
-    columns at once); bounded like :func:`distinct_values`."""
-    rows = df.select(a, b).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"({a}, {b}) has more than {max_values} distinct pairs; pin the categories")
-    return [(r[0], r[1]) for r in rows]
+    columns at once); for column lists, as :func:`distinct_values`."""
+    return [(r[0], r[1]) for r in df.select(a, b).distinct().collect()]
 
 
 def distinct_rows(df: DataFrame, cols) -> DataFrame:
@@ -64,6 +57,13 @@ def one_hot(df: DataFrame, col: str, prefix: str, categories=None, drop: bool =
     return out.drop(col) if drop else out
 
 
+def one_hot_long(df: DataFrame, ids, col: str) -> DataFrame:
+    """The ones of a one-hot table as rows (R2 for open-ended categories): ``ids``,
+    ``category`` and ``hit`` = 1; nulls have no category. No list, no shuffle."""
+    ids = [ids] if isinstance(ids, str) else list(ids)
+    return df.where(F.col(col).isNotNull()).select(*ids, F.col(col).alias("category"), F.lit(1).alias("hit"))
+
+
 def melt_nonzero(df: DataFrame, ids, value_cols, var: str = "minute", value: str = "invocations",
                  keep_null: bool = True) -> DataFrame:
     """Wide -> long over ``value_cols``, dropping zero cells (R1 + P11).

@@ -11,6 +11,7 @@ tasks), so no series' data ever leaves Spark's partitions.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int | N
     s, exog = _series(series), list(exog)
     cols = [y] + exog
     d = df.select(*s, ts, *cols)
-    d = row_index(d, s, [ts], chunk_of(d, s, ts, chunk_us), "_rn")
+    d = row_index(d, s, [ts], chunk_of(ts, chunk_us), "_rn")
     b = row_blocks(d, s, "_rn", 2, 0).repartition(*s, "_blk")
     w = Window.partitionBy(*s, "_blk").orderBy("_rn")
     lags = []
@@ -187,14 +188,21 @@ def forecast_arx_diff(params: DataFrame, state: DataFrame, future: DataFrame, se
 
 
 def linear_huber(df: DataFrame, features, label: str, epsilon: float = 1.35, max_iter: int = 100):
-    """Huber-loss linear regression (M7) with Spark ML (distributed L-BFGS);
-    returns ``(coefficients, intercept, scale)`` as a one-row DataFrame."""
+    """Huber-loss linear regression (M7) with Spark ML (distributed L-BFGS); one row
+    ``(coefficients, intercept, scale, n, n_left_out, iterations, converged)``. Rows
+    with a null or non-finite value can't be fitted: they are left out and counted."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="skip")
-    data = va.transform(df.select(*features, F.col(label).cast("double").alias("_y"))).select("_f", "_y")
+    va = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="error")
+    cols = [F.col(c).cast("double").alias(c) for c in features] + [F.col(label).cast("double").alias("_y")]
+    finite = [F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(c) for c in [*features, "_y"]]
+    rows = df.select(*cols).withColumn("_ok", reduce(lambda x, y: x & y, finite))
+    counts = rows.agg(F.count_if("_ok").alias("n"), F.count_if(~F.col("_ok")).alias("out")).first()
+    data = va.transform(rows.where("_ok")).select("_f", "_y")
     model = LinearRegression(featuresCol="_f", labelCol="_y", loss="huber", epsilon=epsilon,
                              maxIter=max_iter, regParam=0.0).fit(data)
     spark = df.sparkSession
-    return spark.createDataFrame([(list(map(float, model.coefficients)), float(model.intercept),
-                                   float(model.scale))], "coefficients array<double>, intercept double, scale double")
+    done = model.summary.totalIterations
+    return spark.createDataFrame(
+        [(list(map(float, model.coefficients)), float(model.intercept), float(model.scale), counts["n"], counts["out"], done, done < max_iter)],
+        "coefficients array<double>, intercept double, scale double, n long, n_left_out long, iterations int, converged boolean")

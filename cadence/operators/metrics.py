@@ -16,7 +16,7 @@ from cadence.functions.labels import label, label_match
 from cadence.functions.time import epoch_us
 from pyspark.sql import Window
 
-from cadence.operators.blocks import chunk_of, chunk_width, previous, time_blocks, time_chunk
+from cadence.operators.blocks import chunk_of, previous, time_blocks
 
 
 def match_labels(df: DataFrame, matchers, name: str | None = None, name_regex: str | None = None,
@@ -51,7 +51,7 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
     """
     range_us, step_us = range_s * 1_000_000, step_s * 1_000_000
     d = df.withColumn("_sid", series_key(labels))
-    d = previous(d, ["name", "_sid"], ["ts"], chunk_of(d, ["name", "_sid"], "ts", chunk_us), ["value"], "_prev")
+    d = previous(d, ["name", "_sid"], ["ts"], chunk_of("ts", chunk_us), ["value"], "_prev")
     inc = (F.when(F.col("value_prev").isNull(), F.lit(0.0))
             .when(F.col("value") < F.col("value_prev"), F.col("value"))
             .otherwise(F.col("value") - F.col("value_prev")))
@@ -82,13 +82,12 @@ def counter_rate_at_samples(df: DataFrame, range_s: int, labels: str = "labels",
     """
     range_us = range_s * 1_000_000
     d = df.withColumn("_sid", series_key(labels))
-    chunk_us = chunk_us or chunk_width(d, ["name", "_sid"], "ts")
-    d = previous(d, ["name", "_sid"], ["ts"], time_chunk("ts", chunk_us), ["value"], "_prev")
+    d = previous(d, ["name", "_sid"], ["ts"], chunk_of("ts", chunk_us), ["value"], "_prev")
     d = d.withColumn("_inc", F.when(F.col("value_prev").isNull(), F.lit(0.0))
                      .when(F.col("value") < F.col("value_prev"), F.col("value"))
                      .otherwise(F.col("value") - F.col("value_prev")))
     b = time_blocks(d, ["name", "_sid"], "ts", before_us=range_us, after_us=0,
-                    width_us=max(chunk_us, range_us)).repartition("name", "_sid", "_blk")
+                    width_us=range_us).repartition("name", "_sid", "_blk")
     w = Window.partitionBy("name", "_sid", "_blk").orderBy("_us").rangeBetween(-(range_us - 1), 0)
     b = b.select("*", F.count(F.lit(1)).over(w).alias("_n"), F.min("_us").over(w).alias("_t0"),
                  F.sum("_inc").over(w).alias("_s"), F.first("_inc").over(w).alias("_i0"))

@@ -50,23 +50,28 @@ def _attach(df, params, series, features):
     # One row per series: Spark's adaptive execution broadcasts it when its
     # measured size is small and falls back to a (skew-split) shuffle join.
     if s:
-        return df.join(w, s, "inner")
+        keys = {k: f"_p{i}" for i, k in enumerate(s)}
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in keys.items()]
+        return df.join(w.withColumnsRenamed(keys), same, "left").drop(*keys.values())
     packed = w.select(F.struct(*w.columns).alias("p")).scalar()
     return df.select("*", *[packed[c].alias(c) for c in w.columns])
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, series, cols) -> DataFrame:
-    """Scale ``cols`` in place (M3)."""
+    """Scale ``cols`` in place (M3). Nulls stay null, a zero std gives 0.0, and a
+    series without parameters keeps its rows, with nulls."""
     d = _attach(df, params, series, cols)
     for c in cols:
         m = F.when(F.col("_wm") == 1, F.col(f"m__{c}")).otherwise(F.lit(0.0))
         s = F.col(f"s__{c}")
-        d = d.withColumn(c, F.when(s == 0, F.lit(0.0)).otherwise((F.col(c) - m) / s))
+        d = d.withColumn(c, F.when((s == 0) & F.col(c).isNotNull(), F.lit(0.0)).otherwise((F.col(c) - m) / F.nullif(s, F.lit(0.0))))
     return d.drop(*[f"m__{c}" for c in cols], *[f"s__{c}" for c in cols], "_wm")
 
 
 def inverse_scaler(df: DataFrame, params: DataFrame, series, mapping: dict) -> DataFrame:
-    """Undo the scaling (M4/F16): ``v * std (+ mean if centred)``.
+    """Undo the scaling (M4/F16): ``v * std (+ mean if centred)``, and the mean
+    itself for a column that was constant. Nulls stay null; a series without
+    parameters keeps its rows, with nulls.
 
     ``mapping`` is ``{column: feature}``, so predicted and actual columns can
     share one feature's parameters.
@@ -75,5 +80,6 @@ def inverse_scaler(df: DataFrame, params: DataFrame, series, mapping: dict) -> D
     d = _attach(df, params, series, features)
     for c, f in mapping.items():
         m = F.when(F.col("_wm") == 1, F.col(f"m__{f}")).otherwise(F.lit(0.0))
-        d = d.withColumn(c, F.col(c) * F.col(f"s__{f}") + m)
+        s = F.col(f"s__{f}")
+        d = d.withColumn(c, F.when((s == 0) & F.col(c).isNotNull(), F.col(f"m__{f}")).otherwise(F.col(c) * s + m))
     return d.drop(*[f"m__{f}" for f in features], *[f"s__{f}" for f in features], "_wm")

@@ -22,7 +22,7 @@ def _windows(df, series, ts, fields, length, tiebreak, chunk_us, block):
     s = _series(series)
     order = [ts] + ([tiebreak] if tiebreak else [])
     d = df.select(*s, *dict.fromkeys(order + list(fields)))
-    d = row_index(d, s, order, chunk_of(d, s, ts, chunk_us), "_rn")
+    d = row_index(d, s, order, chunk_of(ts, chunk_us), "_rn")
     rows = F.struct(*[F.col(f) for f in dict.fromkeys([ts] + list(fields))])
     w = framed(d, s, "_rn", 0, length - 1,
                {"_w": lambda win: F.collect_list(rows).over(win)}, block)

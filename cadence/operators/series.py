@@ -48,7 +48,7 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int |
            .drop("_t0"))
     if checkpoint:
         d = materialize(d)
-    d = following(d, s, [ts], chunk_of(d, s, ts, chunk_us), [ts], "_next")
+    d = following(d, s, [ts], chunk_of(ts, chunk_us), [ts], "_next")
     gaps = d.select(*s, epoch_us(ts).alias("_a"), epoch_us(f"{ts}_next").alias("_b")).filter("_b is not null")
     gaps = gaps.withColumn("_m", F.floor((F.col("_b") - F.col("_a")) / F.lit(step_us)).cast("long") - 1)
     gaps = gaps.filter("_m > 0")
@@ -75,7 +75,7 @@ def interpolate_time(df: DataFrame, series, ts: str, cols, chunk_us: int | None
     d = df.withColumn("_us", epoch_us(ts))
     if checkpoint:
         d = materialize(d)
-    d = nearest_valid(d, s, [ts], chunk_of(d, s, ts, chunk_us), cols, "_us")
+    d = nearest_valid(d, s, [ts], chunk_of(ts, chunk_us), cols, "_us")
     for c in cols:
         p, n = F.col(f"{c}_prv"), F.col(f"{c}_nxt")
         slope = (n["v"] - p["v"]) / (n["t"] - p["t"])
@@ -115,7 +115,7 @@ def time_diffs(df: DataFrame, series, ts: str, chunk_us: int | None = None, tieb
     """Seconds since the previous row of the series (W5, F13); null first."""
     s = _series(series)
     order = [ts] + ([tiebreak] if tiebreak else [])
-    d = previous(df, s, order, chunk_of(df, s, ts, chunk_us), [ts], "_prev")
+    d = previous(df, s, order, chunk_of(ts, chunk_us), [ts], "_prev")
     return d.withColumn(name, (epoch_us(ts) - epoch_us(f"{ts}_prev")) / F.lit(1e6)).drop(f"{ts}_prev")
 
 
@@ -205,7 +205,7 @@ def rolling_mean_full(df: DataFrame, series, ts: str, col: str, n: int = 56, nam
     ``n`` hold a value (W6)."""
     s = _series(series)
     name = name or f"{col}_rolling"
-    d = row_index(df, s, [ts], chunk_of(df, s, ts, chunk_us), "_rn")
+    d = row_index(df, s, [ts], chunk_of(ts, chunk_us), "_rn")
     out = framed(d, s, "_rn", -(n - 1), 0, {
         "_m": lambda w: F.avg(col).over(w),
         "_c": lambda w: F.count(col).over(w)})
@@ -220,7 +220,7 @@ def rolling_forecast(df: DataFrame, series, ts: str, cols, n: int = 7, chunk_us:
     s = _series(series)
     order = [ts] + ([tiebreak] if tiebreak else [])
     d = df.select(*s, *order, *cols)
-    d = row_index(d, s, order, chunk_of(d, s, ts, chunk_us), "_rn")
+    d = row_index(d, s, order, chunk_of(ts, chunk_us), "_rn")
     exprs = {f"predicted_{c}": (lambda c: lambda w: F.avg(c).over(w))(c) for c in cols}
     exprs["_k"] = lambda w: F.count(F.lit(1)).over(w)
     out = framed(d, s, "_rn", -n, -1, exprs).filter("_k > 0")

@@ -45,7 +45,7 @@ def time_holdout(df: DataFrame, ts: str, series=None, days: int = 7, split_col:
 def _ordered(df, series, ts, tiebreak, chunk_us):
     """Position ``_rn`` and series length ``_n`` from one chunked pass."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    return row_index(df, series, order, chunk_of(df, series, ts, chunk_us), "_rn", total="_n")
+    return row_index(df, series, order, chunk_of(ts, chunk_us), "_rn", total="_n")
 
 
 def tail_holdout(df: DataFrame, series, ts: str, fraction: float = 0.2, tiebreak: str | None = None,

@@ -24,7 +24,7 @@ from cadence.operators import federated as FD
 from cadence.operators import forecast as FC
 from cadence.operators import metrics as MT
 from cadence.operators import series as SR
-from cadence.operators.blocks import chunk_of, materialize, row_index
+from cadence.operators.blocks import materialize, row_index
 from cadence.functions.labels import label
 from cadence import streaming as STR
 from cadence.plans.report import report
@@ -32,8 +32,8 @@ from cadence.plans.training import INPUTS, TARGETS, event_features, training_win
 from cadence.sources import standins as ST
 from cadence.sources.tables import load
 
-# Chunk widths of the per-series operators are measured on the data
-# (blocks.chunk_width), so the same queries hold when a series is 1000x longer.
+# The per-series operators cut series by counted rows (blocks.ranged), so the
+# same queries hold when a series is 1000x longer.
 
 
 class Tables:
@@ -48,18 +48,18 @@ class Tables:
 
 def q_training_windows(spark, root):
     t = Tables(spark, root)
-    feats = event_features(t.events, "day")
+    feats = event_features(t.events, "hour")
     return report(training_windows(feats, "user_id", "ts", INPUTS, TARGETS, k=10, holdout_days=7,
                                    L=7, H=7))
 
 
 # --------------------------------------------------------------------------- cleaning
 
-def _clean(t: Tables) -> DataFrame:
+def _clean(t: Tables, *categories) -> DataFrame:
     tasks = ST.tasks_from_orders(t.lineitem, t.orders)
     endpoints = ST.endpoints_from_suppliers(t.supplier, t.nation, t.region)
     functions = ST.functions_from_parts(t.part)
-    return C.clean_tasks(tasks, endpoints, functions)
+    return C.clean_tasks(tasks, endpoints, functions, *categories)
 
 
 def q_star_clean(spark, root):
@@ -391,7 +391,7 @@ def q_arx_forecast(spark, root):
     rows = FC.diff_rows(train, "user_id", "ts", "sum_value", FED_X)
     p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
     state = FC.last_state(train, "user_id", "ts", "sum_value", FED_X)
-    fut = row_index(test, ["user_id"], ["ts"], chunk_of(test, ["user_id"], "ts"), "h")
+    fut = row_index(test, ["user_id"], ["ts"], name="h")
     fc = FC.forecast_arx_diff(p, state, fut.select("user_id", "h", "ts", "sum_value", *FED_X), "user_id", FED_X)
     return report(fc.select("user_id", "h", "ts", F.col("sum_value").alias("actual"), "forecast"))
 
@@ -524,15 +524,15 @@ TASK_TARGETS = ["avg_total_execution_time", "avg_system_processing_time"]
 
 def q_task_windows(spark, root):
     """Clean tasks -> per-(endpoint, second) features -> ten busiest endpoints
-    -> 7-day holdout -> scaler fitted on train -> 7-in / 7-out windows."""
-    d = _clean(Tables(spark, root))
+    -> one-year holdout (as many tasks as a window needs) -> scaler fitted on train -> 7-in / 7-out windows."""
+    d = _clean(Tables(spark, root), [], [])
     d = d.withColumn("system_processing_time",
                      F.col("scheduling_time") + F.col("queue_time") + F.col("execution_time"))
     f = FE.workload_features(d, "endpoint_uuid", "timestamp", "second", count_as="invocations",
                              means=["loc", "cyc_complexity", "num_of_imports", "argument_size",
                                     "total_execution_time", "system_processing_time"], out_ts="ts")
     return report(training_windows(f, "endpoint_uuid", "ts", TASK_INPUTS, TASK_TARGETS, k=10,
-                                   holdout_days=7, L=7, H=7))
+                                   holdout_days=365, L=7, H=7))
 
 
 QUERIES = {

@@ -2,17 +2,23 @@
 
 Views ``region nation customer supplier part orders lineitem events documents
 embeddings pages benchmark labels conversations`` are registered by the caller.
-Floating outputs are rounded to 6 decimals, as the Spark side does.
+Floating outputs are rounded to 9 significant digits, as the Spark side does.
 """
 
 from __future__ import annotations
 
 
+def _significant(x: str, n: int) -> str:
+    e = f"({n - 1}.0 - floor(log10(greatest(abs({x}), 1e-300))))"
+    up, down = f"pow(10.0, greatest({e}, 0.0))", f"pow(10.0, greatest(-{e}, 0.0))"
+    return f"floor({x} * {up} / {down} + 0.5) * {down} / {up}"
+
+
 def R(x: str) -> str:
-    """Same arithmetic as ``cadence.plans.report.fixed``: snap to 9 decimals,
-    then round half up to 6 (identical in both engines for identical inputs)."""
-    return (f"(CASE WHEN abs({x}) < 1e6 THEN floor(floor(({x}) * 1e9 + 0.5) / 1e3 + 0.5) / 1e6 "
-            f"WHEN abs({x}) < 1e9 THEN floor(({x}) * 1e6 + 0.5) / 1e6 ELSE ({x}) END)")
+    """Same arithmetic as ``cadence.plans.report.fixed``: snapped to 12 significant
+    digits, then half up to 9 (identical in both engines for identical inputs)."""
+    snapped = f"list_transform([CAST({x} AS DOUBLE)], lambda a: CASE WHEN abs(a) < 1e-9 THEN 0.0 WHEN abs(a) < 1e300 THEN {_significant('a', 12)} ELSE a END)"
+    return f"list_transform({snapped}, lambda b: CASE WHEN b = 0 OR NOT abs(b) < 1e300 THEN b ELSE {_significant('b', 9)} END)[1]"
 
 
 def SD(x: str) -> str:
@@ -237,12 +243,12 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND {fram
 
 
 SEQUENCES_FUTURE = f"""
-SELECT user_id, tl[1:7] AS ts_seq, il[1:7] AS invocations_seq, {RL('al[1:7]')} AS avg_value_seq,
-       tl[8:14] AS ts_target, {RL('xl[8:14]')} AS max_value_target, {RL('sl[8:14]')} AS sum_value_target
+SELECT user_id, list_transform(tl[1:7], lambda v: epoch_us(v)) AS ts_seq, il[1:7] AS invocations_seq, {RL('al[1:7]')} AS avg_value_seq,
+       list_transform(tl[8:14], lambda v: epoch_us(v)) AS ts_target, {RL('xl[8:14]')} AS max_value_target, {RL('sl[8:14]')} AS sum_value_target
 FROM ({_windows(14)}) WHERE len(tl) = 14"""
 
 SEQUENCES_SAME = f"""
-SELECT user_id, tl AS ts_seq, il AS invocations_seq, {RL('al')} AS avg_value_seq,
+SELECT user_id, list_transform(tl, lambda v: epoch_us(v)) AS ts_seq, il AS invocations_seq, {RL('al')} AS avg_value_seq,
        {RL('xl')} AS max_value_target, {RL('sl')} AS sum_value_target
 FROM ({_windows(7)}) WHERE len(tl) = 7"""
 
@@ -252,11 +258,11 @@ SELECT user_id, tl[1] AS ts_seq_first, {R('xl[1]')} AS max_value_target_first,
 FROM ({_windows(7)}) WHERE len(tl) = 7"""
 
 STACK_STEPS = f"""
-SELECT user_id, tl AS ts_seq, list_transform(ml, lambda r: {RL('r')}) AS x
+SELECT user_id, list_transform(tl, lambda v: epoch_us(v)) AS ts_seq, list_transform(ml, lambda r: {RL('r')}) AS x
 FROM ({_windows(7)}) WHERE len(tl) = 7"""
 
 TRAINING_WINDOWS = f"""
-WITH f AS ({feats('day')}),
+WITH f AS ({feats('hour')}),
 top AS (SELECT user_id FROM f GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10),
 sp AS (SELECT f.*, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY user_id) - 7
                         THEN 'train' ELSE 'test' END AS split
@@ -264,12 +270,12 @@ sp AS (SELECT f.*, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PART
 p AS ({_wide("SELECT * FROM sp WHERE split = 'train'")}),
 sc AS (SELECT user_id, split, ts,
          {", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE {c} / s_{c} END AS {c}" for c in SCALE_COLS)}
-       FROM sp JOIN p USING (user_id)),
+       FROM sp LEFT JOIN p USING (user_id)),
 w AS (SELECT user_id, split, list(ts) OVER win AS tl, list(invocations) OVER win AS il,
              list(avg_value) OVER win AS al, list(max_value) OVER win AS xl, list(sum_value) OVER win AS sl
       FROM sc WINDOW win AS (PARTITION BY user_id, split ORDER BY ts ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING))
-SELECT user_id, split, tl[1:7] AS ts_seq, {RL('il[1:7]')} AS invocations_seq, {RL('al[1:7]')} AS avg_value_seq,
-       tl[8:14] AS ts_target, {RL('xl[8:14]')} AS max_value_target, {RL('sl[8:14]')} AS sum_value_target
+SELECT user_id, split, list_transform(tl[1:7], lambda v: epoch_us(v)) AS ts_seq, {RL('il[1:7]')} AS invocations_seq, {RL('al[1:7]')} AS avg_value_seq,
+       list_transform(tl[8:14], lambda v: epoch_us(v)) AS ts_target, {RL('xl[8:14]')} AS max_value_target, {RL('sl[8:14]')} AS sum_value_target
 FROM w WHERE len(tl) = 14"""
 
 
@@ -614,21 +620,21 @@ f AS (SELECT endpoint_uuid, date_trunc('second', "timestamp") AS ts, count(*) AS
              avg(scheduling_time + queue_time + execution_time) AS avg_system_processing_time
       FROM clean GROUP BY 1, 2),
 top AS (SELECT endpoint_uuid FROM f GROUP BY 1 ORDER BY count(*) DESC, endpoint_uuid LIMIT 10),
-sp AS (SELECT f.*, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY endpoint_uuid) - 7
+sp AS (SELECT f.*, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY endpoint_uuid) - 365
                         THEN 'train' ELSE 'test' END AS split
        FROM f WHERE endpoint_uuid IN (SELECT endpoint_uuid FROM top)),
 p AS (SELECT endpoint_uuid, {", ".join(f"{SD(c)} AS s_{c}" for c in _TCOLS)}
       FROM sp WHERE split = 'train' GROUP BY 1),
 sc AS (SELECT endpoint_uuid, split, ts,
          {", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE {c} / s_{c} END AS {c}" for c in _TCOLS)}
-       FROM sp JOIN p USING (endpoint_uuid)),
+       FROM sp LEFT JOIN p USING (endpoint_uuid)),
 w AS (SELECT endpoint_uuid, split, list(ts) OVER win AS tl,
              {", ".join(f"list({c}) OVER win AS l_{c}" for c in _TCOLS)}
       FROM sc WINDOW win AS (PARTITION BY endpoint_uuid, split ORDER BY ts
                              ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING))
-SELECT endpoint_uuid, split, tl[1:7] AS ts_seq,
+SELECT endpoint_uuid, split, list_transform(tl[1:7], lambda v: epoch_us(v)) AS ts_seq,
        {", ".join(f"{RL(f'l_{c}[1:7]')} AS {c}_seq" for c in _TIN)},
-       tl[8:14] AS ts_target,
+       list_transform(tl[8:14], lambda v: epoch_us(v)) AS ts_target,
        {", ".join(f"{RL(f'l_{c}[8:14]')} AS {c}_target" for c in _TOUT)}
 FROM w WHERE len(tl) = 14"""
 

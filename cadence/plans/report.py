@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DataType, DoubleType, FloatType, TimestampNTZType,
                                TimestampType)
 
+#: Significant digits of a reported number, digits it is snapped to before (so that an
+#: exact half is one in any engine), and the size below which it counts as 0.
+DIGITS, SNAP, ZERO = 9, 12, 1e-9
+
+
+def _significant(c: Column, n: int) -> Column:
+    """Half up to ``n`` significant digits, in plain double arithmetic (another
+    engine doing the same steps gets the same value)."""
+    e = F.lit(n - 1.0) - F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e-300)))).cast("double")
+    up, down = F.pow(F.lit(10.0), F.greatest(e, F.lit(0.0))), F.pow(F.lit(10.0), F.greatest(-e, F.lit(0.0)))
+    return F.floor(c * up / down + 0.5).cast("double") * down / up
+
+
 def fixed(c: Column) -> Column:
-    """Snap to 9 decimals, then round half up to 6, with plain double
-    arithmetic (so another engine doing the same steps gets the same value);
-    magnitudes beyond the exact range of the steps are left as they are."""
+    """One rule for all magnitudes: DIGITS significant digits; below ZERO, 0."""
     a = F.abs(c)
-    return (F.when(a < 1e6, F.floor(F.floor(c * 1e9 + 0.5) / 1e3 + 0.5) / 1e6)
-             .when(a < 1e9, F.floor(c * 1e6 + 0.5) / 1e6)
-             .otherwise(c))
+    return (F.when(a < ZERO, F.lit(0.0)).when(a < 1e300, _significant(_significant(c, SNAP), DIGITS))
+             .otherwise(c))  # infinite or not a number
 
 
 def _fix(c: Column, dt: DataType) -> tuple[Column, bool]:
@@ -22,6 +32,8 @@ def _fix(c: Column, dt: DataType) -> tuple[Column, bool]:
         return fixed(c.cast("double")), True
     if isinstance(dt, TimestampType):
         return c.cast(TimestampNTZType()), True
+    if isinstance(dt, ArrayType) and isinstance(dt.elementType, (TimestampType, TimestampNTZType)):
+        return F.transform(c, lambda x: F.unix_micros(x.cast(TimestampType()))), True
     if isinstance(dt, ArrayType):
         _, changed = _fix(F.lit(None), dt.elementType)  # does the element type need it?
         if changed:
@@ -31,7 +43,7 @@ def _fix(c: Column, dt: DataType) -> tuple[Column, bool]:
 
 def report(df: DataFrame) -> DataFrame:
     """Round floating columns (also inside arrays) with :func:`fixed` and print
-    instants as UTC wall clock, so results compare across engines."""
+    instants as UTC wall clock (in arrays: microseconds since 1970), so results compare across engines."""
     cols = []
     for f in df.schema.fields:
         c, _ = _fix(F.col(f"`{f.name}`"), f.dataType)

@@ -7,9 +7,13 @@ already carry a value, so a cluster's own configuration wins.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,6 +65,54 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_WRITTEN: list[str] = []
+
+
+def written_path(spark: SparkSession, sub: str) -> str:
+    """A fresh path in the shared folder for a table that a query writes on its way;
+    :func:`drop_written` deletes them all."""
+    path = checkpoint_dir(spark, sub)
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that queries of this process have written on their way.
+    To be called when their results are no longer read; otherwise they stay until
+    the process ends."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            drop_written(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, as
+    ``--py-files`` would: they need not run in the folder of the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="cadence-ship-"), "cadence.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession, sub: str | None = None) -> str:
     """Shared folder for lineage cuts and streaming state.
 

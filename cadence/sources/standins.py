@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.blocks import chunk_of, materialize, running_sum
+from cadence.operators.blocks import materialize, running_sum
 
 NS_PER_S = 1_000_000_000
 
@@ -102,8 +102,8 @@ def samples_from_events(events: DataFrame, customer: DataFrame, nation: DataFram
                .withColumn("day", F.to_date("ts")))
     if checkpoint:  # two running sums below each read it twice
         e = materialize(e)
-    e = running_sum(e, ["user_id", "day"], ["ts", "event_id"], chunk_of(e, ["user_id", "day"], "ts"), "value", "cpu")
-    e = running_sum(e, ["user_id"], ["ts", "event_id"], chunk_of(e, ["user_id"], "ts"), "value", "rx")
+    e = running_sum(e, ["user_id", "day"], ["ts", "event_id"], None, "value", "cpu")
+    e = running_sum(e, ["user_id"], ["ts", "event_id"], None, "value", "rx")
     if checkpoint:  # read by the day-start aggregate and by the rows it is joined to
         e = materialize(e)
     starts = e.groupBy("user_id", "day").agg(F.min("ts").alias("start"))
@@ -130,9 +130,10 @@ def client_weights_from_embeddings(embeddings: DataFrame) -> DataFrame:
     base = embeddings.select(
         F.col("label").alias("round"), F.col("vec_id").alias("client"), _n_positive().alias("n"),
         F.transform("embedding", lambda x: x.cast("double")).alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
     layers = F.array(
-        F.struct(F.lit(0).alias("layer"), F.slice("w", 1, 32).alias("weights")),
-        F.struct(F.lit(1).alias("layer"), F.slice("w", 33, 32).alias("weights")))
+        F.struct(F.lit(0).alias("layer"), F.slice("w", 1, half).alias("weights")),
+        F.struct(F.lit(1).alias("layer"), F.slice("w", half + 1, F.size("w") - half).alias("weights")))
     return (base.select("round", "client", "n", F.explode(layers).alias("l"))
                 .select("round", "client", F.col("l.layer").alias("layer"), "n", F.col("l.weights").alias("weights")))
 

@@ -107,11 +107,24 @@ def test_hot_series_is_spread_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
 
 
-def test_chunk_width_follows_the_densest_series(spark):
-    from cadence.operators.blocks import chunk_width
-    hot = [(0, i * 10) for i in range(3001)]          # one row per 10 s
-    cold = [(1, i * 1000) for i in range(31)]         # one row per 1000 s
-    df = spark.createDataFrame(hot + cold, "s long, sec long").withColumn("ts", F.timestamp_seconds("sec"))
-    w = chunk_width(df, "s", "ts", target_rows=256)
-    assert w == pytest.approx(2560 * 1_000_000, rel=0.01)   # 256 rows of the hot series
-    assert chunk_width(df.filter("s = 1"), "s", "ts", target_rows=10) == pytest.approx(10 * 30_000 / 31 * 1e6, rel=0.01)
+def test_ranges_follow_the_rows(spark):
+    """A burst is cut by its rows, sparse series share ranges, nulls are keys."""
+    from cadence.operators.blocks import ranged
+    burst = spark.range(20_000).select(F.lit(1).cast("long").alias("s"), F.col("id"), F.timestamp_seconds(F.col("id") % 60).alias("ts"))
+    later = spark.range(1).select(F.lit(1).cast("long").alias("s"), (F.col("id") + 20_000).alias("id"), F.timestamp_seconds(F.lit(31_536_000)).alias("ts"))
+    sparse = spark.range(500).select((F.col("id") + 2).alias("s"), (F.col("id") + 30_000).alias("id"), F.timestamp_seconds(F.col("id") * 86_400).alias("ts"))
+    nulls = spark.range(6).select(F.lit(None).cast("long").alias("s"), (F.col("id") + 40_000).alias("id"),
+                                  F.when(F.col("id") < 3, F.timestamp_seconds("id")).alias("ts"))
+    df = burst.union(later).union(sparse).union(nulls).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = ranged(df, ["s"], ["ts", "id"]).groupBy("_ck").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(n) >= 3 and max(r["count"] for r in n) <= 2 * 20_507 / len(n)
+    got = row_index(df, "s", ["ts", "id"], name="rn")
+    ref = df.withColumn("rn", F.row_number().over(whole(df)))
+    assert by_id(got, "rn") == by_id(ref, "rn")
+    prev = previous(df, "s", ["ts", "id"], None, ["id"], "_p")
+    want = df.withColumn("id_p", F.lag("id").over(whole(df)))
+    assert by_id(prev, "id_p") == by_id(want, "id_p")
