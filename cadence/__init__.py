@@ -1,7 +1,8 @@
 """cadence: workload analytics and forecasting data work on Spark.
 
-Every public operator is a lazy ``DataFrame -> DataFrame`` function built on
-built-in Spark SQL expressions. Sub-packages:
+Every public operator is a ``DataFrame -> DataFrame`` function built on built-in
+Spark SQL expressions. Most are lazy; ordered operators first write their input in
+ranges to the shared folder, and one-hots without given categories list them. Sub-packages:
 
 * ``sources``   – typed readers, derived stand-in tables, sinks
 * ``functions`` – scalar column expressions (time parsing, names, labels, arrays)

@@ -332,8 +332,10 @@ def q_fed_rounds(spark, root):
 
 
 def q_fed_evaluate(spark, root):
-    d = _fed_data(spark, root)
-    split = SP.time_holdout(d, "ts", series="user_id", days=7)
+    cols = FED_X + [FED_Y]
+    raw = SP.time_holdout(_daily(Tables(spark, root)), "ts", series="user_id", days=7)
+    p = SC.fit_scaler(raw.filter("split = 'train'"), "user_id", cols, with_mean=True)  # no test row shapes the scale
+    split = SC.apply_scaler(raw, p, "user_id", cols).dropna(subset=cols)  # a client without train rows has no scale
     g = FD.client_gram(split.filter("split = 'train'"), "user_id", FED_X, FED_Y)
     hist = FD.fed_rounds(g, "user_id", rounds=20, lr=0.1, steps=1)
     w = [float(x) for x in hist.orderBy(F.desc("round")).first()["weights"]]
@@ -402,9 +404,14 @@ RATE_RANGE_S, RATE_STEP_S = 86_400, 3_600
 NOW = "2024-01-15 12:00:00"
 
 
-def _samples(spark, root):
+def _samples(spark, root, *metrics):
+    t = Tables(spark, root)
+    return ST.samples_from_events(t.events, t.customer, t.nation, metrics or ST.METRICS)
+
+
+def _label_sets(spark, root):
     t = Tables(spark, root)
-    return ST.samples_from_events(t.events, t.customer, t.nation)
+    return ST.series_from_events(t.events, t.customer, t.nation)
 
 
 def _flat(df, value="value"):
@@ -413,12 +420,12 @@ def _flat(df, value="value"):
 
 
 def q_counter_rate(spark, root):
-    s = MT.match_labels(_samples(spark, root), [], name=ST.CPU)
+    s = MT.match_labels(_samples(spark, root, ST.CPU), [], name=ST.CPU)
     return report(_flat(MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S)))
 
 
 def q_counter_rate_samples(spark, root):
-    s = MT.match_labels(_samples(spark, root), [], name=ST.CPU)
+    s = MT.match_labels(_samples(spark, root, ST.CPU), [], name=ST.CPU)
     return report(_flat(MT.counter_rate_at_samples(s, 6 * 3600)))
 
 
@@ -426,34 +433,34 @@ SELECTOR = [("instance", "=~", ".*"), ("name", "=~", ".+"), ("name", "!~", "(BUI
 
 
 def q_cpu_by_name(spark, root):
-    s = MT.match_labels(_samples(spark, root), SELECTOR, name=ST.CPU)
+    s = MT.match_labels(_samples(spark, root, ST.CPU), SELECTOR, name=ST.CPU)
     r = MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S)
     return report(MT.sum_by(r, "name", scale=100.0))
 
 
 def q_memory_by_name(spark, root):
-    s = MT.match_labels(_samples(spark, root), SELECTOR, name=ST.RSS)
+    s = MT.match_labels(_samples(spark, root, ST.RSS), SELECTOR, name=ST.RSS)
     v = MT.instant_values(s, RATE_STEP_S, lookback_s=3_600)
     return report(MT.sum_by(v, "name"))
 
 
 def q_label_filter(spark, root):
-    s = MT.match_labels(_samples(spark, root),
+    s = MT.match_labels(_samples(spark, root, ST.RSS),
                         [("instance", "=~", "NATION_(1|2|3)"), ("name", "!~", "AUTO.*")], name=ST.RSS)
     return report(_flat(s))
 
 
 def q_label_values(spark, root):
-    return MT.label_values(_samples(spark, root), "instance", name_regex="container.*")
+    return MT.label_values(_label_sets(spark, root), "instance", name_regex="container.*")
 
 
 def q_label_values_dependent(spark, root):
-    return MT.label_values(_samples(spark, root), "name", name_regex="container.*",
+    return MT.label_values(_label_sets(spark, root), "name", name_regex="container.*",
                            matchers=[("instance", "=~", "NATION_1.*")])
 
 
 def q_instant_info(spark, root):
-    at_now = _samples(spark, root).filter(F.col("ts") <= F.lit(NOW).cast("timestamp"))
+    at_now = _samples(spark, root, ST.START).filter(F.col("ts") <= F.lit(NOW).cast("timestamp"))
     s = MT.latest(MT.match_labels(at_now, [("name", "=~", ".+")], name=ST.START))
     now_s = spark.sql(f"select unix_seconds(timestamp'{NOW}')").first()[0]
     a = MT.age_days(s, now_s, digits=None)
@@ -477,7 +484,7 @@ def q_stream_features(spark, root):
 def q_stream_rate(spark, root):
     from cadence.session import checkpoint_dir
     path = checkpoint_dir(spark, "samples")
-    _samples(spark, root).filter(F.col("name") == ST.CPU).write.parquet(path)
+    _samples(spark, root, ST.CPU).write.parquet(path)
     s = STR.source(spark, path, spark.read.parquet(path).schema)
     out = STR.run_to_table(STR.stream_rate(s, RATE_RANGE_S, RATE_STEP_S, "1 hour"), "rate")
     r = spark.read.parquet(out)
