@@ -10,6 +10,7 @@ chance agreement of so few bits.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,12 +38,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _probe(attempt: int) -> np.ndarray:
-    """The bin that each bin looks at in its ``attempt``-th try."""
-    return (_mixed(np.arange(1, BINS + 1, dtype=np.uint64) + np.uint64(BINS * (attempt + 1))) % np.uint64(BINS)).astype(np.int64)
+#: Tries that are looked at together.
+TRIES = 8, 64
 
 
-_PROBES = [_probe(a) for a in range(256)]
+@functools.lru_cache(maxsize=128)
+def _probes(first: int, end: int) -> np.ndarray:
+    """The bins that each bin looks at in its tries from ``first`` to ``end``, a row a try."""
+    tries = np.arange(first + 1, end + 1, dtype=np.uint64)[:, None] * np.uint64(BINS)
+    return (_mixed(np.arange(1, BINS + 1, dtype=np.uint64) + tries) % np.uint64(BINS)).astype(np.int16)
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -53,12 +57,14 @@ def fingerprint(text: bytes) -> bytes:
     least = np.full(BINS, _EMPTY)
     np.minimum.at(least, (h >> _BIN_SHIFT).astype(np.int64), h & _REST)
     full = least != _EMPTY
-    todo, attempt, out = np.flatnonzero(~full), 0, least.copy()
+    todo, first, out = np.flatnonzero(~full), 0, least.copy()
     while len(todo):
-        at = (_PROBES[attempt] if attempt < len(_PROBES) else _probe(attempt))[todo]
+        end = TRIES[0] if not first else first - first % TRIES[1] + TRIES[1]
+        at = _probes(first, end)[:, todo]
         hit = full[at]
-        out[todo[hit]] = least[at[hit]]
-        todo, attempt = todo[~hit], attempt + 1
+        some = hit.any(0)
+        out[todo[some]] = least[at[hit.argmax(0), np.arange(len(todo))][some]]
+        todo, first = todo[~some], end
     low = (out & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - BITS:].ravel()).tobytes()
 
