@@ -201,30 +201,26 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = T
             for lo, hi in group_bounds(t["key"].to_numpy()):
                 g = t.slice(lo, hi - lo)
                 x = _matrix(g["unit"], g["dim"][0].as_py())
-                own, name = g["all_leaves"].to_pylist(), g["leaf"][0].as_py()
-                width = max(map(len, own))
-                index = np.zeros((len(own), width), np.int64)
-                before = np.zeros((len(own), width), bool)  # leaves that come before this one in the order of all
-                for i, a in enumerate(own):
-                    index[i, :len(a)] = a
-                    before[i, :a.index(name)] = True
+                earlier = _earlier_leaves(g["trees"].to_pylist(), g["all_leaves"].to_pylist(), g["leaf"][0].as_py())
                 reps, copies = g["rep"].to_numpy(), g["copies"].to_numpy()
-                links, xs, ys = np.zeros(len(own), np.int64), [], []
+                links, xs, ys = np.zeros(len(reps), np.int64), [], []
                 for a, b in pairs_of(g["side"].to_numpy(), bool(g["same"][0].as_py())):
                     hit = _cosines(x, a, b) >= threshold
                     a, b = a[hit], b[hit]
                     xs.append(a)
                     ys.append(b)
-                    first = np.ones(len(a), bool)  # pairs that share no earlier leaf
-                    for k in range(width):
-                        for m in range(width):
-                            first &= ~(before[a, k] & before[b, m] & (index[a, k] == index[b, m]))
-                    links += np.bincount(a[first], copies[b[first]], len(own)).astype(np.int64)
-                    links += np.bincount(b[first], copies[a[first]], len(own)).astype(np.int64)
+                    for leaves_of, valid in earlier:  # pairs that share an earlier leaf were counted there
+                        met = np.zeros(len(a), bool)
+                        for k in range(leaves_of.shape[1]):
+                            for m in range(leaves_of.shape[1]):
+                                met |= valid[a, k] & valid[b, m] & (leaves_of[a, k] == leaves_of[b, m])
+                        a, b = a[~met], b[~met]
+                    links += np.bincount(a, copies[b], len(reps)).astype(np.int64)
+                    links += np.bincount(b, copies[a], len(reps)).astype(np.int64)
                 if not xs:
                     continue
-                root = local_roots(len(own), np.concatenate(xs), np.concatenate(ys))
-                some = np.flatnonzero((links > 0) | (root != np.arange(len(own))))
+                root = local_roots(len(reps), np.concatenate(xs), np.concatenate(ys))
+                some = np.flatnonzero((links > 0) | (root != np.arange(len(reps))))
                 yield pa.record_batch({"node": g["node"].combine_chunks().take(pa.array(some)), "rep": pa.array(reps[some], pa.int64()),
                                        "to": pa.array(reps[root[some]], pa.int64()), "links": pa.array(links[some], pa.int64())})
 
@@ -240,6 +236,20 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = T
         F.coalesce(F.col("vec_id") == own_id, F.lit(False)).alias("kept"))
 
 
+def _earlier_leaves(trees: list[list[int]], all_leaves: list[list[int]], name: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each tree up to that of the leaf ``name``, in order: the leaves of every
+    row in it that come before ``name`` (rows x places), and which places are filled."""
+    own = trees[0][all_leaves[0].index(name)]
+    out = []
+    for tree in range(own + 1):
+        found = [[x for s, x in zip(t, a, strict=True) if s == tree and (tree < own or x < name)] for t, a in zip(trees, all_leaves, strict=True)]
+        width = max(map(len, found))
+        if width:
+            out.append((np.array([f + [0] * (width - len(f)) for f in found], np.int64),
+                        np.array([[True] * len(f) + [False] * (width - len(f)) for f in found])))
+    return out
+
+
 def _cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dot products of pairs of unit rows, some at a time."""
     return np.concatenate([np.einsum("ij,ij->i", x[a[i:i + 65536]], x[b[i:i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
