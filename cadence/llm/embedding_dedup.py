@@ -26,7 +26,7 @@ THRESHOLD = 0.95
 #: Trees, vectors of a leaf, vectors of a bucket, vectors of the sample (per dimension), fewest sample vectors of a bucket.
 TREES, LEAF, BUCKET, SAMPLE, SAMPLE_LEAF = 8, 256, 2048, 50_000, 8
 #: Share of the vectors, on either side of a split, that go to both sides; the middle share where a split may lie.
-SPILL, MIDDLE = 0.05, 0.2
+SPILL, MIDDLE = 0.05, 0.4
 #: Levels that a bucket may be split beyond the forest's top; vectors of a block in large leaves.
 DEEPER, BLOCK = 8, 1024
 
@@ -39,12 +39,13 @@ def directions(tree: int, dim: int, levels: int) -> np.ndarray:
 
 
 def cut(p: np.ndarray) -> tuple[float, float, float]:
-    """(split, low, high) of projections: the split in the widest gap near the
+    """(split, low, high) of projections: the split where they are sparsest near the
     median; values in [low, high] go to both sides."""
     s = np.sort(p)
     n = len(s)
     a, b = max(0, int(n * (0.5 - MIDDLE / 2)) - 1), min(n - 1, int(math.ceil(n * (0.5 + MIDDLE / 2))))
-    at = a + int(np.argmax(np.diff(s[a:b + 1])))
+    k = max(1, min(n // 64, (b - a) // 2))  # over so many neighbours, a dense group of near copies shows
+    at = a + int(np.argmax(s[a + k:b + 1] - s[a:b + 1 - k])) + (k - 1) // 2
     reach = int(n * SPILL)
     return (s[at] + s[at + 1]) / 2, s[max(0, at + 1 - reach)], s[min(n - 1, at + reach)]
 
