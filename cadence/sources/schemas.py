@@ -1,6 +1,6 @@
 """Explicit schemas of the raw inputs (no schema inference on big CSVs)."""
 
-from pyspark.sql.types import (
+from pyspark.sql.types import (BooleanType, 
     StructType, StructField, StringType, LongType, DoubleType, TimestampType, MapType, IntegerType,
     ArrayType,
 )
@@ -45,7 +45,7 @@ SCALER_PARAMS = StructType([
     StructField("feature", StringType()),
     StructField("mean", DoubleType()),
     StructField("std", DoubleType()),
-    StructField("with_mean", StringType()),
+    StructField("with_mean", BooleanType()),
 ])
 
 CLIENT_EVAL = StructType([
