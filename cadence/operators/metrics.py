@@ -55,16 +55,25 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
     inc = (F.when(F.col("value_prev").isNull(), F.lit(0.0))
             .when(F.col("value") < F.col("value_prev"), F.col("value"))
             .otherwise(F.col("value") - F.col("value_prev")))
-    us = epoch_us("ts")
-    # instants t = k*step with us <= t < us + range
-    k0 = F.expr(f"(unix_micros(ts) + {step_us - 1}) div {step_us}")
-    k1 = F.expr(f"(unix_micros(ts) + {range_us - 1}) div {step_us}")
-    e = d.select("name", "_sid", labels, us.alias("_us"), inc.alias("_inc"),
-                 F.explode(F.sequence(k0, k1)).alias("_k"))
-    e = e.filter(F.col("_k") * F.lit(step_us) < F.col("_us") + F.lit(range_us))
+    e = d.select("name", "_sid", labels, epoch_us("ts").alias("_us"), inc.alias("_inc"))
+    # the first instant t = k*step with us <= t
+    e = e.withColumn("_j", F.expr(f"(_us + {step_us - 1}) div {step_us}"))
+    keep = F.first(labels).alias(labels)
+    if range_us % step_us == 0:
+        # the samples of one step are in the same ranges: one row per step and
+        # series is copied to the range's instants instead of every sample
+        e = e.groupBy("name", "_sid", "_j").agg(
+            keep, F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
+            F.sum("_inc").alias("_s"), F.min_by("_inc", "_us").alias("_i0"))
+        last = F.col("_j") + F.lit(range_us // step_us - 1)
+    else:
+        e = e.select("*", F.lit(1).cast("long").alias("_n"), F.col("_us").alias("_t0"), F.col("_us").alias("_t1"),
+                     F.col("_inc").alias("_s"), F.col("_inc").alias("_i0"))
+        last = F.expr(f"(_us + {range_us - 1}) div {step_us}")  # t < us + range
+    e = e.withColumn("_k", F.explode(F.sequence(F.col("_j"), last)))
     g = e.groupBy("name", "_sid", "_k").agg(
-        F.first(labels).alias(labels), F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"),
-        F.max("_us").alias("_t1"), F.sum("_inc").alias("_s"), F.min_by("_inc", "_us").alias("_i0"))
+        keep, F.sum("_n").alias("_n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"),
+        F.sum("_s").alias("_s"), F.min_by("_i0", "_t0").alias("_i0"))
     rate = (F.col("_s") - F.col("_i0")) / ((F.col("_t1") - F.col("_t0")) / F.lit(1e6))
     return (g.filter("_n >= 2 AND _t1 > _t0")
              .select("name", labels, F.timestamp_micros(F.col("_k") * F.lit(step_us)).alias("ts"),
