@@ -13,15 +13,3 @@ def _c(c) -> Column:
 def dot(a, b) -> Column:
     """Sum of element-wise products of two equal-length numeric arrays."""
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def norm(a) -> Column:
-    return F.sqrt(F.aggregate(F.transform(_c(a), lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
-
-
-def elementwise(a, b, fn) -> Column:
-    return F.zip_with(_c(a), _c(b), fn)
-
-
-def array_round(a, digits: int = 6) -> Column:
-    return F.transform(_c(a), lambda x: F.round(x, digits))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +22,3 @@ def category_columns(col: str, prefix: str, categories) -> list[Column]:
         name = one_hot_name(prefix, v)
         out.append(F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(name))
     return out
-
-
-def safe_name(s: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_]", "_", s)

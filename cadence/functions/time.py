@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, TimestampType, TimestampNTZType, ArrayType, StructType
 
 NS_PER_S = 1_000_000_000
-US_PER_S = 1_000_000
 
 
 def _c(c) -> Column:
@@ -65,14 +63,6 @@ def epoch_us(ts) -> Column:
     return F.unix_micros(_c(ts).cast("timestamp"))
 
 
-def gap_seconds(later, earlier) -> Column:
-    """Difference of two timestamps in (fractional) seconds."""
-    return (epoch_us(later) - epoch_us(earlier)) / F.lit(float(US_PER_S))
-
-
-def age_days(start_seconds, now_seconds: float) -> Column:
-    """``(time() - v) / 86400`` with ``now`` passed in, one decimal."""
-    return F.round((F.lit(float(now_seconds)) - _c(start_seconds)) / F.lit(86400.0), 1)
 
 
 def week_ending_sunday(ts) -> Column:
@@ -90,26 +80,3 @@ def bucket_start(ts, unit: str) -> Column:
     n, what = unit.split()
     width = int(n) * _UNITS[what.rstrip("s")]
     return F.timestamp_seconds(F.floor(F.unix_seconds(_c(ts).cast("timestamp")) / width) * width)
-
-
-def _ntz_type(dt: DataType) -> DataType:
-    if isinstance(dt, TimestampType):
-        return TimestampNTZType()
-    if isinstance(dt, ArrayType):
-        return ArrayType(_ntz_type(dt.elementType), dt.containsNull)
-    return dt
-
-
-def to_wall_clock(df):
-    """Cast every TIMESTAMP column (also inside arrays) to TIMESTAMP_NTZ.
-
-    Used at the edge of reports so they print as zone-less wall clock (UTC).
-    """
-    cols = []
-    for f in df.schema.fields:
-        nt = _ntz_type(f.dataType)
-        if nt != f.dataType and not isinstance(f.dataType, StructType):
-            cols.append(F.col(f"`{f.name}`").cast(nt).alias(f.name))
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)

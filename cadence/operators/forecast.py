@@ -101,29 +101,28 @@ def _solve(S: np.ndarray, k: int, iters: int, tol: float, phi0: float = 0.0):
 
     phi = float(phi0)
     beta, ay, ax = ols(phi)
-    for _ in range(max(1, iters)):
+    done, steps = False, 0
+    while not done and steps < max(1, iters):
         new_phi = ar(beta)
         beta, ay, ax = ols(new_phi)
-        done = abs(new_phi - phi) < tol
-        phi = new_phi
-        if done:
-            break
+        done, phi, steps = abs(new_phi - phi) < tol, new_phi, steps + 1
     r = ay - (ax @ beta if k else 0.0)
     sse = float(r @ S @ r)
-    return phi, beta, sse
+    return phi, beta, sse, steps, done
 
 
 def fit_arx_diff(gram: DataFrame, series, k: int, iters: int = 50, tol: float = 1e-10,
                  start: DataFrame | None = None) -> DataFrame:
     """Per-series ``phi``, ``beta`` (k), ``n`` and in-sample one-step ``mse``
     (T7, T9). ``iters=1``: one Cochrane-Orcutt step from OLS. ``start``: a
-    previous parameter table; its ``phi`` warm-starts each series."""
+    previous parameter table; its ``phi`` warm-starts each series. ``iterations``
+    and ``converged`` tell whether ``iters`` was enough."""
     s = _series(series)
     if start is not None:
         gram = gram.join(start.select(*s, F.col("phi").alias("_phi0")), s, "left")
     key_fields = [f for f in gram.schema.fields if f.name in s]
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    schema = f"{key_ddl}, n long, phi double, beta array<double>, mse double"
+    schema = f"{key_ddl}, n long, phi double, beta array<double>, mse double, iterations int, converged boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,12 +132,12 @@ def fit_arx_diff(gram: DataFrame, series, k: int, iters: int = 50, tol: float =
                 S = np.array([np.asarray(row, dtype=float) for row in r["gram"]])
                 phi0 = r.get("_phi0")
                 phi0 = 0.0 if phi0 is None or phi0 != phi0 else phi0
-                phi, beta, sse = _solve(S, k, iters, tol, phi0)
+                phi, beta, sse, steps, done = _solve(S, k, iters, tol, phi0)
                 row = {c: r[c] for c in s}
                 row.update(n=int(r["n"]), phi=phi, beta=[float(b) for b in beta],
-                           mse=sse / r["n"] if r["n"] else None)
+                           mse=sse / r["n"] if r["n"] else None, iterations=steps, converged=bool(done))
                 out.append(row)
-            yield pd.DataFrame(out, columns=[*s, "n", "phi", "beta", "mse"])
+            yield pd.DataFrame(out, columns=[*s, "n", "phi", "beta", "mse", "iterations", "converged"])
 
     return gram.mapInPandas(run, schema)
 

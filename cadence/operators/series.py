@@ -55,6 +55,7 @@ def regular_grid(df: DataFrame, series, ts: str, step_s: float, chunk_us: int |
     pieces = gaps.select(*s, "_a", "_m",
                          F.explode(F.sequence(F.lit(0).cast("long"),
                                               F.floor((F.col("_m") - 1) / F.lit(piece)).cast("long"))).alias("_k"))
+    pieces = pieces.repartition(*s, "_a", "_k")  # the pieces of one gap in several tasks
     lo = F.col("_k") * F.lit(piece) + 1
     hi = F.least(F.col("_m"), (F.col("_k") + 1) * F.lit(piece))
     fill = pieces.select(*s, F.explode(F.sequence(lo, hi)).alias("_i"), "_a")
@@ -104,11 +105,6 @@ def date_grid(spark: SparkSession, start, end, step_s: int, shift_steps: int = 0
     return r.select(F.timestamp_micros(F.lit(a) + (F.col("id") + shift_steps) * F.lit(step)).alias(name))
 
 
-def span(df: DataFrame, ts: str):
-    """(min, max) of a timestamp column: one aggregate, one row to the driver."""
-    row = df.agg(F.min(epoch_us(ts)).alias("a"), F.max(epoch_us(ts)).alias("b")).first()
-    return row["a"], row["b"]
-
 
 def time_diffs(df: DataFrame, series, ts: str, chunk_us: int | None = None, tiebreak: str | None = None,
                name: str = "dt") -> DataFrame:
@@ -225,4 +221,3 @@ def rolling_forecast(df: DataFrame, series, ts: str, cols, n: int = 7, chunk_us:
     exprs["_k"] = lambda w: F.count(F.lit(1)).over(w)
     out = framed(d, s, "_rn", -n, -1, exprs).filter("_k > 0")
     return out.select(*s, ts, *[x for c in cols for x in (F.col(c).alias(f"actual_{c}"), f"predicted_{c}")])
-

@@ -10,8 +10,9 @@
 * ``stream_gauges``: a streaming aggregate of per-round weighted sums;
   ``foreachBatch`` publishes the updated rounds as gauge rows.
 
-Every query writes to a sink under the shared checkpoint folder with its own
-checkpoint location, so a restarted query resumes where it stopped.
+Every query writes to a sink and a checkpoint location below one folder. Give that
+folder (``at``) and a query started again resumes where it stopped; without it each
+call takes a fresh folder below the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ def source(spark: SparkSession, path: str, schema: StructType, files_per_batch:
     r = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    if os.path.isfile(path):  # a single file: watch its folder, filtered to its name
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(p) and store.getFileStatus(p).isFile():  # a single file: watch its folder, filtered to its name
         r = r.option("pathGlobFilter", os.path.basename(path))
         path = os.path.dirname(path)
     df = r.load(path)
@@ -84,12 +87,14 @@ def _state_store(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now: bool = True) -> str:
-    """Run a streaming query to the end of its input into a parquet table in
-    the shared checkpoint folder; returns the table path."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now: bool = True,
+                 at: str | None = None) -> str:
+    """Run a streaming query to the end of its input into a parquet table below
+    the folder ``at`` (a fresh one without it); returns the table path. Called again
+    with the same folder, it goes on where it stopped."""
     spark = df.sparkSession
     _state_store(spark)
-    base = checkpoint_dir(spark, f"stream-{name}")
+    base = at or checkpoint_dir(spark, f"stream-{name}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode(mode)
     q = (w.trigger(availableNow=True) if available_now else w).start()
@@ -99,7 +104,7 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now:
     return out
 
 
-def stream_gauges(evals: DataFrame, name: str = "gauges") -> str:
+def stream_gauges(evals: DataFrame, name: str = "gauges", at: str | None = None) -> str:
     """Weighted global metrics per round from a stream of client evaluations,
     published as gauge rows ``model_loss / model_cosine_similarity /
     model_mean_absolute_error`` (Z3, S10). Returns the gauge table path.
@@ -112,7 +117,7 @@ def stream_gauges(evals: DataFrame, name: str = "gauges") -> str:
     """
     spark = evals.sparkSession
     _state_store(spark)
-    base = checkpoint_dir(spark, f"stream-{name}")
+    base = at or checkpoint_dir(spark, f"stream-{name}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     n = F.col("n")
     sums = evals.groupBy("round").agg(

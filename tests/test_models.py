@@ -214,3 +214,17 @@ def test_stream_gauges_average_rounds_split_over_batches(spark):
     assert got[("model_loss", 1)] == pytest.approx(sum(c * (c + 1) for c in range(6)) / n)
     assert got[("model_mean_absolute_error", 2)] == pytest.approx(3.0)
     assert len(got) == 6
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path, at = f"{tmp_path}/events", f"{tmp_path}/query"
+    c = dt.datetime(2024, 1, 15)
+    windows = []
+    for part in (src.filter(F.col("ts") < F.lit(c)), src.filter(F.col("ts") >= F.lit(c))):
+        part.coalesce(1).write.mode("append").parquet(path)
+        s = st.source(spark, path, src.schema)
+        out = spark.read.parquet(st.run_to_table(st.stream_features(s, "user_id", "ts", "1 day", "1 hour"), "again", at=at))
+        windows.append({(r["user_id"], r["window_start"]) for r in out.collect()})
+        assert out.count() == len(windows[-1])
+    assert windows[0] < windows[1]
