@@ -4,7 +4,9 @@ The top of each tree is fitted on a bounded sample: random directions, one per
 level, split near the median where vectors are sparse, and vectors close to a
 split go to both sides. Every vector is routed to its buckets; a bucket's own
 rows split it further, down to small leaves or leaves so tight that a split would
-only part near copies. Vectors meet in leaves; the cosine of every pair in a leaf
+only part near copies. A dense group that fills buckets would be cut by every level,
+so those seen in the sample are taken out first: each is one leaf of its own, with all
+that can link with its core. Vectors meet in leaves; the cosine of every pair in a leaf
 is computed in double precision, and a pair is counted in the first leaf that
 both share, so no pair leaves a task. Links are united into components.
 """
@@ -29,6 +31,8 @@ TREES, LEAF, BUCKET, SAMPLE, SAMPLE_LEAF = 8, 256, 2048, 50_000, 8
 SPILL, MIDDLE = 0.05, 0.4
 #: Levels that a bucket may be split beyond the forest's top; vectors of a block in large leaves.
 DEEPER, BLOCK = 8, 1024
+#: Sample vectors of a bucket looked at for dense groups, fewest of them near each other, share of a group's sample outside its core.
+LOOKED_AT, ALIKE, OUTSIDE = 64, 4, 0.01
 
 
 def directions(tree: int, dim: int, levels: int) -> np.ndarray:
@@ -91,6 +95,43 @@ def routed(splits: dict[int, tuple[float, float, float]], p: np.ndarray) -> tupl
     return np.concatenate(rows), np.concatenate(nodes)
 
 
+def dense_groups(x: np.ndarray, tops: list[dict], p: list[np.ndarray], threshold: float, least: float) -> list[tuple[np.ndarray, float, float]]:
+    """(centre, cosine from which a vector is of the core, cosine from which one can
+    link with the core) of groups of ``least`` or more of the unit vectors ``x`` of a
+    sample that are near copies of a centre; ``p`` has their projections per tree. A
+    group that fills a bucket shows in it."""
+    found = []
+    for splits, q in zip(tops, p, strict=True):
+        rows, nodes = routed(splits, q)
+        order = np.argsort(nodes, kind="stable")
+        for lo, hi in group_bounds(nodes[order]):
+            at = rows[order[lo:hi][:LOOKED_AT]]
+            near = x[at] @ x[at].T >= threshold
+            while (n := near.sum(axis=1)).max() >= ALIKE:
+                group = near[int(n.argmax())].copy()
+                found.append((int(n.max()), x[at[group]].mean(axis=0)))
+                near[group] = near[:, group] = False
+    found.sort(key=lambda f: -f[0])
+    centres = np.array([c / np.linalg.norm(c) for _, c in found]).reshape(-1, x.shape[1])
+    groups, free, left = [], np.ones(len(x), bool), np.ones(len(centres), bool)
+    for k in range(len(centres)):
+        if not left[k]:
+            continue
+        left &= centres @ centres[k] < threshold
+        near = free & (x @ centres[k] >= threshold)
+        if near.sum() < least:
+            continue
+        c = x[near].mean(axis=0)
+        c /= np.linalg.norm(c)
+        core = max(threshold, float(np.quantile(x[near] @ c, OUTSIDE)))
+        if (free & (x @ c >= core)).sum() * 2 < least:
+            continue
+        groups.append((c, core, math.cos(min(math.pi, math.acos(min(1.0, core)) + math.acos(threshold))) - 1e-9))
+        free &= x @ c < core
+        left &= centres @ c < threshold
+    return groups
+
+
 def leaves(p: np.ndarray, dim: int, threshold: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) for the rows of one bucket, by its projections beyond the top."""
     rows, names = [], []
@@ -150,7 +191,8 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = T
     with a count of copies, so repeated rows cost nothing in the trees.
 
     The sample for the tops of the trees is chosen by a hash and bounded; every
-    vector is indexed. Buckets have about BUCKET vectors, or the number of vectors
+    vector is indexed. Vectors of the core of a dense group (:func:`dense_groups`) meet
+    all they can link with in the group's leaf, however large, and no others. Buckets have about BUCKET vectors, or the number of vectors
     over the sample's buckets where there are more."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = saved(v.mapInArrow(_prepared, "vec_id long, key binary, dim int, unit binary"), "vectors")
@@ -158,25 +200,54 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = T
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "nodes")
 
     tops: dict[int, tuple[int, list]] = {}
+    groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per dimension
         dim, n = r["dim"], r["n"]
         part = nodes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < sample / n * 1_000_000))
         points = np.array([np.frombuffer(x["unit"]) for x in part.select("key", "unit").orderBy("key").collect()]).reshape(-1, dim)  # bounded by ``sample``
-        levels = max(0, min(math.ceil(math.log2(max(1, n / BUCKET))), int(math.log2(max(1, len(points) / SAMPLE_LEAF)))))
-        tops[dim] = levels, [grown(points @ directions(t, dim, levels + DEEPER)[:levels].T, levels) for t in range(trees)]
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, dense = n / max(1, len(points)), []
+        while True:  # the trees of what is in no dense group; each round takes out groups of ``least`` or more
+            levels = max(0, min(math.ceil(math.log2(max(1, len(points) * share / BUCKET))), int(math.log2(max(1, len(points) / SAMPLE_LEAF)))))
+            p = [points @ directions(t, dim, levels + DEEPER)[:levels].T for t in range(trees)]
+            tops[dim] = levels, [grown(q, levels) for q in p]
+            more = dense_groups(points, tops[dim][1], p, threshold, max(SAMPLE_LEAF, LEAF / share)) if levels else []
+            if not more:
+                break
+            dense += more
+            for centre, core, _ in more:
+                points = points[points @ centre < core]
+        if dense:
+            groups[dim] = tuple(map(np.array, zip(*dense, strict=True)))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
         for b in batches:
             dims = b["dim"].to_numpy()
             for dim in np.unique(dims).tolist():
                 part = b.take(pa.array(np.flatnonzero(dims == dim)))
-                x, (levels, tree_tops) = _matrix(part["unit"], dim), tops[dim]
-                for t, splits in enumerate(tree_tops):
-                    p = x @ directions(t, dim, levels + DEEPER).T
-                    at, node = routed(splits, p)
-                    key = np.array([xxhash.xxh3_64_intdigest(f"{dim} {t} {k}") for k in node.tolist()], np.uint64).view(np.int64)
-                    yield pa.record_batch({"key": pa.array(key), "dim": pa.array(np.full(len(at), dim, np.int32)), "tree": pa.array(np.full(len(at), t, np.int32)),
-                                           "node": part["key"].take(pa.array(at)), "p": pa.array((p[at][:, levels:]).astype(np.float32).tolist(), pa.list_(pa.float32()))})
+                yield dim, part, _matrix(part["unit"], dim)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, part, x in parts(batches):
+            if dim not in groups:
+                continue
+            centres, _, reach = groups[dim]
+            at, k = np.nonzero(x @ centres.T >= reach)
+            leaf = np.array([xxhash.xxh3_64_intdigest(f"{dim} group {i}") for i in range(len(centres))], np.uint64).view(np.int64)
+            yield pa.record_batch({"node": part["key"].take(pa.array(at)), "tree": pa.array(np.zeros(len(at), np.int32)), "leaf": pa.array(leaf[k])})
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, part, x in parts(batches):
+            if dim in groups:  # all that a vector of a core can link with is in its group
+                centres, core, _ = groups[dim]
+                rest = np.flatnonzero(~(x @ centres.T >= core).any(axis=1))
+                part, x = part.take(pa.array(rest)), x[rest]
+            levels, tree_tops = tops[dim]
+            for t, splits in enumerate(tree_tops):
+                p = x @ directions(t, dim, levels + DEEPER).T
+                at, node = routed(splits, p)
+                key = np.array([xxhash.xxh3_64_intdigest(f"{dim} {t} {k}") for k in node.tolist()], np.uint64).view(np.int64)
+                yield pa.record_batch({"key": pa.array(key), "dim": pa.array(np.full(len(at), dim, np.int32)), "tree": pa.array(np.full(len(at), t + 1, np.int32)),
+                                       "node": part["key"].take(pa.array(at)), "p": pa.array((p[at][:, levels:]).astype(np.float32).tolist(), pa.list_(pa.float32()))})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
@@ -189,7 +260,10 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = T
                 yield pa.record_batch({"node": g["node"].combine_chunks().take(pa.array(at)), "tree": g["tree"].combine_chunks().take(pa.array(at)), "leaf": pa.array(leaf)})
 
     routes = nodes.select("key", "dim", "unit").mapInArrow(route, "key long, dim int, tree int, node binary, p array<float>")
-    members = saved(dealt(routes, "node").mapInArrow(split, "node binary, tree int, leaf long"), "leaves")
+    members = dealt(routes, "node").mapInArrow(split, "node binary, tree int, leaf long")
+    if groups:  # as the leaves of tree 0
+        members = members.union(nodes.select("key", "dim", "unit").mapInArrow(grouped, "node binary, tree int, leaf long"))
+    members = saved(members, "leaves")
     # the leaves of a vector: a bounded list, at most 2 ** (levels) per tree and in practice one to three
     listed = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("tree", "leaf"))).alias("found")).select(
         "node", F.col("found.tree").alias("trees"), F.col("found.leaf").alias("all_leaves"))

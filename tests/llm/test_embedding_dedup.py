@@ -63,3 +63,23 @@ def test_every_row_reaches_a_leaf_and_spills():
     splits = e.grown(p, 4)
     rows, nodes = e.routed(splits, p)
     assert set(rows) == set(range(3000)) and len(set(nodes)) == 16
+
+
+def test_dense_group_is_not_cut_by_many_levels(spark, monkeypatch):
+    """A third of the rows within cosine 0.97 of each other, under 8 levels of the trees' tops, and pairs near its edge."""
+    rng = np.random.default_rng(3)
+    n, dim = 3000, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:2000] = x[1000] + np.sqrt(1 / 0.97 - 1) * x[1000:2000]
+    x[2000:2040] = x[1000] + np.linspace(0.2, 0.7, 40)[:, None] * x[2000:2040]
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= e.THRESHOLD
+    want = linked.sum(axis=1) - 1
+    for name, value in {"LEAF": 8, "BUCKET": 8, "BLOCK": 256}.items():
+        monkeypatch.setattr(e, name, value)
+    got = {r["vec_id"]: r for r in e.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()}
+    links = np.array([got[i]["n_links"] for i in range(n)])
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum()
+    assert len({got[i]["component_id"] for i in range(1000, 2000)}) == 1
