@@ -4,8 +4,9 @@ The standard library's parser streams events; they make lines (the text of one
 block and the tags met in it). The text-to-tag ratios of a page's lines are
 smoothed with a Gaussian and split by a threshold; the lines above it show where
 the content lies. The region is the innermost container that holds nearly all of
-them, widened to the article it is part of, without the menus, headers, footers,
-sidebars, notices, adverts, forms and comments in it.
+them, widened to the article it is part of, or else with the other containers that have
+content of their own, without the menus, headers, footers, sidebars, notices,
+adverts, forms and comments in it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ FURNITURE_WORDS = frozenset(
     "breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay "
     "share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar "
     "comment comments disqus respond reply replies complementary contentinfo".split())
+#: Words that make a name one of a page's layout ("with-sidebar"); words of place or shape after a name of furniture ("sidebar-left").
+LAYOUT_WORDS = frozenset("has have with without no not hide show".split())
+PLACE_WORDS = frozenset("area bar block body bottom box button buttons container content form inner items item left link links list main outer panel "
+                        "posts right row section slot thread top unit wrap wrapper".split())
+#: Elements that no name makes furniture.
+UNNAMED = frozenset("html body main article".split())
 #: Start tags that end an open paragraph or item of the list.
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                            "main menu nav ol p pre section table ul".split())
@@ -39,20 +46,24 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "option": {"option"}}
 
 #: Standard deviation of the smoothing, in lines; the threshold as a share of the
-#: mean smoothed ratio; the share of the content that a region must hold.
-SIGMA, THRESHOLD, REGION = 1.0, 0.5, 0.9
+#: mean smoothed ratio; the share of the content that a region must hold; the share
+#: of a page's text above which an element is no furniture by a part of its name.
+SIGMA, THRESHOLD, REGION, MOST = 1.0, 0.5, 0.9, 0.5
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, furniture, container) lines from parser events.
+    """Collects (text, tags, furniture, container, named) lines from parser events.
 
-    ``container`` is a node number; ``parent`` and ``kind`` describe the nodes."""
+    ``container`` is a node number; ``parent`` and ``kind`` describe the nodes;
+    ``named`` has the numbers of the elements around that a part of their name says
+    to be furniture."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
         self.parent, self.kind = [-1], [""]
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container, furniture, skipped
+        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, container, furniture, skipped, named
+        self.named = 0
         self.text: list[str] = []
         self.tags = 0
 
@@ -60,14 +71,14 @@ class _Lines(HTMLParser):
         """Line numbers aren't needed."""
         return j
 
-    def _state(self) -> tuple[str, int, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False)
+    def _state(self) -> tuple[str, int, bool, bool, tuple[int, ...]]:
+        return self.open[-1] if self.open else ("", 0, False, False, ())
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, container, furniture, _ = self._state()
-            self.lines.append((text, self.tags, furniture, container))
+            _, container, furniture, _, named = self._state()
+            self.lines.append((text, self.tags, furniture, container, named))
             self.tags = 0
         self.text.clear()
 
@@ -84,25 +95,40 @@ class _Lines(HTMLParser):
                 self._close(CLOSES[tag], CONTAINERS - {"td"} | {"ul", "ol", "dl", "table", "select"} | FURNITURE)
         if tag in VOID:
             return
-        _, container, furniture, skipped = self._state()
+        _, container, furniture, skipped, named = self._state()
         if not furniture:
-            furniture = tag in FURNITURE or self._named(attrs)
+            whole, part = self._named(tag, attrs)
+            furniture = tag in FURNITURE or whole
+            if part and not furniture:
+                self.named += 1
+                named = (*named, self.named)
         if tag in CONTAINERS:
             self.parent.append(container)
             self.kind.append(tag)
             container = len(self.kind) - 1
-        self.open.append((tag, container, furniture, skipped or tag in SKIPPED))
+        self.open.append((tag, container, furniture, skipped or tag in SKIPPED, named))
 
     @staticmethod
-    def _named(attrs: list[tuple[str, str | None]]) -> bool:
+    def _named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether the element is furniture by a whole name (or hidden), and by part of one."""
+        whole = part = False
+        unnamed = tag in UNNAMED or any(name == "role" and value and value.lower() in UNNAMED for name, value in attrs)
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                words = value.lower().replace("-", " ").replace("_", " ").split()
-                if not FURNITURE_WORDS.isdisjoint(words):
-                    return True
+            if name in ("class", "id", "role") and value and not unnamed:
+                for token in value.lower().split():
+                    words = token.replace("-", " ").replace("_", " ").split()
+                    if not words or not LAYOUT_WORDS.isdisjoint(words):
+                        continue
+                    if len(words) == 1:
+                        whole |= words[0] in FURNITURE_WORDS
+                        continue
+                    last = len(words) - 1
+                    while last and words[last] in PLACE_WORDS:
+                        last -= 1
+                    part |= words[last] in FURNITURE_WORDS
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                whole = True
+        return whole, part
 
     def _close(self, tags: set[str], stop: frozenset[str] | set[str]) -> None:
         """Ends the innermost open element of ``tags``, unless one of ``stop`` is inside."""
@@ -151,7 +177,7 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = _with_wrappers(parser)
     if not lines:
         return ""
     ratio = np.array([0.0 if furniture else len(text) / max(1, tags) for text, tags, furniture, _ in lines])
@@ -168,15 +194,42 @@ def main_text(html: str) -> str:
     for at in range(1, len(weight)):  # parents come before their children
         if parser.parent[at] == region and weight[at] >= REGION * weight[0]:
             region = at
-    above, within = region, region
+    above, within, around = region, region, {0}
     while above > 0:
+        around.add(above)
         if parser.kind[above] in ARTICLES:
             within = above
         above = parser.parent[above]
     inside = [False] * len(weight)
     for at in range(len(weight)):
         inside[at] = at == within or at > 0 and inside[parser.parent[at]]
-    return " ".join(text for text, _, furniture, at in lines if not furniture and inside[at])
+    beside = content & (parser.kind[within] not in ARTICLES)
+    for (_, _, _, at), has in zip(lines, beside, strict=True):
+        if has and at not in around:
+            inside[at] = True
+    return " ".join(text for (text, _, furniture, at), has in zip(lines, beside, strict=True) if not furniture and (inside[at] or has))
+
+
+def _with_wrappers(parser: _Lines) -> list[tuple[str, int, bool, int]]:
+    """(text, tags, furniture, container) lines; an element that holds most of the
+    page's text is no furniture by a part of its name, unless an article is elsewhere."""
+    total, articles = 0, 0
+    held: dict[int, int] = {}
+    held_articles: dict[int, int] = {}
+    in_article = [False] * len(parser.kind)
+    for at in range(1, len(in_article)):  # parents come before their children
+        in_article[at] = parser.kind[at] in ARTICLES or in_article[parser.parent[at]]
+    for text, _, furniture, at, named in parser.lines:
+        if furniture:
+            continue
+        total += len(text)
+        articles += len(text) * in_article[at]
+        for k in named:
+            held[k] = held.get(k, 0) + len(text)
+            held_articles[k] = held_articles.get(k, 0) + len(text) * in_article[at]
+    # the text of an article counts alone where there is one
+    wrapper = {k for k in held if (held_articles[k] > MOST * articles if articles else held[k] > MOST * total)}
+    return [(text, tags, furniture or any(k not in wrapper for k in named), at) for text, tags, furniture, at, named in parser.lines]
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,3 +39,27 @@ def test_article_of_every_page(spark):
         article = re.search(r"(?s)<article>(.*?)(</article>|$)", r["html"])[1]
         spaced = re.sub(r"<(?!/?b>)[^>]+>", " ", article)
         assert r["text"] == " ".join(entities.unescape(re.sub(r"</?b>", "", spaced)).split())
+
+
+SHORT = "A lead of the text in its own box. "
+
+WRAPPED = [
+    f"<body class='has-sidebar'><p>{LONG}</p></body>", f"<html class='no-cookies'><body id='page-header'><p>{LONG}</p></body></html>",
+    f"<div class='content with-sidebar'><p>{LONG}</p><div class='sidebar'>{LONG}</div></div>",
+    f"<article class='post no-comments'><p>{LONG}</p></article>", f"<main class='widget'><p>{LONG}</p></main>",
+    f"<div class='two-sidebar'><article><p>{LONG}</p></article></div>", f"<div class='page_ads'><p>{LONG}</p><nav>menu</nav></div>",
+    f"<div class='sidebar-left'>{SHORT}</div><div><p>{LONG}</p></div><div class='comment-list'>{SHORT}</div>",
+    f"<article><p>{LONG}</p></article><div class='post-comments'>{LONG}{LONG}</div>", f"<div class='ad-free'><p>{LONG}</p></div>",
+]
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_names_of_layout_are_no_furniture(html):
+    assert h.main_text(html) == LONG.strip()
+
+
+def test_containers_beside_the_region():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(24))
+    page = f"<body><div><a>x</a> <a>y</a></div><div class='lead'><p>{SHORT * 16}</p></div><div>{body}</div><div><a>u</a> <a>v</a></div></body>"
+    assert h.main_text(page) == f"{SHORT * 16}{LONG * 24}".strip()
+    assert h.main_text(f"<article>{body}</article><div>{SHORT * 16}</div>") == (LONG * 24).strip()
