@@ -1,7 +1,7 @@
-"""Best-fit packing by exact-complement hashing.
+"""Best-fit packing after exact fills.
 
-What a sequence lacks is looked up among the sums of one, two and three lengths;
-combinations that fill a gap exactly are used as often as the counts of their
+What a sequence lacks is looked up among the lengths, or else found as a sum of two
+or three by scanning those available, without an index of sums; combinations that fill a gap exactly are used as often as the counts of their
 lengths allow, and what is left goes where it fits best. The plan is made on the
 histogram of lengths, which has as many entries as a sequence has tokens whatever
 the corpus; the pieces then find their places by their rank among equal lengths.
