@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and the SQL of those that SQL expresses."""
 
-from cadence.llm import (embedding_dedup, fill_middle, fingerprint, html_text, jaccard_join, merkle, mixing, packing, token_counts,
-                         toxicity, url_filter, warc)
+from cadence.llm import (embedding_dedup, fill_middle, fingerprint, html_text, jaccard_join, merkle, mixing, packing, suffix_dedup,
+                         token_counts, toxicity, url_filter, warc)
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_jaccard_join": jaccard_join.query,
     "op11_fill_in_middle": fill_middle.query,
+    "op12_suffix_dedup": suffix_dedup.query,
     "op13_merkle_manifest": merkle.query,
 }
 
 ORACLE = {"op1_url_filter": url_filter.SQL, "op7_warc": warc.SQL, "op11_fill_in_middle": fill_middle.SQL,
-          "op13_merkle_manifest": merkle.SQL}
+          "op12_suffix_dedup": suffix_dedup.query,
+    "op13_merkle_manifest": merkle.SQL}

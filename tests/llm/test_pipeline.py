@@ -45,5 +45,5 @@ def test_registered():
     names = list(e.queries())
     assert [n for n in names if n.startswith("op") and n[2].isdigit()] == [
         "op1_url_filter", "op2_embedding_dedup", "op3_fingerprints", "op4_html_text", "op5_toxicity", "op6_mixing", "op7_warc",
-        "op8_packing", "op9_token_counts", "op10_jaccard_join", "op11_fill_in_middle", "op13_merkle_manifest"] and "pipeline" in names
+        "op8_packing", "op9_token_counts", "op10_jaccard_join", "op11_fill_in_middle", "op12_suffix_dedup", "op13_merkle_manifest"] and "pipeline" in names
     assert 4 <= len(c.STAGES) <= 5
