@@ -1,22 +1,29 @@
 """Federated averaging as DataFrame jobs.
 
-Clients are rows keyed by a client column, not processes. A linear model with
-squared loss is trained the federated way: each client's data is reduced once
-to its Gram sums (``G = X'X``, ``c = X'y``, ``y'y``, ``n``; one grouped
-aggregate with partial aggregation). A round is then a job over the small Gram
-table: every client takes full-batch gradient steps from the global weights
-(array expressions, JVM-side), the server averages the local weights by
-sample count. The driver keeps only the global weight vector (model size,
-independent of the data) between rounds.
+Clients are rows keyed by a client column, not processes. A linear model of
+several targets with squared loss is trained the federated way: every client
+takes gradient steps over its ordered mini-batches from the global weights, the
+server aggregates the local weights by sample count.
+
+A gradient step over a batch is affine in the weights, ``W <- M W + V``, and M and
+V come from the batch's Gram sums (one grouped aggregate over the data). Steps
+compose, so a client's whole local fit (all batches, all epochs) is one affine
+map, folded from its batches in bounded chunks; and the average of affine maps is
+one more. All rounds of an averaging server are then a fold over a single row, in
+the job that computes it: no job per round, no weights through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.functions.arrays import dot
-from cadence.session import checkpoint_dir
+from cadence.functions.arrays import each, matrix
+from cadence.operators.blocks import materialize, row_index
+from cadence.operators.evaluate import forecast_metrics
 
 
 def _keys(by):
@@ -62,93 +69,181 @@ def fedavg_weights(weights: DataFrame, by=("round", "layer"), w: str = "weights"
         F.max("_nt").alias(n))
 
 
-def client_gram(df: DataFrame, client: str, features, target: str, intercept: bool = True) -> DataFrame:
-    """Per-client sufficient statistics of least squares (X2 input):
-    ``gram`` (p x p), ``xty`` (p), ``yty``, ``n``; the first feature is the
-    constant 1 when ``intercept``."""
-    xs = ([F.lit(1.0)] if intercept else []) + [F.col(f).cast("double") for f in features]
-    y = F.col(target).cast("double")
-    p = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y * y).alias("yty")]
-    aggs += [F.sum(xs[i] * y).alias(f"_c{i}") for i in range(p)]
+#: Maps folded at a time; a client of more batches takes several levels of folds.
+FOLD = 256
+WEIGHTS = "array<array<double>>"
+
+
+def inputs_of(features, intercept: bool = True) -> list[Column]:
+    """Input columns of the model; the first is the constant 1 when ``intercept``."""
+    return ([F.lit(1.0)] if intercept else []) + [F.col(f).cast("double") for f in features]
+
+
+def batch_grams(df: DataFrame, client: str, features, targets, order=None, batch_size=None,
+                intercept: bool = True) -> DataFrame:
+    """Sufficient statistics of least squares per client and mini-batch (X2 input):
+    ``(client, batch, n, gram p x p, xty p x q)``.
+
+    A client's rows are cut by ``order`` into batches of ``batch_size`` rows (a
+    number, or a column with the client's own); the last may be shorter. Without a
+    size all rows are one batch. Rows with a null input or target must be dropped
+    before. The batch numbers come from chunked row numbers, so a client that holds
+    a third of the data is spread like any other."""
+    xs, ys = inputs_of(features, intercept), [F.col(t).cast("double") for t in _keys(targets)]
+    p, q = len(xs), len(ys)
+    if batch_size is None:
+        d = df.withColumn("batch", F.lit(0).cast("long"))
+    else:
+        size = F.col(batch_size) if isinstance(batch_size, str) else F.lit(int(batch_size))
+        d = row_index(df, [client], _keys(order), None, "_rn")
+        d = d.withColumn("batch", F.floor((F.col("_rn") - 1) / size).cast("long"))
+    aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(xs[i] * xs[j]).alias(f"_g{i}_{j}") for i in range(p) for j in range(i, p)]
-    g = df.groupBy(client).agg(*aggs)
-    gram = F.array(*[F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for j in range(p)]) for i in range(p)])
-    xty = F.array(*[F.col(f"_c{i}") for i in range(p)])
-    return g.select(client, "n", "yty", gram.alias("gram"), xty.alias("xty"))
+    aggs += [F.sum(xs[i] * ys[t]).alias(f"_c{i}_{t}") for i in range(p) for t in range(q)]
+    g = d.groupBy(client, "batch").agg(*aggs)
+    return g.select(client, "batch", "n", matrix(p, p, lambda i, j: F.col(f"_g{min(i, j)}_{max(i, j)}")).alias("gram"),
+                    matrix(p, q, lambda i, t: F.col(f"_c{i}_{t}")).alias("xty"))
 
 
-def _matvec(gram: Column, w: Column) -> Column:
-    return F.transform(gram, lambda row: dot(row, w))
+def step_map(gram: Column, xty: Column, n: Column, lr: Column) -> Column:
+    """The affine map ``[M | V]`` (p rows of p + q numbers) of one gradient step of mean
+    squared error: ``W <- W - 2 lr / n (gram W - xty)``."""
+    k = F.lit(2.0) * lr / n
+    rows = F.sequence(F.lit(0), F.size(gram) - 1)
+    return F.transform(rows, lambda i: F.concat(
+        F.zip_with(rows, F.get(gram, i), lambda j, g: F.when(i == j, 1.0).otherwise(0.0) - k * g),
+        F.transform(F.get(xty, i), lambda c: k * c)))
 
 
-def local_steps(gram: Column, xty: Column, n: Column, w: Column, lr: Column, steps: int = 1) -> Column:
-    """``steps`` full-batch gradient steps of mean squared error from ``w``:
-    ``w <- w - 2*lr/n * (G w - c)``."""
-    cur = w
-    for _ in range(steps):
-        grad = F.zip_with(_matvec(gram, cur), xty, lambda a, b: a - b)
-        cur = F.zip_with(cur, grad, lambda a, g: a - F.lit(2.0) * lr / n * g)
-    return cur
+def _times(row: Column, first: Column, start: Column) -> Column:
+    """``start`` plus the rows of ``first``, each times its number in ``row``."""
+    return F.aggregate(F.sequence(F.lit(0), F.size(first) - 1), start,
+                       lambda s, k: F.zip_with(s, F.get(first, k), lambda a, b: a + F.get(row, k) * b))
 
 
-def mse_from_gram(gram: Column, xty: Column, yty: Column, n: Column, w: Column) -> Column:
-    """Mean squared error of ``X w`` against ``y`` from the Gram sums."""
-    return (yty - F.lit(2.0) * dot(w, xty) + dot(w, _matvec(gram, w))) / n
+def composed(then: Column, first: Column) -> Column:
+    """The affine map that applies ``first`` and then ``then``."""
+    p = F.size(then)
+    return F.transform(then, lambda row: _times(row, first, F.concat(F.array_repeat(F.lit(0.0), p), F.slice(row, p + 1, F.size(row) - p))))
 
 
-def fed_round(grams: DataFrame, client: str, w: list[float], lr, steps: int = 1) -> DataFrame:
-    """One round (X2 + X3): local weights per client and their sample-weighted
-    average as one row ``(weights, n, loss)``; ``loss`` is the sample-weighted
-    training loss of the clients' local models.
+def moved(by: Column, w: Column) -> Column:
+    """Weights (p x q) after an affine map."""
+    p = F.size(by)
+    return F.transform(by, lambda row: _times(row, w, F.slice(row, p + 1, F.size(row) - p)))
 
-    The model size ``p`` is fixed, so the average is ``p`` plain sums in one
-    global aggregate (partial aggregation per task, one tiny shuffle).
-    """
-    p = len(w)
-    lr_c = F.col(lr) if isinstance(lr, str) else F.lit(float(lr))
-    w0 = F.array(*[F.lit(float(x)) for x in w])
-    local = grams.select("n", local_steps(F.col("gram"), F.col("xty"), F.col("n"), w0, lr_c, steps)
-                         .alias("_w"), "gram", "xty", "yty")
-    local = local.withColumn("_loss", mse_from_gram(F.col("gram"), F.col("xty"), F.col("yty"),
-                                                    F.col("n").cast("double"), F.col("_w")))
-    n = F.col("n")
-    sums = [F.sum(F.col("_w")[i] * n).alias(f"_s{i}") for i in range(p)]
-    agg = local.agg(F.sum(n).alias("n"), F.sum(F.col("_loss") * n).alias("_l"), *sums)
-    return agg.select(F.array(*[F.col(f"_s{i}") / F.col("n") for i in range(p)]).alias("weights"),
-                      "n", (F.col("_l") / F.col("n")).alias("loss"))
 
+def local_maps(batches: DataFrame, client: str, lr, epochs: int = 1) -> DataFrame:
+    """``(client, n, map)``: a client's whole local fit as one affine map: its batches
+    in order, ``epochs`` times over (X2). ``lr`` is a number or a column.
 
-def fed_rounds(grams: DataFrame, client: str, rounds: int, lr, steps: int = 1,
-               w0: list[float] | None = None) -> DataFrame:
-    """The rounds loop (X6, X8): returns the history ``(round, loss, weights)``.
+    Composition is associative: chunks of FOLD batches are folded, then chunks of
+    chunks, so no task holds more than FOLD maps of a client. The plan's size
+    depends on neither the batches nor the epochs."""
+    rate = F.col(lr) if isinstance(lr, str) else F.lit(float(lr))
+    d = batches.select(client, F.col("batch").alias("_at"), "n", step_map(F.col("gram"), F.col("xty"), F.col("n"), rate).alias("map"))
+    last = batches.agg(F.max("batch")).first()[0] or 0
+    while last > 0:
+        g = d.groupBy(client, F.floor(F.col("_at") / FOLD).cast("long").alias("_to")).agg(
+            F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_at", "map"))).alias("_s"))
+        steps = F.col("_s.map")
+        whole = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.get(steps, F.lit(0)), lambda done, m: composed(m, done))
+        d = g.select(client, F.col("_to").alias("_at"), "n", whole.alias("map"))
+        last //= FOLD
+    if epochs > 1:
+        again = F.aggregate(F.sequence(F.lit(2), F.lit(epochs)), F.col("map"), lambda done, _: composed(F.col("map"), done))
+        d = d.withColumn("map", again)
+    return d.select(client, "n", "map")
 
-    The Gram table is written once to the shared checkpoint folder (so a lost
-    executor does not send the rounds back to the raw data); each round is one
-    job over it whose only output is the p-element global weight vector.
-    """
-    spark: SparkSession = grams.sparkSession
-    checkpoint_dir(spark)
-    grams = grams.checkpoint(eager=True)
-    p = len(grams.select("xty").first()[0])
-    w = list(w0) if w0 is not None else [0.0] * p
-    hist = []
+
+# --------------------------------------------------------------------------- servers
+
+Server = Callable[[Column, Column], Column]
+
+
+def averaged(state: Column, mean: Column) -> Column:
+    """The global weights are the sample-weighted mean of the local ones."""
+    return F.struct(mean.alias("w"), state["v"].alias("v"))
+
+
+def momentum(beta: float, rate: float = 1.0) -> Server:
+    """A server that moves along the decayed sum of the rounds' updates:
+    ``v <- beta v + (w - mean)``, ``w <- w - rate v``."""
+    def step(state: Column, mean: Column) -> Column:
+        v = each(state["v"], each(state["w"], mean, lambda a, b: a - b), lambda a, b: F.lit(beta) * a + b)
+        w = each(state["w"], v, lambda a, b: a - F.lit(rate) * b)
+        return F.struct(w.alias("w"), v.alias("v"))
+    return step
+
+
+def fed_rounds(maps: DataFrame, shape: tuple[int, int], rounds: int, server: Server = averaged,
+               w0: list[list[float]] | None = None) -> DataFrame:
+    """All rounds (X6): ``(round, n, weights p x q)`` from the clients' maps.
+
+    ``server`` is the aggregation (D5): it gets the state (``w`` and a memory ``v``, zero
+    at first) and the sample-weighted mean of the local weights, and returns the next
+    state. The mean of the clients' maps is one global aggregate of p * (p + q) sums;
+    the rounds are a fold over its single row. No clients, no rounds."""
+    p, q = shape
+    n = F.col("n")
+    g = maps.agg(F.sum(n).alias("n"), *[F.sum(F.get(F.get("map", F.lit(i)), F.lit(j)) * n).alias(f"_m{i}_{j}") for i in range(p) for j in range(p + q)])
+    mean = matrix(p, p + q, lambda i, j: F.col(f"_m{i}_{j}") / n)
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), q), p)
+    start = matrix(p, q, lambda i, t: F.lit(float(w0[i][t]))) if w0 is not None else zeros
+    one = F.struct(start.alias("w"), zeros.alias("v"))
+
+    def turn(done: Column, _: Column) -> Column:
+        state = F.element_at(done, -1)
+        return F.concat(done, F.array(server(state, moved(F.col("_map"), state["w"]))))
+    states = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(one), turn)
+    h = g.where(n.isNotNull()).select("n", mean.alias("_map")).select("n", F.posexplode(states).alias("round", "_s"))
+    return h.where("round > 0").select("round", "n", F.col("_s.w").alias("weights"))
+
+
+def trimmed_mean(share: float) -> Callable[[DataFrame, tuple[int, int]], DataFrame]:
+    """An aggregation that leaves out, for every single weight, the ``floor(share * clients)``
+    smallest and largest local values and averages the others, each client alike."""
+    def combine(local: DataFrame, shape: tuple[int, int]) -> DataFrame:
+        p, q = shape
+        long = local.select(F.posexplode(F.flatten("weights")).alias("_pos", "_w"))
+        r = row_index(long, ["_pos"], ["_w"], None, "_rn", total="_k")
+        cut = F.floor(F.lit(share) * F.col("_k"))
+        m = r.where((F.col("_rn") > cut) & (F.col("_rn") <= F.col("_k") - cut)).groupBy("_pos").agg(F.avg("_w").alias("_m"))
+        one = m.agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda x: x["_m"]).alias("_flat"))
+        return one.select(matrix(p, q, lambda i, t: F.get("_flat", F.lit(i * q + t))).alias("weights"))
+    return combine
+
+
+def fed_rounds_by(maps: DataFrame, shape: tuple[int, int], rounds: int, combine, w0: list[list[float]] | None = None) -> DataFrame:
+    """Rounds of an aggregation that needs every local weight (not only their mean):
+    ``combine`` gets the local weights ``(client, n, weights)`` and returns one row of
+    global ``weights``. Each round is written as a one-row table, which the next
+    reads as a scalar subquery. ``(round, weights)``."""
+    p, q = shape
+    start = w0 if w0 is not None else [[0.0] * q for _ in range(p)]
+    state = maps.sparkSession.createDataFrame([(start,)], f"weights {WEIGHTS}")
+    maps, done = materialize(maps), []
     for r in range(1, rounds + 1):
-        row = fed_round(grams, client, w, lr, steps).first()
-        w = [float(x) for x in row["weights"]]
-        hist.append((r, float(row["loss"]), w))
-    return spark.createDataFrame(hist, "round int, loss double, weights array<double>")
-
-
-def evaluate_global(df: DataFrame, client: str, features, target: str, weights: list[float],
-                    intercept: bool = True) -> DataFrame:
-    """Global weights on every client's held-out rows (X4): per client
-    ``n``, ``loss`` (MSE), ``mae`` and ``cos`` (1-target cosine: sign
-    agreement, 0 when either side is 0)."""
-    xs = ([F.lit(1.0)] if intercept else []) + [F.col(f).cast("double") for f in features]
-    pred = sum((F.lit(float(wi)) * x for wi, x in zip(weights, xs)), F.lit(0.0))
-    e = pred - F.col(target)
-    cos = F.when((pred == 0) | (F.col(target) == 0), F.lit(0.0)).otherwise(
-        pred * F.col(target) / (F.abs(pred) * F.abs(F.col(target))))
-    return df.groupBy(client).agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("loss"),
-                                  F.avg(F.abs(e)).alias("mae"), F.avg(cos).alias("cos"))
+        local = maps.withColumn("_w", state.scalar()).withColumn("weights", moved(F.col("map"), F.col("_w"))).drop("map", "_w")
+        state = materialize(combine(local, shape).select("weights"))
+        done.append(state.select(F.lit(r).alias("round"), "weights"))
+    return reduce(DataFrame.unionByName, done)
+
+
+# --------------------------------------------------------------------------- evaluation
+
+def evaluate_rounds(df: DataFrame, client: str, features, targets, history: DataFrame, intercept: bool = True) -> DataFrame:
+    """Every round's global weights on every client's rows (X4, X8): ``(round, client, n,
+    loss, mae, huber, cos)`` over all targets, as :func:`forecast_metrics` defines them.
+
+    The history (rounds x model) is a scalar subquery; one pass over the rows
+    evaluates all rounds, and rows meet in partial sums per client and round."""
+    xs, targets = inputs_of(features, intercept), _keys(targets)
+    h = history.agg(F.array_sort(F.collect_list(F.struct("round", "weights"))).alias("h")).scalar()
+    d = df.select(client, *[x.alias(f"_x{i}") for i, x in enumerate(xs)], *[F.col(t).cast("double").alias(f"actual_{t}") for t in targets],
+                  F.explode(h).alias("_h"))
+    w = F.col("_h.weights")
+    for t, name in enumerate(targets):
+        terms = [F.col(f"_x{i}") * F.get(F.get(w, F.lit(i)), F.lit(t)) for i in range(len(xs))]
+        d = d.withColumn(f"predicted_{name}", reduce(lambda a, b: a + b, terms))
+    return forecast_metrics(d.withColumn("round", F.col("_h.round")), targets, by=["round", client])

@@ -294,8 +294,41 @@ def q_fedavg_weights(spark, root):
     return report(FD.fedavg_weights(w, by=["round", "layer"]))
 
 
+FED_X = ["invocations", "avg_value"]
+FED_SHAPE = (len(FED_X) + 1, len(TARGETS))
+FED_ROUNDS, FED_EPOCHS = 20, 5
+
+
+def _fed_split(spark, root):
+    """Hourly rows of every client, scaled on its train rows; a client without train rows has no scale and no part."""
+    cols = FED_X + TARGETS
+    raw = materialize(SP.time_holdout(_hourly(Tables(spark, root)), "ts", series="user_id", days=7).drop("date"))
+    p = SC.fit_scaler(raw.filter("split = 'train'"), "user_id", cols, with_mean=True)
+    return materialize(SC.apply_scaler(raw, p, "user_id", cols).dropna(subset=cols))
+
+
+def _fed_maps(split):
+    """Local fits by profile: batch size and learning rate of the client's profile, several epochs."""
+    train = FD.assign_profiles(split.filter("split = 'train'"), "user_id")
+    b = FD.batch_grams(train, "user_id", FED_X, TARGETS, "ts", "batch_size")
+    return FD.local_maps(FD.assign_profiles(b, "user_id"), "user_id", "learning_rate", FED_EPOCHS)
+
+
+def _flat_weights(df):
+    """One array of weights, without what is rounding noise beside weights of about 1."""
+    return df.withColumn("weights", F.transform(F.flatten("weights"), lambda w: F.round(w, 12)))
+
+
+def _fed_history(spark, root, server=FD.averaged):
+    split = _fed_split(spark, root)
+    h = materialize(FD.fed_rounds(_fed_maps(split), FED_SHAPE, FED_ROUNDS, server))
+    return h, FD.evaluate_rounds(split.filter("split = 'test'"), "user_id", FED_X, TARGETS, h)
+
+
 def _evals(spark, root):
-    return ST.client_evals_from_embeddings(Tables(spark, root).embeddings)
+    """Every client's evaluation of every round: what a server aggregates, gauges and streams."""
+    e = _fed_history(spark, root)[1]
+    return e.select("round", F.col("user_id").alias("client"), "n", "loss", "cos", "mae")
 
 
 def q_fedavg_metrics(spark, root):
@@ -309,38 +342,47 @@ def q_gauge_latest(spark, root):
     return report(MT.latest(g).select("name", "ts", "value"))
 
 
-FED_X = ["invocations", "avg_value"]
-FED_Y = "max_value"
+def q_fed_round_one(spark, root):
+    """One full-batch step of every client from zero, averaged."""
+    d = _daily(Tables(spark, root))
+    cols = FED_X + ["max_value"]
+    d = SC.apply_scaler(d, SC.fit_scaler(d, "user_id", cols, with_mean=True), "user_id", cols)
+    maps = FD.local_maps(FD.batch_grams(d, "user_id", FED_X, "max_value"), "user_id", 0.1)
+    return report(_flat_weights(FD.fed_rounds(maps, (3, 1), 1)).select("round", "weights", "n"))
 
 
-def _fed_data(spark, root):
-    d = _daily(Tables(spark, root))
-    cols = FED_X + [FED_Y]
-    p = SC.fit_scaler(d, "user_id", cols, with_mean=True)
-    return SC.apply_scaler(d, p, "user_id", cols)
+def q_fed_local_fit(spark, root):
+    """Each client's weights after its first local fit (mini-batches, epochs) from zero."""
+    maps = _fed_maps(_fed_split(spark, root))
+    zero = F.array_repeat(F.array_repeat(F.lit(0.0), FED_SHAPE[1]), FED_SHAPE[0])
+    return report(_flat_weights(maps.select("user_id", "n", FD.moved(F.col("map"), zero).alias("weights"))))
 
 
-def q_fed_round_one(spark, root):
-    g = FD.client_gram(_fed_data(spark, root), "user_id", FED_X, FED_Y)
-    r = FD.fed_round(g, "user_id", [0.0, 0.0, 0.0], 0.1, steps=1)
-    return report(r.select(F.lit(1).alias("round"), "weights", "n"))
+def _with_metrics(h, evals):
+    m = EV.fedavg_metrics(evals, by="round").select("round", "clients", "loss", "cos", "mae")
+    return _flat_weights(h).join(m, "round")
 
 
 def q_fed_rounds(spark, root):
-    g = FD.client_gram(_fed_data(spark, root), "user_id", FED_X, FED_Y)
-    return report(FD.fed_rounds(g, "user_id", rounds=20, lr=0.1, steps=1))
+    """History of the rounds: global weights, and the clients' metrics aggregated."""
+    return report(_with_metrics(*_fed_history(spark, root)))
+
+
+def q_fed_momentum(spark, root):
+    """The same rounds with a server that keeps momentum."""
+    return report(_with_metrics(*_fed_history(spark, root, FD.momentum(0.5))))
+
+
+def q_fed_trimmed_round(spark, root):
+    """One round of the coordinate-wise trimmed mean of the clients' weights."""
+    maps = _fed_maps(_fed_split(spark, root))
+    return report(_flat_weights(FD.fed_rounds_by(maps, FED_SHAPE, 1, FD.trimmed_mean(0.1))))
 
 
 def q_fed_evaluate(spark, root):
-    cols = FED_X + [FED_Y]
-    raw = SP.time_holdout(_daily(Tables(spark, root)), "ts", series="user_id", days=7)
-    p = SC.fit_scaler(raw.filter("split = 'train'"), "user_id", cols, with_mean=True)  # no test row shapes the scale
-    split = SC.apply_scaler(raw, p, "user_id", cols).dropna(subset=cols)  # a client without train rows has no scale
-    g = FD.client_gram(split.filter("split = 'train'"), "user_id", FED_X, FED_Y)
-    hist = FD.fed_rounds(g, "user_id", rounds=20, lr=0.1, steps=1)
-    w = [float(x) for x in hist.orderBy(F.desc("round")).first()["weights"]]
-    per_client = FD.evaluate_global(split.filter("split = 'test'"), "user_id", FED_X, FED_Y, w)
-    return report(per_client)
+    """Per client, the last round's weights on its held-out rows."""
+    e = _fed_history(spark, root)[1]
+    return report(e.where(F.col("round") == FED_ROUNDS).select("user_id", "n", "loss", "mae", "cos"))
 
 
 def q_client_profiles(spark, root):
@@ -349,7 +391,7 @@ def q_client_profiles(spark, root):
 
 
 def q_linear_huber(spark, root):
-    return report(FC.linear_huber(_daily(Tables(spark, root)), FED_X, FED_Y))
+    return report(FC.linear_huber(_daily(Tables(spark, root)), FED_X, "max_value"))
 
 
 # --------------------------------------------------------------------------- ARX forecasting
@@ -495,7 +537,7 @@ def q_stream_rate(spark, root):
 def q_stream_gauges(spark, root):
     from cadence.session import checkpoint_dir
     path = checkpoint_dir(spark, "evals")
-    _evals(spark, root).repartition("round").write.partitionBy("round").parquet(path)
+    _evals(spark, root).repartition(4, "client").write.parquet(path)  # a round's evaluations come in several files
     s = STR.source(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
     out = STR.stream_gauges(s)
     return report(spark.read.parquet(out).select("name", "ts", "value"))
@@ -584,6 +626,9 @@ QUERIES = {
     "fed_round_one": q_fed_round_one,
     "fed_rounds": q_fed_rounds,
     "fed_evaluate": q_fed_evaluate,
+    "fed_local_fit": q_fed_local_fit,
+    "fed_momentum": q_fed_momentum,
+    "fed_trimmed_round": q_fed_trimmed_round,
     "client_profiles": q_client_profiles,
     "linear_huber": q_linear_huber,
     "ar1_diff": q_ar1_diff,

@@ -8,17 +8,18 @@ Floating outputs are rounded to 9 significant digits, as the Spark side does.
 from __future__ import annotations
 
 
-def _significant(x: str, n: int) -> str:
-    e = f"({n - 1}.0 - floor(log10(greatest(abs({x}), 1e-300))))"
-    up, down = f"pow(10.0, greatest({e}, 0.0))", f"pow(10.0, greatest(-{e}, 0.0))"
-    return f"floor({x} * {up} / {down} + 0.5) * {down} / {up}"
+def _rounded(n: int) -> str:
+    """``v`` half up to ``n`` significant digits, scaled by two exact powers of ten (``e``: the exponent)."""
+    e = f"({n - 1}.0 - floor(log10(greatest(abs(v), 1e-30))))"
+    s1, s2 = f"pow(10.0, least(abs({e}), 22.0))", f"pow(10.0, greatest(least(abs({e}) - 22.0, 22.0), 0.0))"
+    return (f"CASE WHEN abs(v) < 1e-30 THEN 0.0 WHEN NOT abs(v) < 1e50 THEN v "
+            f"WHEN {e} >= 0 THEN floor(v * {s1} * {s2} + 0.5) / {s2} / {s1} ELSE floor(v / {s1} / {s2} + 0.5) * {s2} * {s1} END")
 
 
 def R(x: str) -> str:
-    """Same arithmetic as ``cadence.plans.report.fixed``: snapped to 12 significant
+    """Same arithmetic as ``cadence.plans.report.report``: snapped to 12 significant
     digits, then half up to 9 (identical in both engines for identical inputs)."""
-    snapped = f"list_transform([CAST({x} AS DOUBLE)], lambda a: CASE WHEN abs(a) < 1e-9 THEN 0.0 WHEN abs(a) < 1e300 THEN {_significant('a', 12)} ELSE a END)"
-    return f"list_transform({snapped}, lambda b: CASE WHEN b = 0 OR NOT abs(b) < 1e300 THEN b ELSE {_significant('b', 9)} END)[1]"
+    return f"list_transform(list_transform([CAST({x} AS DOUBLE)], lambda v: {_rounded(12)}), lambda v: {_rounded(9)})[1]"
 
 
 def SD(x: str) -> str:
@@ -27,7 +28,7 @@ def SD(x: str) -> str:
 
 
 def RL(x: str) -> str:
-    return f"list_transform({x}, lambda v: {R('v')})"
+    return f"list_transform({x}, lambda w: {R('w')})"
 
 
 # --------------------------------------------------------------------------- stand-ins
@@ -405,18 +406,99 @@ e AS (SELECT round, layer, n, unnest(weights) AS v, unnest(generate_series(1, le
 p AS (SELECT round, layer, pos, sum(v * n) / sum(n) AS m, sum(n) AS nt FROM e GROUP BY 1, 2, 3)
 SELECT round, layer, {RL('list(m ORDER BY pos)')} AS weights, max(nt) AS n FROM p GROUP BY 1, 2"""
 
-_EVALS = f"""
-SELECT label AS round, vec_id AS client, {_NPOS} AS n, abs(CAST(embedding[1] AS DOUBLE)) AS loss,
-       CAST(embedding[2] AS DOUBLE) AS cos, abs(CAST(embedding[3] AS DOUBLE)) AS mae FROM embeddings"""
-
-_FEDAVG = f"""
-SELECT round, count(*) AS clients, sum(n) AS n, sum(loss * n) / sum(n) AS loss,
-       CASE WHEN sum(n) <> 0 THEN sum(cos * n) / sum(n) ELSE 0.0 END AS cos,
-       CASE WHEN sum(n) <> 0 THEN sum(mae * n) / sum(n) ELSE 0.0 END AS mae
-FROM ({_EVALS}) GROUP BY round"""
-
-FEDAVG_METRICS = f"""
-SELECT round, clients, n, {R('loss')} AS loss, {R('cos')} AS cos, {R('mae')} AS mae FROM ({_FEDAVG})"""
+_PROFILE = "(((user_id - 1) % 4 + 4) % 4)"
+_FED_COLS = ["invocations", "avg_value", "max_value", "sum_value"]
+
+
+def _fed_sql() -> str:
+    """Clients with their mini-batches in order, and one local fit as a fold of plain steps
+    over them, not as a composed map: weights ``w`` (3 x 2, row by row)."""
+    z = ", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END AS {n}" for c, n in zip(_FED_COLS, ("x2", "x3", "y1", "y2"), strict=True))
+    stats = ", ".join(f"avg({c}) AS m_{c}, {SD(c)} AS s_{c}" for c in _FED_COLS)
+    x = ["1.0", "x2", "x3"]
+    g = ", ".join(f"sum({a} * {b})" for a in x for b in x)
+    c = ", ".join(f"sum({a} * {b})" for a in x for b in ("y1", "y2"))
+    moves = ", ".join(f"a.w[{2 * i + t + 1}] - b.k * (" + " + ".join(f"b.g[{3 * i + j + 1}] * a.w[{2 * j + t + 1}]" for j in range(3))
+                      + f" - b.c[{2 * i + t + 1}])" for i in range(3) for t in range(2))
+    return f"""
+f AS MATERIALIZED ({feats('hour')}),
+s AS (SELECT *, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY user_id) - 7 THEN 'train' ELSE 'test' END AS split FROM f),
+pr AS (SELECT user_id, {stats} FROM s WHERE split = 'train' GROUP BY user_id),
+z AS MATERIALIZED (SELECT user_id, ts, split, {z} FROM s JOIN pr USING (user_id)),
+tr AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // [32, 256, 64, 128][{_PROFILE} + 1] AS batch FROM z WHERE split = 'train'),
+bg AS (SELECT user_id, batch, count(*) AS n, [{g}] AS g, [{c}] AS c FROM tr GROUP BY user_id, batch),
+cl AS MATERIALIZED (
+  SELECT user_id, CAST(sum(n) AS BIGINT) AS n,
+    list({{'w': [0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 'k': 2 * CAST([0.001, 0.005, 0.02, 0.09] AS DOUBLE[])[{_PROFILE} + 1] / n, 'g': g, 'c': c}} ORDER BY batch) AS steps
+  FROM bg GROUP BY user_id),
+fit AS (SELECT user_id, n, list_concat(steps, steps, steps, steps, steps) AS steps FROM cl)""", (
+        f"list_reduce(list_concat([{{'w': WEIGHTS, 'k': 0.0::DOUBLE, 'g': [0.0::DOUBLE], 'c': [0.0::DOUBLE]}}], steps), "
+        f"lambda a, b: {{'w': [{moves}], 'k': b.k, 'g': b.g, 'c': b.c}}).w")
+
+
+_FED, _FIT = _fed_sql()
+_ZERO = "[0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0, 0.0]"
+
+
+def _fed_history(server: str = "mean") -> str:
+    """``r`` (round, w): the rounds by recursion; ``ev`` (round, user_id, n, loss, mae, cos): evaluations on the held-out rows."""
+    mean = [f"sum(n * l[{i}]) / sum(n)" for i in range(1, 7)]
+    if server == "mean":
+        rounds = f"""
+r AS (
+  SELECT 0 AS round, {_ZERO} AS w
+  UNION ALL
+  SELECT round + 1, [{", ".join(mean)}] FROM (SELECT round, n, {_FIT.replace("WEIGHTS", "w")} AS l FROM r CROSS JOIN fit WHERE round < 20) GROUP BY round)"""
+    else:
+        v = [f"0.5 * any_value(v)[{i}] + any_value(w)[{i}] - {m}" for i, m in enumerate(mean, 1)]
+        rounds = f"""
+r AS (
+  SELECT 0 AS round, {_ZERO} AS w, {_ZERO} AS v
+  UNION ALL
+  SELECT round + 1, [{", ".join(f"any_value(w)[{i}] - ({x})" for i, x in enumerate(v, 1))}], [{", ".join(v)}]
+  FROM (SELECT round, n, w, v, {_FIT.replace("WEIGHTS", "w")} AS l FROM r CROSS JOIN fit WHERE round < 20) GROUP BY round)"""
+    return f"""{_FED},{rounds},
+p AS (SELECT round, user_id, y1, y2, w[1] + x2 * w[3] + x3 * w[5] AS p1, w[2] + x2 * w[4] + x3 * w[6] AS p2
+      FROM z CROSS JOIN r WHERE split = 'test' AND round > 0),
+ev AS (
+  SELECT round, user_id, count(*) AS n, avg(((p1 - y1) * (p1 - y1) + (p2 - y2) * (p2 - y2)) / 2) AS loss,
+    avg((abs(p1 - y1) + abs(p2 - y2)) / 2) AS mae,
+    avg(CASE WHEN (y1 = 0 AND y2 = 0) OR (p1 = 0 AND p2 = 0) THEN 0.0
+             ELSE (y1 * p1 + y2 * p2) / (sqrt(y1 * y1 + y2 * y2) * sqrt(p1 * p1 + p2 * p2)) END) AS cos
+  FROM p GROUP BY round, user_id),
+m AS (
+  SELECT round, count(*) AS clients, CAST(sum(n) AS BIGINT) AS n, sum(loss * n) / sum(n) AS loss, sum(cos * n) / sum(n) AS cos, sum(mae * n) / sum(n) AS mae
+  FROM ev GROUP BY round)"""
+
+
+def _flat_weights(w: str) -> str:
+    return RL(f"list_transform({w}, lambda q: round(q, 12))")
+
+
+def _fed_rounds(server: str) -> str:
+    return f"""WITH RECURSIVE {_fed_history(server)}
+SELECT round, (SELECT CAST(sum(n) AS BIGINT) FROM cl) AS n, {_flat_weights('w')} AS weights, clients,
+  {R('loss')} AS loss, {R('cos')} AS cos, {R('mae')} AS mae
+FROM r JOIN m USING (round)"""
+
+
+FED_ROUNDS, FED_MOMENTUM = _fed_rounds("mean"), _fed_rounds("momentum")
+
+FED_LOCAL_FIT = f"""WITH {_FED}
+SELECT user_id, n, {_flat_weights('l')} AS weights FROM (SELECT user_id, n, {_FIT.replace("WEIGHTS", _ZERO)} AS l FROM fit)"""
+
+FED_TRIMMED_ROUND = f"""WITH {_FED},
+l AS (SELECT {_FIT.replace("WEIGHTS", _ZERO)} AS l FROM fit),
+u AS (SELECT unnest(l) AS w, unnest(range(1, 7)) AS pos FROM l),
+o AS (SELECT pos, w, row_number() OVER (PARTITION BY pos ORDER BY w) AS rn, count(*) OVER (PARTITION BY pos) AS k FROM u),
+t AS (SELECT pos, avg(w) AS w FROM o WHERE rn > floor(0.1 * k) AND rn <= k - floor(0.1 * k) GROUP BY pos)
+SELECT 1 AS round, {_flat_weights('list(w ORDER BY pos)')} AS weights FROM t"""
+
+FED_EVALUATE = f"""WITH RECURSIVE {_fed_history()}
+SELECT user_id, n, {R('loss')} AS loss, {R('mae')} AS mae, {R('cos')} AS cos FROM ev WHERE round = 20"""
+
+FEDAVG_METRICS = f"""WITH RECURSIVE {_fed_history()}
+SELECT round, clients, n, {R('loss')} AS loss, {R('cos')} AS cos, {R('mae')} AS mae FROM m"""
 
 
 def _gauges(src: str) -> str:
@@ -426,12 +508,11 @@ def _gauges(src: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-GAUGE_LATEST = f"""
-WITH m AS ({_FEDAVG}), last AS (SELECT * FROM m WHERE round = (SELECT max(round) FROM m))
+GAUGE_LATEST = f"""WITH RECURSIVE {_fed_history()},
+last AS (SELECT * FROM m WHERE round = (SELECT max(round) FROM m))
 {_gauges('last')}"""
 
-STREAM_GAUGES = f"""
-WITH m AS ({_FEDAVG})
+STREAM_GAUGES = f"""WITH RECURSIVE {_fed_history()}
 {_gauges('m')}"""
 
 FED_ROUND_ONE = f"""
@@ -444,12 +525,10 @@ z AS (SELECT CASE WHEN si = 0 THEN 0.0 ELSE (invocations - mi) / si END AS x1,
              CASE WHEN sx = 0 THEN 0.0 ELSE (max_value - mx) / sx END AS y
       FROM f JOIN p USING (user_id))
 SELECT 1 AS round,
-       {RL('[2 * 0.1 * sum(y) / count(*), 2 * 0.1 * sum(x1 * y) / count(*), 2 * 0.1 * sum(x2 * y) / count(*)]')} AS weights,
+       {_flat_weights('[2 * 0.1 * sum(y) / count(*), 2 * 0.1 * sum(x1 * y) / count(*), 2 * 0.1 * sum(x2 * y) / count(*)]')} AS weights,
        count(*) AS n
 FROM z"""
 
-_PROFILE = "(((user_id - 1) % 4 + 4) % 4)"
-
 CLIENT_PROFILES = f"""
 SELECT user_id, CAST({_PROFILE} AS INTEGER) AS profile,
        {R(f'CAST([0.001, 0.005, 0.02, 0.09] AS DOUBLE[])[{_PROFILE} + 1]')} AS learning_rate,
@@ -693,6 +772,11 @@ ORACLE = {
     "fedavg_metrics": FEDAVG_METRICS,
     "gauge_latest": GAUGE_LATEST,
     "fed_round_one": FED_ROUND_ONE,
+    "fed_local_fit": FED_LOCAL_FIT,
+    "fed_rounds": FED_ROUNDS,
+    "fed_momentum": FED_MOMENTUM,
+    "fed_trimmed_round": FED_TRIMMED_ROUND,
+    "fed_evaluate": FED_EVALUATE,
     "client_profiles": CLIENT_PROFILES,
     "ar1_diff": AR1_DIFF,
     "sarimax_cls": SARIMAX_CLS,

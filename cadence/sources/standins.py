@@ -10,7 +10,7 @@ input tables.
 * endpoints  <- supplier ⋈ nation ⋈ region
 * functions  <- part
 * samples    <- events ⋈ customer ⋈ nation (counters, gauges with label maps)
-* client weights / evaluations <- embeddings
+* client weights <- embeddings
 """
 
 from __future__ import annotations
@@ -148,13 +148,3 @@ def client_weights_from_embeddings(embeddings: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("layer"), F.slice("w", half + 1, F.size("w") - half).alias("weights")))
     return (base.select("round", "client", "n", F.explode(layers).alias("l"))
                 .select("round", "client", F.col("l.layer").alias("layer"), "n", F.col("l.weights").alias("weights")))
-
-
-def client_evals_from_embeddings(embeddings: DataFrame) -> DataFrame:
-    """``(round, client, n, loss, cos, mae)`` per client evaluation."""
-    e = F.col("embedding")
-    return embeddings.select(
-        F.col("label").alias("round"), F.col("vec_id").alias("client"), _n_positive().alias("n"),
-        F.abs(e.getItem(0).cast("double")).alias("loss"),
-        e.getItem(1).cast("double").alias("cos"),
-        F.abs(e.getItem(2).cast("double")).alias("mae"))

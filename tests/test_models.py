@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import tempfile
+import time
 
 import numpy as np
 import pandas as pd
@@ -63,34 +64,107 @@ def test_fedavg_weights(spark):
     assert fd.fedavg_weights(same).first()["weights"] == pytest.approx([1.5, -2.0])
 
 
-def test_federated_rounds_reach_pooled_least_squares(spark):
+def _clients(rows_of):
+    """A table of clients with two inputs and two targets, in the order of ``t``."""
     rng = np.random.default_rng(3)
     frames = []
-    for c in range(5):
-        x1 = rng.normal(c * 0.2, 1.0, 200)
-        x2 = rng.normal(0, 1.0, 200)
-        y = 0.5 + 0.8 * x1 - 0.3 * x2 + rng.normal(0, 0.1, 200)
-        frames.append(pd.DataFrame({"client": c, "x1": x1, "x2": x2, "y": y}))
-    pdf = pd.concat(frames)
+    for c, n in enumerate(rows_of):
+        x1, x2 = rng.normal(c * 0.2, 1.0, n), rng.normal(0, 1.0, n)
+        frames.append(pd.DataFrame({"client": c, "t": range(n), "x1": x1, "x2": x2, "y": 0.5 + 0.8 * x1 - 0.3 * x2 + rng.normal(0, 0.1, n),
+                                    "y2": -1.0 + 0.2 * x1 + rng.normal(0, 0.1, n)}))
+    return pd.concat(frames)
+
+
+def _plain_fit(w, g, lr, size, epochs):
+    """Mini-batch gradient descent, step by step."""
+    X, Y = np.column_stack([np.ones(len(g)), g.x1, g.x2]), g[["y", "y2"]].to_numpy()
+    for _ in range(epochs):
+        for a in range(0, len(g), size):
+            x, y = X[a:a + size], Y[a:a + size]
+            w = w - 2 * lr / len(x) * x.T @ (x @ w - y)
+    return w
+
+
+def _plain_rounds(pdf, rounds, combine, lr=0.05, size=16, epochs=3):
+    w, out = np.zeros((3, 2)), []
+    state = None
+    for _ in range(rounds):
+        fits = [(len(g), _plain_fit(w, g, lr, size, epochs)) for _, g in pdf.groupby("client")]
+        w, state = combine(w, fits, state)
+        out.append(w)
+    return out
+
+
+def _mean(w, fits, state):
+    return sum(n * f for n, f in fits) / sum(n for n, _ in fits), None
+
+
+def _maps(spark, pdf, size=16, lr=0.05, epochs=3):
+    df = spark.createDataFrame(pdf)
+    return fd.local_maps(fd.batch_grams(df, "client", ["x1", "x2"], ["y", "y2"], "t", size), "client", lr, epochs)
+
+
+@pytest.mark.parametrize("fold", [256, 2])
+def test_rounds_equal_plain_minibatch_descent(spark, monkeypatch, fold):
+    """Several epochs over ragged mini-batches; folds of two make several levels."""
+    monkeypatch.setattr(fd, "FOLD", fold)
+    pdf = _clients([200, 7, 16, 65, 1])
+    got = fd.fed_rounds(_maps(spark, pdf), (3, 2), 12).orderBy("round").collect()
+    want = _plain_rounds(pdf, 12, _mean)
+    assert [r["round"] for r in got] == list(range(1, 13)) and {r["n"] for r in got} == {289}
+    for r, w in zip(got, want, strict=True):
+        assert np.allclose(r["weights"], w, atol=1e-10)
+
+
+def test_rounds_reach_pooled_least_squares(spark):
+    pdf = _clients([200] * 5)
     df = spark.createDataFrame(pdf)
-    grams = fd.client_gram(df, "client", ["x1", "x2"], "y")
-    hist = fd.fed_rounds(grams, "client", rounds=60, lr=0.2, steps=1)
-    w = hist.orderBy(F.desc("round")).first()["weights"]
+    maps = fd.local_maps(fd.batch_grams(df, "client", ["x1", "x2"], "y"), "client", 0.2)
+    hist = fd.fed_rounds(maps, (3, 1), 60)
+    w = np.ravel(hist.orderBy(F.desc("round")).first()["weights"])
     X = np.column_stack([np.ones(len(pdf)), pdf.x1, pdf.x2])
-    ref = np.linalg.lstsq(X, pdf.y, rcond=None)[0]
-    assert w == pytest.approx(list(ref), abs=2e-3)
-    losses = [r["loss"] for r in hist.orderBy("round").collect()]
-    assert losses[-1] < losses[0]
-    ev = fd.evaluate_global(df, "client", ["x1", "x2"], "y", w).collect()
-    assert len(ev) == 5 and all(r["loss"] < 0.05 for r in ev)
-
-
-def test_learning_rate_per_client_column(spark):
-    g = spark.createDataFrame([(1, 2, 2.0, [[2.0]], [2.0], 0.5), (2, 1, 1.0, [[1.0]], [1.0], 0.25)],
-                              "client int, n long, yty double, gram array<array<double>>, xty array<double>, lr double")
-    r = fd.fed_round(g, "client", [0.0], "lr").first()
+    assert w == pytest.approx(list(np.linalg.lstsq(X, pdf.y, rcond=None)[0]), abs=2e-3)
+    ev = fd.evaluate_rounds(df, "client", ["x1", "x2"], "y", hist).collect()
+    assert len(ev) == 300 and all(r["loss"] < 0.05 for r in ev if r["round"] == 60)
+    for r in ev[:7]:
+        g, h = pdf[pdf.client == r["client"]], [x for x in hist.collect() if x["round"] == r["round"]][0]
+        p = np.column_stack([np.ones(len(g)), g.x1, g.x2]) @ np.ravel(h["weights"])
+        assert (r["n"], r["loss"], r["mae"], r["cos"]) == pytest.approx(
+            (len(g), ((p - g.y) ** 2).mean(), abs(p - g.y).mean(), np.sign(p * g.y).mean()))
+
+
+def test_server_momentum_and_trimmed_mean(spark):
+    pdf = _clients([40, 30, 20, 10, 50, 60])
+    maps = _maps(spark, pdf)
+
+    def momentum(w, fits, v):
+        v = 0.5 * (np.zeros((3, 2)) if v is None else v) + w - _mean(w, fits, None)[0]
+        return w - 0.9 * v, v
+
+    def trimmed(w, fits, _):
+        values = np.sort(np.stack([f for _, f in fits]), axis=0)
+        return values[1:-1].mean(0), None
+    got = fd.fed_rounds(maps, (3, 2), 8, fd.momentum(0.5, 0.9)).orderBy("round").collect()
+    assert all(np.allclose(r["weights"], w, atol=1e-10) for r, w in zip(got, _plain_rounds(pdf, 8, momentum), strict=True))
+    got = fd.fed_rounds_by(maps, (3, 2), 3, fd.trimmed_mean(0.2)).orderBy("round").collect()
+    assert all(np.allclose(r["weights"], w, atol=1e-10) for r, w in zip(got, _plain_rounds(pdf, 3, trimmed), strict=True))
+
+
+def test_plan_does_not_grow_with_steps_or_rounds(spark):
+    maps = [_maps(spark, _clients([20, 20]), epochs=e) for e in (2, 500)]
+    t0 = time.time()
+    plans = [fd.fed_rounds(m, (3, 2), r)._jdf.queryExecution().executedPlan().toString() for m, r in zip(maps, (2, 500), strict=True)]
+    assert time.time() - t0 < 4 and len(plans[1]) < 1.1 * len(plans[0])
+
+
+def test_learning_rate_per_client_column_and_no_clients(spark):
+    g = spark.createDataFrame([(1, 0, 2, [[2.0]], [[2.0]], 0.5), (2, 0, 1, [[1.0]], [[1.0]], 0.25)],
+                              "client int, batch long, n long, gram array<array<double>>, xty array<array<double>>, lr double")
+    maps = fd.local_maps(g, "client", "lr")
     # local: 2*lr/n*c -> client1: 2*0.5/2*2 = 1.0, client2: 2*0.25/1*1 = 0.5; weighted by n
-    assert r["weights"] == pytest.approx([(2 * 1.0 + 1 * 0.5) / 3])
+    r = fd.fed_rounds(maps, (1, 1), 1).first()
+    assert r["weights"][0] == pytest.approx([(2 * 1.0 + 1 * 0.5) / 3])
+    assert fd.fed_rounds(maps.limit(0), (1, 1), 3).count() == 0
 
 
 def test_profiles_round_robin(spark):
