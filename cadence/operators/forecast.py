@@ -1,12 +1,15 @@
 """Per-series regression with AR(1) errors on first differences.
 
 A SARIMAX(1,1,0) with exogenous regressors and no trend is a regression of
-``dy`` on ``dx`` whose errors follow an AR(1). It is fitted here by conditional
-least squares (Cochrane-Orcutt): everything the iterations need is the Gram
-matrix of ``z = [dy_t, dy_{t-1}, dx_t..., dx_{t-1}...]`` per series, one
-grouped aggregate over the data. The tiny per-series solves then run with numpy
-inside ``mapInPandas`` over the Gram rows (one row per series, spread over
-tasks), so no series' data ever leaves Spark's partitions.
+``dy`` on ``dx`` whose errors follow an AR(1). Its exact likelihood needs the
+second moments of ``z = [dy, dx...]`` only: over all differences, over neighbours,
+and without the first and the last one (:func:`arx_moments`, one grouped aggregate
+over the data). For given coefficients the maximum in ``phi`` is the root of a cubic,
+for given ``phi`` the coefficients solve normal equations; :func:`fit_arx` iterates
+both for all series of a batch at once, inside ``mapInPandas`` over the moments (one
+row per series, spread over tasks), so no series' data leaves Spark's partitions.
+Conditional least squares (Cochrane-Orcutt, :func:`fit_arx_diff`) is the cheaper
+approximation that leaves out the first difference's own term.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.functions.arrays import matrix
 from cadence.operators.blocks import chunk_of, row_blocks, row_index
 
 
@@ -35,12 +39,19 @@ def targets_long(df: DataFrame, series, ts: str, targets, exog=(), target_col: s
     return df.unpivot([*s, ts, *exog], list(targets), target_col, value_col)
 
 
-def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int | None = None) -> DataFrame:
+def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int | None = None,
+              first: bool = False) -> DataFrame:
     """Rows ``(series, ts, dy, dy1, dx_j, dx1_j)`` from the third observation
-    of each series on (both lags defined). Block-parallel lags (halo 2)."""
+    of each series on (both lags defined). Block-parallel lags (halo 2).
+
+    With ``first`` rows start at the second observation (null ``dy1``, ``dx1_j``), keep the
+    levels as ``y_T``, ``x{j}_T``, and observations with a null are left out before
+    the differences are taken, so that the first row is the only one without a lag."""
     s, exog = _series(series), list(exog)
     cols = [y] + exog
     d = df.select(*s, ts, *cols)
+    if first:
+        d = d.dropna("any", subset=[ts, *cols])
     d = row_index(d, s, [ts], chunk_of(ts, chunk_us), "_rn")
     b = row_blocks(d, s, "_rn", 2, 0).repartition(*s, "_blk")
     w = Window.partitionBy(*s, "_blk").orderBy("_rn")
@@ -53,8 +64,13 @@ def diff_rows(df: DataFrame, series, ts: str, y: str, exog=(), chunk_us: int | N
     for j, x in enumerate(exog):
         out += [F.col(x) - F.col(f"{x}__1"), F.col(f"{x}__1") - F.col(f"{x}__2")]
         names += [f"dx{j}", f"dx1{j}"]
-    r = b.select(*s, ts, *[o.cast("double").alias(n) for o, n in zip(out, names)])
-    return r.dropna("any", subset=names)
+    now = [F.col(c).cast("double").alias(n) for c, n in zip(cols, _levels(len(exog)))] if first else []
+    r = b.select(*s, ts, *now, *[o.cast("double").alias(n) for o, n in zip(out, names)])
+    return r.dropna("any", subset=["dy"] if first else names)
+
+
+def _levels(k: int) -> list[str]:
+    return ["y_T"] + [f"x{j}_T" for j in range(k)]
 
 
 def _z_names(k: int) -> list[str]:
@@ -142,6 +158,103 @@ def fit_arx_diff(gram: DataFrame, series, k: int, iters: int = 50, tol: float =
     return gram.mapInPandas(run, schema)
 
 
+def arx_moments(rows: DataFrame, series, k: int) -> DataFrame:
+    """``(series, n, whole, near, first, last)`` from :func:`diff_rows` with ``first``: the
+    second moments of ``z = [dy, dx...]`` over all ``n`` differences, those of each with
+    the one before it (row: later), and the first and last ``z``."""
+    s = _series(series)
+    z, z1 = ["dy"] + [f"dx{j}" for j in range(k)], ["dy1"] + [f"dx1{j}" for j in range(k)]
+    m = range(k + 1)
+    ts = [c for c in rows.columns if c not in {*s, *z, *z1, *_levels(k)}][0]
+    aggs = [F.count(F.lit(1)).alias("n"), F.max_by(F.array(*z), ts).alias("last")]
+    aggs += [F.sum(F.when(F.col("dy1").isNull(), F.col(z[i]))).alias(f"_f{i}") for i in m]
+    aggs += [F.sum(F.col(z[i]) * F.col(z[j])).alias(f"_w{i}_{j}") for i in m for j in m if i <= j]
+    aggs += [F.coalesce(F.sum(F.col(z[i]) * F.col(z1[j])), F.lit(0.0)).alias(f"_n{i}_{j}") for i in m for j in m]
+    g = rows.groupBy(*s).agg(*aggs)
+    return g.select(*s, "n", matrix(k + 1, k + 1, lambda i, j: F.col(f"_w{min(i, j)}_{max(i, j)}")).alias("whole"),
+                    matrix(k + 1, k + 1, lambda i, j: F.col(f"_n{i}_{j}")).alias("near"),
+                    F.array(*[F.col(f"_f{i}") for i in m]).alias("first"), "last")
+
+
+def _phi(m: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The ``phi`` of greatest exact likelihood for residual moments ``a`` (all), ``b`` (neighbours)
+    and ``c`` (without the ends): the root in (-1, 1) of a cubic that falls there from
+    ``m``-independent positive to negative, by bisection to the last bit."""
+    lo, hi = -np.ones(len(m)), np.ones(len(m))
+    for _ in range(60):
+        x = (lo + hi) / 2
+        up = ((m - 1) * c * x - (m - 2) * b) * x * x - (m * c + a) * x + m * b > 0
+        lo, hi = np.where(up, x, lo), np.where(up, hi, x)
+    return np.where(a > 0, (lo + hi) / 2, 0.0)
+
+
+def exact_fit(n: np.ndarray, whole: np.ndarray, near: np.ndarray, first: np.ndarray, last: np.ndarray, iters: int,
+              tol: float, phi: np.ndarray) -> dict[str, np.ndarray]:
+    """Maximum likelihood for many series at once, from ``phi``: ``phi``, ``beta``,
+    ``sigma2``, ``loglik``, ``iterations``, ``converged``."""
+    k = whole.shape[1] - 1
+    ends = first[:, :, None] * first[:, None, :] + last[:, :, None] * last[:, None, :]
+    inner = np.where((n > 1)[:, None, None], whole - ends, 0.0)
+    both = near + near.transpose(0, 2, 1)
+
+    def coefficients(phi: np.ndarray) -> np.ndarray:
+        f = phi[:, None, None]
+        q = whole - f * both + f * f * inner
+        return (np.linalg.pinv(q[:, 1:, 1:], hermitian=True) @ q[:, 1:, :1])[:, :, 0] if k else np.zeros((len(n), 0))
+
+    def moments(beta: np.ndarray) -> list[np.ndarray]:
+        v = np.concatenate([np.ones((len(n), 1)), -beta], axis=1)
+        return [np.einsum("si,sij,sj->s", v, x, v) for x in (whole, near, inner)]
+    steps, done = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+    beta = coefficients(phi)
+    for _ in range(iters):
+        new = np.where(done, phi, _phi(n, *moments(beta)))
+        steps += ~done
+        done = done | (np.abs(new - phi) < tol)
+        phi = new
+        beta = coefficients(phi)
+        if done.all():
+            break
+    a, b, c = moments(beta)
+    s = a - 2 * phi * b + phi * phi * c
+    with np.errstate(divide="ignore"):
+        loglik = -n / 2 * (np.log(2 * np.pi * s / n) + 1) + np.log(1 - phi * phi) / 2
+    return {"phi": phi, "beta": beta, "sigma2": s / n, "loglik": loglik, "iterations": steps, "converged": done}
+
+
+def fit_arx(moments: DataFrame, series, iters: int = 500, tol: float = 1e-14, start: DataFrame | None = None) -> DataFrame:
+    """SARIMAX(1,1,0) by exact maximum likelihood (T7): ``(series, n, phi, beta, sigma2,
+    loglik, iterations, converged)`` from :func:`arx_moments`.
+
+    ``start``: an earlier parameter table, whose ``phi`` warm-starts each series. A
+    series without a difference has no row; regressors that don't vary get the
+    coefficient of least norm; a series that is fitted exactly has ``loglik``
+    infinite. ``converged`` tells whether ``iters`` was enough for ``tol``."""
+    s = _series(series)
+    if start is not None:
+        same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(s)]
+        known = start.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(s)], F.col("phi").alias("_phi0"))
+        moments = moments.join(known, same, "left").drop(*[f"_s{i}" for i in range(len(s))])
+    else:
+        moments = moments.withColumn("_phi0", F.lit(0.0))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema.fields if f.name in s)
+    names = ["phi", "beta", "sigma2", "loglik", "iterations", "converged"]
+    schema = f"{keys}, n long, phi double, beta array<double>, sigma2 double, loglik double, iterations int, converged boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            whole, near = (np.array([np.stack(x) for x in pdf[c]], float) for c in ("whole", "near"))
+            first, last = (np.array([np.asarray(x, float) for x in pdf[c]]) for c in ("first", "last"))
+            fit = exact_fit(pdf["n"].to_numpy(), whole, near, first, last, iters, tol, pdf["_phi0"].fillna(0.0).to_numpy(float))
+            fit["beta"] = list(fit["beta"])
+            yield pd.concat([pdf[[*s, "n"]].reset_index(drop=True), pd.DataFrame({c: fit[c] for c in names})], axis=1)
+
+    order = [f.name for f in moments.schema.fields if f.name in s]
+    return moments.select(*order, "n", "whole", "near", "first", "last", "_phi0").mapInPandas(run, schema)
+
+
 def in_sample_mae(rows: DataFrame, params: DataFrame, series, k: int) -> DataFrame:
     """Mean absolute one-step residual per series (T9), a pass over the
     difference rows joined with the fitted parameters."""
@@ -153,19 +266,16 @@ def in_sample_mae(rows: DataFrame, params: DataFrame, series, k: int) -> DataFra
     return d.groupBy(*s).agg(F.avg(F.abs(e)).alias("mae"))
 
 
-def last_state(df: DataFrame, series, ts: str, y: str, exog=()) -> DataFrame:
-    """Last two observations of ``y`` and the exog per series, as columns
-    ``y_T, y_T1, x{j}_T, x{j}_T1`` (a grouped aggregate, no window)."""
-    s, exog = _series(series), list(exog)
-    pack = F.struct(*[F.col(c).cast("double").alias(c) for c in [y] + exog])
-    last2 = df.groupBy(*s).agg(F.max_by(pack, F.col(ts)).alias("_T"), F.max(ts).alias("_tT"))
-    prev = df.join(last2.select(*s, "_tT"), s).filter(F.col(ts) < F.col("_tT")) \
-             .groupBy(*s).agg(F.max_by(pack, F.col(ts)).alias("_T1"))
-    j = last2.join(prev, s, "inner")
-    cols = [F.col("_T")[y].alias("y_T"), F.col("_T1")[y].alias("y_T1")]
-    for i, x in enumerate(exog):
-        cols += [F.col("_T")[x].alias(f"x{i}_T"), F.col("_T1")[x].alias(f"x{i}_T1")]
-    return j.select(*s, F.col("_tT").alias("t_last"), *cols)
+def last_state(rows: DataFrame, series, ts: str, k: int) -> DataFrame:
+    """Last two observations of ``y`` and the exog per series, as columns ``y_T, y_T1, x{j}_T,
+    x{j}_T1``, from :func:`diff_rows` with ``first``: the last level and the last
+    difference, one grouped aggregate."""
+    s = _series(series)
+    steps = ["dy"] + [f"dx{j}" for j in range(k)]
+    now = _levels(k)
+    last = rows.groupBy(*s).agg(F.max_by(F.struct(*now, *steps), ts).alias("_l"), F.max(ts).alias("t_last"))
+    return last.select(*s, "t_last", *[F.col(f"_l.{c}").alias(c) for c in now],
+                       *[(F.col(f"_l.{c}") - F.col(f"_l.{d}")).alias(f"{c}1") for c, d in zip(now, steps)])
 
 
 def forecast_arx_diff(params: DataFrame, state: DataFrame, future: DataFrame, series, exog, h_col: str = "h"):

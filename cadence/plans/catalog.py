@@ -419,25 +419,55 @@ def q_ar1_both_targets(spark, root):
     return report(FC.fit_arx_diff(g, ["user_id", "target"], 0, iters=1).select("user_id", "target", "n", "phi"))
 
 
+def _daily_grid(spark, root):
+    """Daily rows on a regular grid, gaps interpolated: what the forecasts run on."""
+    g = SR.regular_grid(_daily(Tables(spark, root)), "user_id", "ts", 86_400)
+    return materialize(SR.interpolate_time(g, "user_id", "ts", GRID_COLS))
+
+
+def q_rolling_forecast_grid(spark, root):
+    return report(SR.rolling_forecast(_daily_grid(spark, root), "user_id", "ts", TARGETS, n=7))
+
+
+ARX_KEYS = ["user_id", "target"]
+
+
 def q_arx_fit(spark, root):
-    """Both targets, two exogenous inputs, iterated to convergence."""
-    keys = ["user_id", "target"]
-    long = FC.targets_long(_daily(Tables(spark, root)), "user_id", "ts", TARGETS, FED_X)
-    rows = materialize(FC.diff_rows(long, keys, "ts", "y", FED_X))  # read by the fit and the residual pass
-    p = FC.fit_arx_diff(FC.arx_gram(rows, keys, 2), keys, 2, iters=50)
-    return report(p.join(FC.in_sample_mae(rows, p, keys, 2), keys))
+    """Both targets, two exogenous inputs, exact likelihood."""
+    long = FC.targets_long(_daily_grid(spark, root), "user_id", "ts", TARGETS, FED_X)
+    rows = materialize(FC.diff_rows(long, ARX_KEYS, "ts", "y", FED_X, first=True))  # read by the fit and the residual pass
+    p = FC.fit_arx(FC.arx_moments(rows, ARX_KEYS, 2), ARX_KEYS)
+    p = p.select(*ARX_KEYS, "n", "phi", "beta", "sigma2", "loglik")
+    return report(p.join(FC.in_sample_mae(rows, p, ARX_KEYS, 2), ARX_KEYS))
+
+
+def _arx_forecast(spark, root):
+    """Forecasts over the last seven days from a fit on the days before, with the future inputs; and the rows of those days."""
+    d = SP.time_holdout(_daily_grid(spark, root), "ts", series="user_id", days=7).drop("date")
+    long = materialize(FC.targets_long(d, "user_id", "ts", TARGETS, [*FED_X, "split"]))
+    train, test = long.filter("split = 'train'"), long.filter("split = 'test'")
+    rows = materialize(FC.diff_rows(train, ARX_KEYS, "ts", "y", FED_X, first=True))
+    p = FC.fit_arx(FC.arx_moments(rows, ARX_KEYS, 2), ARX_KEYS)
+    future = materialize(row_index(test, ARX_KEYS, ["ts"], name="h"))
+    fc = FC.forecast_arx_diff(p, FC.last_state(rows, ARX_KEYS, "ts", 2), future.select(*ARX_KEYS, "h", *FED_X), ARX_KEYS, FED_X)
+    return fc.select(*ARX_KEYS, "h", "forecast"), future
 
 
 def q_arx_forecast(spark, root):
-    d = SP.time_holdout(_daily(Tables(spark, root)), "ts", series="user_id", days=7).drop("date")
-    d = materialize(d)  # train rows feed the fit and the last state, test rows the horizon
-    train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
-    rows = FC.diff_rows(train, "user_id", "ts", "sum_value", FED_X)
-    p = FC.fit_arx_diff(FC.arx_gram(rows, "user_id", 2), "user_id", 2, iters=50)
-    state = FC.last_state(train, "user_id", "ts", "sum_value", FED_X)
-    fut = row_index(test, ["user_id"], ["ts"], name="h")
-    fc = FC.forecast_arx_diff(p, state, fut.select("user_id", "h", "ts", "sum_value", *FED_X), "user_id", FED_X)
-    return report(fc.select("user_id", "h", "ts", F.col("sum_value").alias("actual"), "forecast"))
+    fc, future = _arx_forecast(spark, root)
+    return report(future.select(*ARX_KEYS, "h", "ts", F.col("y").alias("actual")).join(fc, [*ARX_KEYS, "h"]))
+
+
+def q_prediction_table(spark, root):
+    """Forecasts of both targets beside the rows that they are for, paired by position:
+    the i-th forecast step with the i-th row of the series, though the forecasts reach
+    two steps less far."""
+    fc, future = _arx_forecast(spark, root)
+    wide = fc.where("h <= 6").groupBy("user_id", "h").agg(
+        *[F.max(F.when(F.col("target") == t, F.col("forecast"))).alias(f"predicted_{t}") for t in TARGETS])
+    rows = future.groupBy("user_id", "ts").agg(*[F.max(F.when(F.col("target") == t, F.col("y"))).alias(f"actual_{t}") for t in TARGETS])
+    j = EV.positional_join(rows, wide, "user_id", "ts", "h")
+    return report(j.select("user_id", "ts", *[f"{k}_{t}" for t in TARGETS for k in ("actual", "predicted")]))
 
 
 # --------------------------------------------------------------------------- metric queries
@@ -635,6 +665,8 @@ QUERIES = {
     "sarimax_cls": q_sarimax_cls,
     "arx_fit": q_arx_fit,
     "arx_forecast": q_arx_forecast,
+    "rolling_forecast_grid": q_rolling_forecast_grid,
+    "prediction_table": q_prediction_table,
     "counter_rate": q_counter_rate,
     "cpu_by_name": q_cpu_by_name,
     "memory_by_name": q_memory_by_name,

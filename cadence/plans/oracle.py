@@ -282,10 +282,10 @@ FROM w WHERE len(tl) = 14"""
 
 # --------------------------------------------------------------------------- series
 
-def _grid_cte() -> str:
-    return f"""f AS ({feats('hour')}),
+def _grid_cte(unit: str = "hour") -> str:
+    return f"""f AS ({feats(unit)}),
 b AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM f GROUP BY 1),
-g AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS ts FROM b)"""
+g AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 {unit})) AS ts FROM b)"""
 
 
 REGULAR_GRID = f"""WITH {_grid_cte()}
@@ -301,7 +301,8 @@ def _interp(c: str) -> str:
             f"WHEN nt IS NULL THEN p_{c} ELSE p_{c} + (n_{c} - p_{c}) / (nt - pt) * (us - pt) END")
 
 
-INTERPOLATE_TIME = f"""WITH {_grid_cte()},
+def _interpolated(unit: str) -> str:
+    return f"""{_grid_cte(unit)},
 j AS (SELECT g.user_id, g.ts, epoch_us(g.ts) AS us, f.invocations, f.avg_value, f.max_value, f.sum_value,
              CASE WHEN f.invocations IS NOT NULL THEN epoch_us(g.ts) END AS ous
       FROM g LEFT JOIN f USING (user_id, ts)),
@@ -309,9 +310,12 @@ w AS (SELECT *, last_value(ous IGNORE NULLS) OVER wp AS pt, first_value(ous IGNO
         {", ".join(f"last_value({c} IGNORE NULLS) OVER wp AS p_{c}, first_value({c} IGNORE NULLS) OVER wn AS n_{c}" for c in _ICOLS)}
       FROM j
       WINDOW wp AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-             wn AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT user_id, ts, {", ".join(f"{R(_interp(c))} AS {c}" for c in _ICOLS)}
-FROM w"""
+             wn AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+i AS (SELECT user_id, ts, {", ".join(f"{_interp(c)} AS {c}" for c in _ICOLS)} FROM w)"""
+
+
+INTERPOLATE_TIME = f"""WITH {_interpolated('hour')}
+SELECT user_id, ts, {", ".join(f"{R(c)} AS {c}" for c in _ICOLS)} FROM i"""
 
 DATE_GRID = """
 SELECT t - INTERVAL 1 HOUR AS ts
@@ -370,15 +374,19 @@ SELECT o_orderpriority, o_orderdate, {R('o_totalprice')} AS o_totalprice,
        {R('CASE WHEN count(o_totalprice) OVER w = 56 THEN avg(o_totalprice) OVER w END')} AS o_totalprice_rolling
 FROM x WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate ROWS BETWEEN 55 PRECEDING AND CURRENT ROW)"""
 
-_ROLL = f"""
+_ROLLED = """
 SELECT user_id, ts, max_value AS a1, avg(max_value) OVER w AS p1, sum_value AS a2, avg(sum_value) OVER w AS p2,
        count(*) OVER w AS k
-FROM ({feats('day')}) WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
+FROM ({src}) WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
+_ROLL = _ROLLED.format(src=feats("day"))
 
-ROLLING_FORECAST = f"""
-SELECT user_id, ts, {R('a1')} AS actual_max_value, {R('p1')} AS predicted_max_value,
-       {R('a2')} AS actual_sum_value, {R('p2')} AS predicted_sum_value
-FROM ({_ROLL}) WHERE k > 0"""
+_FORECAST_COLS = f"""user_id, ts, {R('a1')} AS actual_max_value, {R('p1')} AS predicted_max_value,
+       {R('a2')} AS actual_sum_value, {R('p2')} AS predicted_sum_value"""
+
+ROLLING_FORECAST = f"SELECT {_FORECAST_COLS} FROM ({_ROLL}) WHERE k > 0"
+
+ROLLING_FORECAST_GRID = f"""WITH {_interpolated('day')}
+SELECT {_FORECAST_COLS} FROM ({_ROLLED.format(src="i")}) WHERE k > 0"""
 
 
 def _huber(e: str) -> str:
@@ -563,6 +571,78 @@ SELECT user_id, n, {R('phi')} AS phi,
        {R('CASE WHEN xx - 2 * phi * xx1 + phi * phi * x1x1 <> 0 THEN (xy - phi * xy1 - phi * x1y + phi * phi * x1y1) / (xx - 2 * phi * xx1 + phi * phi * x1x1) ELSE 0.0 END')} AS beta
 FROM q"""
 
+
+_Z, _Z1 = ("dy", "dx0", "dx1"), ("py", "px0", "px1")
+_PAIRS = [(i, j) for i in range(3) for j in range(3)]
+
+
+def _quadratic(m: str) -> str:
+    """v' M v for v = [1, -b0, -b1] and the moments ``{m}ij``."""
+    v = ("1", "(-b0)", "(-b1)")
+    return " + ".join(f"{v[i]} * {v[j]} * {m}{i}{j}" for i, j in _PAIRS)
+
+
+def _arx(src: str) -> str:
+    """``p`` (user_id, target, n, phi, b0, b1, a, b, c): exact AR(1) likelihood of the differences in ``src``, by 400
+    rounds of normal equations (Cramer's rule) and bisection of the cubic; ``u`` are the differences."""
+    q = {(i, j): f"(w{i}{j} - phi * (n{i}{j} + n{j}{i}) + phi * phi * c{i}{j})" for i, j in _PAIRS}
+    det = f"({q[1, 1]} * {q[2, 2]} - {q[1, 2]} * {q[2, 1]})"
+    solved = (f"({q[1, 0]} * {q[2, 2]} - {q[1, 2]} * {q[2, 0]}) / {det} AS b0, "
+              f"({q[1, 1]} * {q[2, 0]} - {q[2, 1]} * {q[1, 0]}) / {det} AS b1")
+    root = ("list_reduce(list_concat([{'lo': -1.0::DOUBLE, 'hi': 1.0::DOUBLE}], list_transform(range(60), lambda k: {'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE})), "
+            "lambda s, k: CASE WHEN ((n - 1) * c * ((s.lo + s.hi) / 2) - (n - 2) * b) * ((s.lo + s.hi) / 2) * ((s.lo + s.hi) / 2) "
+            "- (n * c + a) * ((s.lo + s.hi) / 2) + n * b > 0 THEN {'lo': (s.lo + s.hi) / 2, 'hi': s.hi} ELSE {'lo': s.lo, 'hi': (s.lo + s.hi) / 2} END)")
+    keep = "user_id, target, n, phi, " + ", ".join(f"{m}{i}{j}" for m in "wnc" for i, j in _PAIRS)
+    lags = ", ".join(f"{x} - lag({x}) OVER o AS {d}" for x, d in zip(("y", "invocations", "avg_value"), _Z, strict=True))
+    return f"""
+u0 AS (SELECT *, {lags} FROM ({src}) WINDOW o AS (PARTITION BY user_id, target ORDER BY ts)),
+u AS MATERIALIZED (
+  SELECT *, {", ".join(f"lag({d}) OVER o AS {e}" for d, e in zip(_Z, _Z1, strict=True))}, row_number() OVER o AS pos, count(*) OVER (PARTITION BY user_id, target) AS m
+  FROM u0 WHERE dy IS NOT NULL WINDOW o AS (PARTITION BY user_id, target ORDER BY ts)),
+mo AS MATERIALIZED (
+  SELECT user_id, target, count(*) AS n, 0.0::DOUBLE AS phi, {", ".join(f"sum({_Z[i]} * {_Z[j]}) AS w{i}{j}" for i, j in _PAIRS)},
+    {", ".join(f"coalesce(sum({_Z[i]} * {_Z1[j]}), 0.0) AS n{i}{j}" for i, j in _PAIRS)},
+    {", ".join(f"coalesce(sum(CASE WHEN pos > 1 AND pos < m THEN {_Z[i]} * {_Z[j]} END), 0.0) AS c{i}{j}" for i, j in _PAIRS)}
+  FROM u GROUP BY user_id, target),
+it AS (
+  SELECT 0 AS step, {keep} FROM mo
+  UNION ALL
+  SELECT step + 1, {keep.replace("phi", "(r.lo + r.hi) / 2 AS phi", 1)}
+  FROM (SELECT *, {root} AS r
+        FROM (SELECT *, {_quadratic("w")} AS a, {_quadratic("n")} AS b, {_quadratic("c")} AS c FROM (SELECT *, {solved} FROM it WHERE step < 400)))),
+p AS (SELECT user_id, target, n, phi, b0, b1, {_quadratic("w")} - 2 * phi * ({_quadratic("n")}) + phi * phi * ({_quadratic("c")}) AS s
+      FROM (SELECT *, {solved} FROM it WHERE step = 400))"""
+
+
+_BOTH = "\n  UNION ALL ".join(f"SELECT user_id, '{t}' AS target, ts, {t} AS y, invocations, avg_value FROM {{src}}" for t in ("max_value", "sum_value"))
+
+ARX_FIT = f"""WITH RECURSIVE {_interpolated('day')},
+{_arx(_BOTH.format(src="i"))},
+e AS (SELECT user_id, target, avg(abs(dy - phi * py - b0 * (dx0 - phi * px0) - b1 * (dx1 - phi * px1))) AS mae
+      FROM u JOIN p USING (user_id, target) GROUP BY user_id, target)
+SELECT user_id, target, n, {R('phi')} AS phi, {RL('[b0, b1]')} AS beta, {R('s / n')} AS sigma2,
+  {R('-n / 2 * (ln(2 * pi() * s / n) + 1) + ln(1 - phi * phi) / 2')} AS loglik, {R('mae')} AS mae
+FROM p JOIN e USING (user_id, target)"""
+
+_ARX_FORECAST = f"""WITH RECURSIVE {_interpolated('day')},
+h AS MATERIALIZED (SELECT *, CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY user_id) - 7 AS train FROM i),
+{_arx(_BOTH.format(src="h WHERE train"))},
+l AS (SELECT * FROM u WHERE pos = m),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id, target ORDER BY ts) AS h FROM ({_BOTH.format(src="h WHERE NOT train")})),
+fc AS (
+  SELECT t.user_id, t.target, t.h, t.ts, t.y AS actual,
+    b0 * t.invocations + b1 * t.avg_value + (l.y - b0 * l.invocations - b1 * l.avg_value)
+      + (l.dy - b0 * l.dx0 - b1 * l.dx1) * phi * (1 - pow(phi, t.h)) / (1 - phi) AS forecast
+  FROM t JOIN p USING (user_id, target) JOIN l USING (user_id, target))"""
+
+ARX_FORECAST = f"""{_ARX_FORECAST}
+SELECT user_id, target, h, ts, {R('actual')} AS actual, {R('forecast')} AS forecast FROM fc"""
+
+_PICKED = ", ".join(R(f"max(CASE WHEN target = '{t}' THEN {c} END)") + f" AS {n}_{t}" for t in ("max_value", "sum_value") for n, c in (("actual", "actual"), ("predicted", "forecast")))
+
+PREDICTION_TABLE = f"""{_ARX_FORECAST}
+SELECT user_id, ts, {_PICKED} FROM fc WHERE h <= 6 GROUP BY user_id, ts"""
+
 # --------------------------------------------------------------------------- metric queries
 
 _STEP, _RANGE = 3_600_000_000, 86_400_000_000
@@ -797,4 +877,8 @@ ORACLE = {
     "counter_rate_samples": COUNTER_RATE_SAMPLES,
     "task_windows": TASK_WINDOWS,
     "ar1_both_targets": AR1_BOTH_TARGETS,
+    "arx_fit": ARX_FIT,
+    "arx_forecast": ARX_FORECAST,
+    "prediction_table": PREDICTION_TABLE,
+    "rolling_forecast_grid": ROLLING_FORECAST_GRID,
 }

@@ -203,7 +203,7 @@ def test_arx_recovers_parameters_and_forecasts(spark):
     mae = fc.in_sample_mae(rows, params, "sid", 1).collect()
     assert all(0.5 < r["mae"] < 1.1 for r in mae)
     # closed-form h-step forecast equals the step-by-step recursion
-    state = fc.last_state(df, "sid", "ts", "y", ["x"])
+    state = fc.last_state(fc.diff_rows(df, "sid", "ts", "y", ["x"], first=True), "sid", "ts", 1)
     fut = spark.createDataFrame([(s, h, float(h)) for s in range(3) for h in range(1, 6)], "sid int, h int, x double")
     out = {(r["sid"], r["h"]): r["forecast"] for r in fc.forecast_arx_diff(params, state, fut, "sid", ["x"]).collect()}
     p = {r["sid"]: r for r in params.collect()}
@@ -218,6 +218,45 @@ def test_arx_recovers_parameters_and_forecasts(spark):
             assert out[(s, h)] == pytest.approx(beta * h + n_cur, rel=1e-9, abs=1e-6)
 
 
+def _exact_loglik(y, xs, phi, beta, sigma2):
+    """Gaussian log-likelihood of the differences from their full covariance matrix."""
+    u = np.diff(y) - np.diff(np.asarray(xs).reshape(len(y), -1), axis=0) @ np.asarray(beta)
+    lag = np.abs(np.subtract.outer(np.arange(len(u)), np.arange(len(u))))
+    cov = sigma2 / (1 - phi**2) * phi**lag
+    return -0.5 * (len(u) * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + u @ np.linalg.solve(cov, u))
+
+
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_exact_likelihood(spark, k):
+    """The fit's log-likelihood is that of the covariance matrix, and no neighbour has a larger one;
+    series of two, three and more observations, nulls left out, a null key, a warm start."""
+    rng = np.random.default_rng(k)
+    series = {}
+    for sid, n in ((None, 40), (1, 25), (2, 9), (3, 60)):
+        x, y = _arx_series(sid or 0, n, phi=0.5 if sid != 3 else -0.7)
+        series[sid] = y, np.column_stack([x, rng.normal(0, 1, n).cumsum()])[:, :k]
+    data = [(sid, T0 + dt.timedelta(hours=i), float(y[i]), *[float(v) for v in x[i]]) for sid, (y, x) in series.items() for i in range(len(y))]
+    data += [(1, T0 + dt.timedelta(minutes=30), None, *[0.0] * k), (4, T0, 1.0, *[0.0] * k), (5, T0, 1.0, *[0.0] * k), (5, T0 + dt.timedelta(hours=1), 4.0, *[0.0] * k)]
+    cols = [f"x{j}" for j in range(k)]
+    df = spark.createDataFrame(data, "sid int, ts timestamp, y double" + "".join(f", {c} double" for c in cols))
+    rows = fc.diff_rows(df, "sid", "ts", "y", cols, first=True)
+    fit = fc.fit_arx(fc.arx_moments(rows, "sid", k), "sid")
+    got = {r["sid"]: r for r in fit.collect()}
+    assert set(got) == {None, 1, 2, 3, 5}  # one observation has no difference
+    assert (got[5]["n"], got[5]["phi"], got[5]["sigma2"]) == pytest.approx((1, 0.0, 9.0), abs=1e-15)
+    for sid, (y, x) in series.items():
+        r = got[sid]
+        assert r["converged"] and r["n"] == len(y) - 1
+        best = _exact_loglik(y, x, r["phi"], r["beta"], r["sigma2"])
+        assert r["loglik"] == pytest.approx(best, rel=1e-9)
+        for _ in range(30):
+            phi = np.clip(r["phi"] + rng.normal(0, 0.01), -0.999, 0.999)
+            near = _exact_loglik(y, x, phi, np.array(r["beta"]) + rng.normal(0, 0.01, k), r["sigma2"] * np.exp(rng.normal(0, 0.05)))
+            assert near <= best + 1e-9
+    warm = {r["sid"]: r for r in fc.fit_arx(fc.arx_moments(rows, "sid", k), "sid", start=fit).collect()}
+    assert all(abs(warm[s]["phi"] - got[s]["phi"]) < 1e-9 and warm[s]["iterations"] <= got[s]["iterations"] for s in got)
+
+
 def _replay_dir(spark, src, cuts):
     """Write ``src`` as one file per time slice, oldest first (distinct mtimes)."""
     import time

@@ -30,8 +30,8 @@ def con():
 def test_every_query_is_registered_with_oracle_or_marked():
     rows_only = set(QUERIES) - set(oracle_sql())  # the library's own; optional ones have tests of theirs
     assert set(QUERIES) <= set(queries())
-    # no-oracle queries: iterative fits and training loops (rows-only check)
-    assert rows_only == {"linear_huber", "arx_fit", "arx_forecast"}
+    # no-oracle queries: fitted by an optimiser (rows-only check)
+    assert rows_only == {"linear_huber"}
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -45,6 +45,6 @@ def test_matches_duckdb(spark, con, name):
     assert oc.digest(s_cols, s_rows)[0] == oc.digest(d_cols, d_rows)[0]
 
 
-@pytest.mark.parametrize("name", ["linear_huber", "arx_fit", "arx_forecast"])
+@pytest.mark.parametrize("name", ["linear_huber"])
 def test_rows_only_queries_run(spark, name):
     assert queries()[name](spark, SF_ORACLE).count() > 0

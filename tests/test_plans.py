@@ -39,7 +39,7 @@ def test_no_python_rows_and_no_global_windows(spark, name):
     assert "BatchEvalPython" not in plan, "row-at-a-time Python UDF in the plan"
     assert not _single_partition_windows(plan), _single_partition_windows(plan)
     if "MapInPandas" in plan or "ArrowEvalPython" in plan or "FlatMapGroupsInPandas" in plan:
-        assert name in {"ar1_diff", "ar1_both_targets", "sarimax_cls", "arx_fit", "arx_forecast"}, name
+        assert name in {"ar1_diff", "ar1_both_targets", "sarimax_cls", "arx_fit", "arx_forecast", "prediction_table"}, name
 
 
 def test_top_k_is_bounded_broadcast_semi_join(spark):
