@@ -20,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import arrow_texts, dealt, saved, whole_groups
+from cadence.llm.common import arrow_texts, dealt, group_bounds, saved, whole_groups
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 LENGTH, GRAM = 200, 60
-#: Different contexts of one anchor beyond which strings are dealt by their digests; bytes of a text looked at together.
-GROUP, CHUNK = 2048, 1 << 20
+#: Different contexts of one anchor beyond which strings are dealt by their digests; bytes of a text looked at
+#: together; bytes of a suffix array, or those of one anchor's contexts.
+GROUP, CHUNK, ARRAY = 2048, 1 << 20, 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MIX, _HALF, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -46,12 +48,13 @@ def ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
     word = np.zeros(n + depth, np.uint64)
     for i in range(width):
         word = (word << np.uint64(8)) | padded[i:i + n + depth]
-    out = [(width, np.unique(word, return_inverse=True)[1].astype(np.int64))]
+    out = [(width, np.unique(word, return_inverse=True)[1].astype(np.int32))]
     while width < depth:
         step = min(width, depth - width)
         rank = out[-1][1]
-        after = np.r_[rank[step:], np.full(step, rank[-1])]
-        out.append((width + step, np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1].astype(np.int64)))
+        after = np.r_[rank[step:], np.full(step, rank[-1], np.int32)]
+        both = rank.astype(np.int64) * (int(rank.max()) + 1) + after
+        out.append((width + step, np.unique(both, return_inverse=True)[1].astype(np.int32)))
         width += step
     return out
 
@@ -206,10 +209,21 @@ CONTEXT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.
 RUN = "row long, key long, context long, first long, last long"
 
 
+def _array_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of a key, as many together as make up ARRAY bytes."""
+    for t in whole_groups(batches):
+        total = np.r_[0, np.cumsum(pa.compute.binary_length(t["bytes"]).to_numpy())]
+        first = 0
+        for _, end in group_bounds(t["key"].to_numpy()):
+            if total[end] - total[first] >= ARRAY or end == t.num_rows:
+                yield t.slice(first, end - first)
+                first = end
+
+
 def _compared(length: int):
-    """Runs of strings of a context found in another one: all contexts of the keys of a batch in one suffix array."""
+    """Runs of strings of a context found in another one, by the factor arrays of some keys' contexts at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
+        for t in _array_tables(batches):
             pieces = t["bytes"].to_pylist()
             text = np.frombuffer(b"".join(pieces), np.uint8)
             sizes = np.array([len(p) for p in pieces], np.int64)
