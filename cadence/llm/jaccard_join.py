@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from cadence.llm.common import (SIMILAR, arrow_texts, block_pairs, components, dealt, group_bounds, local_roots,
                                 pairs_of, saved, shingles, whole_groups)
@@ -85,7 +86,7 @@ def shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, sig): key names the shingle set; null for texts without words."""
+    """(doc_id, t, key, n, sig): t tells texts of one id apart, key names the shingle set; null for texts without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sizes, sigs = [], [], []
@@ -94,11 +95,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sizes.append(len(h))
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.record_batch({"doc_id": b["doc_id"], "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int32()),
+            yield pa.record_batch({"doc_id": b["doc_id"], "t": b["t"], "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int32()),
                                    "sig": pa.array(sigs, pa.binary())})
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, "doc_id long, key binary, n int, sig binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return d.mapInArrow(run, "doc_id long, t long, key binary, n int, sig binary")
 
 
 def _signature_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -163,23 +164,13 @@ def _verified(threshold: float, tolerance: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links, kept), a row for each row of ``docs`` (doc_id, text).
-
-    Two documents are linked if the sets of their word 5-grams have a Jaccard
-    likeness of ``threshold`` or more; ``n_links`` counts the other rows linked,
-    ``class_id`` is the smallest doc_id reachable over links, ``kept`` marks the
-    document of that id. Texts of fewer than five words are one n-gram; texts
-    without words (null, empty, white space) link with nothing. A row without
-    doc_id links with nothing and has no class. Repeated rows are copies.
-
-    Equal sets are one node with a count of copies. A bucket or a group of near
-    copies, however large, is compared in pairs of blocks, so no task holds more
-    than two; nothing is capped. Only texts with a surviving candidate are read
-    again for the exact check."""
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(doc_id, t, n_links, head), a row for each row: ``head`` is the least (doc_id, t) that the
+    row's text reaches over links, its own included; null without words or without doc_id."""
     s = saved(signatures(docs), "signatures")
-    sets = saved(s.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "sets")
+    sets = s.where("key is not null and doc_id is not null").groupBy("key").agg(
+        F.min(F.struct("doc_id", "t")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    sets = saved(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")  # written: a set keeps its number
 
     width = 2 * BAND
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.substring(F.col("sig"), i * width + 1, F.lit(width))))
@@ -189,31 +180,62 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILAR, tolerance: float =
     edges = saved(dealt(met, "rep").mapInArrow(_candidates(threshold, tolerance), "a long, b long").distinct(), "candidates")
 
     near = components(edges).withColumnRenamed("node", "rep").join(sets, "rep")
-    near = saved(near.select("root", "rep", F.col("key").alias("set_key"), "copies", "sig"), "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(near, "rep")
+    near = saved(near.select("root", "rep", "own", F.col("key").alias("set_key"), "copies", "sig"), "near")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
+    texts = texts.join(near, (F.col("id") == F.col("own.doc_id")) & (F.col("t") == F.col("own.t")))
     blocks = block_pairs(near.select("root", "set_key"), "root", "set_key", SET_BLOCK)
     blocks = blocks.join(texts.select("set_key", "rep", "copies", "sig", "text"), "set_key")
     blocks = dealt(blocks.select("key", "side", "same", "rep", "set_key", "copies", "sig", "text"), "rep", "set_key")
     links = saved(blocks.mapInArrow(_verified(threshold, tolerance), "set_key binary, rep long, to long, links long"), "links")
 
-    roots = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    roots = saved(components(links.select(F.col("rep").alias("a"), F.col("to").alias("b"))), "roots")
+    heads = roots.join(sets, F.col("node") == F.col("rep")).groupBy("root").agg(F.min("own").alias("head"))
+    heads = roots.join(saved(heads, "heads"), "root").select("node", "head")  # written: a large class may be split
     counts = links.groupBy("set_key").agg(F.sum("links").alias("links"))
-    known = (sets.join(counts, sets["key"] == counts["set_key"], "left").join(roots, F.col("rep") == F.col("node"), "left")
-             .select("key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    known = (sets.join(counts, sets["key"] == counts["set_key"], "left").join(heads, F.col("rep") == F.col("node"), "left")
+             .select("key", F.coalesce("head", "own").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = F.col("doc_id").isNotNull()
-    own = F.when(named, F.coalesce("class_id", "doc_id"))
-    return s.select("doc_id", F.when(named, F.col("key")).alias("key")).join(known, "key", "left").select(
-        "doc_id", own.alias("class_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return s.select("doc_id", "t", F.when(named, F.col("key")).alias("key")).join(known, "key", "left").select(
+        "doc_id", "t", "head", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, n_links, kept), a row for each row of ``docs`` (doc_id, text).
+
+    Two documents are linked if the sets of their word 5-grams have a Jaccard
+    likeness of ``threshold`` or more; ``n_links`` counts the other rows linked,
+    ``class_id`` is the smallest doc_id reachable over links, ``kept`` marks the
+    document of that id. Texts of fewer than five words are one n-gram; texts
+    without words (null, empty, white space) link with nothing. A row without
+    doc_id links with nothing and has no class. Repeated rows are copies; different
+    texts of one id are different documents. Very long texts are compared whole, an
+    empty table gives no rows, columns other than doc_id and text are not read.
+
+    Equal sets are one node with a count of copies. A bucket or a group of near
+    copies, however large, is compared in pairs of blocks, so no task holds more
+    than two; nothing is capped. Only texts with a surviving candidate are read
+    again for the exact check."""
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("head.doc_id", "doc_id"))
+    return _classes(docs, threshold, tolerance).select(
+        "doc_id", own.alias("class_id"), "n_links", F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` (all columns) without those that :func:`jaccard_join`
-    doesn't keep; of repeated rows of a doc_id one stays, rows without doc_id all stay."""
-    gone = jaccard_join(docs, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """The rows of ``docs`` (all columns) with one document of each class of near copies:
+    the one of the smallest doc_id, and of several texts of that id the one of the least
+    hash. A document is an id with its text: another text of an id that goes stays.
+    Of repeated rows one stays; rows without doc_id all stay, rows without words
+    stay unless repeated. An empty table stays empty; other columns, whatever their names, are
+    carried along, and of repeated rows that differ in them the least stays."""
+    c = _classes(docs, threshold, TOLERANCE)
+    gone = c.where("doc_id is not null and head is not null and (doc_id <> head.doc_id or t <> head.t)").select(
+        F.col("doc_id").alias("__gone"), F.col("t").alias("__t")).distinct()
     named = docs.where("doc_id is not null")
-    left = named.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    left = named.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+    rest = [f.name for f in docs.schema.fields if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    least = F.min_by(F.struct(*[F.col(f"`{x}`") for x in docs.columns]), F.struct(*[F.col(f"`{x}`") for x in rest]))
+    one = left.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t")).agg(least.alias("__row")).select("__row.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -270,6 +270,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     kinds = hits.where("mixed").groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
     kinds = saved(kinds, "contexts")
     many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > group).select("key", F.lit(True).alias("large"))
+    many = saved(many, "large")  # a table of its own, so that a join with it may split a frequent anchor
     ask = F.struct("key", "context", (F.col("n") == 1).alias("alone"), F.coalesce("large", F.lit(False)).alias("large"))
     asked = kinds.join(many, "key", "left").groupBy("row").agg(F.collect_list(ask).alias("asked"))
     held = saved(texts.join(asked, "row").mapInArrow(_context_rows(length, gram), CONTEXT), "context-texts")

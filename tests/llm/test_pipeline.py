@@ -1,5 +1,5 @@
 import numpy as np
-from helpers import DOCS, corpus, edge_rows, words
+from helpers import DOCS, corpus, edge_rows, with_clashes, words
 from test_jaccard_join import brute
 from test_packing import check
 
@@ -31,6 +31,21 @@ def test_stages_against_plain_versions(spark, tmp_path):
     check(taken, packed, 1024)
 
 
+def test_another_text_of_an_id_stays(spark, tmp_path):
+    """The id of a near copy that goes may name a text of its own, which stays; likewise texts of one id."""
+    a, b = (words(np.random.default_rng(i), 60) for i in (1, 2))
+    rows = [(1, a, "en", "s", 1), (2, a + " more", "en", "s", 2), (2, b, "en", "s", 3), (3, "", "en", "s", 0), (3, "", "en", "s", 0),
+            (3, None, "en", "s", 0), (4, b + "  ", "en", "s", 4), (5, b, "de", "t", 5), (6, a[::-1], "en", "s", 6), (6, a[::-1] + "\n", "fr", "s", 6),
+            (None, a, "en", "s", 1), (None, a, "en", "s", 1), (2, b, "en", "r", 9)]
+    docs = with_clashes(spark.createDataFrame(rows, DOCS))
+    out = c.near_duplicates(spark, docs, str(tmp_path))
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in out.collect()), key=repr)
+    assert out.columns == docs.columns
+    one = [g for g in got if g[0] == 6]
+    assert len(one) == 1 and one[0][1].strip() == a[::-1].strip()
+    assert [g for g in got if g[0] != 6] == sorted([(1, a, "s"), (2, b, "r"), (3, "", "s"), (3, None, "s"), (None, a, "s"), (None, a, "s")], key=repr)
+
+
 def test_run(spark, tmp_path):
     for name, rows in (("a", edge_rows()), ("b", [])):
         spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
