@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.arrays import matrix
-from cadence.operators.blocks import chunk_of, row_blocks, row_index
+from cadence.operators.blocks import chunk_of, materialize, row_blocks, row_index
 
 
 def _series(series):
@@ -296,6 +296,84 @@ def forecast_arx_diff(params: DataFrame, state: DataFrame, future: DataFrame, se
                     (fx + n_T + dn_T * geo).alias("forecast"))
 
 
+def window_steps(windows: DataFrame, inputs, targets, keys=()) -> DataFrame:
+    """Every step of every window as a row (M7): the arrays ``<input>_seq`` and
+    ``<target>_target`` side by side, under the names of the columns. Steps with a null stay null."""
+    cols = [(f"{c}_seq", c) for c in inputs] + [(f"{c}_target", c) for c in targets]
+    steps = F.arrays_zip(*[F.col(a) for a, _ in cols])
+    d = windows.select(*keys, F.posexplode(steps).alias("step", "_s"))
+    return d.select(*keys, "step", *[F.col("_s")[a].alias(c) for a, c in cols])
+
+
+def huber_map(df: DataFrame, features, targets, delta: float = 1.0, max_iter: int = 200, tol: float = 1e-11) -> DataFrame:
+    """One linear map for several targets under the mean Huber loss (M7): ``(target, weights,
+    loss, n, n_left_out, iterations, converged)``, the first weight the intercept.
+
+    Iteratively reweighted least squares: every pass is one aggregate over the rows
+    that gives, for each target, the loss and the weighted Gram sums with which the
+    next weights are solved (errors beyond ``delta`` weigh ``delta / |error|``). The sums
+    over the small errors alone come along: their Newton step ends most fits in a few
+    passes, and is taken back by a reweighted one where the loss has not fallen. Only
+    sums of the model's size reach the driver. Rows with a null or non-finite value
+    cannot be fitted; they are left out and counted. No rows: null weights."""
+    features, targets = list(features), list(targets)
+    cols = [F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, *targets])]
+    finite = reduce(lambda x, y: x & y, [F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False)) for c in [*features, *targets]])
+    rows = materialize(df.select(*cols).withColumn("_ok", finite))
+    data = rows.where("_ok")
+    n, out = rows.agg(F.count_if("_ok"), F.count_if(~F.col("_ok"))).first()
+    x = [F.lit(1.0)] + [F.col(f) for f in features]
+    p, upper = len(x), [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+
+    def sums(w: np.ndarray) -> list[dict]:
+        """For each target: loss, and both kinds of (Gram, right side)."""
+        aggs = []
+        for t, name in enumerate(targets):
+            e = F.col(name) - reduce(lambda a, b: a + b, [F.lit(float(w[t, i])) * x[i] for i in range(p)])
+            small = F.abs(e) <= delta
+            share = F.when(small, 1.0).otherwise(F.lit(delta) / F.abs(e))
+            one, y = F.when(small, 1.0).otherwise(0.0), F.col(name)
+            aggs.append(F.sum(F.when(small, 0.5 * e * e).otherwise(delta * (F.abs(e) - 0.5 * delta))))
+            aggs += [F.sum(k * x[i] * x[j]) for k in (share, one) for i, j in upper]
+            aggs += [F.sum(share * x[i] * y) for i in range(p)]
+            aggs += [F.sum(x[i] * F.when(small, y).otherwise(F.lit(delta) * F.signum(e))) for i in range(p)]
+        flat = np.array(data.agg(*[a.alias(f"_{k}") for k, a in enumerate(aggs)]).first(), float).reshape(len(targets), -1)
+        found = []
+        for r in flat:
+            grams = []
+            for k in range(2):
+                g = np.zeros((p, p))
+                for (i, j), v in zip(upper, r[1 + k * len(upper):1 + (k + 1) * len(upper)]):
+                    g[i, j] = g[j, i] = v
+                grams.append(g)
+            c = r[1 + 2 * len(upper):].reshape(2, p)
+            found.append({"loss": r[0], "reweighted": (grams[0], c[0]), "newton": (grams[1], c[1])})
+        return found
+
+    def solved(system: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.linalg.lstsq(*system, rcond=None)[0]
+    w = np.zeros((len(targets), p))
+    steps, done = np.zeros(len(targets), int), np.zeros(len(targets), bool)
+    held: list[dict | None] = [None] * len(targets)  # the sums at the weights with the least loss so far
+    while n and not done.all() and steps.max() < max_iter:
+        for t, now in enumerate(sums(w)):
+            if done[t]:
+                continue
+            steps[t] += 1
+            best = held[t]
+            if best is not None and now["loss"] > best["loss"] * (1 + 1e-12):
+                w[t] = solved(best["reweighted"])  # a step that always lowers the loss
+                held[t] = None
+                continue
+            new = solved(now["newton" if best is not None else "reweighted"])
+            done[t] = np.abs(new - w[t]).max() <= tol * (1 + np.abs(new).max())
+            held[t], w[t] = now, new
+    loss = [float(s["loss"] / n) for s in sums(w)] if n else [None] * len(targets)
+    fit = [(name, w[t].tolist() if n else None, loss[t], n, out, int(steps[t]), bool(done[t])) for t, name in enumerate(targets)]
+    return df.sparkSession.createDataFrame(
+        fit, "target string, weights array<double>, loss double, n long, n_left_out long, iterations int, converged boolean")
+
+
 def linear_huber(df: DataFrame, features, label: str, epsilon: float = 1.35, max_iter: int = 100):
     """Huber-loss linear regression (M7) with Spark ML (distributed L-BFGS); one row
     ``(coefficients, intercept, scale, n, n_left_out, iterations, converged)``. Rows

@@ -58,21 +58,26 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
     e = d.select("name", "_sid", labels, epoch_us("ts").alias("_us"), inc.alias("_inc"))
     # the first instant t = k*step with us <= t
     e = e.withColumn("_j", F.expr(f"(_us + {step_us - 1}) div {step_us}"))
-    keep = F.first(labels).alias(labels)
     if range_us % step_us == 0:
         # the samples of one step are in the same ranges: one row per step and
         # series is copied to the range's instants instead of every sample
         e = e.groupBy("name", "_sid", "_j").agg(
-            keep, F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
+            F.first(labels).alias(labels), F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
             F.sum("_inc").alias("_s"), F.min_by("_inc", "_us").alias("_i0"))
         last = F.col("_j") + F.lit(range_us // step_us - 1)
     else:
         e = e.select("*", F.lit(1).cast("long").alias("_n"), F.col("_us").alias("_t0"), F.col("_us").alias("_t1"),
                      F.col("_inc").alias("_s"), F.col("_inc").alias("_i0"))
         last = F.expr(f"(_us + {range_us - 1}) div {step_us}")  # t < us + range
+    return _rates(e, last, step_us, labels)
+
+
+def _rates(e: DataFrame, last: Column, step_us: int, labels: str) -> DataFrame:
+    """Rates at the instants ``_j`` to ``last`` of every row: its samples' number, first and last time, increase,
+    and the part of the increase that is the first sample's (not counted where that is the first in range)."""
     e = e.withColumn("_k", F.explode(F.sequence(F.col("_j"), last)))
     g = e.groupBy("name", "_sid", "_k").agg(
-        keep, F.sum("_n").alias("_n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"),
+        F.first(labels).alias(labels), F.sum("_n").alias("_n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"),
         F.sum("_s").alias("_s"), F.min_by("_i0", "_t0").alias("_i0"))
     rate = (F.col("_s") - F.col("_i0")) / ((F.col("_t1") - F.col("_t0")) / F.lit(1e6))
     return (g.filter("_n >= 2 AND _t1 > _t0")
@@ -80,6 +85,20 @@ def counter_rate(df: DataFrame, range_s: int, step_s: int, labels: str = "labels
                      rate.alias("value")))
 
 
+def rate_from_panes(panes: DataFrame, range_s: int, step_s: int, labels: str = "labels") -> DataFrame:
+    """:func:`counter_rate` from one row per series and step, ``(name, sid, labels, pane, n, t0, t1, v0, v1,
+    inc)``: pane number (its end is ``pane * step``), samples, times (us) and values of the first and last,
+    increase between them. The range must be a multiple of the step. The increase
+    from one pane to the next is that of the later one's first sample."""
+    if range_s % step_s:
+        raise ValueError("the range must be a multiple of the step")
+    d = previous(panes.withColumnRenamed("sid", "_sid"), ["name", "_sid"], ["pane"], None, ["v1"], "_prev")
+    i0 = F.when(F.col("v1_prev").isNull(), F.lit(0.0)).when(F.col("v0") < F.col("v1_prev"), F.col("v0")).otherwise(F.col("v0") - F.col("v1_prev"))
+    e = d.select("name", "_sid", labels, F.col("pane").alias("_j"), F.col("n").alias("_n"), F.col("t0").alias("_t0"), F.col("t1").alias("_t1"),
+                 (F.col("inc") + i0).alias("_s"), i0.alias("_i0"))
+    return _rates(e, F.col("_j") + F.lit(range_s // step_s - 1), step_s * 1_000_000, labels)
+
+
 def counter_rate_at_samples(df: DataFrame, range_s: int, labels: str = "labels",
                             chunk_us: int | None = None) -> DataFrame:
     """Counter rate at every sample time ``t`` over ``(t - range, t]`` (W9 as

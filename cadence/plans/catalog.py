@@ -394,6 +394,16 @@ def q_linear_huber(spark, root):
     return report(FC.linear_huber(_daily(Tables(spark, root)), FED_X, "max_value"))
 
 
+def q_huber_windows(spark, root):
+    """One map of the inputs to both targets over all steps of all windows, Huber loss."""
+    d = _daily(Tables(spark, root))
+    cols = FED_X + TARGETS
+    d = SC.apply_scaler(d, SC.fit_scaler(d, "user_id", cols, with_mean=True), "user_id", cols)
+    windows = SQ.same_sequences(d, "user_id", "ts", FED_X, TARGETS, 7)
+    fit = FC.huber_map(FC.window_steps(windows, FED_X, TARGETS), FED_X, TARGETS)
+    return report(fit.select("target", F.transform("weights", lambda w: F.round(w, 10)).alias("weights"), "loss", "n", "n_left_out"))
+
+
 # --------------------------------------------------------------------------- ARX forecasting
 
 def _diffs(spark, root, exog):
@@ -549,24 +559,22 @@ def q_recent(spark, root):
 def q_stream_features(spark, root):
     path = f"{root}/events.parquet"
     s = STR.source(spark, path, spark.read.parquet(path).schema)
-    out = STR.run_to_table(STR.stream_features(s, "user_id", "ts", "1 day", "1 hour"), "features")
-    return report(spark.read.parquet(out))
+    return report(STR.run_to_latest(STR.stream_features(s, "user_id", "ts", "1 day", "1 hour"), ["user_id", "window_start"], "features"))
 
 
 def q_stream_rate(spark, root):
-    from cadence.session import checkpoint_dir
-    path = checkpoint_dir(spark, "samples")
+    from cadence.session import written_path
+    path = written_path(spark, "samples")
     _samples(spark, root, ST.CPU).write.parquet(path)
     s = STR.source(spark, path, spark.read.parquet(path).schema)
-    out = STR.run_to_table(STR.stream_rate(s, RATE_RANGE_S, RATE_STEP_S, "1 hour"), "rate")
-    r = spark.read.parquet(out)
-    return report(r.select("name", label("instance").alias("instance"), label("name").alias("container"),
-                           label("id").alias("id"), "window_end", "value"))
+    panes = STR.run_to_latest(STR.stream_panes(s, RATE_STEP_S, "1 hour"), ["name", "sid", "pane"], "panes")
+    r = MT.rate_from_panes(panes, RATE_RANGE_S, RATE_STEP_S)
+    return report(_flat(r).withColumnRenamed("ts", "window_end"))
 
 
 def q_stream_gauges(spark, root):
-    from cadence.session import checkpoint_dir
-    path = checkpoint_dir(spark, "evals")
+    from cadence.session import written_path
+    path = written_path(spark, "evals")
     _evals(spark, root).repartition(4, "client").write.parquet(path)  # a round's evaluations come in several files
     s = STR.source(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
     out = STR.stream_gauges(s)
@@ -661,6 +669,7 @@ QUERIES = {
     "fed_trimmed_round": q_fed_trimmed_round,
     "client_profiles": q_client_profiles,
     "linear_huber": q_linear_huber,
+    "huber_windows": q_huber_windows,
     "ar1_diff": q_ar1_diff,
     "sarimax_cls": q_sarimax_cls,
     "arx_fit": q_arx_fit,

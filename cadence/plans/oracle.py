@@ -572,6 +572,40 @@ SELECT user_id, n, {R('phi')} AS phi,
 FROM q"""
 
 
+
+def _huber_windows() -> str:
+    z = ", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END AS {n}" for c, n in zip(_FED_COLS, ("x2", "x3", "y1", "y2"), strict=True))
+    stats = ", ".join(f"avg({c}) AS m_{c}, {SD(c)} AS s_{c}" for c in _FED_COLS)
+    x = ("1.0", "x2", "x3")
+    sums = ", ".join(f"sum(k * {x[i]} * {x[j]}) AS g{i}{j}" for i in range(3) for j in range(3)) + ", " + ", ".join(f"sum(k * {x[i]} * y) AS c{i}" for i in range(3))
+
+    def det(*cols):
+        g = [[(f"c{i}" if c == "c" else f"g{i}{c}") for c in cols] for i in range(3)]
+        return (f"({g[0][0]} * ({g[1][1]} * {g[2][2]} - {g[1][2]} * {g[2][1]}) - {g[0][1]} * ({g[1][0]} * {g[2][2]} - {g[1][2]} * {g[2][0]})"
+                f" + {g[0][2]} * ({g[1][0]} * {g[2][1]} - {g[1][1]} * {g[2][0]}))")
+    d = det(0, 1, 2)
+    return f"""WITH RECURSIVE f AS ({feats('day')}),
+pr AS (SELECT user_id, {stats} FROM f GROUP BY user_id),
+z AS (SELECT user_id, {z}, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM f JOIN pr USING (user_id)),
+w AS (SELECT x2, x3, y1, y2, unnest(generate_series(greatest(1, rn - 6), least(rn, n - 6))) AS s FROM z),
+dd AS MATERIALIZED (SELECT 'max_value' AS target, x2, x3, y1 AS y FROM w UNION ALL SELECT 'sum_value', x2, x3, y2 FROM w),
+it AS (
+  SELECT 0 AS step, target, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM (SELECT DISTINCT target FROM dd)
+  UNION ALL
+  SELECT step + 1, target, {det("c", 1, 2)} / {d}, {det(0, "c", 2)} / {d}, {det(0, 1, "c")} / {d}
+  FROM (SELECT step, target, {sums}
+        FROM (SELECT *, CASE WHEN abs(e) <= 1 THEN 1.0 ELSE 1.0 / abs(e) END AS k
+              FROM (SELECT step, dd.*, y - w0 - w1 * x2 - w2 * x3 AS e FROM it JOIN dd USING (target) WHERE step < 80))
+        GROUP BY step, target)),
+l AS (SELECT target, any_value([w0, w1, w2]) AS weights, count(*) AS n,
+        avg(CASE WHEN abs(y - w0 - w1 * x2 - w2 * x3) <= 1 THEN 0.5 * pow(y - w0 - w1 * x2 - w2 * x3, 2) ELSE abs(y - w0 - w1 * x2 - w2 * x3) - 0.5 END) AS loss
+      FROM it JOIN dd USING (target) WHERE step = 80 GROUP BY target)
+SELECT target, {RL('list_transform(weights, lambda q: round(q, 10))')} AS weights, {R('loss')} AS loss, n, 0 AS n_left_out FROM l"""
+
+
+HUBER_WINDOWS = _huber_windows()
+
+
 _Z, _Z1 = ("dy", "dx0", "dx1"), ("py", "px0", "px1")
 _PAIRS = [(i, j) for i in range(3) for j in range(3)]
 
@@ -722,21 +756,12 @@ STREAM_FEATURES = f"""
 SELECT user_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
        count(*) AS invocations, {R('avg(value)')} AS avg_value, {R('max(value)')} AS max_value,
        {R('sum(value)')} AS sum_value
-FROM events GROUP BY 1, 2, 3
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
-
-STREAM_RATE = f"""WITH {_SAMPLES},
-x AS (SELECT user_id, n_name, c_mktsegment, epoch_us(ts) AS us, v,
-             unnest(generate_series((epoch_us(ts) - {_RANGE}) // {_STEP} + 1, epoch_us(ts) // {_STEP})) AS k FROM cpu),
-y AS (SELECT *, lag(v) OVER (PARTITION BY user_id, k ORDER BY us) AS pv FROM x),
-g AS (SELECT user_id, n_name, c_mktsegment, k, count(*) AS n,
-             sum(CASE WHEN pv IS NULL THEN 0.0 WHEN v < pv THEN v ELSE v - pv END) AS inc,
-             (max(us) - min(us)) / 1e6 AS span
-      FROM y GROUP BY 1, 2, 3, 4)
+FROM events GROUP BY 1, 2, 3"""
+
+STREAM_RATE = f"""WITH {_SAMPLES}, {_RATE}
 SELECT 'container_cpu_usage_seconds_total' AS name, n_name AS instance, c_mktsegment AS container,
-       CAST(user_id AS VARCHAR) AS id, make_timestamp(k * {_STEP} + {_RANGE}) AS window_end, {R('inc / span')} AS value
-FROM g WHERE n >= 2 AND span > 0
-  AND make_timestamp(k * {_STEP} + {_RANGE}) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+       CAST(user_id AS VARCHAR) AS id, make_timestamp(k * {_STEP}) AS window_end, {R('rate')} AS value
+FROM r"""
 
 
 # --------------------------------------------------------------------------- predictions, cuts, slices
@@ -878,6 +903,7 @@ ORACLE = {
     "task_windows": TASK_WINDOWS,
     "ar1_both_targets": AR1_BOTH_TARGETS,
     "arx_fit": ARX_FIT,
+    "huber_windows": HUBER_WINDOWS,
     "arx_forecast": ARX_FORECAST,
     "prediction_table": PREDICTION_TABLE,
     "rolling_forecast_grid": ROLLING_FORECAST_GRID,

@@ -3,10 +3,12 @@
 * ``stream_features``: tumbling-window workload features per series with a
   watermark (append mode emits a window once the watermark passes its end;
   later rows for it are dropped as late).
-* ``stream_rate``: sliding-window counter rate. Window functions such as
-  ``lag`` are refused on streams, so each (series, window) collects its
-  samples, sorts them by time and folds the reset-corrected increase with
-  ``aggregate`` -- bounded by the samples of one series in one window.
+* ``stream_panes``: a counter's samples folded per series and step. Window functions
+  such as ``lag`` are refused on streams, so each pane collects its samples, sorts
+  them by time and folds the reset-corrected increase. Sliding rates are then
+  merged from the panes, one row per series and step, by the batch operator.
+* ``run_to_latest``: the state of an aggregate at the end of its input, open windows
+  included; ``run_to_table`` appends closed windows only.
 * ``stream_gauges``: a streaming aggregate of per-round weighted sums;
   ``foreachBatch`` publishes the updated rounds as gauge rows.
 
@@ -21,7 +23,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cadence.operators.metrics import series_key, to_samples
 from cadence.session import checkpoint_dir
@@ -56,22 +58,23 @@ def stream_features(stream: DataFrame, series: str, ts: str, window: str, waterm
                           "invocations", "avg_value", "max_value", "sum_value"))
 
 
-def stream_rate(samples: DataFrame, range_s: int, step_s: int, watermark: str) -> DataFrame:
-    """Counter rate over sliding windows ``[end - range, end)`` every ``step``
-    (Z2). Output: ``name, labels, window_end, value``."""
-    s = samples.withWatermark("ts", watermark).withColumn("_sid", series_key("labels"))
-    g = s.groupBy("name", "_sid", F.window("ts", f"{range_s} seconds", f"{step_s} seconds").alias("w")).agg(
+def stream_panes(samples: DataFrame, step_s: int, watermark: str) -> DataFrame:
+    """Samples of a counter folded per series and step (Z2): the input of ``rate_from_panes``.
+
+    A pane holds the samples of ``(end - step, end]``, as the instants of a range
+    query do. State holds the samples of open panes only: each sample once, whatever the range."""
+    s = samples.withColumn("_sid", series_key("labels")).withColumn("_at", F.col("ts") - F.expr("interval 1 microsecond"))
+    g = s.withWatermark("_at", watermark).groupBy("name", "_sid", F.window("_at", f"{step_s} seconds").alias("w")).agg(
         F.first("labels").alias("labels"),
-        F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("value").alias("v"))))
-        .alias("_pts"))
-    pts = F.col("_pts")
-    n = F.size(pts)
+        F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("value").alias("v")))).alias("_pts"))
+    pts, n = F.col("_pts"), F.size("_pts")
     pairs = F.zip_with(F.slice(pts, 2, F.greatest(n - 1, F.lit(1))), F.slice(pts, 1, F.greatest(n - 1, F.lit(1))),
                        lambda cur, prev: F.when(cur["v"] < prev["v"], cur["v"]).otherwise(cur["v"] - prev["v"]))
-    inc = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
-    span_s = (F.element_at(pts, -1)["t"] - F.element_at(pts, 1)["t"]) / F.lit(1e6)
-    return (g.filter((n >= 2) & (span_s > 0))
-             .select("name", "labels", F.col("w.end").alias("window_end"), (inc / span_s).alias("value")))
+    inc = F.aggregate(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0.0), lambda acc, x: acc + x)
+    first, last = F.element_at(pts, 1), F.element_at(pts, -1)
+    return g.select("name", F.col("_sid").alias("sid"), "labels", F.expr(f"unix_micros(w.end) div {step_s * 1_000_000}").alias("pane"),
+                    n.cast("long").alias("n"), first["t"].alias("t0"), last["t"].alias("t1"), first["v"].alias("v0"),
+                    last["v"].alias("v1"), inc.alias("inc"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,6 +107,35 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now:
     return out
 
 
+def run_to_latest(df: DataFrame, keys, name: str, at: str | None = None) -> DataFrame:
+    """Run a streaming aggregate to the end of its input and return its state there: a
+    row per key, windows still open included, so the answer is that of a batch over all
+    rows that were not late.
+
+    Every batch writes the rows it updated to a partition of its own (written again
+    when it is replayed), and the latest row of a key counts. With the same folder
+    ``at`` a query goes on where it stopped; a window that was reported open is then
+    reported again with what came later."""
+    spark = df.sparkSession
+    _state_store(spark)
+    base = at or checkpoint_dir(spark, f"stream-{name}")
+    out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("batch").parquet(out))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)  # an input without rows leaves it empty
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    q = (df.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", ck)
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(out)
+    latest = F.max_by(F.struct(*df.columns), "batch").alias("_r")
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(latest).select("_r.*")
+
+
 def stream_gauges(evals: DataFrame, name: str = "gauges", at: str | None = None) -> str:
     """Weighted global metrics per round from a stream of client evaluations,
     published as gauge rows ``model_loss / model_cosine_similarity /

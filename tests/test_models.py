@@ -341,3 +341,75 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         windows.append({(r["user_id"], r["window_start"]) for r in out.collect()})
         assert out.count() == len(windows[-1])
     assert windows[0] < windows[1]
+
+
+def test_open_windows_and_resumed_streams_equal_batch(spark, tmp_path):
+    """At the end of the input every window is there, the open ones too; a query that goes on corrects them."""
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path, at = f"{tmp_path}/events", f"{tmp_path}/query"
+    for lo, hi in ((None, 15), (15, None)):
+        part = src if hi is None else src.filter(F.col("ts") < F.lit(dt.datetime(2024, 1, hi, 11)))
+        part = part if lo is None else part.filter(F.col("ts") >= F.lit(dt.datetime(2024, 1, lo, 11)))
+        part.coalesce(1).write.mode("append").parquet(path)
+        s = st.source(spark, path, src.schema)
+        out = st.run_to_latest(st.stream_features(s, "user_id", "ts", "1 day", "1 hour"), ["user_id", "window_start"], "w", at=at)
+        got = {(r["user_id"], r["window_start"]): (r["invocations"], round(r["sum_value"], 6)) for r in out.collect()}
+        e = spark.read.schema(src.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+        want = e.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+        assert got == {(r["user_id"], r["w"]["start"]): (r["n"], round(r["v"], 6)) for r in want.collect()}
+
+
+def test_empty_stream(spark, tmp_path):
+    schema = "user_id long, ts timestamp, value double"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    s = st.source(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+    assert st.run_to_latest(st.stream_features(s, "user_id", "ts", "1 day", "1 hour"), ["user_id", "window_start"], "none").count() == 0
+
+
+def test_rates_from_streamed_panes_equal_batch(spark, tmp_path):
+    """Resets inside and between panes, samples on the edge of a pane, several files."""
+    rng = np.random.default_rng(5)
+    at, data = 0, []
+    for i in range(120):
+        at += int(rng.integers(1, 9))
+        data.append(("c", {"id": str(i % 3)}, T0 + dt.timedelta(seconds=at), float(rng.integers(0, 50))))
+    df = spark.createDataFrame(data, "name string, labels map<string,string>, ts timestamp, value double")
+    for k in range(3):
+        df.filter(F.col("ts") >= F.lit(data[40 * k][2])).filter(F.col("ts") <= F.lit(data[40 * k + 39][2])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/s")
+        time.sleep(1.1)
+    s = st.source(spark, f"{tmp_path}/s", df.schema, files_per_batch=1)
+    panes = st.run_to_latest(st.stream_panes(s, 10, "1 minute"), ["name", "sid", "pane"], "p")
+    key = lambda r: (r["labels"]["id"], r["ts"])
+    got = {key(r): r["value"] for r in mt.rate_from_panes(panes, 60, 10).collect()}
+    want = {key(r): r["value"] for r in mt.counter_rate(df, 60, 10).collect()}
+    assert got.keys() == want.keys() and len(got) > 100 and all(got[k] == pytest.approx(want[k]) for k in want)
+    with pytest.raises(ValueError):
+        mt.rate_from_panes(panes, 55, 10)
+
+
+def test_huber_map(spark):
+    """Two targets with outliers: at the fit the gradient of the Huber loss is zero; nulls are counted; no rows, null weights."""
+    rng = np.random.default_rng(2)
+    n = 400
+    x = rng.normal(0, 1, (n, 2))
+    y = np.column_stack([1 + x @ [2.0, -1.0], -3 + x @ [0.5, 0.0]]) + rng.normal(0, 0.3, (n, 2))
+    y[rng.integers(0, n, 60), 0] += rng.normal(0, 40, 60)
+    cols = ["a", "b", "t1", "t2"]
+    pdf = pd.DataFrame(np.column_stack([x, y]), columns=cols)
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0), (1.0, 1.0, float("inf"), 1.0)], "a double, b double, t1 double, t2 double"))
+    got = {r["target"]: r for r in fc.huber_map(df, ["a", "b"], ["t1", "t2"], delta=0.5).collect()}
+    X = np.column_stack([np.ones(n), x])
+    for t, name in enumerate(("t1", "t2")):
+        r = got[name]
+        e = y[:, t] - X @ r["weights"]
+        assert (r["n"], r["n_left_out"], r["converged"]) == (n, 3, True) and r["iterations"] < 40
+        assert np.abs(X.T @ np.clip(e, -0.5, 0.5)).max() < 1e-8
+        assert r["loss"] == pytest.approx(np.where(abs(e) <= 0.5, 0.5 * e * e, 0.5 * (abs(e) - 0.25)).mean())
+    none = fc.huber_map(df.limit(0), ["a"], ["t1"]).first()
+    assert (none["weights"], none["loss"], none["n"]) == (None, None, 0)
+
+
+def test_window_steps(spark):
+    w = spark.createDataFrame([(1, [1.0, 2.0], [3.0, None]), (2, [5.0], [6.0])], "id int, x_seq array<double>, y_target array<double>")
+    got = sorted(tuple(r) for r in fc.window_steps(w, ["x"], ["y"], ["id"]).collect())
+    assert got == [(1, 0, 1.0, 3.0), (1, 1, 2.0, None), (2, 0, 5.0, 6.0)]
