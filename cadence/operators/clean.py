@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from cadence.functions.names import category_columns
 from cadence.functions.time import ns_to_timestamp
-from cadence.operators.features import distinct_pairs
+from cadence.operators.features import distinct_pairs, melt_nonzero, one_hot
+from cadence.operators.join import BLOCK_ROWS, salted_join
 
 # Lifecycle stages of a task, name -> (end stamp, start stamp),
 # all ns since epoch.
@@ -73,3 +74,19 @@ def clean_tasks(tasks: DataFrame, endpoints: DataFrame, functions: DataFrame,
         *category_columns("endpoint_version", "e_vers_", version_categories),
     )
     return out.dropna("any")
+
+
+def clean_minutes(durations: DataFrame, memory: DataFrame, counts: DataFrame, keys, function: str, trigger: str,
+                  minutes, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The wide per-minute data set as one long table (J3, R1, R2, P11): ``durations`` and
+    ``memory`` joined on ``keys``, then ``counts`` (a column per minute), a row per minute
+    that is not zero, and a 0/1 column per trigger.
+
+    Durations and counts both have several rows per key and are joined many to
+    many; a key that holds a large share of either is joined in blocks of ``rows``
+    rows. ``function`` is that of ``durations``."""
+    keys, minutes = list(keys), list(minutes)
+    d = salted_join(durations, memory, keys, rows)
+    c = one_hot(counts.drop(function), trigger, "Trigger_")
+    wide = salted_join(d, c, keys, rows)
+    return melt_nonzero(wide, [x for x in wide.columns if x not in minutes], minutes, "minute", "invocations")

@@ -77,6 +77,16 @@ def shards(df: DataFrame, series, ts: str, n_shards: int, tiebreak: str | None =
     return d.withColumn(shard_col, shard.cast("int")).drop("_rn", "_n")
 
 
+def shards_global(df: DataFrame, order: str, n_shards: int, tiebreak: str | None = None,
+                  shard_col: str = "shard") -> DataFrame:
+    """Contiguous, near-equal shards 1..N of the whole table in order (R5): ``ntile(N)``
+    without a window over all rows. Rows are numbered range by range and corrected
+    by the counts of the ranges before (one summary row a range). Written with
+    ``partition_by`` the shard column, a client reads its shard alone."""
+    d = df.withColumn("_all", F.lit(0))
+    return shards(d, "_all", order, n_shards, tiebreak, shard_col).drop("_all")
+
+
 def last_n(df: DataFrame, series, ts: str, n: int, skip: int = 0, tiebreak: str | None = None,
            chunk_us: int | None = None) -> DataFrame:
     """Rows ``[-(n+skip) : -skip]`` of each series in time order."""

@@ -30,6 +30,7 @@ from cadence import streaming as STR
 from cadence.plans.report import report
 from cadence.plans.training import INPUTS, TARGETS, event_features, training_windows
 from cadence.sources import standins as ST
+from cadence.sources.sinks import write_table
 from cadence.sources.tables import load
 
 # The per-series operators cut series by counted rows (blocks.ranged), so the
@@ -118,6 +119,19 @@ def q_melt_nonzero(spark, root):
     return report(FE.melt_nonzero(wide, ids, hours, "minute", "invocations"))
 
 
+def q_melt_chain(spark, root):
+    """The second data set end to end: durations, memory and minute counts of the
+    applications, joined many to many, melted and one-hot encoded."""
+    e = Tables(spark, root).events.select(
+        F.pmod("user_id", F.lit(7)).cast("string").alias("HashOwner"), F.col("user_id").cast("string").alias("HashApp"),
+        F.col("event_type").alias("HashFunction"), F.hour("ts").alias("h"), "value")
+    keys, hours = ["HashOwner", "HashApp"], [f"h{h:02d}" for h in range(24)]
+    dur = e.groupBy(*keys, "HashFunction").agg(F.avg("value").alias("AverageDuration"), F.count(F.lit(1)).alias("CountForDuration"))
+    mem = e.groupBy(*keys).agg(F.avg("value").alias("AverageAllocatedMb"), F.count(F.lit(1)).alias("CountForMemory"))
+    func = e.groupBy(*keys, "HashFunction").agg(*[F.count_if(F.col("h") == h).alias(n) for h, n in enumerate(hours)])
+    return report(C.clean_minutes(dur, mem, func.withColumn("Trigger", F.col("HashFunction")), keys, "HashFunction", "Trigger", hours))
+
+
 def q_seeded_shuffle(spark, root):
     return report(SE.seeded_shuffle(Tables(spark, root).events, ["event_id"], 42))
 
@@ -148,6 +162,14 @@ def q_shards(spark, root):
     return report(SP.shards(_ev(Tables(spark, root)), "user_id", "ts", 3, tiebreak="event_id"))
 
 
+def q_shards_global(spark, root):
+    """Shards of the whole stream, written by shard and read back."""
+    from cadence.session import written_path
+    path = written_path(spark, "shards")
+    write_table(SP.shards_global(_ev(Tables(spark, root)), "ts", 7, tiebreak="event_id"), path, ["shard"])
+    return report(spark.read.parquet(path))
+
+
 def q_last_n(spark, root):
     return report(SP.last_n(_ev(Tables(spark, root)), "user_id", "ts", 5, skip=2, tiebreak="event_id"))
 
@@ -632,12 +654,14 @@ QUERIES = {
     "one_hot_type": q_one_hot_type,
     "distinct_values": q_distinct_values,
     "melt_nonzero": q_melt_nonzero,
+    "melt_chain": q_melt_chain,
     "seeded_shuffle": q_seeded_shuffle,
     "sample_fraction": q_sample_fraction,
     "time_holdout": q_time_holdout,
     "time_holdout_global": q_time_holdout_global,
     "tail_holdout": q_tail_holdout,
     "shards": q_shards,
+    "shards_global": q_shards_global,
     "last_n": q_last_n,
     "concat_splits": q_concat_splits,
     "scale_fit": q_scale_fit,

@@ -157,6 +157,15 @@ SELECT c.user_id, c.event_type, {R('AverageDuration')} AS AverageDuration, Count
        {R('AverageAllocatedMb')} AS AverageAllocatedMb, CountForMemory, minute, invocations
 FROM cells c JOIN dur USING (user_id, event_type) JOIN mem USING (user_id)"""
 
+MELT_CHAIN = f"""
+WITH e AS (SELECT CAST(user_id % 7 AS VARCHAR) AS HashOwner, CAST(user_id AS VARCHAR) AS HashApp, event_type, hour(ts) AS h, value FROM events),
+dur AS (SELECT HashOwner, HashApp, event_type AS HashFunction, avg(value) AS AverageDuration, count(*) AS CountForDuration FROM e GROUP BY 1, 2, 3),
+mem AS (SELECT HashOwner, HashApp, avg(value) AS AverageAllocatedMb, count(*) AS CountForMemory FROM e GROUP BY 1, 2),
+cells AS (SELECT HashOwner, HashApp, event_type AS "Trigger", printf('h%02d', h) AS minute, count(*) AS invocations FROM e GROUP BY 1, 2, 3, 4)
+SELECT HashOwner, HashApp, HashFunction, {R('AverageDuration')} AS AverageDuration, CountForDuration, {R('AverageAllocatedMb')} AS AverageAllocatedMb,
+       CountForMemory, "Trigger", {_onehots('"Trigger"', 'Trigger_', EVENT_TYPES)}, minute, invocations
+FROM dur JOIN mem USING (HashOwner, HashApp) JOIN cells USING (HashOwner, HashApp)"""
+
 SEEDED_SHUFFLE = f"""
 SELECT event_id, ts, user_id, event_type, {R('value')} AS value, props,
        md5(concat_ws(':', CAST(event_id AS VARCHAR), '42')) AS shuffle_key
@@ -195,6 +204,10 @@ SELECT event_id, user_id, ts, {R('value')} AS value,
        CAST(ntile(3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS shard
 FROM events"""
 
+SHARDS_GLOBAL = f"""
+SELECT event_id, user_id, ts, {R('value')} AS value, CAST(ntile(7) OVER (ORDER BY ts, event_id) AS INTEGER) AS shard
+FROM events"""
+
 LAST_N = f"""
 SELECT event_id, user_id, ts, {R('value')} AS value
 FROM ({_POS}) WHERE n - rn + 1 > 2 AND n - rn + 1 <= 7"""
@@ -847,12 +860,14 @@ ORACLE = {
     "one_hot_type": ONE_HOT_TYPE,
     "distinct_values": DISTINCT_VALUES,
     "melt_nonzero": MELT_NONZERO,
+    "melt_chain": MELT_CHAIN,
     "seeded_shuffle": SEEDED_SHUFFLE,
     "sample_fraction": SAMPLE_FRACTION,
     "time_holdout": TIME_HOLDOUT,
     "time_holdout_global": TIME_HOLDOUT_GLOBAL,
     "tail_holdout": TAIL_HOLDOUT,
     "shards": SHARDS,
+    "shards_global": SHARDS_GLOBAL,
     "last_n": LAST_N,
     "concat_splits": CONCAT_SPLITS,
     "scale_fit": SCALE_FIT,
