@@ -62,3 +62,6 @@ def test_registered():
         "op1_url_filter", "op2_embedding_dedup", "op3_fingerprints", "op4_html_text", "op5_toxicity", "op6_mixing", "op7_warc",
         "op8_packing", "op9_token_counts", "op10_jaccard_join", "op11_fill_in_middle", "op12_suffix_dedup", "op13_merkle_manifest"] and "pipeline" in names
     assert 4 <= len(c.STAGES) <= 5
+    assert {k for k in e.oracle_sql() if k in names and k.startswith("op") and k[2].isdigit()} == {
+        "op1_url_filter", "op7_warc", "op11_fill_in_middle", "op13_merkle_manifest"}
+    assert all(isinstance(v, str) for v in e.oracle_sql().values())
