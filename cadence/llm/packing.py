@@ -1,9 +1,11 @@
 """Best-fit packing after exact fills.
 
-What a sequence lacks is looked up among the lengths, or else found as a sum of two
-or three by scanning those available, without an index of sums; combinations that fill a gap exactly are used as often as the counts of their
-lengths allow, and what is left goes where it fits best. The plan is made on the
-histogram of lengths, which has as many entries as a sequence has tokens whatever
+An index holds the single lengths, pairs and triples by their sum. What a sequence
+lacks is looked up there, and a combination that fills it exactly is used as often as
+the counts of its lengths allow; what is left goes where it fits best. Exact fills
+serve the longest lengths first and stop at the length below which they would cost
+sequences, because they use up short lengths that best fit needs. The plan is made on
+the histogram of lengths, which has as many entries as a sequence has tokens whatever
 the corpus; the pieces then find their places by their rank among equal lengths.
 """
 
@@ -26,6 +28,8 @@ from cadence.llm.tokens import default_path, encoder
 SEQUENCE, END = 1024, 2
 #: Least number of rank buckets a length, and pieces of a larger bucket.
 LEAST_BUCKETS, BUCKET_ROWS = 64, 50_000
+#: Lengths at which exact fills may stop, evenly spread over a sequence.
+STOPS = 16
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,70 +59,80 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
-def _pair(have: np.ndarray, total: int) -> tuple[int, int] | None:
-    """The available lengths (a, b), a >= b, with this sum, a as large as can be."""
-    top = min(total - 1, len(have) - 1)
-    low = (total + 1) // 2
-    if top < low:
+class Sums:
+    """Combinations of at most three available lengths by their sum. Counts only fall,
+    so a combination that they no longer cover leaves the index for good."""
+
+    def __init__(self, have: list[int]) -> None:
+        self.have = have
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[int]] = {}  # the largest of three, by the sum of all
+
+    def covered(self, *lengths: int) -> bool:
+        return all(self.have[x] >= k for x, k in Counter(lengths).items())
+
+    def pair(self, total: int, beside: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        """Two lengths with this sum that are there besides ``beside``: none above
+        ``most``, the larger one as large as can be."""
+        if total not in self.pairs:
+            both = [(a, total - a) for a in range((total + 1) // 2, min(total, len(self.have)))]
+            self.pairs[total] = [x for x in both if self.covered(*x)]
+        found = self.pairs[total]
+        for i in range(len(found) - 1, -1, -1):
+            if not self.covered(*found[i]):
+                found.pop(i)
+            elif found[i][0] <= most and self.covered(*found[i], *beside):
+                return found[i]
         return None
-    a = np.arange(top, low - 1, -1)
-    need = np.where(2 * a == total, 2, 1)
-    hit = np.flatnonzero((have[a] >= need) & (have[total - a] >= 1))
-    return (int(a[hit[0]]), total - int(a[hit[0]])) if len(hit) else None
-
-
-def _fill(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill ``gap`` exactly."""
-    if gap < len(have) and have[gap]:
-        return (gap,)
-    if two := _pair(have, gap):
-        return two
-    for a in range(min(gap - 2, len(have) - 1), (gap + 2) // 3 - 1, -1):
-        if have[a]:
-            have[a] -= 1
-            two = _pair(have, gap - a)
-            have[a] += 1
-            if two and two[0] <= a:
-                return a, *two
-    return None
 
+    def fill(self, length: int, gap: int, parts: int) -> tuple[int, ...] | None:
+        """At most ``parts`` (up to three) lengths that fill exactly the ``gap`` that
+        ``length`` leaves."""
+        if self.covered(gap, length):
+            return (gap,)
+        if parts > 1 and (two := self.pair(gap, (length,), gap)):
+            return two
+        if parts > 2:
+            if gap not in self.triples:
+                self.triples[gap] = [a for a in range((gap + 2) // 3, gap - 1) if self.have[a]]
+            largest = self.triples[gap]
+            for i in range(len(largest) - 1, -1, -1):
+                a = largest[i]
+                if not self.have[a]:
+                    largest.pop(i)
+                elif two := self.pair(gap - a, (a, length), a):
+                    return a, *two
+        return None
 
-def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, times) for a histogram of lengths from 1 to ``size``."""
-    have = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        have[length] += n
-    made: list[tuple[tuple[int, ...], int]] = []
-    if have[size]:
-        made.append(((size,), int(have[size])))
-        have[size] = 0
-    open_by_gap: dict[int, list[list]] = defaultdict(list)  # gap -> [lengths, times]
-    gaps: list[int] = []
-    exact = True
-    for length in range(size - 1, 0, -1):
-        while exact and have[length]:
-            have[length] -= 1
-            rest = _fill(have, size - length)
-            have[length] += 1
-            if rest is None:
-                break
+
+def exact_fills(have: list[int], size: int, parts: int, down_to: int) -> list[tuple[tuple[int, ...], int]]:
+    """Full sequences as (lengths, times), for the longest lengths first and none below
+    ``down_to``; takes what it uses from ``have``."""
+    sums, made = Sums(have), []
+    for length in range(size - 1, down_to - 1, -1):
+        while have[length] and (rest := sums.fill(length, size - length, parts)):
             use = Counter((length, *rest))
-            times = min(int(have[x]) // k for x, k in use.items())
+            times = min(have[x] // k for x, k in use.items())
             for x, k in use.items():
                 have[x] -= k * times
             made.append(((length, *rest), times))
-    for length in range(size - 1, 0, -1):  # best fit, longest first
-        left = int(have[length])
+    return made
+
+
+def best_fit(have: list[int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths, times) of all of ``have``: longest first, each into the
+    smallest gap that holds it."""
+    open_by_gap: dict[int, list[list]] = defaultdict(list)  # gap -> [lengths, times]
+    gaps: list[int] = []
+    for length in range(size, 0, -1):
+        left = have[length]
         while left:
             at = bisect_left(gaps, length)
             if at == len(gaps):
-                fresh = size // length
-                if left >= fresh:
-                    _open(open_by_gap, gaps, size - length * fresh, (length,) * fresh, left // fresh)
-                    left -= left // fresh * fresh
-                else:
-                    _open(open_by_gap, gaps, size - length * left, (length,) * left, 1)
-                    left = 0
+                each = min(left, size // length)
+                times = left // each
+                _open(open_by_gap, gaps, size - length * each, (length,) * each, times)
+                left -= times * each
                 continue
             gap = gaps[at]
             entry = open_by_gap[gap][-1]
@@ -130,8 +144,25 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int,
                     gaps.pop(at)
             _open(open_by_gap, gaps, gap - length, (*entry[0], length), times)
             left -= times
-    made += [(lengths, times) for entries in open_by_gap.values() for lengths, times in entries]
-    return made
+    return [(lengths, times) for entries in open_by_gap.values() for lengths, times in entries]
+
+
+def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths, times) for a histogram of lengths from 1 to ``size``.
+
+    Made for fills of one, two and three lengths and for each of STOPS lengths at which
+    exact fills stop, the last being best fit alone; the plan with the fewest sequences
+    is taken, among equal ones that with the most exact fills."""
+    best: tuple[tuple[int, int], list] | None = None
+    for parts in (1, 2, 3):
+        for stop in sorted({max(1, size * k // STOPS) for k in range(STOPS + 1)}):
+            have = [counts.get(x, 0) for x in range(size + 1)]
+            exact = exact_fills(have, size, parts, stop)
+            made = exact + best_fit(have, size)
+            rank = sum(n for _, n in made), -sum(n for _, n in exact)
+            if best is None or rank < best[0]:
+                best = rank, made
+    return best[1]
 
 
 def _open(open_by_gap: dict, gaps: list[int], gap: int, lengths: tuple[int, ...], times: int) -> None:

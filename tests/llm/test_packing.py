@@ -1,8 +1,10 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from helpers import DOCS, corpus, edge_rows, with_clashes
 
@@ -34,7 +36,36 @@ def test_plan(seed):
             used[x] += times
     assert used == Counter(lengths)
     n = sum(t for _, t in made)
-    assert -(-sum(lengths) // size) <= n <= best_fit_decreasing(lengths, size) * 1.02 + 1
+    assert -(-sum(lengths) // size) <= n <= best_fit_decreasing(lengths, size)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_index_of_sums(seed):
+    rng = random.Random(seed)
+    size = 24
+    have = [0, *(rng.choice([0, 0, 1, 2, 3]) for _ in range(size))]
+    sums = p.Sums(have)
+    while any(have[1:size]):
+        length = rng.choice([x for x in range(1, size) if have[x]])
+        parts = rng.choice([1, 2, 3])
+        others = have.copy()
+        others[length] -= 1
+        pool = [x for x in range(1, size) for _ in range(min(3, others[x]))]
+        possible = any(sum(c) == size - length for k in range(1, parts + 1) for c in combinations(pool, k))
+        rest = sums.fill(length, size - length, parts)
+        assert (rest is not None) == possible
+        for x in (length, *(rest or ())):
+            have[x] -= 1
+        assert rest is None or sum(rest) == size - length and len(rest) <= parts and min(have) >= 0
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 193), ("sf0.01", 964)])
+def test_no_worse_than_best_fit_alone(sf, most):
+    enc, lengths = encoder(default_path()), Counter()
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(enc.ids(text or "")) + 1
+        lengths.update([n % 1024 or 1024] + [1024] * (-(-n // 1024) - 1))
+    assert sum(times for _, times in p.plan(lengths)) <= most
 
 
 def test_exact_complements_first():
