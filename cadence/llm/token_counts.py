@@ -1,7 +1,7 @@
 """Token counts that follow edits.
 
-A document's text is split into pre-tokens, which byte-level BPE encodes one by
-one. A segment tree over runs of pre-tokens holds the characters and tokens below
+A document's text is split at special tokens and into pre-tokens, which byte-level
+BPE encodes one by one. A segment tree over runs of pre-tokens holds the characters and tokens below
 each node. An edit finds its place by descending the tree, splits and encodes the
 touched pre-tokens and some context anew, and updates the sums above them; the
 rest of the document is not looked at again.
@@ -39,9 +39,10 @@ class PieceCounts(dict):
 class SegmentTree:
     """Pre-tokens of one text in leaves, with sums of characters and tokens."""
 
-    def __init__(self, text: str, split, counts: PieceCounts) -> None:
-        self.split, self.counts = split, counts
-        self._build(split(text))
+    def __init__(self, text: str, enc: Encoder, counts: PieceCounts) -> None:
+        self.split, self.counts = enc.split, counts
+        self.context = CONTEXT + max(0, enc.longest_special - 1)  # an edit may complete or break a special token
+        self._build(self.split(text))
         self.encoded = 0  # pre-tokens encoded for edits
 
     def _build(self, pieces: list[str]) -> None:
@@ -85,10 +86,10 @@ class SegmentTree:
         beyond the text are its end."""
         start = min(max(start, 0), self.n_chars)
         end = start + min(max(removed, 0), self.n_chars - start)
-        a, begin = self._at(max(0, start - CONTEXT))
+        a, begin = self._at(max(0, start - self.context))
         k, at = 0, begin  # first pre-token that may change, and its first character
         leaf = self.leaves[a]
-        while k < len(leaf) and at + len(leaf[k]) <= max(0, start - CONTEXT):
+        while k < len(leaf) and at + len(leaf[k]) <= max(0, start - self.context):
             at += len(leaf[k])
             k += 1
         kept, region = leaf[:k], leaf[k:]
@@ -112,7 +113,7 @@ class SegmentTree:
                     break
                 fresh.append(p)
                 x += len(p)
-            if whole or done and x < len(text) - CONTEXT:
+            if whole or done and x < len(text) - self.context:
                 break
             for p in self.leaves[more]:  # the tail of the region depends on what follows
                 ends.add(len(text))
@@ -164,8 +165,11 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str
     then of the other columns; each counts characters of the text as it then is.
     Places beyond the text are its end, nulls are 0 and the empty string; edits
     of unknown documents change nothing. ``reencoded`` is the number of pre-tokens
-    that the edits had split and encoded anew. A null text is empty; rows without
-    doc_id have no edits; repeated rows are edited alike.
+    that the edits had split and encoded anew. A special token written out in a text
+    counts as one token, as the tokenizers library has it, also where an edit completes
+    or breaks it. A null text is empty; rows without doc_id have no edits; repeated rows
+    are edited alike; an empty table gives no rows; further columns, whatever their
+    names, are not looked at. A very long text is one tree in its task.
 
     Texts and edits meet in one sorted shuffle and are read as a stream: a task
     holds the edits of one document and one tree at a time."""
@@ -192,7 +196,7 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str
                         pending_id, pending = doc_id, []
                     pending.append((start, removed, text))
                     continue
-                tree = SegmentTree(text, enc.split, counts)
+                tree = SegmentTree(text, enc, counts)
                 n_chars, n_tokens = tree.n_chars, tree.n_tokens
                 mine = pending if doc_id is not None and doc_id == pending_id else []
                 for edit in mine:

@@ -47,13 +47,25 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {t["content"] for t in model.get("added_tokens", [])}
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        longest_first = sorted(special, key=lambda t: (-len(t), t))
+        self.special = re.compile("|".join(map(re.escape, longest_first))) if special else None
+        self.special_tokens, self.longest_special = special, max(map(len, special), default=0)
         chars, self.fast = _byte_of_char(), None
         vocab = model["model"]["vocab"]
         if model["model"]["type"] == "BPE" and (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel":
             ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in special}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
+        self.pre_tokens = regex.compile(PATTERN).findall
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text; a special token written out in it is one of its own."""
+        if self.special is None:
+            return self.pre_tokens(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*self.pre_tokens(text[at:m.start()]), m.group()]
+            at = m.end()
+        return out + self.pre_tokens(text[at:]) if at else self.pre_tokens(text)
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or self.special and self.special.search(text) or _LONG.search(text):
@@ -62,6 +74,8 @@ class Encoder:
 
     def piece_tokens(self, piece: str) -> int:
         """Number of tokens of one pre-token."""
+        if piece in self.special_tokens:
+            return 1
         if len(piece) >= LONG_RUN or self.fast is None:
             return len(self.slow.encode(piece, add_special_tokens=False).ids)
         return len(self.fast.encode_ordinary(piece))

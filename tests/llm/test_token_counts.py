@@ -9,7 +9,7 @@ from cadence.llm import token_counts as c
 from cadence.llm.tokens import default_path, encoder
 
 EDITS = "doc_id long, seq long, start long, removed long, inserted string"
-PARTS = ["a", "b", "'", "re", "ll", " ", "  ", "\n", "\t", "9", "12", "!", "é", "ß", " the", " don't", "日本", "😀", "　", "\x85", "_", "\x1f", "²", "<|endoftext|>"[:5]]
+PARTS = ["a", "b", "'", "re", "ll", " ", "  ", "\n", "\t", "9", "12", "!", "é", "ß", " the", " don't", "日本", "😀", "　", "\x85", "_", "\x1f", "²", "<|endoftext|>", "<|endoftext|>"[:5], "<|endoftext|>"[5:]]
 
 
 def total(text):
@@ -23,7 +23,7 @@ def test_edits_against_encoding_anew(monkeypatch, leaf):
     counts, rng = c.PieceCounts(enc), random.Random(leaf)
     for _ in range(600):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(60)))
-        tree = c.SegmentTree(text, enc.split, counts)
+        tree = c.SegmentTree(text, enc, counts)
         for _ in range(4):
             start, removed = rng.randrange(len(text) + 3), rng.choice([0, 0, 1, 2, 5, 30])
             new = "".join(rng.choice(PARTS) for _ in range(rng.choice([0, 0, 1, 2, 9])))
@@ -46,9 +46,20 @@ def test_long_runs_and_special_tokens(text):
     assert enc.ids(text).tolist() == enc.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_made_and_broken_by_edits():
+    enc = encoder(default_path())
+    text = "hello <|endoftext|> world"
+    tree = c.SegmentTree(text, enc, c.PieceCounts(enc))
+    assert tree.n_tokens == total(text) == 4
+    for start, removed, new in [(8, 1, ""), (8, 0, "e"), (18, 1, ""), (18, 0, ">"), (6, 0, "<|endof"), (13, 0, "text|>"), (0, 3, "<|endoftext|>")]:
+        tree.edit(start, removed, new)
+        text = text[:start] + new + text[start + removed:]
+        assert (tree.text(), tree.n_tokens) == (text, total(text))
+
+
 def test_edits_touch_little():
     enc = encoder(default_path())
-    tree = c.SegmentTree("some words and more words " * 5000, enc.split, c.PieceCounts(enc))
+    tree = c.SegmentTree("some words and more words " * 5000, enc, c.PieceCounts(enc))
     for k in range(50):
         tree.edit(1000 * k, 3, "xyz")
     assert tree.encoded < 50 * 12 and tree.n_tokens == total(tree.text())
