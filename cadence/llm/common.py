@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.session import checkpoint_dir
+from cadence.session import written_path
 
 #: Words of a shingle, and the likeness from which texts count as near copies.
 SHINGLE_WORDS, SIMILAR = 5, 0.8
@@ -21,8 +21,9 @@ _SHIFT = np.uint64(29)
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder (``spark.checkpoint.dir``) and read
-    back: what feeds several consumers is computed once, and it outlives executors."""
-    path = checkpoint_dir(df.sparkSession, f"llm-{name}")
+    back: what feeds several consumers is computed once, and it outlives executors.
+    The table stays until the process ends or ``session.drop_written`` is called."""
+    path = written_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
