@@ -31,8 +31,8 @@ from cadence.llm.common import saved, shingles
 INSULTS = ("idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting trash clown imbecile cretin dumbass "
            "bastard bitch asshole fucker retard arschloch hurensohn wichser dummkopf vollidiot abschaum connard connasse salope "
            "enculé ordure débile gilipollas cabrón pendejo imbécil estúpido basura puta").split()
-#: Bound of the labelled sample, of the rows the classifier is trained on, and of each learned lexicon.
-LABELLED_ROWS, TRAINING_ROWS, LEXICON = 20_000, 20_000, 400
+#: Bound of the labelled sample and of the rows the classifier is trained on.
+LABELLED_ROWS, TRAINING_ROWS = 20_000, 20_000
 #: Word stems that are looked at, besides whole words (length 0); the share of a
 #: text's words from which on a stem counts; voters per learned lexicon.
 STEMS, DENSE, VOTERS_EACH = (0, 4, 5, 6), 0.01, 3
@@ -101,13 +101,14 @@ def _sampled(labels: DataFrame, bound: int) -> tuple[DataFrame, float]:
     return kept, n.get(1, 0) / max(1, sum(n.values()))
 
 
-def learned_lexicons(docs: DataFrame, sample: DataFrame, size: int = LEXICON) -> dict:
+def learned_lexicons(docs: DataFrame, sample: DataFrame) -> dict:
     """{(length, entry): log odds} from the bounded labelled ``sample`` (doc_id, toxic).
 
-    Of near copies in the sample (equal least shingle hash) one counts. An entry
-    is taken if its likelihood ratio is so large that chance finds about one of all
-    that are tried, and it is nine times as frequent in toxic texts;
-    of each stem length, the ``size`` with the largest ratios."""
+    Near copies of one label in the sample (equal least shingle hash) are one trial, which
+    holds the entries of all of them; a toxic text made from a clean one is a trial
+    beside it. An entry is taken if its likelihood ratio is so large that chance finds
+    about one of all that are tried, and it is nine times as frequent in toxic trials.
+    Only the sample bounds how many there are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,20 +118,27 @@ def learned_lexicons(docs: DataFrame, sample: DataFrame, size: int = LEXICON) ->
             yield pa.record_batch({"copy": pa.array(np.array(keys, np.uint64).view(np.int64)), "toxic": b["toxic"], "text": pa.array(texts, pa.string())})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
-        n = [0, 0]
+        seen, n = (Counter(), Counter()), [0, 0]
+        trial, held = None, set()
         for b in batches:
-            for y, text in zip(b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True):
-                n[y] += 1
-                (toxic if y else clean).update(entries_of(words_of(text)))
+            for key, y, text in zip(b["copy"].to_pylist(), b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if (key, y) != trial:
+                    if trial:
+                        seen[trial[1]].update(held)
+                    trial, held = (key, y), set()
+                    n[y] += 1
+                held |= entries_of(words_of(text))
+        if trial:
+            seen[trial[1]].update(held)
+        clean, toxic = seen
         found = [*(toxic | clean)]
         yield pa.record_batch({
             "length": pa.array([-1, *(k for k, _ in found)], pa.int32()), "entry": pa.array(["", *(e for _, e in found)], pa.string()),
             "toxic": pa.array([n[1], *(toxic[k] for k in found)], pa.int64()), "clean": pa.array([n[0], *(clean[k] for k in found)], pa.int64())})
 
-    first = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(keyed, "copy long, toxic int, text string")
-    apart = first.groupBy("copy").agg(F.min(F.struct("toxic", "text")).alias("r")).select("r.toxic", "r.text")
-    counts = apart.mapInArrow(counted, "length int, entry string, toxic long, clean long")
+    trials = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(keyed, "copy long, toxic int, text string")
+    trials = trials.repartition("copy", "toxic").sortWithinPartitions("copy", "toxic")  # at most the sample's rows
+    counts = trials.mapInArrow(counted, "length int, entry string, toxic long, clean long")
     counts = saved(counts.groupBy("length", "entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean")]), "entries")
     total = counts.where("length = -1").first()
     if total is None or not total["toxic"] or not total["clean"]:
@@ -145,7 +153,7 @@ def learned_lexicons(docs: DataFrame, sample: DataFrame, size: int = LEXICON) ->
             .where(F.col("toxic") * neg > 9 * F.col("clean") * pos))
     lexicon: dict = {}
     for k in STEMS:
-        for r in good.where((F.col("length") == k) & (F.col("ratio") > 2 * math.log(tried.get(k, 1) + 1))).orderBy(F.desc("ratio"), "entry").limit(size).collect():  # a bounded lexicon
+        for r in good.where((F.col("length") == k) & (F.col("ratio") > 2 * math.log(tried.get(k, 1) + 1))).orderBy(F.desc("ratio"), "entry").collect():  # bounded by the sample
             lexicon[(k, r["entry"])] = r["odds"]
     return lexicon
 
@@ -172,13 +180,12 @@ class Toxicity:
     def score_hits(self, hits: list[int]) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + float(self.weights[hits].sum())))))
 
-    def score_column(self, text: str = "text") -> Column:
-        """Score of a text column, batch by batch in Arrow."""
+    def score_column(self, hits: str) -> Column:
+        """Score of a column of features, batch by batch in Arrow."""
         @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            index = {e: i for i, e in enumerate(self.entries)}
-            return pd.Series([self.score_hits(self.hits(t or "", index)) for t in texts], dtype="float64")
-        return score(F.col(text))
+        def score(found: pd.Series) -> pd.Series:
+            return pd.Series([self.score_hits(list(h)) for h in found], dtype="float64")
+        return score(F.col(hits))
 
 
 def voters(lexicon: dict) -> Toxicity:
@@ -202,8 +209,8 @@ def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, share:
     the labelled patterns, whose class is fixed, and goes on over all; the unlabelled
     weigh OTHERS times as much as the labelled at most, so a common cause of votes
     that isn't toxicity can't take over. Voters that go together among toxic texts more than
-    their rates explain are correlated; each one's evidence is divided by 1 + the
-    sum of its correlations."""
+    their rates explain are correlated; each one's evidence is divided by the root of
+    1 + the sum of its correlations."""
     known = (label >= 0) & (set(label.tolist()) >= {0, 1})  # labels of one class tell nothing
     weight = count.astype(float)
     n_known, n_other = weight[known].sum(), weight[~known].sum()
@@ -239,8 +246,9 @@ def _posterior(votes: np.ndarray, p1: np.ndarray, p0: np.ndarray, discount: np.n
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> tuple[Toxicity, DataFrame]:
-    """A scorer for ``docs`` (doc_id, text) and their features, (doc_id, hits, mask).
+def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, carry: bool = False) -> tuple[Toxicity, DataFrame]:
+    """A scorer for ``docs`` (doc_id, text) and their features, (__id, __hits, __mask),
+    beside all columns of ``docs`` if ``carry``.
 
     Labels (doc_id, toxic) are read of training rows only (:func:`in_training`).
     Without any, or with one class only, the fixed list and the patterns vote
@@ -253,16 +261,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> tuple
     share = min(max(share, 0.01), 0.5) if lexicon else 0.1
     model = voters(lexicon)
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("hits array<int>, mask int")
+    def featured(texts: pd.Series) -> pd.DataFrame:
         index = {e: i for i, e in enumerate(model.entries)}
-        for b in batches:
-            hits = [model.hits(t or "", index) for t in b["text"].to_pylist()]
-            masks = [functools.reduce(operator.or_, (model.bits[i] for i in h), 0) for h in hits]
-            yield pa.record_batch({"doc_id": b["doc_id"], "hits": pa.array(hits, pa.list_(pa.int32())), "mask": pa.array(masks, pa.int32())})
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = saved(d.mapInArrow(featured, "doc_id long, hits array<int>, mask int"), "hits")
-    seen = hits.join(F.broadcast(sample), "doc_id", "left").groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+        hits = [model.hits(t or "", index) for t in texts]
+        return pd.DataFrame({"hits": hits, "mask": [functools.reduce(operator.or_, (model.bits[i] for i in h), 0) for h in hits]})
+
+    d = docs.select(*(docs.columns if carry else []), F.col("doc_id").cast("long").alias("__id"), featured("text").alias("__seen"))
+    hits = saved(d.withColumns({"__hits": F.col("__seen.hits"), "__mask": F.col("__seen.mask")}).drop("__seen"), "hits")
+    known = sample.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
+    seen = (hits.select("__id", "__mask").join(F.broadcast(known), "__id", "left")
+            .groupBy(F.col("__mask").alias("mask"), F.col("__toxic").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect())
     if not seen:
         return model, hits
     masks = np.array([r["mask"] for r in seen])
@@ -271,12 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> tuple
     model.accuracies, model.correlated, _, posterior = label_model(votes, label, np.array([r["n"] for r in seen]), share)
     by_mask = dict(zip(masks.tolist(), posterior.tolist(), strict=True))
 
-    some = F.size("hits") > 0
+    some = F.size("__hits") > 0
     n = sum(r["n"] for r in seen)
     n_some = sum(r["n"] for r in seen if r["mask"])
     rate = F.when(some, TRAINING_ROWS / 2 / max(1, n_some)).otherwise(TRAINING_ROWS / 2 / max(1, n - n_some))
-    train = hits.where(F.pmod(F.xxhash64("doc_id", "hits"), F.lit(1_000_000)) < rate * 1_000_000)
-    grouped = train.groupBy("hits", "mask").agg(F.count(F.lit(1)).alias("n"), F.first(rate).alias("rate")).collect()  # bounded by TRAINING_ROWS
+    train = hits.where(F.pmod(F.xxhash64("__id", "__hits"), F.lit(1_000_000)) < rate * 1_000_000)
+    grouped = train.groupBy(F.col("__hits").alias("hits"), F.col("__mask").alias("mask")).agg(F.count(F.lit(1)).alias("n"), F.first(rate).alias("rate")).collect()  # bounded by TRAINING_ROWS
     weight = np.array([r["n"] / min(1.0, r["rate"]) for r in grouped], float)
     model.weights, model.bias = linear([r["hits"] for r in grouped], np.array([by_mask[r["mask"]] for r in grouped]), weight,
                                        len(model.entries) + len(PATTERNS))
@@ -310,23 +319,21 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Dat
     The score is a function of the text alone (null: empty), from 0 to 1; texts
     without any feature all get the same low score. ``predicted`` is 1 from TOXIC
     on; ``held_out`` is false for rows without doc_id. Repeated rows come back as
-    often; an empty table gives no rows."""
+    often; an empty table gives no rows; further columns, whatever their names, are not
+    looked at; a very long text is scored whole."""
     model, hits = fit(docs, labels, bound)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [model.score_hits(h) for h in b["hits"].to_pylist()]
-            yield pa.record_batch({"doc_id": b["doc_id"], "score": pa.array(s, pa.float64())})
-
-    s = hits.mapInArrow(scored, "doc_id long, score double")
+    s = hits.select(F.col("__id").alias("doc_id"), model.score_column("__hits").alias("score"))
     return s.select("doc_id", F.coalesce(~in_training("doc_id"), F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are not predicted toxic."""
-    model, _ = fit(docs, labels)
-    return docs.withColumn("__toxicity", model.score_column("text")).where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    """The rows of ``docs`` (all columns) that are not predicted toxic, repeated rows as
+    often. Null and empty texts are not toxic; an empty table stays empty. The texts are
+    looked at once: their features are written beside their rows."""
+    model, seen = fit(docs, labels, carry=True)
+    return seen.where(model.score_column("__hits") < TOXIC).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -59,6 +59,33 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1
 
 
+def test_lexicons_of_a_thousand_entries(spark):
+    rng = np.random.default_rng(5)
+    insults = [f"zq{i:04d}" for i in range(1000)]
+    rows, sample = [], []
+    for i in range(1200):
+        w = words(rng, 60, 3000).split()
+        if i % 4 == 0:
+            w += [insults[int(k)] for k in rng.choice(1000, 60, replace=False)]
+        rows.append((i, " ".join(w), "en", "s", 0))
+        sample.append((i, int(i % 4 == 0)))
+    found = t.learned_lexicons(spark.createDataFrame(rows, DOCS), spark.createDataFrame(sample, "doc_id long, toxic int"))
+    assert len({e for k, e in found if k == 0} & set(insults)) >= 990
+    assert len({e for k, e in found if k == 0} - set(insults)) <= 5
+
+
+def test_toxic_texts_made_from_clean_ones_and_from_each_other(spark):
+    rng = np.random.default_rng(6)
+    rows, sample = [], []
+    for i in range(60):  # a clean text, and two toxic ones made from it
+        base = words(rng, 80, 3000)
+        for k, text in enumerate((base, f"{base} grumbo{i % 2}", f"{base} and {'fetzel' if i % 3 else 'plumk'}")):
+            rows.append((3 * i + k, text, "en", "s", 0))
+            sample.append((3 * i + k, int(k > 0)))
+    found = t.learned_lexicons(spark.createDataFrame(rows, DOCS), spark.createDataFrame(sample, "doc_id long, toxic int"))
+    assert {e for k, e in found if k == 0} - {"and"} == {"grumbo0", "grumbo1", "fetzel", "plumk"}
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     n, share = 100_000, 0.1
