@@ -31,7 +31,10 @@ from cadence.plans.report import report
 from cadence.plans.training import INPUTS, TARGETS, event_features, training_windows
 from cadence.sources import standins as ST
 from cadence.sources.sinks import write_table
-from cadence.sources.tables import load
+from cadence.sources import schemas
+from cadence.sources.tables import load, read_csv_checked
+from cadence.sources.versions import bucketed_join, publish, published, write_bucketed
+from cadence.session import written_path
 
 # The per-series operators cut series by counted rows (blocks.ranged), so the
 # same queries hold when a series is 1000x longer.
@@ -197,6 +200,40 @@ def q_scale_apply(spark, root):
     return report(SC.apply_scaler(f, SC.fit_scaler(f, "user_id", SCALE_COLS), "user_id", SCALE_COLS))
 
 
+def q_publish_chain(spark, root):
+    """Features split in time, scaler fitted on train rows, all three published as one
+    version, read back and scaled."""
+    f = SP.time_holdout(_hourly(Tables(spark, root)), "ts", series="user_id", days=7).drop("date")
+    f = materialize(f)
+    at = written_path(spark, "published")
+    train = f.where("split = 'train'")
+    publish(spark, {"train": train, "test": f.where("split = 'test'"),
+                    "params": SC.fit_scaler(train, "user_id", SCALE_COLS)}, at)
+    t = published(spark, at, ["train", "test", "params"])
+    back = t["train"].unionByName(t["test"])
+    return report(SC.apply_scaler(back, t["params"], "user_id", SCALE_COLS).select("user_id", "ts", "split", *SCALE_COLS))
+
+
+def q_bucketed_features(spark, root):
+    """Hourly features and the errors of each hour, two tables bucketed alike and joined
+    without a shuffle."""
+    t, keys = Tables(spark, root), ["user_id", "ts"]
+    errors = (t.events.where("event_type = 'error'").groupBy("user_id", F.date_trunc("hour", "ts").alias("ts"))
+              .agg(F.count(F.lit(1)).alias("errors"), F.max("value").alias("worst")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f, e = (write_bucketed(d, written_path(spark, "bucketed"), keys, n) for d in (_hourly(t), errors))
+    return report(bucketed_join(f.select(*keys, "invocations", "avg_value"), e, keys, "left").fillna(0, ["errors"]))
+
+
+def q_csv_read_back(spark, root):
+    """Events as CSV files, read back with their types; lines that don't fit would be marked."""
+    at = written_path(spark, "csv")
+    write_table(Tables(spark, root).events.select(schemas.EVENTS.fieldNames())
+                .withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), at, fmt="csv")
+    back = read_csv_checked(spark, at, schemas.EVENTS)
+    return report(back.withColumn("bad", F.col("_bad_line").isNotNull()).drop("_bad_line"))
+
+
 def q_scale_inverse(spark, root):
     f = _hourly(Tables(spark, root))
     p = SC.fit_scaler(f, "user_id", SCALE_COLS, with_mean=True)
@@ -280,7 +317,7 @@ def q_gap_histogram(spark, root):
 
 
 def q_kde(spark, root):
-    return report(SR.kde(Tables(spark, root).events, "value", points=64, fine_bins=512))
+    return report(SR.kde(Tables(spark, root).events, "value", points=64))
 
 
 def _weekly(spark, root):
@@ -666,6 +703,9 @@ QUERIES = {
     "concat_splits": q_concat_splits,
     "scale_fit": q_scale_fit,
     "scale_apply": q_scale_apply,
+    "publish_chain": q_publish_chain,
+    "bucketed_features": q_bucketed_features,
+    "csv_read_back": q_csv_read_back,
     "scale_inverse": q_scale_inverse,
     "sequences_future": q_sequences_future,
     "sequences_same": q_sequences_same,

@@ -238,6 +238,24 @@ WITH f AS ({feats('hour')}), p AS ({_wide(feats('hour'))})
 SELECT user_id, ts, {", ".join(f"{R(f'CASE WHEN s_{c} = 0 THEN 0.0 ELSE {c} / s_{c} END')} AS {c}" for c in SCALE_COLS)}
 FROM f JOIN p USING (user_id)"""
 
+PUBLISH_CHAIN = f"""
+WITH f AS ({feats('hour')}),
+h AS (SELECT *, CASE WHEN CAST(ts AS DATE) < max(CAST(ts AS DATE)) OVER (PARTITION BY user_id) - 7
+                     THEN 'train' ELSE 'test' END AS split FROM f),
+p AS ({_wide("SELECT * FROM h WHERE split = 'train'")})
+SELECT user_id, ts, split, {", ".join(f"{R(f'CASE WHEN s_{c} = 0 THEN 0.0 ELSE {c} / s_{c} END')} AS {c}" for c in SCALE_COLS)}
+FROM h LEFT JOIN p USING (user_id)"""
+
+BUCKETED_FEATURES = f"""
+WITH f AS ({feats('hour')}),
+e AS (SELECT user_id, date_trunc('hour', ts) AS ts, count(*) AS errors, max(value) AS worst
+      FROM events WHERE event_type = 'error' GROUP BY 1, 2)
+SELECT user_id, ts, invocations, {R('avg_value')} AS avg_value, coalesce(errors, 0) AS errors, {R('worst')} AS worst
+FROM f LEFT JOIN e USING (user_id, ts)"""
+
+CSV_READ_BACK = f"""
+SELECT event_id, ts, user_id, event_type, {R('value')} AS value, false AS bad FROM events"""
+
 SCALE_INVERSE = f"""
 SELECT user_id, ts, {", ".join(f"{R(f'CAST({c} AS DOUBLE)')} AS {c}" for c in SCALE_COLS)} FROM ({feats('hour')})"""
 
@@ -362,13 +380,10 @@ KDE = f"""
 WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
 st AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h
        FROM v),
-b AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 512)), 511) END AS INTEGER) AS bin,
-             count(*) AS c
-      FROM v, st GROUP BY 1),
 p AS (SELECT unnest(generate_series(0, 63)) AS i)
 SELECT CAST(i AS INTEGER) AS point, {R('lo + i * (hi - lo) / 63')} AS x,
-       {R('sum(c * exp(-0.5 * pow((lo + i * ((hi - lo) / 63) - (lo + (bin + 0.5) * (hi - lo) / 512)) / h, 2))) / (n * h * sqrt(2 * pi()))')} AS density
-FROM b, p, st GROUP BY i, lo, hi, n, h"""
+       {R('sum(exp(-0.5 * pow((lo + i * (hi - lo) / 63 - v) / h, 2))) / (n * h * sqrt(2 * pi()))')} AS density
+FROM v, p, st GROUP BY i, lo, hi, n, h"""
 
 _WEEKS = """
 wk AS (SELECT o_orderpriority,
@@ -872,6 +887,9 @@ ORACLE = {
     "concat_splits": CONCAT_SPLITS,
     "scale_fit": SCALE_FIT,
     "scale_apply": SCALE_APPLY,
+    "publish_chain": PUBLISH_CHAIN,
+    "bucketed_features": BUCKETED_FEATURES,
+    "csv_read_back": CSV_READ_BACK,
     "scale_inverse": SCALE_INVERSE,
     "sequences_future": SEQUENCES_FUTURE,
     "sequences_same": SEQUENCES_SAME,

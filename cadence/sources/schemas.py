@@ -33,6 +33,14 @@ FUNCTIONS = StructType([
     StructField("num_of_imports", DoubleType()),
 ])
 
+EVENTS = StructType([
+    StructField("event_id", LongType()),
+    StructField("ts", TimestampType()),
+    StructField("user_id", LongType()),
+    StructField("event_type", StringType()),
+    StructField("value", DoubleType()),
+])
+
 SAMPLES = StructType([
     StructField("name", StringType()),
     StructField("labels", MapType(StringType(), StringType())),

@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import StringType, StructType, TimestampNTZType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -36,6 +36,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool =
     return spark.read.schema(schema).option("header", header).csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType, header: bool = True,
+                     bad: str = "_bad_line") -> DataFrame:
+    """As :func:`read_csv`, with one more column: the whole line where it has too few or
+    too many fields or one that isn't of its type (the fields that can be read are kept),
+    else null. Nothing is dropped, and the schema's columns are always all parsed."""
+    full = StructType([*schema.fields]).add(bad, StringType())
+    return (spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", bad).option("enforceSchema", False)
+            .option("timestampFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path))
+
+
 def read_splits(spark: SparkSession, root: str, splits=("train", "test"), split_col: str = "split") -> DataFrame:
     """Read a dataset published as ``root/split=<name>/`` (S3) with partition pruning."""
     df = spark.read.option("basePath", root).parquet(root)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,11 +95,26 @@ def test_histogram_counts_and_closed_last_bin(spark):
 
 def test_kde_integrates_to_one(spark):
     df = spark.createDataFrame([(float(v % 17) + (v % 3) * 0.5,) for v in range(400)], "v double")
-    k = series.kde(df, "v", points=200, fine_bins=256).orderBy("point").collect()
+    k = series.kde(df, "v", points=200).orderBy("point").collect()
     dx = k[1]["x"] - k[0]["x"]
     assert sum(r["density"] for r in k) * dx == pytest.approx(1.0, abs=0.1)
 
 
+@pytest.mark.parametrize("values", [[1.5, 2.25, 9.0, 9.0, -40.0], [float(i * i % 97) for i in range(300)] + [1000.0]])
+def test_kde_equals_the_sum_over_all_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    h = statistics.stdev(values) * len(values) ** -0.2
+    for r in series.kde(df, "v", points=33).collect():
+        exact = sum(math.exp(-0.5 * ((r["x"] - v) / h) ** 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(exact, rel=1e-12, abs=1e-300)
+
+
+def test_kde_without_spread(spark):
+    for values in ([], [(3.0,)], [(3.0,), (3.0,)]):
+        got = series.kde(spark.createDataFrame(values, "v double"), "v", points=4).collect()
+        assert len(got) == (4 if values else 0) and all(r["density"] is None for r in got)
+
+
 def test_gap_stats(spark):
     df = spark.createDataFrame([(1, ts(0)), (1, ts(10)), (1, ts(30)), (2, ts(5))], "sid int, ts timestamp")
     d = series.time_diffs(df, "sid", "ts")
