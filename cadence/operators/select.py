@@ -25,13 +25,13 @@ def top_series(df: DataFrame, series: str, k: int = 10, count_as: str = "frequen
 
 
 def keep_series(df: DataFrame, chosen: DataFrame, series: str) -> DataFrame:
-    """Rows of the chosen series (J4): a left-semi join against a list whose
-    size is bounded by ``k`` and is therefore broadcast."""
-    return df.join(F.broadcast(chosen.select(series)), series, "left_semi")
+    """Rows of the chosen series (J4): a left-semi join. However many series are chosen,
+    adaptive execution broadcasts them only if they are measured to be small."""
+    return df.join(chosen.select(series), series, "left_semi")
 
 
 def busiest(df: DataFrame, series: str, k: int = 10) -> DataFrame:
-    return keep_series(df, top_series(df, series, k), series)
+    return keep_series(df, F.broadcast(top_series(df, series, k)), series)  # k rows
 
 
 def shuffle_key(key_cols, seed: int) -> F.Column:

@@ -26,6 +26,7 @@ from cadence.operators import metrics as MT
 from cadence.operators import series as SR
 from cadence.operators.blocks import materialize, row_index
 from cadence.functions.labels import label
+from cadence.functions.time import parse_hour_string, parse_iso_offset, parse_wall_clock, second_string
 from cadence import streaming as STR
 from cadence.plans.report import report
 from cadence.plans.training import INPUTS, TARGETS, event_features, training_windows
@@ -265,6 +266,12 @@ def q_first_of_sequence(spark, root):
     return report(s.select("user_id", "ts_seq_first", "max_value_target_first", "sum_value_target_first"))
 
 
+def q_xy_matrices(spark, root):
+    """Windows as one matrix of inputs and one of targets."""
+    return report(SQ.xy_split(_same(spark, root), ["invocations_seq", "avg_value_seq"], ["max_value_target", "sum_value_target"],
+                              keep=["user_id", "ts_seq"]))
+
+
 def q_stack_steps(spark, root):
     s = SQ.stack_steps(_same(spark, root), ["invocations_seq", "avg_value_seq"], "x")
     return report(s.select("user_id", "ts_seq", "x"))
@@ -585,6 +592,20 @@ def q_memory_by_name(spark, root):
     return report(MT.sum_by(v, "name"))
 
 
+def q_network_by_name(spark, root):
+    """Bytes a second received and sent, summed by container name."""
+    s = MT.match_labels(_samples(spark, root, ST.RX, ST.TX), SELECTOR)
+    r = materialize(MT.counter_rate(s, RATE_RANGE_S, RATE_STEP_S))
+    both = [MT.sum_by(r.where(F.col("name") == m), "name").withColumn("direction", F.lit(d))
+            for m, d in ((ST.RX, "received"), (ST.TX, "sent"))]
+    return report(both[0].unionByName(both[1]))
+
+
+def q_cache_by_name(spark, root):
+    s = MT.match_labels(_samples(spark, root, ST.CACHE), SELECTOR, name=ST.CACHE)
+    return report(MT.sum_by(MT.instant_values(s, RATE_STEP_S, lookback_s=3_600), "name"))
+
+
 def q_label_filter(spark, root):
     s = MT.match_labels(_samples(spark, root, ST.RSS),
                         [("instance", "=~", "NATION_(1|2|3)"), ("name", "!~", "AUTO.*")], name=ST.RSS)
@@ -662,6 +683,19 @@ def q_time_slice(spark, root):
     return report(SP.year_slice(o, "o_orderdate", 1996, 1998))
 
 
+def q_time_slice_inclusive(spark, root):
+    o = Tables(spark, root).orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    return report(SP.time_slice(o, "o_orderdate", "1996-01-01", "1998-12-31"))
+
+
+def q_time_strings(spark, root):
+    """Times written as text in the forms of the logs, and read back from them."""
+    e = Tables(spark, root).events
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+02:00"))
+    return report(e.select("event_id", second_string("ts").alias("text"), parse_iso_offset(iso).alias("instant"),
+                           parse_wall_clock(iso).alias("wall"), parse_hour_string(F.date_format("ts", "yyyy-MM-dd:HH")).alias("hour")))
+
+
 # --------------------------------------------------------------------------- the task chain end to end
 
 TASK_INPUTS = ["invocations", "avg_argument_size", "avg_loc", "avg_cyc_complexity", "avg_num_of_imports"]
@@ -711,6 +745,7 @@ QUERIES = {
     "sequences_same": q_sequences_same,
     "first_of_sequence": q_first_of_sequence,
     "stack_steps": q_stack_steps,
+    "xy_matrices": q_xy_matrices,
     "regular_grid": q_regular_grid,
     "interpolate_time": q_interpolate_time,
     "date_grid": q_date_grid,
@@ -743,6 +778,8 @@ QUERIES = {
     "counter_rate": q_counter_rate,
     "cpu_by_name": q_cpu_by_name,
     "memory_by_name": q_memory_by_name,
+    "network_by_name": q_network_by_name,
+    "cache_by_name": q_cache_by_name,
     "label_filter": q_label_filter,
     "label_values": q_label_values,
     "label_values_dependent": q_label_values_dependent,
@@ -754,6 +791,8 @@ QUERIES = {
     "predictions_inverse": q_predictions_inverse,
     "time_cut": q_time_cut,
     "time_slice": q_time_slice,
+    "time_slice_inclusive": q_time_slice_inclusive,
+    "time_strings": q_time_strings,
     "counter_rate_samples": q_counter_rate_samples,
     "task_windows": q_task_windows,
     "ar1_both_targets": q_ar1_both_targets,

@@ -293,6 +293,11 @@ STACK_STEPS = f"""
 SELECT user_id, list_transform(tl, lambda v: epoch_us(v)) AS ts_seq, list_transform(ml, lambda r: {RL('r')}) AS x
 FROM ({_windows(7)}) WHERE len(tl) = 7"""
 
+XY_MATRICES = f"""
+SELECT user_id, list_transform(tl, lambda v: epoch_us(v)) AS ts_seq, list_transform(ml, lambda r: {RL('r')}) AS x,
+       list_transform(generate_series(1, 7), lambda i: {RL('[xl[i], sl[i]]')}) AS y
+FROM ({_windows(7)}) WHERE len(tl) = 7"""
+
 TRAINING_WINDOWS = f"""
 WITH f AS ({feats('hour')}),
 top AS (SELECT user_id FROM f GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10),
@@ -744,6 +749,30 @@ x AS (SELECT user_id, c_mktsegment, epoch_us(ts) AS us, value,
 lv AS (SELECT user_id, c_mktsegment, k, arg_max(value, us) AS v FROM x WHERE k * {_STEP} <= us + {_STEP} GROUP BY 1, 2, 3)
 SELECT make_timestamp(k * {_STEP}) AS ts, c_mktsegment AS name, {R('sum(v)')} AS value FROM lv GROUP BY k, c_mktsegment"""
 
+_PROPS = "TRY_CAST(regexp_extract(e.props, '[0-9]+') AS DOUBLE)"
+
+
+def _containers(value: str) -> str:
+    return f"""ev AS (SELECT e.event_id, e.user_id, e.ts, {value} AS value, c.c_mktsegment, n.n_name
+       FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+
+def _bytes(value: str, direction: str) -> str:
+    return f"""SELECT * FROM (WITH {_containers(value)},
+cpu AS (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM ev), {_RATE}
+SELECT make_timestamp(k * {_STEP}) AS ts, c_mktsegment AS name, {R('sum(rate)')} AS value, '{direction}' AS direction
+FROM r WHERE {_KEEP} GROUP BY k, c_mktsegment)"""
+
+
+NETWORK_BY_NAME = _bytes("e.value", "received") + " UNION ALL " + _bytes(_PROPS, "sent")
+
+CACHE_BY_NAME = f"""WITH {_containers(_PROPS)},
+x AS (SELECT user_id, c_mktsegment, epoch_us(ts) AS us, value,
+             unnest(generate_series((epoch_us(ts) + {_STEP - 1}) // {_STEP}, (epoch_us(ts) + {_STEP}) // {_STEP})) AS k
+      FROM ev WHERE {_KEEP}),
+lv AS (SELECT user_id, c_mktsegment, k, arg_max(value, us) AS v FROM x WHERE k * {_STEP} <= us + {_STEP} GROUP BY 1, 2, 3)
+SELECT make_timestamp(k * {_STEP}) AS ts, c_mktsegment AS name, {R('sum(v)')} AS value FROM lv GROUP BY k, c_mktsegment"""
+
 LABEL_FILTER = f"""WITH {_SAMPLES}
 SELECT 'container_memory_rss' AS name, n_name AS instance, c_mktsegment AS container, CAST(user_id AS VARCHAR) AS id,
        ts, {R('value')} AS value
@@ -809,6 +838,15 @@ SELECT o_orderkey, o_orderdate, {R('o_totalprice')} AS o_totalprice FROM orders
 WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'"""
 
 
+TIME_SLICE_INCLUSIVE = f"""
+SELECT o_orderkey, o_orderdate, {R('o_totalprice')} AS o_totalprice FROM orders
+WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1998-12-31 00:00:00'"""
+
+TIME_STRINGS = """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, date_trunc('millisecond', ts) - INTERVAL 2 HOUR AS instant,
+       date_trunc('second', ts) AS wall, date_trunc('hour', ts) AS hour
+FROM events"""
+
 COUNTER_RATE_SAMPLES = f"""WITH {_SAMPLES},
 d AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS pv FROM cpu),
 i AS (SELECT user_id, c_mktsegment, n_name, ts, epoch_us(ts) AS us,
@@ -887,6 +925,9 @@ ORACLE = {
     "concat_splits": CONCAT_SPLITS,
     "scale_fit": SCALE_FIT,
     "scale_apply": SCALE_APPLY,
+    "xy_matrices": XY_MATRICES,
+    "time_slice_inclusive": TIME_SLICE_INCLUSIVE,
+    "time_strings": TIME_STRINGS,
     "publish_chain": PUBLISH_CHAIN,
     "bucketed_features": BUCKETED_FEATURES,
     "csv_read_back": CSV_READ_BACK,
@@ -921,6 +962,8 @@ ORACLE = {
     "counter_rate": COUNTER_RATE,
     "cpu_by_name": CPU_BY_NAME,
     "memory_by_name": MEMORY_BY_NAME,
+    "network_by_name": NETWORK_BY_NAME,
+    "cache_by_name": CACHE_BY_NAME,
     "label_filter": LABEL_FILTER,
     "label_values": LABEL_VALUES,
     "label_values_dependent": LABEL_VALUES_DEPENDENT,

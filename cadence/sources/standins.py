@@ -82,6 +82,8 @@ def functions_from_parts(part: DataFrame) -> DataFrame:
 CPU = "container_cpu_usage_seconds_total"
 RSS = "container_memory_rss"
 RX = "container_network_receive_bytes_total"
+TX = "container_network_transmit_bytes_total"
+CACHE = "container_memory_cache"
 START = "container_start_time_seconds"
 
 
@@ -112,18 +114,25 @@ def samples_from_events(events: DataFrame, customer: DataFrame, nation: DataFram
     Each user is a container (labels: instance = nation, name = market segment,
     id = user). Per event it reports: a CPU counter that restarts every day
     (running sum of ``value`` within the day), a network counter that never
-    restarts, the memory gauge ``value`` and the start time of the day's run. Only
+    restarts, the memory gauge ``value`` and the start time of the day's run; if asked
+    for, also a counter and a gauge of the number in its ``props`` (sent, cache). Only
     what the asked ``metrics`` need is computed: the two counters are ordered
     passes, the start is an aggregate, the gauge is neither.
     """
-    e = _containers(events.select("event_id", "user_id", "ts", "value"), customer, nation).withColumn("day", F.to_date("ts"))
-    values = {RSS: "value"}
+    columns = ["event_id", "user_id", "ts", "value"]
+    if TX in metrics or CACHE in metrics:
+        events = events.withColumn("k", F.expr("try_cast(regexp_extract(props, '[0-9]+', 0) as double)"))
+        columns.append("k")
+    e = _containers(events.select(columns), customer, nation).withColumn("day", F.to_date("ts"))
+    values = {RSS: "value", CACHE: "k"}
     if CPU in metrics:
         e, values[CPU] = running_sum(e, ["user_id", "day"], ["ts", "event_id"], None, "value", "cpu"), "cpu"
     if RX in metrics:
         e, values[RX] = running_sum(e, ["user_id"], ["ts", "event_id"], None, "value", "rx"), "rx"
+    if TX in metrics:
+        e, values[TX] = running_sum(e, ["user_id"], ["ts", "event_id"], None, "k", "tx"), "tx"
     if START in metrics:
-        e = materialize(e) if len(values) > 1 else e  # read by the day-start aggregate and by the rows it is joined to
+        e = materialize(e) if len(values) > 2 else e  # read by the day-start aggregate and by the rows it is joined to
         starts = e.groupBy("user_id", "day").agg(F.min("ts").alias("start"))
         e = e.join(starts, ["user_id", "day"]).withColumn("start_s", F.unix_seconds(F.col("start").cast("timestamp")).cast("double"))
         values[START] = "start_s"
