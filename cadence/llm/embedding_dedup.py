@@ -188,7 +188,8 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = T
     ``component_id`` is the smallest vec_id reachable, ``kept`` marks that vector.
     Vectors without a direction (:func:`usable`) link with nothing; a row without
     vec_id links with nothing and has no component. Vectors of one direction are one node
-    with a count of copies, so repeated rows cost nothing in the trees.
+    with a count of copies, so repeated rows cost nothing in the trees. An empty table
+    gives no rows; other columns, whatever their names, are not read.
 
     The sample for the tops of the trees is chosen by a hash and bounded; every
     vector is indexed. Vectors of the core of a dense group (:func:`dense_groups`) meet

@@ -173,7 +173,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next document is that with the next larger doc_id, for the last the first;
     among equal ids, the order is that of the texts. A row without doc_id, or an
     only row, is its own next document. A null text is empty. Texts without words
-    have the empty fingerprint: alike among themselves, unlike all others."""
+    have the empty fingerprint: alike among themselves, unlike all others. Very long
+    texts are hashed whole; repeated rows come back as often; an empty table gives no
+    rows; other columns, whatever their names, are not read."""
     return in_order(docs).mapInArrow(_fingerprinted, SCHEMA)
 
 

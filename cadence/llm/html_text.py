@@ -243,7 +243,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages`` (page_id, url,
     html), row by row without a shuffle. A null or empty page, and one whose text
     is all furniture, gives the empty text. Nothing else is dropped or cut; a page
-    of any length is parsed whole."""
+    of any length is parsed whole. Repeated rows, and pages of equal html, give equal
+    texts, each a row; null ids and addresses are kept; an empty table gives no rows;
+    other columns, whatever their names, are not read."""
     p = pages.select(F.col("page_id").cast("long"), "url", "html")
     return p.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 

@@ -186,7 +186,8 @@ def _rounded(todo: DataFrame, buckets: int, level: int) -> tuple[DataFrame, int]
 
 
 def mix(docs: DataFrame, **kwargs) -> DataFrame:
-    """The rows of ``docs`` (all its columns), each as often as :func:`copies` says."""
+    """The rows of ``docs`` (all its columns, whatever their names), each as often as
+    :func:`copies` says; an empty table stays empty."""
     taken = copies(docs, **kwargs).where("copies > 0")
     same = (F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
             & (F.xxhash64("d.text") == F.col("t.text_key")))

@@ -190,8 +190,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, en
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of
     :func:`pieces` and its place in a sequence of at most ``size`` tokens.
 
-    Repeated rows are packed as often as they occur; a null doc_id is kept; an
-    empty table gives no rows. Places depend on the rows alone, not on the
+    Repeated rows are packed as often as they occur; a null doc_id is kept; a very long
+    text is encoded whole and cut; an empty table gives no rows; other columns, whatever
+    their names, are not read. Places depend on the rows alone, not on the
     partitioning. The driver sees the histogram only (``size`` numbers); a length
     that very many pieces share is ranked in buckets, and full pieces need no
     rank order beyond that. The plan's table is bounded by the histogram and

@@ -90,7 +90,10 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
                 if not raw.startswith(b"WARC/"):
                     raise Damaged("not a WARC record")
                 head, start = _headers(bytes(raw[:end])), end + 4
-                need = start + int(head.get("content-length", -1))
+                length = head.get("content-length", "")
+                if not (length.isascii() and length.isdigit()):
+                    raise Damaged(f"content length {length!r}")
+                need = start + int(length)
             if need is not None and len(raw) > need + 4:
                 raise Damaged("record longer than its content length")
         if head is None or len(raw) != need + 4 or not raw.endswith(CRLF * 2):
@@ -116,7 +119,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     Of rows with equal payloads (html in UTF-8, null: empty) of at least ``least``
     bytes, that with the largest page_id is the response and the others revisit it;
     repeated rows of that page_id are all responses, as are rows whose payload has
-    no page_id at all. The payloads' digests meet as narrow rows; the table of
+    no page_id at all. An empty table gives no archives; a very long payload is one record;
+    columns other than the three, whatever their names, are not read. The payloads' digests meet as narrow rows; the table of
     repeated payloads has one row each, and a payload that a third of the pages
     share is a skewed join that adaptive execution splits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +162,10 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     at a time, read sequentially.
 
     ``payload`` is null for revisits, whose ``payload_bytes`` and ``payload_digest``
-    are those stated for the page they revisit; ``digest_ok`` tells whether the block
-    digest, and for responses the payload digest, hold. A truncated or badly framed
-    archive raises :class:`Damaged`."""
+    are those stated for the page they revisit, null where none is; ``digest_ok`` tells whether
+    the SHA-1 digests stated for the block, and for a response's payload, hold, and is null
+    for a record that states none (other writers may leave them out). A truncated or badly
+    framed archive raises :class:`Damaged`. No archives give no rows."""
     fields = [c.split() for c in RECORD.split(", ")]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -191,10 +196,13 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 def _row(head: dict[str, str], block: bytes) -> tuple:
     http, _, payload = block.partition(CRLF * 2)
     revisit = head["warc-type"] == "revisit"
-    digest = head["warc-payload-digest"].removeprefix("sha1:")
-    ok = head["warc-block-digest"] == f"sha1:{sha1_base32(block)}" and (revisit or digest == sha1_base32(payload))
+    stated = {k: v[5:].upper() for k in ("block", "payload") if (v := head.get(f"warc-{k}-digest", "")).startswith("sha1:")}
+    digest = stated.get("payload") if revisit else sha1_base32(payload)
+    held = [stated[k] == sha1_base32(x) for k, x in (("block", block), ("payload", payload)) if k in stated and not (revisit and k == "payload")]
+    ok = all(held) if held else None
     number = lambda k: int(head[k.lower()]) if k.lower() in head else None
-    size = int(_headers(http)["content-length"]) if revisit else len(payload)
+    length = _headers(http).get("content-length", "")
+    size = (int(length) if length.isdigit() else None) if revisit else len(payload)
     return (number(PAGE_ID), head.get("warc-target-uri"), None if revisit else payload, size, digest, head["warc-type"],
             number(REFERS_TO), ok)
 

@@ -80,3 +80,21 @@ def test_damage_is_noticed():
     z = zlib.compressobj(wbits=31)
     (head, block), = w.records(io.BytesIO(z.compress(raw) + z.flush()))
     assert w._row(head, block)[-1] is False
+    for length in ("many", "-1", "", "\u0663"):
+        odd = w.member({"WARC-Type": "response", "Content-Length": length}, b"x")
+        with pytest.raises(w.Damaged):
+            list(w.records(io.BytesIO(odd)))
+
+
+def test_records_of_other_writers():
+    """Digests are optional, may be of other kinds, and some write them in small letters."""
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    stated = {"none": {}, "md5": {"WARC-Block-Digest": "md5:00"}, "small": {"WARC-Payload-Digest": "sha1:" + w.sha1_base32(b"body").lower()},
+              "wrong": {"WARC-Payload-Digest": "sha1:" + w.sha1_base32(b"other")}}
+    for kind, ok in (("none", None), ("md5", None), ("small", True), ("wrong", False)):
+        raw = w.member({"WARC-Type": "response", "Content-Length": str(len(block)), **stated[kind]}, block)
+        (head, got), = w.records(io.BytesIO(raw))
+        assert w._row(head, got) == (None, None, b"body", 4, w.sha1_base32(b"body"), "response", None, ok)
+    raw = w.member({"WARC-Type": "revisit", "Content-Length": "0"}, b"")
+    (head, got), = w.records(io.BytesIO(raw))
+    assert w._row(head, got) == (None, None, None, None, None, "revisit", None, None)
