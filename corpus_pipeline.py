@@ -20,22 +20,28 @@ from cadence.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic (labels of the training rows of ``labels``)."""
+    """Documents that are not predicted toxic (labels of the training rows of ``labels``).
+    Null and empty texts, and repeated rows, stay; all columns are carried along."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
+    """One document of each group of near copies, that with the smallest doc_id; texts
+    without words stay unless repeated, rows without doc_id all stay, and another text
+    of an id that goes stays. All columns are carried along."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, a null source being one of its own;
+    texts without words weigh nothing. All columns are carried along."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; a null or empty text is one
+    piece, a long one several, a repeated row one more. An empty table gives no rows here
+    and in the stages before."""
     return pack(docs)
 
 
