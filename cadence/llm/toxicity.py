@@ -323,7 +323,12 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Dat
     looked at; a very long text is scored whole."""
     model, hits = fit(docs, labels, bound)
 
-    s = hits.select(F.col("__id").alias("doc_id"), model.score_column("__hits").alias("score"))
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [model.score_hits(h) for h in b["__hits"].to_pylist()]
+            yield pa.record_batch({"doc_id": b["__id"], "score": pa.array(s, pa.float64())})
+
+    s = hits.select("__id", "__hits").mapInArrow(scored, "doc_id long, score double")
     return s.select("doc_id", F.coalesce(~in_training("doc_id"), F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
