@@ -31,7 +31,7 @@ from cadence import streaming as STR
 from cadence.plans.report import report
 from cadence.plans.training import INPUTS, TARGETS, event_features, training_windows
 from cadence.sources import standins as ST
-from cadence.sources.sinks import write_table
+from cadence.sources.sinks import append_gauges, write_table
 from cadence.sources import schemas
 from cadence.sources.tables import load, read_csv_checked
 from cadence.sources.versions import bucketed_join, publish, published, write_bucketed
@@ -405,7 +405,9 @@ def q_gauge_latest(spark, root):
     m = EV.fedavg_metrics(_evals(spark, root), by="round")
     g = MT.to_samples(m.withColumn("ts", F.timestamp_seconds(F.col("round").cast("long"))), "ts",
                       {"model_loss": "loss", "model_cosine_similarity": "cos", "model_mean_absolute_error": "mae"})
-    return report(MT.latest(g).select("name", "ts", "value"))
+    path = written_path(spark, "gauges")
+    append_gauges(g, path)
+    return report(MT.latest(spark.read.schema(schemas.SAMPLES).parquet(path)).select("name", "ts", "value"))
 
 
 def q_fed_round_one(spark, root):
