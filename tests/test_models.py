@@ -413,3 +413,33 @@ def test_window_steps(spark):
     w = spark.createDataFrame([(1, [1.0, 2.0], [3.0, None]), (2, [5.0], [6.0])], "id int, x_seq array<double>, y_target array<double>")
     got = sorted(tuple(r) for r in fc.window_steps(w, ["x"], ["y"], ["id"]).collect())
     assert got == [(1, 0, 1.0, 3.0), (1, 1, 2.0, None), (2, 0, 5.0, 6.0)]
+
+
+@pytest.mark.parametrize("range_s", [60, 55, 10_000])  # a multiple of the step or not; longer than the data
+def test_rates_equal_a_count_over_all_samples_and_are_not_copied(spark, range_s):
+    """Rates by blocks of instants against plain Python, with gaps, resets, null values and blocks crossed; what is
+    shuffled and sorted is a row per step, not one per step and instant."""
+    rng = np.random.default_rng(11)
+    data, want = [], {}
+    for s in range(3):
+        at, pts, prev = 0, [], None
+        for i in range(150):
+            at += int(rng.choice([1, 3, 9, 40, 500]))
+            v = None if i % 29 == 7 else float(rng.integers(0, 50))
+            data.append(("c", {"id": str(s)}, T0 + dt.timedelta(seconds=at), v))
+            pts.append((at, 0.0 if prev is None else None if v is None else v if v < prev else v - prev))
+            prev = v
+        for k in range(0, (at + range_s) // 10 + 1):
+            near = [p for p in pts if 10 * k - range_s < p[0] <= 10 * k]
+            if len(near) > 1:
+                first = near[0][1]
+                total = sum(p[1] for p in near if p[1] is not None)
+                want[str(s), T0 + dt.timedelta(seconds=10 * k)] = None if first is None else (total - first) / (near[-1][0] - near[0][0])
+    df = spark.createDataFrame(data, "name string, labels map<string,string>, ts timestamp, value double")
+    out = mt.counter_rate(df, range_s, 10)
+    got = {(r["labels"]["id"], r["ts"]): r["value"] for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("RepartitionByExpression")]  # nothing is sorted or shuffled after the instants are made
+    assert "Aggregate [" not in above and "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString().split("Window")[0]
