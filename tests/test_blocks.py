@@ -128,3 +128,38 @@ def test_ranges_follow_the_rows(spark):
     prev = previous(df, "s", ["ts", "id"], None, ["id"], "_p")
     want = df.withColumn("id_p", F.lag("id").over(whole(df)))
     assert by_id(prev, "id_p") == by_id(want, "id_p")
+
+
+def test_nearest_valid_is_not_joined(spark):
+    """Counted chunks, null series and stamps, two columns, one without any value in a series: the carried values
+    enter the window as rows, so nothing is joined after it."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("s"),
+                                  F.when(F.col("id") > 9, F.timestamp_seconds(F.col("id") * 60)).alias("ts"))
+    df = df.select("*", F.when(F.col("id") % 400 == 5, F.col("id") * 1.5).alias("v"),
+                   F.when((F.col("id") % 50 == 0) & (F.col("s") == 1), F.col("id")).alias("u"), F.unix_micros("ts").alias("us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = nearest_valid(df, "s", ["ts", "id"], None, ["v", "u"], "us")
+        found = by_id(got, "v_prv", "v_nxt", "u_prv", "u_nxt")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = df
+    for c in ("v", "u"):
+        val = F.when(F.col(c).isNotNull(), F.struct(F.col("us").alias("t"), F.col(c).alias("v")))
+        want = want.select("*", F.last(val, True).over(whole(df).rowsBetween(Window.unboundedPreceding, 0)).alias(f"{c}_prv"),
+                           F.first(val, True).over(whole(df).rowsBetween(0, Window.unboundedFollowing)).alias(f"{c}_nxt"))
+    assert got.columns == want.select("id", "s", "ts", "v", "u", "us", "v_prv", "u_prv", "v_nxt", "u_nxt").columns
+    assert found == by_id(want, "v_prv", "v_nxt", "u_prv", "u_nxt")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_huge_methods_are_not_generated_unless_the_session_says_so(spark):
+    from cadence.session import pin
+    key, was = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit", None)
+    try:
+        spark.conf.unset(key)
+        assert pin(spark).conf.get(key) == "8000"
+        spark.conf.set(key, "30000")
+        assert pin(spark).conf.get(key) == "30000"
+    finally:
+        spark.conf.set(key, was or "8000")
