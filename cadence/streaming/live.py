@@ -62,17 +62,17 @@ def stream_panes(samples: DataFrame, step_s: int, watermark: str) -> DataFrame:
     """Samples of a counter folded per series and step (Z2): the input of ``rate_from_panes``.
 
     A pane holds the samples of ``(end - step, end]``, as the instants of a range
-    query do. State holds the samples of open panes only: each sample once, whatever the range."""
+    query do. State holds the samples of open panes only: each sample once, whatever the range.
+    The label set is held once, in the key."""
     s = samples.withColumn("_sid", series_key("labels")).withColumn("_at", F.col("ts") - F.expr("interval 1 microsecond"))
     g = s.withWatermark("_at", watermark).groupBy("name", "_sid", F.window("_at", f"{step_s} seconds").alias("w")).agg(
-        F.first("labels").alias("labels"),
         F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("value").alias("v")))).alias("_pts"))
     pts, n = F.col("_pts"), F.size("_pts")
     pairs = F.zip_with(F.slice(pts, 2, F.greatest(n - 1, F.lit(1))), F.slice(pts, 1, F.greatest(n - 1, F.lit(1))),
                        lambda cur, prev: F.when(cur["v"] < prev["v"], cur["v"]).otherwise(cur["v"] - prev["v"]))
     inc = F.aggregate(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0.0), lambda acc, x: acc + x)
     first, last = F.element_at(pts, 1), F.element_at(pts, -1)
-    return g.select("name", F.col("_sid").alias("sid"), "labels", F.expr(f"unix_micros(w.end) div {step_s * 1_000_000}").alias("pane"),
+    return g.select("name", F.col("_sid").alias("sid"), F.map_from_entries("_sid").alias("labels"), F.expr(f"unix_micros(w.end) div {step_s * 1_000_000}").alias("pane"),
                     n.cast("long").alias("n"), first["t"].alias("t0"), last["t"].alias("t1"), first["v"].alias("v0"),
                     last["v"].alias("v1"), inc.alias("inc"))
 

@@ -443,3 +443,15 @@ def test_rates_equal_a_count_over_all_samples_and_are_not_copied(spark, range_s)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("RepartitionByExpression")]  # nothing is sorted or shuffled after the instants are made
     assert "Aggregate [" not in above and "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+
+
+def test_streamed_rates_hold_labels_once_and_are_not_copied(spark, tmp_path):
+    """State of the panes holds no label map beside the key, and the rates of the panes need no aggregate over copies."""
+    df = _samples(spark, [0, 10, 20, 5, 15, 25])
+    df.write.parquet(f"{tmp_path}/s")
+    panes = st.stream_panes(st.source(spark, f"{tmp_path}/s", df.schema), 2, "1 minute")
+    assert "first(labels" not in panes._jdf.queryExecution().analyzed().toString()
+    got = st.run_to_latest(panes, ["name", "sid", "pane"], "p")
+    assert {tuple(sorted(r["labels"].items())) for r in got.collect()} == {(("instance", "h1"), ("name", "app"))}
+    plan = mt.rate_from_panes(got, 4, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" not in plan[:plan.index("RepartitionByExpression")]
