@@ -163,3 +163,27 @@ def test_huge_methods_are_not_generated_unless_the_session_says_so(spark):
         assert pin(spark).conf.get(key) == "30000"
     finally:
         spark.conf.set(key, was or "8000")
+
+
+def test_previous_is_not_joined(spark):
+    """Counted chunks, null series and stamps, the order's column among the values: the value carried from the chunk
+    before enters the window as a row, and the last values of the chunks are not found by a sort of all rows."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("s"),
+                                  F.when(F.col("id") > 9, F.timestamp_seconds(F.col("id") * 60)).alias("ts"))
+    df = df.withColumn("v", F.when(F.col("id") % 4 > 0, F.col("id") * 1.5))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = previous(df, "s", ["ts", "id"], None, ["v", "id", "ts"], "_p")
+        found = by_id(got, "v_p", "id_p", "ts_p")
+        alone = previous(df.filter("ts IS NOT NULL"), "s", ["ts"], None, ["v"], "_p", within=[], keep_chunk=True)
+        chunks = alone.select("_ck").distinct().count()
+        again = by_id(alone, "v_p")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = df.select("*", *[F.lag(c).over(whole(df)).alias(f"{c}_p") for c in ("v", "id", "ts")])
+    assert got.columns == want.columns and found == by_id(want, "v_p", "id_p", "ts_p")
+    want = df.filter("ts IS NOT NULL").withColumn("v_p", F.lag("v").over(whole(df)))
+    assert chunks > 1 and again == by_id(want, "v_p")
+    for x in (got, alone):
+        assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortAggregate" not in alone._jdf.queryExecution().executedPlan().toString()

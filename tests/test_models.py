@@ -455,3 +455,27 @@ def test_streamed_rates_hold_labels_once_and_are_not_copied(spark, tmp_path):
     assert {tuple(sorted(r["labels"].items())) for r in got.collect()} == {(("instance", "h1"), ("name", "app"))}
     plan = mt.rate_from_panes(got, 4, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" not in plan[:plan.index("RepartitionByExpression")]
+
+
+@pytest.mark.parametrize("range_s", [60, 55])
+def test_samples_of_rates_are_sorted_once_and_not_held_by_an_aggregate(spark, range_s):
+    """Samples in the same ranges become one row in the order they are sorted in, also where chunks cut them: no
+    aggregate over the samples, no join to them, and the rates don't depend on the chunks. A sample without a time is left out."""
+    rng = np.random.default_rng(3)
+    at = np.cumsum(rng.choice([1, 2, 3, 200], 200))
+    data = [("c", {"id": "1"}, T0 + dt.timedelta(seconds=int(a)), None if i % 31 == 9 else float(rng.integers(0, 50))) for i, a in enumerate(at)]
+    data.append(("c", {"id": "1"}, None, 1.0))
+    df = spark.createDataFrame(data, "name string, labels map<string,string>, ts timestamp, value double")
+    found = []
+    for chunk_us in (None, 4_000_000, 3_600_000_000):  # counted rows; several chunks a step; one
+        out = mt.counter_rate(df, range_s, 10, chunk_us=chunk_us)
+        found.append({r["ts"]: r["value"] for r in out.collect()})
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+        assert not [x for x in plan.splitlines() if "Aggregate [" in x and "_j#" in x.split("], [")[0]]
+        done = out._jdf.queryExecution().executedPlan().toString()
+        rows = done.split("Union")[0]  # above the rows and what other chunks carry into them
+        assert rows.count("Sort [") == 2 and "Aggregate" not in rows
+    assert len(found[0]) > 100 and found[0].keys() == found[1].keys() == found[2].keys()
+    for k, v in found[0].items():
+        assert all(x[k] is None if v is None else x[k] == pytest.approx(v) for x in found[1:])
