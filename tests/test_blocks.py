@@ -187,3 +187,20 @@ def test_previous_is_not_joined(spark):
     for x in (got, alone):
         assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
     assert "SortAggregate" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_sum_is_not_joined(spark):
+    """Counted chunks, null series, stamps and values, a series without any value: the sum of the chunks before enters
+    the window as a row, and a chunk's first rows without a value keep it."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("s"),
+                                  F.when(F.col("id") > 9, F.timestamp_seconds(F.col("id") * 60)).alias("ts"))
+    df = df.withColumn("v", F.when((F.col("id") % 5 > 0) & (F.col("id") > 40) & (F.col("s") != 2), F.col("id") * 0.5))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running_sum(df, "s", ["ts", "id"], None, "v", "sum")
+        found = by_id(got, "sum")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = df.withColumn("sum", F.sum("v").over(whole(df).rowsBetween(Window.unboundedPreceding, 0)))
+    assert got.columns == want.columns and found == by_id(want, "sum")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
